@@ -23,10 +23,10 @@ from twinlens.operators.ordered import (
 from twinlens.operators.pair import IS_REAL, Pair
 from twinlens.operators.profile import (
     PairStats,
-    judge_ids,
     literal_lookup,
     long_values,
-    metric_ids,
+    pair_judge_ids,
+    pair_metric_ids,
     pair_stats,
 )
 
@@ -79,8 +79,8 @@ def _mean_or(pair: Pair, scales: dict[str, float], stats: PairStats, empty: floa
     )
 
 
-def judge_scales(pair: Pair, stats: PairStats, ids: dict[str, bool] | None = None) -> dict[str, float]:
-    ids = ids if ids is not None else judge_ids(pair.real, pair.numeric)
+def judge_scales(pair: Pair, stats: PairStats) -> dict[str, float]:
+    ids = pair_judge_ids(pair, stats)
     out = {}
     for c in pair.numeric:
         r, s = stats.side(c, True), stats.side(c, False)
@@ -89,10 +89,10 @@ def judge_scales(pair: Pair, stats: PairStats, ids: dict[str, bool] | None = Non
     return out
 
 
-def wasserstein_judge(pair: Pair, ids: dict[str, bool] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def wasserstein_judge(pair: Pair, stats: PairStats | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Mean over non-identifier numeric columns, each scaled by the range of both sides."""
-    stats = pair_stats(pair, pair.numeric)
-    return _mean_or(pair, judge_scales(pair, stats, ids), stats, 0.0, rows_per_bucket)
+    stats = stats or pair_stats(pair, pair.numeric, sketch=True)
+    return _mean_or(pair, judge_scales(pair, stats), stats, 0.0, rows_per_bucket)
 
 
 def _real_range_scales(pair: Pair, stats: PairStats, floor: bool) -> dict[str, float]:
@@ -103,19 +103,19 @@ def _real_range_scales(pair: Pair, stats: PairStats, floor: bool) -> dict[str, f
             continue
         if floor or r.span >= C.RANGE_FLOOR:
             candidates.append(c)
-    ids = metric_ids(pair.real, candidates)
+    ids = pair_metric_ids(pair, stats, candidates)
     return {c: max(stats.side(c, True).span, C.RANGE_FLOOR) for c in candidates if not ids[c]}
 
 
 def wasserstein_metrics(pair: Pair, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Mean scaled by the real range; flat columns are left out."""
-    stats = pair_stats(pair, pair.numeric)
+    stats = pair_stats(pair, pair.numeric, sketch=True)
     return _mean_or(pair, _real_range_scales(pair, stats, floor=False), stats, 0.0, rows_per_bucket)
 
 
 def wasserstein_pilot(pair: Pair, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """As ``wasserstein_metrics``, but flat columns stay in and no column at all is infinite."""
-    stats = pair_stats(pair, pair.numeric)
+    stats = pair_stats(pair, pair.numeric, sketch=True)
     return _mean_or(pair, _real_range_scales(pair, stats, floor=True), stats, math.inf, rows_per_bucket)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.hashrand import digest
+from twinlens.operators.columns import is_numeric
 from twinlens.session import settle
 
 ROWS_PER_BUCKET = 4_000_000
@@ -153,7 +154,10 @@ def running_total(
     The first order column (a number or a timestamp) is cut into slices, so a
     key that holds a third of the table is spread over them.
     """
-    axis = F.col(order[0]).cast("double")
+    axis = F.col(order[0])
+    if not is_numeric(df.schema[order[0]].dataType):
+        axis = axis.cast("timestamp")
+    axis = axis.cast("double")
     buckets = bucket_count(df.count() if rows is None else rows, rows_per_bucket)
     splits = bucket_splits(df.select(axis.alias("_axis")), ["_axis"], buckets)
     if not splits:

@@ -45,7 +45,7 @@ def laplace_noise(
     names = [c for c in numeric_columns(df) if c not in exclude and not noise_id_name(c)]
     if not names:
         return df
-    _, counts = distinct_counts(df, names)
+    _, counts = distinct_counts(df, names, small=True)
     noisy = [c for c in names if counts[c][1] > C.NOISE_MIN_DISTINCT]
     if not noisy:
         return df
@@ -76,7 +76,7 @@ def quantile_match(synth: DataFrame, real: DataFrame, exclude: tuple[str, ...] =
     names = [c for c in numeric_columns(real) if c in shared and c not in exclude and not noise_id_name(c)]
     if not names:
         return synth
-    _, counts = distinct_counts(real, names)
+    _, counts = distinct_counts(real, names, small=True)
     matched = [c for c in names if counts[c][1] > C.MATCH_MIN_DISTINCT]
     if not matched:
         return synth

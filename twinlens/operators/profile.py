@@ -16,10 +16,10 @@ from twinlens.operators.columns import (
 )
 from twinlens.operators.pair import IS_REAL, Pair, nan_to_null
 
-# HyperLogLog error, and the margin (five standard errors) inside which a
-# decision is taken from an exact count instead.
-SKETCH_ERROR = 0.005
-SKETCH_MARGIN = 5 * SKETCH_ERROR
+# Sketch size (log2) with a standard error of about 0.33 %, and the margin (over
+# five of them) inside which a decision is taken from an exact count instead.
+SKETCH_LOG = 16
+SKETCH_MARGIN = 0.02
 EXACT_BELOW = 1000
 
 
@@ -40,6 +40,7 @@ class PairStats:
 
     rows: dict[bool, int]
     sides: dict[tuple[str, bool], SideStats]
+    sketched: dict[str, tuple[int, int]]  # real side: non-null count, estimated distinct count
 
     def side(self, column: str, real: bool) -> SideStats:
         return self.sides.get((column, real), SideStats(0, None, None))
@@ -49,49 +50,70 @@ class PairStats:
         return sum(self.rows.values())
 
 
-def pair_stats(pair: Pair, columns: list[str]) -> PairStats:
-    """Counts and bounds of both sides from one aggregate over one scan."""
+def _sketch(c: str) -> Column:
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c))), SKETCH_LOG))
+
+
+def pair_stats(pair: Pair, columns: list[str], sketch: bool = False) -> PairStats:
+    """Counts, bounds and (asked for) distinct estimates of both sides: one
+    aggregate over one scan, two rows back."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    rows, sides = {True: 0, False: 0}, {}
-    for r in pair.tagged.groupBy(IS_REAL).agg(*aggs).collect():  # two rows
+        if sketch:
+            aggs.append(_sketch(c).alias(f"d{i}"))
+    rows, sides, sketched = {True: 0, False: 0}, {}, {}
+    for r in pair.tagged.groupBy(IS_REAL).agg(*aggs).collect():
         rows[r[IS_REAL]] = r["rows"]
         for i, c in enumerate(columns):
             sides[(c, r[IS_REAL])] = SideStats(r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"])
-    return PairStats(rows, sides)
-
-
-def distinct_counts(df: DataFrame, columns: list[str], ratios: tuple[float, ...] = ()) -> tuple[int, dict[str, tuple[int, int]]]:
+            if sketch and r[IS_REAL]:
+                sketched[c] = (r[f"n{i}"], min(r[f"d{i}"] or 0, r[f"n{i}"]))
+    return PairStats(rows, sides, sketched)
+
+
+def settle_distinct(
+    df: DataFrame, rows: int, estimates: dict[str, tuple[int, int]], ratios: tuple[float, ...] = (), small: bool = False
+) -> dict[str, tuple[int, int]]:
+    """Replace estimates that a decision could hang on by exact counts: those
+    with a distinct share near one of ``ratios`` and, with ``small``, those of
+    few values."""
+    unsure = [
+        c
+        for c, (n, d) in estimates.items()
+        if (small and d <= EXACT_BELOW)
+        or any(abs(d - t * base) <= SKETCH_MARGIN * max(base, 1) + 2 for t in ratios for base in (n, rows))
+    ]
+    if not unsure:
+        return estimates
+    exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"x{i}") for i, c in enumerate(unsure)]).first()
+    return {**estimates, **{c: (estimates[c][0], exact[f"x{i}"]) for i, c in enumerate(unsure)}}
+
+
+def distinct_counts(
+    df: DataFrame, columns: list[str], ratios: tuple[float, ...] = (), small: bool = False
+) -> tuple[int, dict[str, tuple[int, int]]]:
     """Row count and, per column, (non-null count, distinct count).
 
-    A sketch settles every column that is far from all thresholds; columns with
-    few values, or with a distinct share near one of ``ratios``, are counted
-    exactly. A unique column of a huge table thus costs no shuffle.
+    A sketch settles every column that is far from all thresholds, the rest is
+    counted exactly: a unique column of a huge table costs no shuffle.
     """
-    if not columns:
-        return df.count(), {}
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        aggs += [
-            F.count(F.col(c)).alias(f"n{i}"),
-            F.approx_count_distinct(F.col(c), SKETCH_ERROR).alias(f"d{i}"),
-        ]
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), _sketch(c).alias(f"d{i}")]
     row = df.agg(*aggs).first()
-    rows = row["rows"]
-    out, unsure = {}, []
-    for i, c in enumerate(columns):
-        n, d = row[f"n{i}"], row[f"d{i}"]
-        out[c] = (n, min(d, n))
-        near = any(abs(d - t * base) <= SKETCH_MARGIN * max(base, 1) for t in ratios for base in (n, rows))
-        if d <= EXACT_BELOW or near:
-            unsure.append(c)
-    if unsure:
-        exact = df.agg(*[F.count_distinct(F.col(c)).alias(f"x{i}") for i, c in enumerate(unsure)]).first()
-        for i, c in enumerate(unsure):
-            out[c] = (out[c][0], exact[f"x{i}"])
-    return rows, out
+    estimates = {c: (row[f"n{i}"], min(row[f"d{i}"] or 0, row[f"n{i}"])) for i, c in enumerate(columns)}
+    return row["rows"], settle_distinct(df, row["rows"], estimates, ratios, small)
+
+
+def _judge_rule(name: str, rows: int, counts: dict[str, tuple[int, int]]) -> bool:
+    return judge_id_name(name) or (name in counts and counts[name][1] > C.JUDGE_UNIQUE_RATIO * rows)
+
+
+def _metric_rule(name: str, counts: dict[str, tuple[int, int]]) -> bool:
+    n, d = counts.get(name, (0, 0))
+    return metric_id_name(name) or (n > C.METRIC_UNIQUE_MIN_ROWS and d / n > C.METRIC_UNIQUE_RATIO)
 
 
 def judge_ids(df: DataFrame, columns: list[str] | None = None) -> dict[str, bool]:
@@ -99,19 +121,28 @@ def judge_ids(df: DataFrame, columns: list[str] | None = None) -> dict[str, bool
     columns = columns or df.columns
     numeric = [c for c in numeric_columns(df) if c in columns and not judge_id_name(c)]
     rows, counts = distinct_counts(df, numeric, (C.JUDGE_UNIQUE_RATIO,))
-    return {c: judge_id_name(c) or (c in counts and counts[c][1] > C.JUDGE_UNIQUE_RATIO * rows) for c in columns}
+    return {c: _judge_rule(c, rows, counts) for c in columns}
 
 
 def metric_ids(df: DataFrame, columns: list[str] | None = None) -> dict[str, bool]:
     """Metric rule: a key-like name, or over 95 % distinct among more than 20 values."""
     columns = columns or df.columns
-    open_ones = [c for c in columns if not metric_id_name(c)]
-    _, counts = distinct_counts(df, open_ones, (C.METRIC_UNIQUE_RATIO,))
-    out = {}
-    for c in columns:
-        n, d = counts.get(c, (0, 0))
-        out[c] = metric_id_name(c) or (n > C.METRIC_UNIQUE_MIN_ROWS and d / n > C.METRIC_UNIQUE_RATIO)
-    return out
+    _, counts = distinct_counts(df, [c for c in columns if not metric_id_name(c)], (C.METRIC_UNIQUE_RATIO,))
+    return {c: _metric_rule(c, counts) for c in columns}
+
+
+def pair_judge_ids(pair: Pair, stats: PairStats) -> dict[str, bool]:
+    """``judge_ids`` of the real side from statistics already taken."""
+    open_ones = {c: v for c, v in stats.sketched.items() if not judge_id_name(c)}
+    counts = settle_distinct(pair.real, stats.rows[True], open_ones, (C.JUDGE_UNIQUE_RATIO,))
+    return {c: _judge_rule(c, stats.rows[True], counts) for c in pair.numeric}
+
+
+def pair_metric_ids(pair: Pair, stats: PairStats, columns: list[str]) -> dict[str, bool]:
+    """``metric_ids`` of the real side from statistics already taken."""
+    open_ones = {c: stats.sketched[c] for c in columns if c in stats.sketched and not metric_id_name(c)}
+    counts = settle_distinct(pair.real, stats.rows[True], open_ones, (C.METRIC_UNIQUE_RATIO,))
+    return {c: _metric_rule(c, counts) for c in columns}
 
 
 def pick_target(df: DataFrame) -> str | None:
@@ -121,7 +152,7 @@ def pick_target(df: DataFrame) -> str | None:
         if name in df.columns:
             return name
     numbers, strings = numeric_columns(df), string_columns(df)
-    _, counts = distinct_counts(df, numbers + strings)
+    _, counts = distinct_counts(df, numbers + strings, small=True)
     for c in numbers:
         if counts[c][1] == 2:
             return c
