@@ -6,11 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-HEALTHCARE = T.StructType.fromDDL(
+HEALTHCARE = (
     "patient_id int, age int, gender string, bmi double, systolic_bp int, smoker int, "
     "diagnosis string, num_medications int, treatment_cost double, readmitted int"
 )
-LOANS = T.StructType.fromDDL(
+LOANS = (
     "account_id int, age int, income double, credit_score int, loan_amount double, loan_term_months int, "
     "num_transactions int, account_type string, employment_status string, defaulted int"
 )
@@ -18,7 +18,7 @@ SAMPLE_SCHEMAS = {"healthcare": HEALTHCARE, "finance": LOANS}
 FORMATS = {"CSV": "csv", "JSON": "json", "PARQUET": "parquet"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame | None:
     """A CSV table with header, or None where there is no readable file.
 
     Give the schema where it is known; without it Spark reads the file twice.
@@ -52,7 +52,7 @@ def write_table(df: DataFrame, path: str, output_format: str = "CSV", mode: str
     writer.format(kind).save(path)
 
 
-def read_table(spark: SparkSession, path: str, output_format: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, output_format: str, schema: T.StructType | str) -> DataFrame:
     kind = FORMATS.get(output_format.upper(), "csv")
     reader = spark.read.schema(schema)
     if kind == "csv":
