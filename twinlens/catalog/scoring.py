@@ -301,7 +301,7 @@ def report_json(spark, sf):
     f"""SELECT run_id, CASE WHEN p >= 1 THEN wasserstein ELSE 1.0 END AS wass, CASE WHEN p >= 1 THEN js_divergence END AS jsd, CASE WHEN p >= 1 THEN correlation_similarity END AS corr_sim,
     CASE WHEN p >= 1 THEN mmd END AS mmd, CASE WHEN p = 2 THEN coalesce(tstr_accuracy, 0.0) ELSE 0.0 END AS tstr, CASE WHEN p = 2 THEN trts_accuracy END AS trts,
     CASE WHEN p = 2 THEN performance_drop ELSE 100.0 END AS perf_drop, CASE WHEN p = 2 THEN baseline_accuracy END AS baseline,
-    CASE WHEN p = 2 THEN mia_risk_score ELSE 1.0 END AS mia, CASE WHEN p = 2 THEN k_anonymity ELSE 0 END AS k_anon, CASE WHEN p = 2 THEN exact_matches END AS linkability,
+    CASE WHEN p = 2 THEN mia_risk_score ELSE 1.0 END AS mia, CASE WHEN p = 2 THEN k_anonymity ELSE 0 END AS k_anon, CASE WHEN p = 2 THEN exact_matches::DOUBLE END AS linkability,
     p = 2 AND is_compliant AS is_compliant, p >= 1 AND wasserstein < 0.15 AS f_pass, p = 2 AND performance_drop < 20 AS u_pass, p = 2 AND is_compliant AS p_pass
     FROM (SELECT *, CASE WHEN {sql_uniform(SEED, 'run_id', 'part')} < 0.2 THEN 0 WHEN {sql_uniform(SEED, 'run_id', 'part')} < 0.4 THEN 1 ELSE 2 END AS p FROM {SQL_RUNS})""",
 )
@@ -311,7 +311,8 @@ def flatten_report(spark, sf):
     u = H.uniform(SEED, F.col("run_id"), "part")
     whole = F.to_json(F.struct("fidelity", "utility", "privacy"))
     text = F.when(u < 0.2, F.lit("{}")).when(u < 0.4, F.to_json(F.struct("fidelity"))).otherwise(whole)
-    return S.flatten_report(nested.select("run_id", text.alias("text")), "text", "run_id")
+    flat = S.flatten_report(nested.select("run_id", text.alias("text")), "text", "run_id")
+    return flat.withColumn("linkability", F.col("linkability").cast("double"))
 
 
 STAMP = "2025-01-01 00:00:00 UTC"
