@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from twinlens.catalog import load
@@ -62,6 +63,7 @@ def main() -> None:
             if i and (best is None or spent < best):
                 best = spent
         times[name] = round(best, 3)
+        print(f"{name} {best:.2f}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

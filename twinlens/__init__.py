@@ -1,0 +1 @@
+"""Synthetic tables made, sanitised and judged as Spark jobs."""

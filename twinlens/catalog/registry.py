@@ -8,11 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.functions import hashrand
 from twinlens.operators.pair import Pair
 
-SIDE_SEED = 7
-
 
 @dataclass(frozen=True)
 class Query:
@@ -40,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def first_half(key: str) -> Column:
     """Even split of a table by the digest of a key: both parts are used whole."""
-    return hashrand.uniform(SIDE_SEED, F.col(key), "side") < F.lit(0.5)
+    return F.md5(F.col(key).cast("string")) < F.lit("8")
 
 
 def halves(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> Pair:
@@ -74,8 +71,12 @@ def sql_laplace(seed: int, row_id: str, stream: str, scale: str) -> str:
     return f"(-({scale}) * sign({u}) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs({u})))"
 
 
+def sql_first_half(key: str) -> str:
+    return f"(md5(CAST({key} AS VARCHAR)) < '8')"
+
+
 def sql_sides(name: str, key: str) -> str:
-    return f"(SELECT *, {sql_uniform(SIDE_SEED, key, 'side')} < 0.5 AS is_real FROM {name})"
+    return f"(SELECT *, {sql_first_half(key)} AS is_real FROM {name})"
 
 
 def sql_long(source: str, columns, cast: str, keep: str = "is_real") -> str:

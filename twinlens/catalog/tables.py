@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinlens import constants as C
-from twinlens.catalog.registry import halves, query, sql_normal, sql_uniform, table
+from twinlens.catalog.registry import halves, query, sql_first_half, sql_normal, sql_uniform, table
 from twinlens.functions import hashrand as H
 from twinlens.functions import requests, scalars
 from twinlens.operators import cleaning, columns, generators, profile, sampling
@@ -331,7 +331,7 @@ def preview_head(spark, sf):
 
 @query(
     "union_pair",
-    f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN {sql_uniform(7, 'o_orderkey', 'side')} < 0.5 THEN 1 ELSE 0 END AS member FROM orders",
+    f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN {sql_first_half('o_orderkey')} THEN 1 ELSE 0 END AS member FROM orders",
 )
 def union_pair(spark, sf):
 

@@ -266,48 +266,114 @@ def kl_divergence(pair: Pair, columns: list[str] | None = None, bins: int | None
 # Correlation
 
 
-def corr_matrix(pair: Pair, columns: list[str] | None = None) -> DataFrame:
+WIDE = 12
+
+
+def corr_matrix(pair: Pair, columns: list[str] | None = None, stats: PairStats | None = None) -> DataFrame:
     """(is_real, col_a, col_b, corr): the full matrix of both sides.
 
-    Pairs with a null are dropped pairwise and an undefined value is 0. All
-    moments come from one aggregate over one scan; only two rows are shuffled
-    per task.
+    Pairs with a null are dropped pairwise and an undefined value is 0. Values
+    are shifted by the middle of their range first, so plain sums keep their
+    digits; all sums come from one aggregate over one scan, and only partial
+    sums are shuffled.
     """
     cols = columns or pair.numeric
-    num = [F.col(c).cast("double") for c in cols]
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        aggs.append(F.var_pop(num[i]).alias(f"v{i}"))
-        flat = F.coalesce((F.col(f"v{i}") > 0).cast("double"), F.lit(0.0))
-        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"), flat.alias("corr")))
-        for j in range(i + 1, len(cols)):
-            aggs += [
-                F.regr_sxy(num[i], num[j]).alias(f"xy{i}_{j}"),
-                F.regr_sxx(num[i], num[j]).alias(f"xx{i}_{j}"),
-                F.regr_syy(num[i], num[j]).alias(f"yy{i}_{j}"),
-            ]
-            value = F.coalesce(
-                F.try_divide(F.col(f"xy{i}_{j}"), F.sqrt(F.col(f"xx{i}_{j}")) * F.sqrt(F.col(f"yy{i}_{j}"))),
-                F.lit(0.0),
-            )
-            for x, y in ((a, cols[j]), (cols[j], a)):
-                cells.append(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), value.alias("corr")))
-    return pair.tagged.groupBy(IS_REAL).agg(*aggs).select(IS_REAL, F.inline(F.array(*cells)))
-
-
-def corr_frobenius(pair: Pair, columns: list[str] | None = None) -> DataFrame:
+    stats = stats or pair_stats(pair, cols)
+    middle = {}
+    for c in cols:
+        known = [stats.side(c, side) for side in (True, False) if stats.side(c, side).count]
+        middle[c] = (min(k.low for k in known) + max(k.high for k in known)) / 2.0 if known else 0.0
+    sums = (_corr_sums if len(cols) <= WIDE else _corr_sums_wide)(pair, cols, middle, stats)
+
+    def spread(total: str, square: str) -> Column:
+        return F.greatest(F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n")), F.lit(0.0))
+
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    vx, vy = spread("sx", "sxx"), spread("sy", "syy")
+    # A spread that is rounding dust of its own sum of squares is a constant.
+    flat = (vx <= F.lit(1e-14) * F.col("sxx")) | (vy <= F.lit(1e-14) * F.col("syy"))
+    value = F.when(flat, F.lit(0.0)).when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    upper = sums.select(IS_REAL, "i", "j", F.coalesce(value, F.lit(0.0)).alias("corr"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(
+        F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    )
+    full = upper.select(IS_REAL, "corr", F.inline(both))
+    return full.select(
+        IS_REAL, F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), "corr"
+    )
+
+
+def _corr_sums(pair: Pair, cols: list[str], middle: dict[str, float], stats: PairStats) -> DataFrame:
+    """(is_real, i, j, n, sx, sy, sxx, syy, sxy) for i <= j as JVM sums. Columns
+    without nulls share their own sums among all their pairs."""
+    x = [F.col(c).cast("double") - F.lit(middle[c]) for c in cols]
+    full = [all(stats.side(c, side).count == stats.rows[side] for side in (True, False)) for c in cols]
+    aggs: dict[str, Column] = {"n": F.count(F.lit(1)).cast("double")}
+    cells = []
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            if full[i] and full[j]:
+                tag, keep = "", None
+            else:
+                tag, keep = f"_{i}_{j}", x[i].isNotNull() & x[j].isNotNull()
+
+            def only(v: Column, keep=keep) -> Column:
+                return v if keep is None else F.when(keep, v)
+
+            names = {"n": f"n{tag}", "sx": f"s{i}{tag}", "sy": f"s{j}{tag}", "sxx": f"q{i}{tag}", "syy": f"q{j}{tag}", "sxy": f"p{i}_{j}"}
+            aggs.setdefault(names["n"], F.count(only(F.lit(1))).cast("double"))
+            aggs.setdefault(names["sx"], F.sum(only(x[i])))
+            aggs.setdefault(names["sy"], F.sum(only(x[j])))
+            aggs.setdefault(names["sxx"], F.sum(only(x[i] * x[i])))
+            aggs.setdefault(names["syy"], F.sum(only(x[j] * x[j])))
+            aggs.setdefault(names["sxy"], F.sum(only(x[i] * x[j])))
+            cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), *[F.col(v).alias(k) for k, v in names.items()]))
+    summed = pair.tagged.groupBy(IS_REAL).agg(*[v.alias(k) for k, v in aggs.items()])
+    return summed.select(IS_REAL, F.inline(F.array(*cells)))
+
+
+def _corr_sums_wide(pair: Pair, cols: list[str], middle: dict[str, float], stats: PairStats) -> DataFrame:
+    """The same sums for many columns: matrix products per Arrow batch."""
+    d = len(cols)
+    shift = np.array([middle[c] for c in cols])
+    i, j = np.triu_indices(d)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {side: np.zeros((6, d, d)) for side in (True, False)}
+        for batch in batches:
+            flag = batch[IS_REAL].to_numpy(dtype=bool)
+            values = batch[cols].to_numpy(dtype=float) - shift
+            for side in (True, False):
+                part = values[flag == side]
+                known = (~np.isnan(part)).astype(float)
+                part = np.nan_to_num(part)
+                square = part * part
+                sums[side] += np.stack(
+                    [known.T @ known, part.T @ known, known.T @ part, square.T @ known, known.T @ square, part.T @ part]
+                )
+        for side, s in sums.items():
+            yield pd.DataFrame({IS_REAL: side, "i": i, "j": j, **{k: s[n][i, j] for n, k in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+
+    numbers = pair.tagged.select(IS_REAL, *[F.col(c).cast("double").alias(c) for c in cols])
+    kinds = f"{IS_REAL} boolean, i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    parts = numbers.mapInPandas(partial, kinds)
+    return parts.groupBy(IS_REAL, "i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+
+def corr_frobenius(pair: Pair, columns: list[str] | None = None, stats: PairStats | None = None) -> DataFrame:
     """Frobenius norm of the difference of the two matrices."""
-    matrix = corr_matrix(pair, columns)
+    matrix = corr_matrix(pair, columns, stats)
     signed = F.when(_real(), F.col("corr")).otherwise(-F.col("corr"))
     diff = matrix.groupBy("col_a", "col_b").agg(F.sum(signed).alias("d"))
     return diff.agg(F.sqrt(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0))).alias("frobenius"))
 
 
-def corr_similarity(pair: Pair, columns: list[str] | None = None) -> DataFrame:
+def corr_similarity(pair: Pair, columns: list[str] | None = None, stats: PairStats | None = None) -> DataFrame:
     """1 / (1 + Frobenius distance); 1 with fewer than two numeric columns."""
     if len(columns or pair.numeric) < 2:
         return one_row(pair.tagged, similarity=1.0)
-    return corr_frobenius(pair, columns).select((F.lit(1.0) / (F.lit(1.0) + F.col("frobenius"))).alias("similarity"))
+    return corr_frobenius(pair, columns, stats).select((F.lit(1.0) / (F.lit(1.0) + F.col("frobenius"))).alias("similarity"))
 
 
 # --------------------------------------------------------------------------

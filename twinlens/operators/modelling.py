@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -17,6 +21,7 @@ from twinlens.operators.profile import distinct_counts, long_values
 from twinlens.operators.sampling import fold_assign, sample_n, train_flag
 
 NO_UTILITY = {"baseline_accuracy": None, "tstr_accuracy": None, "trts_accuracy": None}
+LOG = logging.getLogger(__name__)
 WINDOW_LIMIT = 1_000_000
 INDEX_LIMIT = 1000
 HASH_CODES = 1 << 20
@@ -138,6 +143,7 @@ def utility_or_failed(pair: Pair, target: str, **options) -> dict[str, float | N
     try:
         return utility_scores(pair, target, **options)
     except Exception:
+        LOG.warning("utility failed", exc_info=True)
         return {**NO_UTILITY, "performance_drop": C.UTILITY_FAILED_DROP}
 
 
@@ -168,10 +174,15 @@ def attack_accuracy(
     folded = fold_assign(shaped, "label", row_id, [], seed=seed)
     ready = Pipeline(stages=stages).fit(folded).transform(folded).select("label", "features", "fold").persist()
     try:
-        scores = []
-        for fold in range(C.ATTACK_FOLDS):
+        def one(fold: int) -> float:
             attacker = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
-            scores.append(_accuracy(attacker.fit(ready.where(F.col("fold") != fold)), ready.where(F.col("fold") == fold)))
+            return _accuracy(attacker.fit(ready.where(F.col("fold") != fold)), ready.where(F.col("fold") == fold))
+
+        ready.count()
+        # The folds are independent jobs; Spark runs them side by side.
+        with ThreadPoolExecutor(C.ATTACK_FOLDS) as pool:
+            tasks = [pool.submit(inheritable_thread_target(ready.sparkSession)(one), fold) for fold in range(C.ATTACK_FOLDS)]
+            scores = [t.result() for t in tasks]
         return sum(scores) / len(scores)
     finally:
         ready.unpersist()
@@ -181,6 +192,7 @@ def attack_or_fallback(pair: Pair, **options) -> float:
     try:
         return attack_accuracy(pair, **options)
     except Exception:
+        LOG.warning("membership attack failed", exc_info=True)
         return C.ATTACK_FALLBACK
 
 

@@ -61,14 +61,15 @@ class Step:
 
 
 def _query_names(names: list[str]) -> list[Column]:
-    """The counting queries a cell belongs to: all rows, its value in each
-    column, and its value pair in each two columns."""
+    """The counting queries a cell belongs to: its value in each column, and its
+    value pair in each two columns."""
+
     def part(c: str) -> Column:
         return F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
 
     one = [part(c) for c in names]
     two = [F.concat_ws("&", part(a), part(b)) for i, a in enumerate(names) for b in names[i + 1 :]]
-    return [F.lit("all"), *one, *two]
+    return [*one, *two]
 
 
 def _weight(names: list[str], steps: list[Step]) -> Column:
@@ -97,27 +98,23 @@ def mwem(
     steps: list[Step] = []
     norms: list[float] = []
     for r in range(rounds):
-        answers = (
-            table.select("n", _weight(names, steps).alias("w"), F.explode(F.array(*_query_names(names))).alias("query"))
-            .groupBy("query")
-            .agg(F.sum("n").alias("true"), F.sum("w").alias("w"))
-        )
-        norm = answers.where(F.col("query") == "all").select("w")
-        estimate = F.col("w") / norm.scalar() * F.lit(total)
+        weight = _weight(names, steps)
+        norms.append(table.agg(F.sum(weight)).first()[0])
+        estimate = F.col("w") * F.lit(total / norms[-1])
         gumbel = -F.ln(-F.ln(uniform(seed, F.col("query"), f"pick{r}")))
         noise = laplace(seed, F.col("query"), f"measure{r}", 1.0 / share)
         picked = (
-            answers.where(F.col("query") != "all")
+            table.select("n", weight.alias("w"), F.explode(F.array(*_query_names(names))).alias("query"))
+            .groupBy("query")
+            .agg(F.sum("n").alias("true"), F.sum("w").alias("w"))
             .select(
                 "query",
                 (F.col("true") + noise - estimate).alias("gap"),
                 (F.lit(share / 2.0) * F.abs(F.col("true") - estimate) + gumbel).alias("score"),
-                norm.scalar().alias("norm"),
             )
             .orderBy(F.desc("score"), "query")
             .first()
         )
-        norms.append(picked["norm"])
         steps.append(Step(picked["query"], picked["gap"] / (2.0 * max(total, 1.0))))
     norms.append(table.agg(F.sum(_weight(names, steps))).first()[0])
     mean = F.lit(0.0)

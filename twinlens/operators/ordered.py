@@ -112,10 +112,11 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], rows_per_bu
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     m = len(probs)
     if m > 16 and all(abs(p - i / (m - 1)) < 1e-12 for i, p in enumerate(probs)):
-        # An even grid: only the few grid points near this value can match.
+        # An even grid: only the points between the rank before this value and
+        # the rank after it can match.
         per_rank = F.lit(float(m - 1)) / F.greatest(F.col("top"), F.lit(1.0))
-        start = F.greatest(F.floor(F.col("before_n") * per_rank).cast("int") - 1, F.lit(1))
-        length = F.ceil(F.col("n") * per_rank).cast("int") + F.lit(5)
+        start = F.greatest(F.floor((F.col("before_n") - 1) * per_rank).cast("int"), F.lit(1))
+        length = F.ceil((F.col("n") + 1) * per_rank).cast("int") + F.lit(5)
         wanted = F.slice(wanted, start, length)
 
     def covers(rank: Column) -> Column:

@@ -153,8 +153,8 @@ def linkability(pair: Pair, exclude: tuple[str, ...] = (), digest_text: bool = F
     rows = pair.tagged.dropna("any", subset=names).select(IS_REAL, *keys)
     both = (
         rows.groupBy(*names)
-        .agg(F.bool_or(F.col(IS_REAL)).alias("r"), F.bool_or(~F.col(IS_REAL)).alias("s"))
-        .where(F.col("r") & F.col("s"))
+        .agg(F.bool_or(F.col(IS_REAL)).alias("_in_real"), F.bool_or(~F.col(IS_REAL)).alias("_in_synth"))
+        .where(F.col("_in_real") & F.col("_in_synth"))
     )
     return both.agg(F.count(F.lit(1)).alias("exact_matches")).select(
         "exact_matches", (F.col("exact_matches") == 0).alias("is_compliant")

@@ -8,6 +8,7 @@ any; they are named for what they are.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -374,7 +375,7 @@ def pilot(df: DataFrame, ids: DataFrame, row_id: str, models: tuple[str, ...], s
             sample = synthesize(model, kept, m, ids, row_id, seed)
             found.append((model, pilot_score(kept, sample.drop(row_id)), sample))
         except Exception:
-            continue
+            logging.getLogger(__name__).warning("%s failed and is left out", model, exc_info=True)
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 

@@ -31,7 +31,7 @@ def metric_row(pair: Pair, exclude_ids: tuple[str, ...] = (), mmd: bool = False)
     cells = [
         fidelity.wasserstein_judge(pair, stats).scalar().alias("wasserstein"),
         fidelity.js_divergence(pair).scalar().alias("js_divergence"),
-        fidelity.corr_similarity(pair).scalar().alias("correlation_similarity"),
+        fidelity.corr_similarity(pair, stats=stats).scalar().alias("correlation_similarity"),
         fidelity.kl_divergence(pair).scalar().alias("kl_divergence"),
         privacy.linkability(pair, exclude_ids).select("exact_matches").scalar().alias("exact_matches"),
         privacy.k_anonymity(pair.synth, quasi_identifiers(pair.tagged)).scalar().alias("k_anonymity"),
