@@ -222,26 +222,34 @@ def corr_frobenius(spark, sf):
 
 MMD_FEATURES = 64
 MMD_COLUMNS = ("c_acctbal", "c_nationkey")
-_MMD_MOMENTS = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(MMD_COLUMNS))
-_MMD_ANGLE = " + ".join(
-    f"(({c} - m{i}) / s{i}) * sqrt(2.0::DOUBLE / {len(MMD_COLUMNS)}) * w{i}" for i, c in enumerate(MMD_COLUMNS)
-)
 
 
-@query(
-    "mmd_rbf",
-    f"""WITH src AS {CUSTOMERS}, mo AS (SELECT {_MMD_MOMENTS} FROM src),
-    om AS (SELECT range AS j, {", ".join(f"{sql_normal(42, 'range', f'w{i}')} AS w{i}" for i in range(len(MMD_COLUMNS)))} FROM range({MMD_FEATURES})),
-    a AS (SELECT is_real, j, {_MMD_ANGLE} AS t FROM src, mo, om),
+def sql_mmd(source: str, columns, features: int) -> str:
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(columns))
+    draws = ", ".join(f"{sql_normal(42, 'range', f'w{i}')} AS w{i}" for i in range(len(columns)))
+    angle = " + ".join(f"(({c} - m{i}) / s{i}) * sqrt(2.0::DOUBLE / {len(columns)}) * w{i}" for i, c in enumerate(columns))
+    return f"""WITH src AS {source}, mo AS (SELECT {moments} FROM src), om AS (SELECT range AS j, {draws} FROM range({features})),
+    a AS (SELECT is_real, j, {angle} AS t FROM src, mo, om),
     z AS (SELECT j, avg(CASE WHEN is_real THEN cos(t) END) - avg(CASE WHEN NOT is_real THEN cos(t) END) AS c,
                  avg(CASE WHEN is_real THEN sin(t) END) - avg(CASE WHEN NOT is_real THEN sin(t) END) AS s FROM a GROUP BY j)
-    SELECT round(sqrt(sum(c * c + s * s) / {MMD_FEATURES}), 6) AS mmd FROM z""",
-)
+    SELECT round(sqrt(sum(c * c + s * s) / {features}), 6) AS mmd FROM z"""
+
+
+@query("mmd_rbf", sql_mmd(CUSTOMERS, MMD_COLUMNS, MMD_FEATURES))
 def mmd_rbf(spark, sf):
     pair = customer_pair(spark, sf, *MMD_COLUMNS)
     return rounded(fidelity.mmd_features(pair, list(MMD_COLUMNS), MMD_FEATURES), 6, "mmd")
 
 
+LINE_MEASURES = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("mmd_rff", sql_mmd(LINES, LINE_MEASURES, 32))
+def mmd_rff(spark, sf):
+    pair = line_pair(spark, sf, *LINE_MEASURES)
+    return rounded(fidelity.mmd_features(pair, list(LINE_MEASURES), 32), 6, "mmd")
+
+
 KDE_SIDES = "SELECT is_real, c_acctbal::DOUBLE AS v FROM src"
 
 

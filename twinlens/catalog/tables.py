@@ -181,14 +181,25 @@ def column_profile(spark, sf):
     return profile.column_profile(table(spark, sf, "lineitem"))
 
 
+def _sql_target(name: str, numbers, strings) -> str:
+    def distinct(c: str) -> str:
+        return f"(SELECT count(DISTINCT {c}) FROM {name})"
+
+    cases = [f"WHEN {distinct(c)} = 2 THEN '{c}'" for c in numbers]
+    cases += [f"WHEN {distinct(c)} BETWEEN 3 AND 10 THEN '{c}'" for c in numbers]
+    cases += [f"WHEN {distinct(c)} < 10 THEN '{c}'" for c in strings]
+    return f"""SELECT '{name}' AS "table", CASE {' '.join(cases)} END AS target"""
+
+
 @query(
     "pick_target",
-    """SELECT * FROM (SELECT 'lineitem' AS "table",
-      CASE WHEN (SELECT count(DISTINCT l_discount) FROM lineitem) = 2 THEN 'l_discount'
-           WHEN (SELECT count(DISTINCT l_linenumber) FROM lineitem) BETWEEN 3 AND 10 THEN 'l_linenumber' END AS target
-    UNION ALL SELECT 'labels', CASE WHEN (SELECT count(DISTINCT quality) FROM labels) = 2 THEN 'quality' END
-    UNION ALL SELECT 'customer', CASE WHEN (SELECT count(DISTINCT c_nationkey) FROM customer) <= 10 THEN 'c_nationkey'
-           WHEN (SELECT count(DISTINCT c_mktsegment) FROM customer) < 10 THEN 'c_mktsegment' END)""",
+    " UNION ALL ".join(
+        (
+            _sql_target("lineitem", _ID_TABLES[1][1], ("l_returnflag", "l_linestatus")),
+            _sql_target("labels", ("doc_id", "quality", "toxic"), ()),
+            _sql_target("customer", ("c_custkey", "c_nationkey", "c_acctbal"), ("c_name", "c_mktsegment")),
+        )
+    ),
 )
 def pick_target(spark, sf):
     out = None

@@ -81,26 +81,34 @@ def _weight(names: list[str], steps: list[Step]) -> Column:
     return F.exp(total)
 
 
+def _log_odds(answer: float, total: float) -> float:
+    """Log odds of a query's share, at least half a row away from none and all."""
+    share = min(max(answer, 0.5), total - 0.5) / total
+    return math.log(share / (1.0 - share))
+
+
 def mwem(
     df: DataFrame, cells: dict[str, Column], epsilon: float = C.DEFAULT_EPSILON, rounds: int = 10, seed: int = C.DEFAULT_SEED
 ) -> DataFrame:
     """(cell columns, weight): a synthetic histogram whose total is the table's.
 
-    Half of each round's share of epsilon picks the query, half measures it; the
-    result is the mean of the rounds' histograms. The seed stands for the
-    mechanism's randomness and must stay secret. The row count itself is taken
-    as public.
+    Half of each round's share of epsilon picks the query, half measures it. The
+    weights of the query's cells are then moved until the histogram gives the
+    measured answer; repeating the small steps of the paper ends there, so the
+    end is taken at once. The seed stands for the mechanism's randomness and
+    must stay secret. The row count itself is taken as public.
     """
     names = list(cells)
     table = settle(domain_cells(cell_counts(df, cells), names))
     total = float(table.agg(F.sum("n")).first()[0] or 0.0)
+    if total < 2:
+        return table.select(*names, F.col("n").alias("weight"))
     share = epsilon / (2.0 * rounds)
     steps: list[Step] = []
-    norms: list[float] = []
     for r in range(rounds):
         weight = _weight(names, steps)
-        norms.append(table.agg(F.sum(weight)).first()[0])
-        estimate = F.col("w") * F.lit(total / norms[-1])
+        norm = table.agg(F.sum(weight)).first()[0]
+        estimate = F.col("w") * F.lit(total / norm)
         gumbel = -F.ln(-F.ln(uniform(seed, F.col("query"), f"pick{r}")))
         noise = laplace(seed, F.col("query"), f"measure{r}", 1.0 / share)
         picked = (
@@ -109,18 +117,17 @@ def mwem(
             .agg(F.sum("n").alias("true"), F.sum("w").alias("w"))
             .select(
                 "query",
-                (F.col("true") + noise - estimate).alias("gap"),
+                (F.col("true") + noise).alias("measured"),
+                estimate.alias("estimate"),
                 (F.lit(share / 2.0) * F.abs(F.col("true") - estimate) + gumbel).alias("score"),
             )
             .orderBy(F.desc("score"), "query")
             .first()
         )
-        steps.append(Step(picked["query"], picked["gap"] / (2.0 * max(total, 1.0))))
-    norms.append(table.agg(F.sum(_weight(names, steps))).first()[0])
-    mean = F.lit(0.0)
-    for r in range(1, rounds + 1):
-        mean = mean + _weight(names, steps[:r]) / F.lit(norms[r])
-    return table.select(*names, (mean / F.lit(float(rounds)) * F.lit(total)).alias("weight"))
+        steps.append(Step(picked["query"], _log_odds(picked["measured"], total) - _log_odds(picked["estimate"], total)))
+    weight = _weight(names, steps)
+    norm = table.agg(F.sum(weight)).first()[0]
+    return table.select(*names, (weight * F.lit(total / norm)).alias("weight"))
 
 
 def sample_histogram(histogram: DataFrame, names: list[str], ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED) -> DataFrame:
