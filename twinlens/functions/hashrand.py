@@ -63,10 +63,19 @@ def poisson(seed: int, row_id: Column, stream: str, lam: float, upper: int) -> C
 
 
 def step_index(u: Column, thresholds: Sequence[float]) -> Column:
-    """How many of the ascending thresholds lie at or below ``u``."""
-    out = F.lit(len(thresholds))
-    for j in range(len(thresholds) - 1, -1, -1):
-        out = F.when(u < F.lit(float(thresholds[j])), F.lit(j)).otherwise(out)
+    """How many of the ascending thresholds lie at or below ``u``.
+
+    Not a chain of branches, in which Spark would evaluate ``u`` with its digest
+    once per branch. Longer lists are one literal: unrolled, a few of them make
+    the generated method too long for the JVM to compile.
+    """
+    if len(thresholds) > 8:
+        edges = F.split(F.lit(",".join(repr(float(t)) for t in thresholds)), ",").cast("array<double>")
+        # The outer lambda binds ``u``, which the inner one would draw again per threshold.
+        return F.element_at(F.transform(F.array(u), lambda x: F.size(F.filter(edges, lambda t: t <= x))), 1)
+    out = F.lit(0)
+    for t in thresholds:
+        out = out + (u >= F.lit(float(t))).cast("int")
     return out
 
 

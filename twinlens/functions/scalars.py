@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from twinlens import constants as C
 
 
-def clip(col: Column, low, high) -> Column:
-    """Bound a value on both sides. ``greatest``/``least`` skip nulls, so the
-    null has to be kept by hand."""
+def clip(col: Column, low, high, present: Column | bool | None = None) -> Column:
+    """Bound a value on both sides.
+
+    ``greatest``/``least`` skip nulls, so the null has to be kept by hand.
+    ``present`` tells more cheaply than ``col`` itself where there is a value;
+    True means everywhere.
+    """
     low = low if isinstance(low, Column) else F.lit(low)
     high = high if isinstance(high, Column) else F.lit(high)
-    return F.when(col.isNotNull(), F.greatest(low, F.least(high, col)))
+    bounded = F.greatest(low, F.least(high, col))
+    if present is True:
+        return bounded
+    return F.when(col.isNotNull() if present is None else present, bounded)
 
 
 def market_regime(returns: Column) -> Column:

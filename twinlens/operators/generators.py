@@ -24,10 +24,10 @@ def healthcare_rows(ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED) ->
 
     rows = kind.select(
         row_id,
-        clip(H.normal(seed, rid, "age", prior(age_mean), prior(age_sd)), 18.0, 95.0).cast("int").alias("age"),
+        clip(H.normal(seed, rid, "age", prior(age_mean), prior(age_sd)), 18.0, 95.0, True).cast("int").alias("age"),
         F.when(H.uniform(seed, rid, "gender") < F.lit(C.MALE_SHARE), "Male").otherwise("Female").alias("gender"),
-        F.bround(clip(H.normal(seed, rid, "bmi", 27.5, 5.5), 15.0, 55.0), 1).alias("bmi"),
-        clip(H.normal(seed, rid, "bp", prior(bp_mean), 14.0), 85.0, 200.0).cast("int").alias("systolic_bp"),
+        F.bround(clip(H.normal(seed, rid, "bmi", 27.5, 5.5), 15.0, 55.0, True), 1).alias("bmi"),
+        clip(H.normal(seed, rid, "bp", prior(bp_mean), 14.0), 85.0, 200.0, True).cast("int").alias("systolic_bp"),
         H.bernoulli(seed, rid, "smoker", C.SMOKER_SHARE).alias("smoker"),
         H.pick(d, names).alias("diagnosis"),
         H.poisson(seed, rid, "meds", 3.5, 15).alias("num_medications"),
@@ -55,17 +55,17 @@ def finance_rows(ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED) -> Dat
     fraud = H.bernoulli(seed, rid, "fraud", C.FRAUD_SHARE)
     fraud_amount = F.lit(500.0) + F.lit(7500.0) * H.uniform(seed, rid, "fraud_amount")
     amount = F.least(H.lognormal(seed, rid, "amount", 4.0, 1.2), F.lit(5000.0))
-    hour = clip(H.normal(seed, rid, "hour", 13.0, 4.0), 0.0, 23.0).cast("int")
+    hour = clip(H.normal(seed, rid, "hour", 13.0, 4.0), 0.0, 23.0, True).cast("int")
     return ids.select(
         (rid.cast("bigint") + F.lit(100001)).alias("transaction_id"),
-        clip(H.normal(seed, rid, "age", 42.0, 14.0), 18.0, 85.0).cast("int").alias("customer_age"),
+        clip(H.normal(seed, rid, "age", 42.0, 14.0), 18.0, 85.0, True).cast("int").alias("customer_age"),
         H.choice(seed, rid, "type", types, shares).alias("transaction_type"),
         H.choice(seed, rid, "merchant", C.MERCHANTS).alias("merchant_category"),
         F.bround(F.when(fraud == 1, fraud_amount).otherwise(amount), 2).alias("amount"),
         F.when(fraud == 1, H.choice(seed, rid, "fraud_hour", C.FRAUD_HOURS)).otherwise(hour).alias("hour_of_day"),
         F.bround(H.lognormal(seed, rid, "balance", 8.5, 1.5), 2).alias("account_balance"),
         F.greatest(H.poisson(seed, rid, "tx", 3.0, 25), F.lit(1)).alias("num_tx_today"),
-        clip(H.normal(seed, rid, "score", 680.0, 80.0), 300.0, 850.0).cast("int").alias("credit_score"),
+        clip(H.normal(seed, rid, "score", 680.0, 80.0), 300.0, 850.0, True).cast("int").alias("credit_score"),
         H.bernoulli(seed, rid, "foreign", C.FOREIGN_SHARE).alias("foreign_transaction"),
         fraud.alias("is_fraud"),
     )

@@ -19,6 +19,7 @@ from twinlens.operators.ordered import ordered_row_number
 from twinlens.operators.pair import IS_REAL, Pair
 from twinlens.operators.profile import distinct_counts, long_values
 from twinlens.operators.sampling import fold_assign, sample_n, train_flag
+from twinlens.session import spread
 
 NO_UTILITY = {"baseline_accuracy": None, "tstr_accuracy": None, "trts_accuracy": None}
 LOG = logging.getLogger(__name__)
@@ -118,7 +119,8 @@ def utility_scores(pair: Pair, target: str, model: str = "forest", seed: int = C
     numbers = [c for c in inputs if c in shaped.columns]
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in shaped.columns if c != IS_REAL])
     flagged = _finite(shaped, numbers).withColumn("is_train", train_flag(row, seed=seed))
-    ready = Pipeline(stages=stages).fit(flagged).transform(flagged).select(IS_REAL, "is_train", "label", "features").persist()
+    shaped_rows = Pipeline(stages=stages).fit(flagged).transform(flagged)
+    ready = spread(shaped_rows.select(IS_REAL, "is_train", "label", "features")).persist()
     try:
         sizes = {r[IS_REAL]: r["n"] for r in ready.groupBy(IS_REAL).agg(F.count(F.lit(1)).alias("n")).collect()}
         if min(sizes.get(True, 0), sizes.get(False, 0)) < C.UTILITY_MIN_ROWS:
@@ -172,7 +174,7 @@ def attack_accuracy(
     shaped = _finite(shaped, [c for c in inputs if c in shaped.columns])
     row_id = F.concat_ws("|", *[F.col(c).cast("string") for c in shaped.columns])
     folded = fold_assign(shaped, "label", row_id, [], seed=seed)
-    ready = Pipeline(stages=stages).fit(folded).transform(folded).select("label", "features", "fold").persist()
+    ready = spread(Pipeline(stages=stages).fit(folded).transform(folded).select("label", "features", "fold")).persist()
     try:
         def one(fold: int) -> float:
             attacker = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
@@ -214,7 +216,7 @@ def feature_importance(df: DataFrame, target: str, seed: int = C.DEFAULT_SEED) -
     labelled, classes = _with_label(clean, target)
     if classes < 2:
         raise ValueError(f"{target} has one class only")
-    ready = VectorAssembler(inputCols=numbers, outputCol="features").transform(labelled).select("label", "features")
+    ready = spread(VectorAssembler(inputCols=numbers, outputCol="features").transform(labelled).select("label", "features"))
     model = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed).fit(ready)
     weights = [float(w) for w in model.featureImportances.toArray()]
     ranked = sorted(zip(numbers, weights), key=lambda x: (-x[1], x[0]))

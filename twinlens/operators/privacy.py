@@ -60,7 +60,7 @@ def laplace_noise(
         scale = width * share / epsilon
         low, high = limits[c]
         value = F.col(c).cast("double") + hashrand.laplace(seed, row_id, c, scale)
-        cells.append(clip(value, float(low) - scale, float(high) + scale).alias(c))
+        cells.append(clip(value, float(low) - scale, float(high) + scale, F.col(c).isNotNull()).alias(c))
     return df.select(*cells)
 
 
