@@ -72,12 +72,12 @@ def _query_names(names: list[str]) -> list[Column]:
     return [*one, *two]
 
 
-def _weight(names: list[str], steps: list[Step]) -> Column:
+def _weight(steps: list[Step]) -> Column:
     """Cell weight after the given updates: one flat sum, so rounds add a term
     to an expression and nothing to the lineage."""
     total = F.lit(0.0)
     for s in steps:
-        total = total + F.when(F.array_contains(F.array(*_query_names(names)), s.query), F.lit(s.delta)).otherwise(F.lit(0.0))
+        total = total + F.when(F.array_contains("_queries", s.query), F.lit(s.delta)).otherwise(F.lit(0.0))
     return F.exp(total)
 
 
@@ -99,20 +99,20 @@ def mwem(
     must stay secret. The row count itself is taken as public.
     """
     names = list(cells)
-    table = settle(domain_cells(cell_counts(df, cells), names))
+    table = settle(domain_cells(cell_counts(df, cells), names).withColumn("_queries", F.array(*_query_names(names))))
     total = float(table.agg(F.sum("n")).first()[0] or 0.0)
     if total < 2:
         return table.select(*names, F.col("n").alias("weight"))
     share = epsilon / (2.0 * rounds)
     steps: list[Step] = []
     for r in range(rounds):
-        weight = _weight(names, steps)
+        weight = _weight(steps)
         norm = table.agg(F.sum(weight)).first()[0]
         estimate = F.col("w") * F.lit(total / norm)
         gumbel = -F.ln(-F.ln(uniform(seed, F.col("query"), f"pick{r}")))
         noise = laplace(seed, F.col("query"), f"measure{r}", 1.0 / share)
         picked = (
-            table.select("n", weight.alias("w"), F.explode(F.array(*_query_names(names))).alias("query"))
+            table.select("n", weight.alias("w"), F.explode("_queries").alias("query"))
             .groupBy("query")
             .agg(F.sum("n").alias("true"), F.sum("w").alias("w"))
             .select(
@@ -125,7 +125,7 @@ def mwem(
             .first()
         )
         steps.append(Step(picked["query"], _log_odds(picked["measured"], total) - _log_odds(picked["estimate"], total)))
-    weight = _weight(names, steps)
+    weight = _weight(steps)
     norm = table.agg(F.sum(weight)).first()[0]
     return table.select(*names, (weight * F.lit(total / norm)).alias("weight"))
 

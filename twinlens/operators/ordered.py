@@ -167,17 +167,19 @@ def running_total(
     sliced = Bucketizer(
         inputCol="_axis", outputCol="_slice", splits=[-math.inf, *splits["_axis"], math.inf], handleInvalid="keep"
     ).transform(df.withColumn("_axis", axis))
-    chain = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # A struct of the keys joins null keys with each other.
+    sliced = sliced.withColumn("_key", F.struct(*keys))
+    chain = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        sliced.groupBy("_key", "_slice")
         .agg(F.sum(value).alias("_sum"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_sum").over(chain), F.lit(0.0)).alias("_offset"))
+        .select("_key", "_slice", F.coalesce(F.sum("_sum").over(chain), F.lit(0.0)).alias("_offset"))
     )
-    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sliced.join(offsets, [*keys, "_slice"])
+        sliced.join(offsets, ["_key", "_slice"])
         .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(local), F.lit(0.0)))
-        .drop("_axis", "_slice", "_offset")
+        .drop("_axis", "_slice", "_offset", "_key")
     )
 
 
@@ -192,18 +194,18 @@ def hash_row_number(df: DataFrame, groups: list[str], order: Column, tie: list[s
     Digests are uniform, so their first three hex digits make 4,096 even
     buckets; a group with most of the rows is ranked bucket by bucket.
     """
-    df = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
-    chain = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_key", F.struct(*groups))
+    chain = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*groups, "_b")
+        df.groupBy("_key", "_b")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*groups, "_b", F.coalesce(F.sum("_n").over(chain), F.lit(0)).alias("_before"))
+        .select("_key", "_b", F.coalesce(F.sum("_n").over(chain), F.lit(0)).alias("_before"))
     )
-    local = Window.partitionBy(*groups, "_b").orderBy("_h", *tie)
+    local = Window.partitionBy("_key", "_b").orderBy("_h", *tie)
     return (
-        df.join(offsets, [*groups, "_b"])
+        df.join(offsets, ["_key", "_b"])
         .withColumn(out, F.col("_before") + F.row_number().over(local))
-        .drop("_h", "_b", "_before")
+        .drop("_h", "_b", "_before", "_key")
     )
 
 
