@@ -155,14 +155,18 @@ def value_counts(pair: Pair, columns: list[str], cast: str) -> DataFrame:
 
 
 def with_shares(counts: DataFrame) -> DataFrame:
-    """Add p_real and p_synth. The totals (one row per column) come from the
-    same shuffled counts, which Spark reuses."""
+    """Add p_real and p_synth.
+
+    The totals come from the same shuffled counts, which Spark reuses. They are
+    one row per table column, whatever the data, so they are broadcast: a join
+    shuffled on the column name would put all values of a column in one task.
+    """
     totals = counts.groupBy("column").agg(F.sum("n_real").alias("t_real"), F.sum("n_synth").alias("t_synth"))
 
     def share(n: str, t: str) -> Column:
         return F.coalesce(F.try_divide(F.col(n).cast("double"), F.col(t).cast("double")), F.lit(0.0))
 
-    return counts.join(totals, "column").select(
+    return counts.join(F.broadcast(totals), "column").select(
         "column",
         "value",
         "n_real",
@@ -176,7 +180,7 @@ def value_freq(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, freq): shares among the non-null values."""
     counts = long_values(df, columns, cast="string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("t"))
-    return counts.join(totals, "column").select(
+    return counts.join(F.broadcast(totals), "column").select(
         "column", "value", (F.col("n").cast("double") / F.col("t").cast("double")).alias("freq")
     )
 
