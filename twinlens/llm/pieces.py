@@ -7,8 +7,9 @@ way to reach it is a maximum over piece lengths, whose argument is the backpoint
 
 The result is the segmentation with the greatest sum of the model's piece scores
 (the unigram objective; of equal sums the one whose last piece is longest). A model
-file trained as BPE gives its pieces and scores all the same; its ids then are those
-of the library told to take the file as a unigram model, not those of BPE merges.
+file trained as BPE gives its pieces and scores all the same; the segmentation then is
+the first of the library's n-best search over the file taken as a unigram model, not
+that of BPE merges.
 
 Only models that leave characters as they are (no normalisation but the space
 mark) are taken.
