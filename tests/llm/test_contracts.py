@@ -85,7 +85,7 @@ def by_brute_force(fps):
     return {i: root(i) for i in ids}
 
 
-def test_simhash(spark, sf, docs):
+def test_simhash_components(spark, sf, docs):
     got = Q.op9_simhash_components(spark, sf).toPandas().set_index("doc_id")
     fps = {i: fingerprint(t) for i, t in zip(docs["doc_id"], docs["text"], strict=True)}
     assert got["fingerprint"].to_dict() == {i: f"{f:016x}" for i, f in fps.items()}

@@ -30,15 +30,17 @@ BITS = 64
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+#: Least hashes of a text that stand for all of them.
+SKETCH = 64
 #: A candidate costs so much of what a probed row costs.
 CANDIDATE_COST = 0.2
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """Of the lower-cased (A-Z) text's word shingles; 0 without a word."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Of the lower-cased (A-Z) text's word shingles, repeats included; of the whole sequence if it is shorter."""
     raw = b" ".join((text or "").encode().lower().split())
     if not raw:
-        return 0
+        return np.zeros(0, "<u8")
     space = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     start, end = np.append(0, space + 1), np.append(space, len(raw))
     if len(start) >= words:
@@ -46,23 +48,36 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     else:
         start, end = start[:1], end[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], "<u8")
+    return np.array([digest(raw[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)], "<u8")
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; 0 without a hash."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the ``keep`` columns, fp) of every row; fp is a signed long. A null text has no word."""
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The ``SKETCH`` least of the distinct hashes, cut to 32 bits: two of them tell how many shingles texts share."""
+    return (np.unique(h)[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = (), sketches: bool = False) -> DataFrame:
+    """(doc_id, the ``keep`` columns, fp and, if wanted, sketch) of every row; fp is a
+    signed long. A null text has no word."""
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", *keep, "fp", *(["sketch"] if sketches else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            fp = np.array([fingerprint(t, words) for t in column(block, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in ("doc_id", *keep)], pa.array(fp, pa.int64())], names=["doc_id", *keep, "fp"])
+            hashes = [shingle_hashes(t, words) for t in column(block, "text")]
+            fp = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+            made = [pa.array(fp, pa.int64())] + ([pa.array([sketch(h) for h in hashes], pa.list_(pa.int32()))] if sketches else [])
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in ("doc_id", *keep)], *made], names=names)
 
-    return rows.mapInArrow(run, f"{ddl(rows.drop('text'))}, fp long")
+    return rows.mapInArrow(run, f"{ddl(rows.drop('text'))}, fp long" + (", sketch array<int>" if sketches else ""))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -174,35 +189,70 @@ def _keys(part: int, value: Column, flips: Column) -> Column:
     return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(f).alias("key")))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, apart: str | None = None) -> DataFrame:
     """(u, v) of all pairs of distinct values of ``fp`` that differ in at most
-    ``distance`` bits; ``fps`` holds each value once."""
+    ``distance`` bits; ``fps`` holds each value once. With ``apart``, only pairs that
+    differ in that column as well, which comes along as u_apart and v_apart."""
     chosen = plan(fps, distance)
 
-    def side(query: bool) -> DataFrame:
+    def side(name: str, query: bool) -> DataFrame:
         entries = []
         for k, (bits, t) in enumerate(chosen):
-            radius = t - t // 2 if query else t // 2
             value = F.col("fp").bitwiseAND(F.lit(masked(bits)))
-            entries.append(_keys(k, value, _flips(bits, radius)))
-        return fps.select(F.col("fp").alias("u" if query else "v"), F.explode(F.concat(*entries)).alias("e")).select("u" if query else "v", "e.part", "e.key")
+            entries.append(_keys(k, value, _flips(bits, t - t // 2 if query else t // 2)))
+        own = [F.col("fp").alias(name), *([F.col(apart).alias(f"{name}_apart")] if apart else [])]
+        rows = fps.select(*own, F.explode(F.concat(*entries)).alias("e"))
+        return rows.select(*[c for c in rows.columns if c != "e"], "e.part", "e.key")
 
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-    q, d = side(True), side(False)
-    return q.join(d, (q["part"] == d["part"]) & (q["key"] == d["key"]) & near).select("u", "v").distinct()
+    if apart:
+        near = near & (F.col("u_apart") != F.col("v_apart"))
+    q, d = side("u", True), side("v", False)
+    met = q.join(d, (q["part"] == d["part"]) & (q["key"] == d["key"]) & near)
+    return met.drop("part", "key").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+def similarity(a: Column, b: Column) -> Column:
+    """Share of common shingles, from two sketches; exact if both texts have no more than ``SKETCH``."""
+    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
+
+
+def _least(labelled: DataFrame, fps: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Rows with their component and its least id."""
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = labelled.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(known, "fp").select("doc_id", *keep, "fp", "component", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = SHINGLE,
+    keep: tuple[str, ...] = (), wide: int | None = None, least_similarity: float = 0.8,
+) -> DataFrame:
     """(doc_id, the ``keep`` columns, fp, component, component_id) of every row:
     component_id is the smallest doc_id (nulls aside) that can be reached over links of
     at most ``distance`` bits, component the smallest fingerprint.
 
+    With ``wide``, components are then joined over pairs of up to so many bits whose
+    sketches show ``least_similarity`` (less one standard error of the sketch). Pairs
+    within one component add nothing and are left out in the join itself, so a large
+    group of near copies isn't expanded into its pairs.
+
     Equal fingerprints are one node, so copies are never paired. Null, empty and blank
     texts have fingerprint zero and are linked like any other. Rows alike stay rows."""
-    fps = settle(fingerprints(docs, id_col, text_col, words, keep))
-    groups = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = settle(fingerprints(docs, id_col, text_col, words, keep, sketches=wide is not None))
+    first = F.min("sketch").alias("sketch") if wide is not None else F.lit(None).alias("sketch")
+    groups = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), first))
     linked = components(links(groups.select("fp"), distance)).select(F.col("node").alias("fp"), "component")
-    labelled = groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = labelled.join(least, "component").select("fp", "component", "component_id")
-    return fps.join(known, "fp").select("doc_id", *keep, "fp", "component", "component_id")
+    labelled = groups.join(linked, "fp", "left").select("fp", "least", "sketch", F.coalesce("component", "fp").alias("component"))
+    if wide is None:
+        return _least(labelled, fps, keep)
+    labelled = settle(labelled)
+    pairs = links(labelled.select("fp", "component"), wide, apart="component")
+    own = labelled.select("fp", "sketch")
+    both = pairs.join(own.toDF("u", "u_sketch"), "u").join(own.toDF("v", "v_sketch"), "v")
+    error = (least_similarity * (1 - least_similarity) / SKETCH) ** 0.5
+    sure = both.where(similarity(F.col("u_sketch"), F.col("v_sketch")) >= least_similarity - error)
+    merged = components(sure.select(F.col("u_apart").alias("u"), F.col("v_apart").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+    labelled = labelled.join(merged, "component", "left").select("fp", "least", F.coalesce("larger", "component").alias("component"))
+    return _least(labelled, fps, keep)
