@@ -107,7 +107,6 @@ def test_mmd_forms_agree_with_brute_force(spark):
         return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(v)], "i int, a double, b double")
 
     pair = Pair.of(frame(x), frame(y))
-    assert value(fidelity.mmd_heads(pair, "i", ["a", "b"], rows=50)) == pytest.approx(rbf_mmd(x[:50], y[:50]))
     both = np.vstack([x, y])
     mean, sd = both.mean(0), both.std(0, ddof=1)
     exact = rbf_mmd((x - mean) / sd, (y - mean) / sd)

@@ -91,3 +91,47 @@ def test_loop_falls_back_on_tiny_input(spark):
     tiny = healthcare_rows(spark.range(2), "id")
     out = loop.run(spark, loop.Request(rows=200, max_rounds=1, attack_trees=5), tiny)
     assert out.model_selection == "Fallback" and out.synth.count() == 2
+
+
+def separable(spark, values, name="s"):
+    rng = np.random.default_rng(11)
+    rows = [(float(x), f"v{i % values}") for i, x in enumerate(rng.normal(0, 1, 400))]
+    df = spark.createDataFrame(rows, f"x double, {name} string")
+    return df, df.withColumn("x", F.col("x") + 50)
+
+
+@pytest.mark.parametrize("values", [40, 400])
+def test_attack_sees_through_pairs_with_many_texts(spark, values):
+    pair = Pair.of(*separable(spark, values))
+    assert modelling.attack_accuracy(pair, trees=10) > 0.98
+    assert modelling.utility_or_failed(Pair.of(*separable(spark, values, "fold")), "fold")["performance_drop"] is not None
+
+
+def test_attack_that_fails_is_no_safe_table(spark, monkeypatch):
+    def broken(*args, **options):
+        raise ValueError("no fit")
+
+    from twinlens.plans import scorecard
+
+    monkeypatch.setattr(modelling, "attack_accuracy", broken)
+    real, synth = separable(spark, 5)
+    assert modelling.attack_or_failed(Pair.of(real, synth)) is None
+    got = scorecard.judge(scorecard.evaluate(real, synth)).first()
+    assert got["mia_risk_score"] is None and got["decision"] == "Error"
+
+
+@pytest.mark.parametrize("target", ["label", "features", "fold", "is_train", "prediction"])
+def test_target_may_be_called_anything(spark, target):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(float(v), int(v > 0)) for v in rng.normal(0, 1, 300)], f"x double, {target} int")
+    assert modelling.utility_scores(Pair.split(df, F.md5(F.col("x").cast("string")) < "8"), target)["baseline_accuracy"] > 0.9
+
+
+def test_empty_parts_and_wide_keys(spark):
+    from twinlens.operators import fidelity
+
+    texts = Pair.of(spark.createDataFrame([("a",)], "s string"), spark.createDataFrame([("b",)], "s string"))
+    assert fidelity.wasserstein_by_column(texts).count() == 0
+    assert modelling.label_encode(texts.tagged, []).count() == 0
+    keys = Pair.of(spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([((1 << 53) + 1,)], "k long"))
+    assert keys.synth.first()["k"] == (1 << 53) + 1

@@ -190,7 +190,7 @@ def utility_tstr(spark, sf):
 @query("mia_attack")
 def mia_attack(spark, sf):
     pairs = (("halves", customer_pair(spark, sf)), ("noised", noised_customer_pair(spark, sf)))
-    rows = [(name, modelling.attack_or_fallback(pair)) for name, pair in pairs]
+    rows = [(name, modelling.attack_or_failed(pair)) for name, pair in pairs]
     return spark.createDataFrame(rows, "pair string, accuracy double")
 
 

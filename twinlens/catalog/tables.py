@@ -215,15 +215,21 @@ def pick_target(spark, sf):
 @query(
     "market_regime",
     """SELECT event_id, CASE WHEN r > 0.01 THEN 'Bull' WHEN r < -0.01 THEN 'Bear' ELSE 'Volatile' END AS market_regime FROM (
-    SELECT event_id, (value - lag(value) OVER w) / nullif(lag(value) OVER w, 0) AS r FROM events WINDOW w AS (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id))""",
+    SELECT event_id, (value - lag(value) OVER w) / nullif(lag(value) OVER w, 0) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""",
 )
 def market_regime(spark, sf):
-    """Returns within one user's hour, so a busy user is many small windows."""
+    """Returns along a user's events. Windows are a user's hours, so a busy user is many
+    small ones; the last value of each hour is carried into the user's next hour."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
-    before = F.lag("value").over(w)
-    returns = table(spark, sf, "events").select("event_id", F.try_divide(F.col("value") - before, before).alias("returns"))
+    events = table(spark, sf, "events", "event_id", "user_id", "ts", "value").withColumn("hour", F.date_trunc("hour", "ts"))
+    last = events.groupBy("user_id", "hour").agg(F.max_by(F.struct("value"), F.struct("ts", "event_id")).alias("last"))
+    carried = last.select("user_id", "hour", F.lag("last").over(Window.partitionBy("user_id").orderBy("hour")).alias("carried"))
+    w = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id")
+    placed = events.select("*", F.lag(F.struct("value")).over(w).alias("own"))
+    same = placed["user_id"].eqNullSafe(carried["user_id"]) & placed["hour"].eqNullSafe(carried["hour"])
+    before = F.coalesce(F.col("own"), F.col("carried"))["value"]
+    returns = placed.join(carried, same).select("event_id", F.try_divide(F.col("value") - before, before).alias("returns"))
     return returns.select("event_id", scalars.market_regime(F.col("returns")).alias("market_regime"))
 
 

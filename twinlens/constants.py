@@ -54,7 +54,6 @@ QUANTILE_POINTS = 1000
 # Requests.
 DEFAULT_ROWS = 500
 MIN_COLD_START_ROWS = 200
-MAX_AUGMENT_ROWS = 1000
 GOAL_LENGTH = 100
 
 # Seed history of the model recommender.

@@ -133,6 +133,8 @@ def wasserstein_by_column(pair: Pair, rows_per_bucket: int = ROWS_PER_BUCKET) ->
     if scales:
         parts.append(_scaled_columns(pair, scales, stats, rows_per_bucket))
     parts += [one_row(pair.tagged, column=c, wasserstein=0.0) for c in short]
+    if not parts:
+        return pair.tagged.sparkSession.createDataFrame([], "column string, wasserstein double, band string")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -226,6 +228,12 @@ def _kl_terms(counts: DataFrame) -> DataFrame:
     return sums.select("column", (F.col("x") / F.col("s") - F.ln(F.col("s") / F.col("t"))).alias("kl"))
 
 
+def _bin(value: Column, low: float, span: float, bins: int) -> Column:
+    """Number of the step; the greatest real value is in the last one, as in a histogram."""
+    step = F.floor((value - F.lit(low)) * F.lit(bins / span))
+    return F.when(value == F.lit(low + span), F.lit(bins - 1)).otherwise(step)
+
+
 def kl_by_column(pair: Pair, columns: list[str] | None = None, bins: int | None = None) -> DataFrame:
     """KL(real || synthetic) of each column.
 
@@ -244,16 +252,15 @@ def kl_by_column(pair: Pair, columns: list[str] | None = None, bins: int | None
         binned = pair.tagged.select(
             IS_REAL,
             *[
-                F.floor(
-                    (F.col(c) - F.lit(stats.side(c, True).low or 0.0))
-                    * F.lit(bins / (stats.side(c, True).span or 1.0))
-                ).alias(c)
+                _bin(F.col(c), stats.side(c, True).low or 0.0, stats.side(c, True).span or 1.0, bins).alias(c)
                 for c in numbers
             ],
         )
         parts.append(_kl_terms(value_counts(Pair(binned), numbers, "double")))
     elif numbers:
         parts.append(_kl_terms(value_counts(pair, numbers, "double")))
+    if not parts:
+        return pair.tagged.sparkSession.createDataFrame([], "column string, kl double")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -464,41 +471,6 @@ def mmd_features(pair: Pair, columns: list[str] | None = None, features: int = 2
     return means.agg(F.coalesce(F.sqrt(F.sum(gap * gap) / F.lit(float(features))), F.lit(0.0)).alias("mmd"))
 
 
-def mmd_heads(pair: Pair, row_id: str, columns: list[str], rows: int = 500, scale: bool = False) -> DataFrame:
-    """The published small-sample form: biased RBF MMD of the first ``rows`` rows
-    of each side by ``row_id``, diagonal included. The heads are at most
-    2 x ``rows`` vectors, gathered into one row and compared there."""
-    cols = [c for c in columns if c != row_id]
-    d = len(cols)
-    if scale:
-        mean, sd = pooled_moments(pair, cols)
-    else:
-        mean, sd = np.zeros(d), np.ones(d)
-    point = F.array(*[(F.col(c).cast("double") - F.lit(float(mean[i]))) / F.lit(float(sd[i])) for i, c in enumerate(cols)])
-
-    def head(real: bool) -> DataFrame:
-        first = pair.tagged.where(_real() if real else ~_real()).dropna(subset=cols).orderBy(row_id).limit(rows)
-        finite = F.forall("p", lambda x: F.abs(x) < F.lit(math.inf))
-        return first.select(point.alias("p")).where(finite).agg(F.collect_list("p").alias("points"))
-
-    both = pair.tagged.sparkSession.range(1).select(head(True).scalar().alias("x"), head(False).scalar().alias("y"))
-
-    def kernel(a: Column, b: Column) -> Column:
-        dist = F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, t: s + t)
-        return F.exp(-dist / F.lit(float(d)))
-
-    def mean_kernel(left: str, right: str) -> Column:
-        total = F.aggregate(
-            F.col(left),
-            F.lit(0.0),
-            lambda s, a: s + F.aggregate(F.col(right), F.lit(0.0), lambda t, b: t + kernel(a, b)),
-        )
-        return F.try_divide(total, (F.size(left) * F.size(right)).cast("double"))
-
-    squared = mean_kernel("x", "x") + mean_kernel("y", "y") - F.lit(2.0) * mean_kernel("x", "y")
-    return both.select(F.coalesce(F.sqrt(F.greatest(squared, F.lit(0.0))), F.lit(0.0)).alias("mmd"))
-
-
 # --------------------------------------------------------------------------
 # Densities
 

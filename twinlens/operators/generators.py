@@ -95,5 +95,5 @@ def augment(df: DataFrame, extra: DataFrame) -> DataFrame:
 
 def augment_seed(df: DataFrame, domain: str, rows: int, seed: int, iteration: int) -> DataFrame:
     """More generated rows for another round, with a seed of their own."""
-    extra = generate(df.sparkSession, domain, min(2 * rows, C.MAX_AUGMENT_ROWS), seed + iteration)
+    extra = generate(df.sparkSession, domain, 2 * rows, seed + iteration)
     return augment(df, extra)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens import constants as C
@@ -24,8 +25,11 @@ from twinlens.session import spread
 NO_UTILITY = {"baseline_accuracy": None, "tstr_accuracy": None, "trts_accuracy": None}
 LOG = logging.getLogger(__name__)
 WINDOW_LIMIT = 1_000_000
-INDEX_LIMIT = 1000
+#: A classifier needs a tree's leaf for each class; a target with more values is none.
+CLASS_LIMIT = 1000
 HASH_CODES = 1 << 20
+#: What a fit raises on tables it can't learn from; other errors are faults and pass through.
+FAILURES = (Py4JJavaError, PySparkException, ValueError)
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,6 +38,8 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     Distinct values come first. Up to a million are ranked in a window per
     column; beyond, each column is ranked over range partitions.
     """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, code long")
     _, counts = distinct_counts(df, columns)
     values = long_values(df, columns, cast="string").distinct()
     small = [c for c in columns if counts[c][1] <= WINDOW_LIMIT]
@@ -51,27 +57,19 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def _features(df: DataFrame, drop: tuple[str, ...]) -> tuple[DataFrame, list[str], list]:
-    """Numeric feature columns and the stages that build them. Strings with few
-    values get sorted codes; longer ones a hash code, so that no dictionary of
-    unbounded size is gathered."""
-    numbers = [c for c in numeric_columns(df) if c not in drop]
-    strings = [c for c in string_columns(df) if c not in drop]
-    _, counts = distinct_counts(df, strings) if strings else (0, {})
-    few = [c for c in strings if counts[c][1] <= INDEX_LIMIT]
-    many = [c for c in strings if c not in few]
-    out = df.select(
-        *[c for c in df.columns if c not in numbers and c not in many],
-        *[F.col(c).cast("double").alias(c) for c in numbers],
-        *[F.pmod(F.xxhash64(c), F.lit(HASH_CODES)).cast("double").alias(f"{c}_code") for c in many],
-    )
-    stages, inputs = [], [*numbers, *[f"{c}_code" for c in many]]
-    if few:
-        codes = [f"{c}_code" for c in few]
-        stages.append(StringIndexer(inputCols=few, outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"))
-        inputs += codes
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"))
-    return out, inputs, stages
+def _plain(df: DataFrame, names: list[str], **keep) -> tuple[DataFrame, list[str]]:
+    """Feature columns under names of their own (x0, x1, ...), beside the ``keep``
+    columns, so a user's column may be called anything. A string is two numbers, its
+    digests under two seeds: one encoding whatever the number of values, with no
+    dictionary, and a tree can set any value apart in one of the two orders."""
+    numbers = [c for c in numeric_columns(df) if c in names]
+    strings = [c for c in string_columns(df) if c in names]
+    inputs = [F.col(c).cast("double") for c in numbers]
+    inputs += [F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(HASH_CODES)).cast("double") for c in strings for seed in (1, 2)]
+    if not inputs:
+        raise ValueError("no feature column")
+    x = [f"x{i}" for i in range(len(inputs))]
+    return df.select(*[col.alias(name) for name, col in keep.items()], *[col.alias(name) for name, col in zip(x, inputs, strict=True)]), x
 
 
 def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,17 +78,16 @@ def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def _with_label(df: DataFrame, target: str) -> tuple[DataFrame, int]:
-    """Add ``label``: the sorted code of the target over both sides."""
-    classes = [r[0] for r in df.select(F.col(target).cast("string")).distinct().limit(INDEX_LIMIT + 1).collect()]
-    if len(classes) > INDEX_LIMIT:
-        raise ValueError(f"{target} has more than {INDEX_LIMIT} classes")
+def _label(df: DataFrame, target: str) -> tuple[Column, int]:
+    """The sorted code of the target's value over both sides, and the number of classes."""
+    classes = [r[0] for r in df.select(F.col(target).cast("string")).distinct().limit(CLASS_LIMIT + 1).collect()]
+    if len(classes) > CLASS_LIMIT:
+        raise ValueError(f"{target} has more than {CLASS_LIMIT} classes: no target of a classifier")
     numeric = target in numeric_columns(df)
-    ordered = sorted(classes, key=(float if numeric else str))
-    label = F.lit(None).cast("double")
-    for i, value in enumerate(ordered):
-        label = F.when(F.col(target).cast("string") == F.lit(value), F.lit(float(i))).otherwise(label)
-    return df.withColumn("label", label), len(ordered)
+    ordered = sorted((c for c in classes if c is not None), key=(float if numeric else str))
+    codes = F.array(*[F.lit(c) for c in ordered]) if ordered else F.array().cast("array<string>")
+    position = F.array_position(codes, F.col(target).cast("string"))
+    return F.when(position > 0, (position - 1).cast("double")), len(ordered)
 
 
 def _classifier(classes: int, model: str, seed: int):
@@ -114,18 +111,16 @@ def utility_scores(pair: Pair, target: str, model: str = "forest", seed: int = C
     if target not in pair.columns:
         return {**NO_UTILITY, "performance_drop": 0.0}
     whole = pair.tagged.dropna("any")
-    labelled, classes = _with_label(whole, target)
-    shaped, inputs, stages = _features(labelled.drop(target), (IS_REAL, "label"))
-    numbers = [c for c in inputs if c in shaped.columns]
-    row = F.concat_ws("|", *[F.col(c).cast("string") for c in shaped.columns if c != IS_REAL])
-    flagged = _finite(shaped, numbers).withColumn("is_train", train_flag(row, seed=seed))
-    shaped_rows = Pipeline(stages=stages).fit(flagged).transform(flagged)
-    ready = spread(shaped_rows.select(IS_REAL, "is_train", "label", "features")).persist()
+    label, classes = _label(whole, target)
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in whole.columns if c != IS_REAL])
+    shaped, x = _plain(whole, [c for c in pair.columns if c != target], is_real=F.col(IS_REAL), label=label, is_train=train_flag(row, seed=seed))
+    assembled = VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(_finite(shaped, x))
+    ready = spread(assembled.select("is_real", "is_train", "label", "features")).persist()
     try:
-        sizes = {r[IS_REAL]: r["n"] for r in ready.groupBy(IS_REAL).agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {r["is_real"]: r["n"] for r in ready.groupBy("is_real").agg(F.count(F.lit(1)).alias("n")).collect()}
         if min(sizes.get(True, 0), sizes.get(False, 0)) < C.UTILITY_MIN_ROWS:
             return {**NO_UTILITY, "performance_drop": 0.0}
-        real, synth = ready.where(F.col(IS_REAL)), ready.where(~F.col(IS_REAL))
+        real, synth = ready.where(F.col("is_real")), ready.where(~F.col("is_real"))
         test = real.where(~F.col("is_train"))
         on_real = _classifier(classes, model, seed).fit(real.where(F.col("is_train")))
         on_synth = _classifier(classes, model, seed).fit(synth)
@@ -144,7 +139,7 @@ def utility_or_failed(pair: Pair, target: str, **options) -> dict[str, float | N
     """As ``utility_scores``; a model that cannot be fitted counts as a full drop."""
     try:
         return utility_scores(pair, target, **options)
-    except Exception:
+    except FAILURES:
         LOG.warning("utility failed", exc_info=True)
         return {**NO_UTILITY, "performance_drop": C.UTILITY_FAILED_DROP}
 
@@ -169,12 +164,11 @@ def attack_accuracy(
         part = filled.where(F.col(IS_REAL) == F.lit(real))
         return part if sizes[real] <= n else sample_n(part, n, row, names, seed)
 
-    members = side(True).unionByName(side(False)).withColumn("label", F.col(IS_REAL).cast("double")).drop(IS_REAL)
-    shaped, inputs, stages = _features(members, ("label",))
-    shaped = _finite(shaped, [c for c in inputs if c in shaped.columns])
+    shaped, x = _plain(side(True).unionByName(side(False)), names, label=F.col(IS_REAL).cast("double"))
+    shaped = _finite(shaped, x)
     row_id = F.concat_ws("|", *[F.col(c).cast("string") for c in shaped.columns])
     folded = fold_assign(shaped, "label", row_id, [], seed=seed)
-    ready = spread(Pipeline(stages=stages).fit(folded).transform(folded).select("label", "features", "fold")).persist()
+    ready = spread(VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(folded).select("label", "features", "fold")).persist()
     try:
         def one(fold: int) -> float:
             attacker = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
@@ -190,12 +184,14 @@ def attack_accuracy(
         ready.unpersist()
 
 
-def attack_or_fallback(pair: Pair, **options) -> float:
+def attack_or_failed(pair: Pair, **options) -> float | None:
+    """As ``attack_accuracy``; an attack that cannot be run is null, which the judge
+    takes as missing data. It never counts as a safe table."""
     try:
         return attack_accuracy(pair, **options)
-    except Exception:
+    except FAILURES:
         LOG.warning("membership attack failed", exc_info=True)
-        return C.ATTACK_FALLBACK
+        return None
 
 
 def feature_importance(df: DataFrame, target: str, seed: int = C.DEFAULT_SEED) -> DataFrame:
@@ -213,10 +209,11 @@ def feature_importance(df: DataFrame, target: str, seed: int = C.DEFAULT_SEED) -
         whole = clean.schema[target].dataType.typeName() not in ("double", "float")
         if not whole or distinct_counts(clean, [target], small=True)[1][target][1] > 10:
             clean = binarise_target(clean, target, target)
-    labelled, classes = _with_label(clean, target)
+    label, classes = _label(clean, target)
     if classes < 2:
         raise ValueError(f"{target} has one class only")
-    ready = spread(VectorAssembler(inputCols=numbers, outputCol="features").transform(labelled).select("label", "features"))
+    shaped, x = _plain(clean, numbers, label=label)
+    ready = spread(VectorAssembler(inputCols=x, outputCol="features").transform(shaped).select("label", "features"))
     model = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed).fit(ready)
     weights = [float(w) for w in model.featureImportances.toArray()]
     ranked = sorted(zip(numbers, weights), key=lambda x: (-x[1], x[0]))

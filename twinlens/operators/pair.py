@@ -27,8 +27,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def _common_type(a: T.DataType, b: T.DataType) -> str | None:
+    """What two types meet in; whole numbers stay whole, as keys above 2^53 must."""
     if a == b:
         return None
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return "bigint"
     return "double" if is_numeric(a) and is_numeric(b) else "string"
 
 

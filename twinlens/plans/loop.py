@@ -73,19 +73,19 @@ def propose(real: DataFrame, request: Request, rows: int, seed: int) -> tuple[Da
     return keyed, f"Ensemble({m1}+{m2})", scores, {m1: w1, m2: 1.0 - w1}
 
 
-def judge_pair(real: DataFrame, synth: DataFrame, request: Request, iteration: int) -> DataFrame:
-    """Judged flat scorecard row of one round."""
+def judge_pair(real: DataFrame, synth: DataFrame, request: Request, iteration: int, epsilon: float) -> DataFrame:
+    """Judged flat scorecard row of one round, with the epsilon that its proof states."""
     pair = Pair.of(real, synth)
     target = pick_target(pair.real)
     use = modelling.utility_or_failed(pair, target) if target else {**modelling.NO_UTILITY, "performance_drop": 0.0}
-    attack = modelling.attack_or_fallback(pair, trees=request.attack_trees)
+    attack = modelling.attack_or_failed(pair, trees=request.attack_trees)
     row = S.metric_row(pair, mmd=True).select(
         "*",
         *[F.lit(use[k]).cast("double").alias(k) for k in S.UTILITY],
-        F.lit(attack).alias("mia_risk_score"),
+        F.lit(attack).cast("double").alias("mia_risk_score"),
         F.lit(iteration).alias("iteration"),
         F.lit(request.domain).alias("domain"),
-        F.lit(request.epsilon * max(iteration, 1) ** 0.5).alias("epsilon"),
+        F.lit(epsilon).alias("epsilon"),
     )
     return S.next_step(S.judge(S.with_compliance(row)))
 
@@ -106,7 +106,7 @@ def run(spark: SparkSession, request: Request, real: DataFrame | None = None) ->
         out.synth = settle(safe.drop(ROW_ID))
         out.trace.append(f"privacy: {status}")
         out.iteration += 1
-        out.scorecard = settle(judge_pair(out.real, out.synth, request, out.iteration))
+        out.scorecard = settle(judge_pair(out.real, out.synth, request, out.iteration, out.proof["epsilon"]))
         verdict = out.scorecard.first()
         out.decision, out.note = verdict["decision"], verdict["note"]
         out.trace.append(f"judge: {out.decision} ({out.note})")

@@ -54,11 +54,11 @@ def evaluate(
 
     pair = Pair.of(real, synth)
     target = target or pick_target(pair.real)
-    use = modelling.utility_scores(pair, target) if target else {**modelling.NO_UTILITY, "performance_drop": 0.0}
-    attack = modelling.attack_accuracy(pair, rows=attack_rows)
+    use = modelling.utility_or_failed(pair, target) if target else {**modelling.NO_UTILITY, "performance_drop": 0.0}
+    attack = modelling.attack_or_failed(pair, rows=attack_rows)
     row = metric_row(pair, exclude_ids, mmd=True)
     return with_compliance(
-        row.select("*", *[F.lit(use[k]).cast("double").alias(k) for k in UTILITY], F.lit(attack).alias("mia_risk_score"))
+        row.select("*", *[F.lit(use[k]).cast("double").alias(k) for k in UTILITY], F.lit(attack).cast("double").alias("mia_risk_score"))
     )
 
 

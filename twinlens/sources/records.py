@@ -23,7 +23,8 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "append") -> N
 
 
 def utc_text(stamp: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
-    return F.date_format(stamp, pattern)
+    """The stamp as text in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(stamp, F.current_timezone()), pattern)
 
 
 RULE = "=" * 80
