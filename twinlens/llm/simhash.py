@@ -165,9 +165,11 @@ def plan(fps: DataFrame, distance: int = DISTANCE) -> list[tuple[list[int], int]
     groups = {m: grouped_bits(n, both, m) for m in range(1, distance + 1)}
     keys = {(m, k): masked(bits) for m, parts in groups.items() for k, bits in enumerate(parts)}
     # pairs of equal values per partition: one pass, a row per value and partition
-    entry = F.explode(F.array(*[F.struct(F.lit(m * 100 + k).alias("part"), F.col("fp").bitwiseAND(F.lit(v)).alias("value")) for (m, k), v in keys.items() if m > 1]))
-    counts = fps.select(entry.alias("e")).groupBy("e.part", "e.value").agg(F.count(F.lit(1)).alias("c"))
-    same = {r["part"]: int(r["s"] or 0) for r in counts.groupBy("part").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s")).collect()}
+    same: dict[int, int] = {}
+    if distance > 1:
+        entry = F.explode(F.array(*[F.struct(F.lit(m * 100 + k).alias("part"), F.col("fp").bitwiseAND(F.lit(v)).alias("value")) for (m, k), v in keys.items() if m > 1]))
+        counts = fps.select(entry.alias("e")).groupBy("e.part", "e.value").agg(F.count(F.lit(1)).alias("c"))
+        same = {r["part"]: int(r["s"] or 0) for r in counts.groupBy("part").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s")).collect()}
     for m, parts in groups.items():
         costs = []
         for k, bits in enumerate(parts):
