@@ -13,11 +13,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.texts import as_batch, blocks, column, ddl, mixed, unused, words
+from twinlens.session import fresh_path, settle
 
 #: Word beginnings of so many characters are features beside whole words.
 BEGINNING = 5
@@ -26,6 +28,8 @@ FEATURES = 4_096
 LEAST_DOCS = 5
 RIDGE = 1e-3
 STEPS = 400
+#: Bits of the map of labelled ids.
+FILTER_BITS = 1 << 24
 
 
 class Model(NamedTuple):
@@ -52,11 +56,32 @@ def _present(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[new], feature[new]
 
 
-def select(labelled: DataFrame, grade_col: str = "grade", text_col: str = "text", count: int = FEATURES, rising: bool = False) -> np.ndarray:
-    """The ``count`` features whose presence differs most between grade 0 and the
-    grades above it (signed root of the likelihood ratio), from document counts over
-    all labelled rows; with ``rising`` only features that the grades above 0 hold
-    more often. Ties go to the smaller hash."""
+def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` joined with ``labels`` on the id, written as a table once, so that the
+    passes over it shuffle no text again. Texts whose id has no label stay where
+    they are: a bitmap of ``FILTER_BITS`` bits tells most of them (any number of
+    labels fits; more labels let more texts travel, the join drops those)."""
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FILTER_BITS))
+    cells = labels.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("bits"))
+    found = cells.toPandas()  # FILTER_BITS / 32 rows at most
+    mask = np.zeros(FILTER_BITS // 32, np.uint32)
+    mask[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    shipped = docs.sparkSession.sparkContext.broadcast(mask)
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((shipped.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    path = fresh_path(docs.sparkSession, "labelled")
+    docs.where(known(place)).join(labels, id_col).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def counted(labelled: DataFrame, grade_col: str = "grade", text_col: str = "text") -> DataFrame:
+    """(feature, r, rising): how much the presence of each feature differs between grade 0
+    and the grades above it (r, a likelihood ratio), from document
+    counts over all labelled rows, and whether the grades above 0 hold it more often."""
     rows = labelled.where(F.col(grade_col).isNotNull()).select(F.col(grade_col).cast("int").alias("grade"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("feature", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
@@ -76,10 +101,19 @@ def select(labelled: DataFrame, grade_col: str = "grade", text_col: str = "text"
     a, b = F.col("high") + F.lit(0.5), F.col("low") + F.lit(0.5)
     expected = (a + b) * F.lit((n_high + 1) / (n_high + n_low + 2))
     ratio = 2 * (a * F.log(a / expected) + b * F.log(b / (a + b - expected)))
-    if rising:
-        sums = sums.where(a > expected)
-    top = sums.select("feature", ratio.alias("r")).orderBy(F.desc("r"), "feature").limit(count)
-    return np.sort(np.array([r["feature"] for r in top.collect()], np.int64).view(np.uint64))
+    return settle(sums.select("feature", ratio.alias("r"), (a > expected).alias("rising")))
+
+
+def top(counts: DataFrame, count: int = FEATURES, rising: bool = False) -> np.ndarray:
+    """The ``count`` features of the greatest r, with ``rising`` only rising ones. Ties go to the smaller hash."""
+    own = counts.where("rising") if rising else counts
+    best = own.select("feature", "r").orderBy(F.desc("r"), "feature").limit(count)
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
+
+
+def select(labelled: DataFrame, grade_col: str = "grade", text_col: str = "text", count: int = FEATURES, rising: bool = False) -> np.ndarray:
+    """``top`` of the features that all labelled rows hold."""
+    return top(counted(labelled, grade_col, text_col), count, rising)
 
 
 def _hits(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,9 +49,10 @@ def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> ordinal.Model:
     """Grades 0, 1 and 2 from the yes/no label, and a model of them."""
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("grade")), "doc_id")
-    markers = ordinal.select(labelled, count=MARKERS, rising=True)
-    return ordinal.fit(ordinal.silver_grades(labelled, markers, "grade"))
+    labelled = ordinal.with_labels(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("grade")))
+    counts = ordinal.counted(labelled)  # of grade 0 and above, which the finer grades leave as they are
+    markers = ordinal.top(counts, MARKERS, rising=True)
+    return ordinal.fit(ordinal.silver_grades(labelled, markers, "grade"), keys=ordinal.top(counts))
 
 
 def op4_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
