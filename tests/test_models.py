@@ -33,6 +33,51 @@ def test_samplers_keep_shape_and_margins(table, slot):
         assert sample.corr("a", "b") > 0.7
 
 
+@pytest.mark.parametrize("slot", ["marginals", "copula", "latent", "mixture"])
+def test_samplers_keep_types_nulls_and_many_categories(spark, slot, monkeypatch):
+    monkeypatch.setattr(synthesizers, "SLICE", 700)
+    df = spark.range(6000).selectExpr(
+        "id as k",
+        "cast(id % 97 as double) / 7 as x",
+        "cast(id % 50 as decimal(9,2)) + 0.25 as d",
+        "timestamp_seconds(1600000000 + id * 60) as t",
+        "date_add(date'2020-01-01', cast(id % 365 as int)) as day",
+        "id % 4 = 0 as yes",
+        "if(id % 3 = 0, 'hot', concat('v', id % 1500)) as many",
+        "if(id % 2 = 0, null, concat('h', id % 5)) as half",
+        "if(id % 2 = 0, null, concat('key', id)) as token",
+        "cast(null as string) as none",
+        "cast(null as double) as nan",
+        "array(id) as nested",
+    )
+    real = df.drop("k")
+    m = synthesizers.fit_marginals(real)
+    assert list(m.large) == ["many"] and m.opaque == ["token"]
+    sample = synthesizers.synthesize(slot, real, m, df.select("k"), "k").persist()
+    assert sample.drop("k").schema.simpleString() == real.schema.simpleString()
+    assert sample.count() == sample.select("k").distinct().count() == 6000
+    got = sample.selectExpr(
+        "avg(int(half is null))", "avg(int(token is null))", "avg(int(many = 'hot'))", "avg(int(yes))",
+        "count(none)", "count(nan)", "count(t)", "min(day) >= date'2020-01-01' and max(day) <= date'2020-12-31'",
+    ).first()
+    assert list(got)[:4] == pytest.approx([0.5, 0.5, 1 / 3, 0.25], abs=0.04)
+    assert list(got)[4:] == [0, 0, 6000, True]
+    assert sample.select("many").subtract(real.select("many")).count() == 0
+    assert sample.select("many").distinct().count() > 700
+
+
+def test_look_up_is_the_inverse_of_the_running_shares(spark, monkeypatch):
+    monkeypatch.setattr(synthesizers, "SLICE", 10)
+    df = spark.range(1000).selectExpr("if(id < 400, 'hot', concat('v', id % 90)) as s")
+    values = synthesizers.Values(synthesizers.value_table(df, "s"), 1000)
+    runs = [(r["start"], r["n"], r["value"]) for r in values.table.orderBy("start").collect()]
+    assert [a for a, _, _ in runs] == [sum(n for _, n, _ in runs[:i]) for i in range(len(runs))]
+    want = {i: v for a, n, v in runs for i in range(a, a + n)}
+    asked = spark.range(1000).selectExpr("id", "(id + 0.5D) / 1000 as p")
+    got = {r["id"]: r["s"] for r in synthesizers.look_up(asked, F.col("p"), values, "s").collect()}
+    assert got == want
+
+
 def test_attack_knows_copies_from_shifts(spark):
     rng = np.random.default_rng(7)
     rows = [(float(x), float(y)) for x, y in rng.normal(0, 1, (400, 2))]

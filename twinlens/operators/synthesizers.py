@@ -1,9 +1,12 @@
 """Table samplers fitted by Spark jobs.
 
 All of them learn bounded summaries (quantile grids, category shares, a small
-matrix) from the whole table and then draw each row from its row id alone. The
-mixture and latent samplers fill the slots of neural generators without being
-any; they are named for what they are.
+matrix) from the whole table and then draw each row from its row id alone. Columns
+with many categories are drawn from a settled table of their values, never on the
+driver. Dates and times are drawn as numbers, booleans as categories; every column
+of the table comes back, in its place and type. The mixture and latent samplers
+fill the slots of neural generators without being any; they are named for what
+they are.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,48 +34,117 @@ from twinlens.operators.columns import numeric_columns, string_columns
 from twinlens.operators.ordered import quantiles
 from twinlens.operators.pair import Pair, nan_to_null
 from twinlens.operators.profile import distinct_counts, long_values
+from twinlens.session import settle
 
 GRID = 1001
-CATEGORY_LIMIT = 1000
+CATEGORY_LIMIT = 1000  # more categories than that are drawn by a join
 CELL_LIMIT = 10_000
+SLICE = 250_000  # rows of the table that one slice of a category join stands for
 NORMAL = NormalDist()
 Z_POINTS = 4001
 P_GRID = [(i + 0.5) / Z_POINTS for i in range(Z_POINTS)]
 Z_GRID = [NORMAL.inv_cdf(p) for p in P_GRID]
 
 
+@dataclass(frozen=True)
+class Values:
+    """All values of a column: (value, start, n), where start counts the rows of values before."""
+
+    table: DataFrame
+    rows: int
+
+
 @dataclass(frozen=True)
 class Marginals:
-    """Bounded per-column summaries of a table."""
+    """Per-column summaries of a table; bounded but for ``large``, which stays in Spark."""
 
     schema: T.StructType
     numeric: dict[str, np.ndarray]  # quantile grid
     category: dict[str, tuple[list[str], np.ndarray]]  # values and shares
-    opaque: list[str]  # strings with too many values: replaced by fresh tokens
+    opaque: list[str]  # strings that are nearly all different: replaced by fresh tokens
     null_share: dict[str, float] = field(default_factory=dict)
+    large: dict[str, Values] = field(default_factory=dict)  # strings of many values
 
     @property
     def columns(self) -> list[str]:
-        return [f.name for f in self.schema if f.name in self.numeric or f.name in self.category or f.name in self.opaque]
+        return self.schema.names
 
     @property
     def modelled(self) -> list[str]:
-        return [c for c in self.columns if c not in self.opaque]
+        return [c for c in self.columns if c in self.numeric or c in self.category or c in self.large]
 
-    def ddl(self, row_id: str) -> str:
-        return ", ".join([f"`{row_id}` bigint"] + [f"`{c}` {self.schema[c].dataType.simpleString()}" for c in self.modelled])
+    def ddl(self, row_id: str, columns: list[str]) -> str:
+        """Types that draws have before ``_restored``; many-valued columns are drawn as a share."""
+        kinds = {c: "string" if c in self.category else "bigint" if self.whole(c) else "double" for c in columns}
+        return ", ".join([f"`{row_id}` bigint"] + [f"`{c}` {kind}" for c, kind in kinds.items()])
 
     def whole(self, column: str) -> bool:
         return isinstance(self.schema[column].dataType, T.IntegralType)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """Dates as days, times as seconds, booleans as texts; NaN is null."""
+    kinds = {
+        T.DateType: lambda c: F.unix_date(c).cast("double"),
+        T.TimestampType: lambda c: c.cast("double"),
+        T.TimestampNTZType: lambda c: c.cast("timestamp").cast("double"),
+        T.BooleanType: lambda c: c.cast("string"),
+    }
+    return nan_to_null(df.select(*[kinds.get(type(f.dataType), lambda c: c)(F.col(f"`{f.name}`")).alias(f.name) for f in df.schema]))
+
+
+def _restored(cell: Column, data_type: T.DataType) -> Column:
+    """A drawn number or text in the column's own type."""
+    if isinstance(data_type, T.DateType):
+        return F.date_from_unix_date(F.bround(cell, 0).cast("int"))
+    if isinstance(data_type, T.TimestampNTZType):
+        return cell.cast("timestamp").cast("timestamp_ntz")
+    if isinstance(data_type, T.IntegralType):
+        cell = F.bround(cell, 0)
+    return cell.cast(data_type)
+
+
+def value_table(df: DataFrame, column: str) -> DataFrame:
+    """(value, start, n) of the column's values, in order of their digests. Even
+    buckets of digests are summed up on their own, so no task holds the column."""
+    tally = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    tally = tally.withColumn("bucket", F.substring(F.md5("value"), 1, 3))
+    chain = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
+    before = tally.groupBy("bucket").agg(F.sum("n").alias("all")).select("bucket", F.coalesce(F.sum("all").over(chain), F.lit(0)).alias("before"))
+    local = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n").over(local), F.lit(0))
+    return settle(tally.join(before, "bucket").select("value", start.alias("start"), "n"))
+
+
+def look_up(drawn: DataFrame, share: Column, values: Values, out: str) -> DataFrame:
+    """Add ``out``: the value whose run of rows holds the row number ``share * rows``.
+
+    Values and draws of one slice of row numbers are sorted together and the last
+    value carried on, so the work is linear; a value of many rows has an entry in
+    each of its slices, and uniform draws are even over the slices."""
+    position = F.least(F.floor(share * F.lit(float(values.rows))).cast("bigint"), F.lit(values.rows - 1))
+    size = F.lit(SLICE)
+    spans = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))
+    entries = values.table.select("value", "start", F.explode(spans).alias("slice"))
+    entries = entries.select("slice", F.greatest(F.col("start"), F.col("slice") * size).alias("at"), F.lit(0).alias("kind"), "value")
+    asked = drawn.select(position.alias("at"), F.struct("*").alias("row"))
+    asked = asked.select(F.floor(F.col("at") / size).alias("slice"), "at", F.lit(1).alias("kind"), "row")
+    run = Window.partitionBy("slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = entries.unionByName(asked, allowMissingColumns=True).withColumn("value", F.last("value", ignorenulls=True).over(run))
+    return both.where("kind = 1").select(*[F.col("row").getField(c).alias(c) for c in drawn.columns if c != out], F.col("value").alias(out))
+
+
 def fit_marginals(df: DataFrame, exclude: tuple[str, ...] = (), grid: int = GRID) -> Marginals:
-    """Exact quantile grids of numbers and exact shares of categories."""
-    df = nan_to_null(df.drop(*exclude))
+    """Exact quantile grids of numbers and exact shares of categories. A text column
+    counts as an identifier by the metric rule: nearly all values differ."""
+    schema = df.drop(*exclude).schema
+    df = plain(df.drop(*exclude))
     numbers, strings = numeric_columns(df), string_columns(df)
-    rows, counts = distinct_counts(df, numbers + strings)
+    rows, counts = distinct_counts(df, numbers + strings, (C.METRIC_UNIQUE_RATIO,), small=True)
     numbers = [c for c in numbers if counts[c][0]]
-    few = [c for c in strings if 0 < counts[c][1] <= CATEGORY_LIMIT]
+    strings = [c for c in strings if counts[c][0]]
+    opaque = [c for c in strings if counts[c][0] > C.METRIC_UNIQUE_MIN_ROWS and counts[c][1] / counts[c][0] > C.METRIC_UNIQUE_RATIO]
+    few = [c for c in strings if c not in opaque and counts[c][1] <= CATEGORY_LIMIT]
     grids: dict[str, np.ndarray] = {}
     if numbers:
         found = quantiles(df, numbers, [i / (grid - 1) for i in range(grid)]).collect()  # columns x grid
@@ -84,8 +158,9 @@ def fit_marginals(df: DataFrame, exclude: tuple[str, ...] = (), grid: int = GRID
             pairs = sorted((r["value"], r["n"]) for r in found if r["column"] == c)
             n = np.array([x for _, x in pairs], dtype=float)
             shares[c] = ([v for v, _ in pairs], n / n.sum())
-    nulls = {c: 1.0 - counts[c][0] / rows for c in numbers + few if rows and counts[c][0] < rows}
-    return Marginals(df.schema, grids, shares, [c for c in strings if c not in few], nulls)
+    large = {c: Values(value_table(df, c), counts[c][0]) for c in strings if c not in opaque and c not in few}
+    nulls = {c: 1.0 - counts[c][0] / rows for c in numbers + strings if counts[c][0] < rows}
+    return Marginals(schema, grids, shares, opaque, nulls, large)
 
 
 def literal_array(values) -> Column:
@@ -97,16 +172,6 @@ def _token(column: str, row_id: Column, seed: int) -> Column:
     return F.concat(F.lit("id-"), F.substring(H.digest(seed, row_id, column), 1, 12))
 
 
-def _finish(cell: Column, m: Marginals, column: str, seed: int, rid: Column) -> Column:
-    if m.whole(column):
-        cell = F.bround(cell, 0)
-    cell = cell.cast(m.schema[column].dataType)
-    share = m.null_share.get(column)
-    if share:
-        cell = F.when(H.uniform(seed, rid, f"{column}:null") >= F.lit(share), cell)
-    return cell.alias(column)
-
-
 def sample_marginals(m: Marginals, ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED) -> DataFrame:
     """Each column on its own, by inverse distribution function at a row uniform."""
     rid = F.col(row_id)
@@ -118,14 +183,11 @@ def sample_marginals(m: Marginals, ids: DataFrame, row_id: str, seed: int = C.DE
             at = u * F.lit(float(len(m.numeric[c]) - 1))
             low = F.element_at(grid, F.floor(at).cast("int") + 1)
             high = F.element_at(grid, F.floor(at).cast("int") + 2)
-            cells.append(_finish(low + (high - low) * (at - F.floor(at)), m, c, seed, rid))
+            cells.append((low + (high - low) * (at - F.floor(at))).alias(c))
         elif c in m.category:
             values, shares = m.category[c]
-            cell = H.pick(H.step_index(u, list(np.cumsum(shares)[:-1])), values)
-            cells.append(_finish(cell, m, c, seed, rid))
-        else:
-            cells.append(_token(c, rid, seed).alias(c))
-    return ids.select(rid.cast("bigint").alias(row_id), *cells)
+            cells.append(H.pick(H.step_index(u, list(np.cumsum(shares)[:-1])), values).alias(c))
+    return _complete(ids.select(rid.cast("bigint").alias(row_id), *cells), m, row_id, seed)
 
 
 # --------------------------------------------------------------------------
@@ -135,6 +197,8 @@ def sample_marginals(m: Marginals, ids: DataFrame, row_id: str, seed: int = C.DE
 def _score_tables(m: Marginals):
     tables = {}
     for c in m.modelled:
+        if c in m.large:
+            continue
         if c in m.numeric:
             g = m.numeric[c]
             steps = 2 * len(g) + 1
@@ -147,47 +211,50 @@ def _score_tables(m: Marginals):
 
 
 def score_correlation(df: DataFrame, m: Marginals) -> np.ndarray:
-    """Correlation of normal scores. Tasks send d x d partial sums only."""
+    """Correlation of normal scores, each over the rows that hold both columns. Tasks
+    send d x d partial sums only."""
     cols, tables = m.modelled, _score_tables(m)
     d = len(cols)
-    grids = dict(m.numeric)
+    grids, large = dict(m.numeric), set(m.large)
     index = {c: {v: i for i, v in enumerate(values)} for c, (values, _) in m.category.items()}
+    z_grid, p_grid = np.array(Z_GRID), np.array(P_GRID)
+    rows = plain(df.select(*cols))
+    for c, values in m.large.items():  # in place of each value the middle of its share
+        middle = (F.col("start") + F.col("n") / 2) / F.lit(float(values.rows))
+        rows = rows.join(values.table.select(F.col("value").alias(c), middle.alias("_middle")), c, "left").drop(c).withColumnRenamed("_middle", c)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, total, rows = np.zeros((d, d)), np.zeros(d), 0
+        sums = np.zeros((4, d, d))
         for batch in batches:
-            z = np.zeros((len(batch), d))
+            z, here = np.zeros((len(batch), d)), np.zeros((len(batch), d))
             for j, c in enumerate(cols):
-                if c in grids:
-                    x = pd.to_numeric(batch[c]).to_numpy(dtype=float)
-                    known = ~np.isnan(x)
-                    at = np.searchsorted(grids[c], x[known], "left") + np.searchsorted(grids[c], x[known], "right")
-                    z[known, j] = tables[c][at]
-                else:
+                if c in index:
                     code = batch[c].map(index[c]).to_numpy(dtype=float)
                     known = ~np.isnan(code)
                     z[known, j] = tables[c][code[known].astype(int)]
-            gram += z.T @ z
-            total += z.sum(axis=0)
-            rows += len(z)
-        if rows:
-            yield pd.DataFrame(
-                {
-                    "i": np.repeat(np.arange(d + 2), d),
-                    "j": np.tile(np.arange(d), d + 2),
-                    "v": np.concatenate([gram.reshape(-1), total, np.full(d, float(rows))]),
-                }
-            )
-
-    parts = df.select(*cols).mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    sums = np.zeros((d + 2, d))
-    for r in parts.collect():  # (d + 2) x d numbers
-        sums[r["i"], r["j"]] = r["v"]
-    n = max(sums[d + 1, 0], 1.0)
-    mean = sums[d] / n
-    cov = sums[:d] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-    corr = cov / np.outer(sd, sd)
+                else:
+                    x = pd.to_numeric(batch[c]).to_numpy(dtype=float)
+                    known = ~np.isnan(x)
+                    if c in large:
+                        z[known, j] = np.interp(x[known], p_grid, z_grid)
+                    else:
+                        at = np.searchsorted(grids[c], x[known], "left") + np.searchsorted(grids[c], x[known], "right")
+                        z[known, j] = tables[c][at]
+                here[:, j] = known
+            sums += np.stack([z.T @ z, z.T @ here, (z * z).T @ here, here.T @ here])
+        i, j = np.divmod(np.arange(d * d), max(d, 1))
+        g, s, q, n = sums.reshape(4, -1)
+        yield pd.DataFrame({"i": i, "j": j, "g": g, "s": s, "q": q, "n": n})
+
+    parts = rows.select(*cols).mapInPandas(partial, "i int, j int, g double, s double, q double, n double")
+    g, s, q, n = np.zeros((4, d, d))
+    for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "gsqn"]).collect():  # d x d
+        at = (r["i"], r["j"])
+        g[at], s[at], q[at], n[at] = r["g"], r["s"], r["q"], r["n"]
+    n = np.maximum(n, 1.0)
+    cov = g / n - (s / n) * (s.T / n)
+    spread = np.sqrt(np.maximum(q / n - (s / n) ** 2, 1e-12))
+    corr = np.clip(cov / (spread * spread.T), -1.0, 1.0)
     np.fill_diagonal(corr, 1.0)
     return corr
 
@@ -197,7 +264,7 @@ def _sample_scores(m: Marginals, ids: DataFrame, row_id: str, seed: int, draws:
     cols = m.modelled
     rid = F.col(row_id)
     base = ids.select(rid.cast("bigint").alias(row_id), *[H.normal(seed, rid, f"z{i}").alias(f"z{i}") for i in range(draws)])
-    grids, category = dict(m.numeric), dict(m.category)
+    grids, category, large = dict(m.numeric), dict(m.category), set(m.large)
     whole = {c: m.whole(c) for c in cols}
     z_grid, p_grid = np.array(Z_GRID), np.array(P_GRID)
 
@@ -207,7 +274,9 @@ def _sample_scores(m: Marginals, ids: DataFrame, row_id: str, seed: int, draws:
             p = np.interp(y, z_grid, p_grid)
             out = {row_id: batch[row_id]}
             for j, c in enumerate(cols):
-                if c in grids:
+                if c in large:
+                    out[c] = p[:, j]
+                elif c in grids:
                     x = np.interp(p[:, j] * (len(grids[c]) - 1), np.arange(len(grids[c])), grids[c])
                     out[c] = np.rint(x).astype("int64") if whole[c] else x
                 else:
@@ -216,20 +285,25 @@ def _sample_scores(m: Marginals, ids: DataFrame, row_id: str, seed: int, draws:
                     out[c] = np.array(values, dtype=object)[code]
             yield pd.DataFrame(out)
 
-    return _complete(base.mapInPandas(draw, m.ddl(row_id)), m, row_id, seed)
+    return _complete(base.mapInPandas(draw, m.ddl(row_id, cols)), m, row_id, seed)
 
 
-def _complete(drawn: DataFrame, m: Marginals, row_id: str, seed: int) -> DataFrame:
-    """Put nulls and fresh tokens in, in the column order of the table."""
+def _complete(drawn: DataFrame, m: Marginals, row_id: str, seed: int, with_nulls: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the table in order and type. Many-valued columns are looked up
+    by the drawn share, or by a row uniform where none was drawn; nulls are put in at
+    random, but for columns drawn ``with_nulls``. Columns without a value, and
+    those of nested or binary type, are null."""
     rid = F.col(row_id)
+    there = set(drawn.columns)
+    for c, values in m.large.items():
+        drawn = look_up(drawn, F.col(c) if c in there else H.uniform(seed, rid, c), values, c)
     cells = []
     for c in m.columns:
-        if c in m.opaque:
-            cells.append(_token(c, rid, seed).alias(c))
-        elif m.null_share.get(c):
-            cells.append(F.when(H.uniform(seed, rid, f"{c}:null") >= F.lit(m.null_share[c]), F.col(c)).alias(c))
-        else:
-            cells.append(F.col(c))
+        kind = m.schema[c].dataType
+        cell = _token(c, rid, seed) if c in m.opaque else _restored(F.col(c), kind) if c in m.modelled else F.lit(None).cast(kind)
+        if m.null_share.get(c) and c not in with_nulls:
+            cell = F.when(H.uniform(seed, rid, f"{c}:null") >= F.lit(m.null_share[c]), cell)
+        cells.append(cell.alias(c))
     return drawn.select(row_id, *cells)
 
 
@@ -238,6 +312,8 @@ def sample_copula(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed
     corr = score_correlation(df, m)
     values, vectors = np.linalg.eigh(corr)
     root = vectors @ np.diag(np.sqrt(np.maximum(values, 0.0))) @ vectors.T
+    if len(root):  # pairwise sums need not give a matrix without negative axes
+        root /= np.sqrt((root**2).sum(axis=1, keepdims=True))
     return _sample_scores(m, ids, row_id, seed, len(corr), root)
 
 
@@ -249,6 +325,7 @@ def sample_latent(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed
     values, vectors = np.linalg.eigh(corr)
     top = np.argsort(values)[::-1][:r]
     load = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
+    load /= np.maximum(np.sqrt((load**2).sum(axis=1, keepdims=True)), 1.0)
     rest = np.sqrt(np.maximum(1.0 - (load**2).sum(axis=1), 0.0))
     return _sample_scores(m, ids, row_id, seed, r + d, np.hstack([load, np.diag(rest)]))
 
@@ -256,8 +333,10 @@ def sample_latent(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed
 def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED, components: int = 3) -> DataFrame:
     """Gaussian mixture over the numbers, with category shares per component.
 
-    Category combinations are sampled as cells while there are at most
-    ``CELL_LIMIT``; beyond, each category column is drawn on its own.
+    Category combinations, null being one more category, are sampled as cells while
+    there are at most ``CELL_LIMIT``; beyond, each category column is drawn on its
+    own within its component. A missing number stands at its mean in the fit.
+    Many-valued columns are drawn on their own.
     """
     numbers = [c for c in m.modelled if c in m.numeric]
     strings = [c for c in m.modelled if c in m.category]
@@ -265,8 +344,8 @@ def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, see
         return sample_marginals(m, ids, row_id, seed)
     mean = {c: float(m.numeric[c].mean()) for c in numbers}
     sd = {c: float(m.numeric[c].std()) or 1.0 for c in numbers}
-    scaled = df.dropna("any", subset=numbers).select(
-        *strings, *[((F.col(c).cast("double") - F.lit(mean[c])) / F.lit(sd[c])).alias(c) for c in numbers]
+    scaled = plain(df).select(
+        *strings, *[F.coalesce((F.col(c).cast("double") - F.lit(mean[c])) / F.lit(sd[c]), F.lit(0.0)).alias(c) for c in numbers]
     )
     vectors = VectorAssembler(inputCols=numbers, outputCol="features").transform(scaled)
     fitted = GaussianMixture(k=components, seed=seed, maxIter=20).fit(vectors)
@@ -287,7 +366,7 @@ def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, see
     )
     ranges = {c: (float(m.numeric[c][0]), float(m.numeric[c][-1])) for c in numbers}
     whole = {c: m.whole(c) for c in numbers}
-    modelled = m.modelled
+    modelled = [c for c in m.modelled if c not in m.large]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -311,20 +390,20 @@ def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, see
                     out[name] = picked[:, j]
             yield pd.DataFrame(out)[[row_id, *modelled]]
 
-    return _complete(base.mapInPandas(draw, m.ddl(row_id)), m, row_id, seed)
+    return _complete(base.mapInPandas(draw, m.ddl(row_id, modelled)), m, row_id, seed, tuple(strings))
 
 
 def _cells(rows: DataFrame, strings: list[str]):
     """[(columns, {component: (cells, cumulative shares)})]; -1 is all components."""
-    known = rows.dropna("any", subset=strings)
-    joint = known.groupBy("prediction", *strings).agg(F.count(F.lit(1)).alias("n"))
+    joint = rows.groupBy("prediction", *strings).agg(F.count(F.lit(1)).alias("n"))
     plans = [strings]
     if joint.limit(CELL_LIMIT + 1).count() > CELL_LIMIT:
         plans = [[c] for c in strings]
     out = []
     for names in plans:
-        tally = known.groupBy("prediction", *names).agg(F.count(F.lit(1)).alias("n"))
-        found = sorted((tuple(r[c] for c in names), r["prediction"], r["n"]) for r in tally.collect())
+        tally = rows.groupBy("prediction", *names).agg(F.count(F.lit(1)).alias("n"))
+        found = [(tuple(r[c] for c in names), r["prediction"], r["n"]) for r in tally.collect()]
+        found.sort(key=lambda x: ([(v is None, v or "") for v in x[0]], x[1]))
         table: dict[int, tuple[list, np.ndarray]] = {}
         for k in {-1} | {p for _, p, _ in found}:
             part = [(cell, n) for cell, p, n in found if k in (-1, p)]
@@ -357,8 +436,8 @@ def pilot_score(df: DataFrame, sample: DataFrame) -> float:
 
 
 def pilot(df: DataFrame, ids: DataFrame, row_id: str, models: tuple[str, ...], seed: int = C.DEFAULT_SEED, exclude: tuple[str, ...] = ()):
-    """[(model, score, sample)], best first. A table that is too small for a
-    model, or a failed fit, leaves the model out, as no sample."""
+    """[(model, score, sample)], best first. A table that is too small for a model
+    leaves it out; a model that can't be fitted or drawn scores infinity and has no sample (None)."""
     kept = df.drop(*exclude)
     m = fit_marginals(kept)
     rows = df.count()
@@ -367,10 +446,11 @@ def pilot(df: DataFrame, ids: DataFrame, row_id: str, models: tuple[str, ...], s
         if rows < C.MODEL_MIN_ROWS.get(model, 10):
             continue
         try:
-            sample = synthesize(model, kept, m, ids, row_id, seed)
+            sample = settle(synthesize(model, kept, m, ids, row_id, seed))
             found.append((model, pilot_score(kept, sample.drop(row_id)), sample))
-        except Exception:
-            logging.getLogger(__name__).warning("%s failed and is left out", model, exc_info=True)
+        except (PySparkException, Py4JJavaError, ValueError, ArithmeticError):
+            logging.getLogger(__name__).warning("%s failed", model, exc_info=True)
+            found.append((model, math.inf, None))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 

@@ -59,6 +59,7 @@ def propose(real: DataFrame, request: Request, rows: int, seed: int) -> tuple[Da
     ids = spark.range(rows).withColumnRenamed("id", ROW_ID)
     found = synthesizers.pilot(real, ids, ROW_ID, synthesizers.candidates(request.model), seed)
     scores = [(name, score) for name, score, _ in found]
+    found = [x for x in found if x[2] is not None]
     if not found:
         from twinlens.operators.ordered import ordered_row_number
 
@@ -66,7 +67,8 @@ def propose(real: DataFrame, request: Request, rows: int, seed: int) -> tuple[Da
     if len(found) == 1:
         return found[0][2], found[0][0], scores, {found[0][0]: 1.0}
     (m1, s1, d1), (m2, s2, d2) = found[:2]
-    w1 = (1.0 / (s1 + C.WEIGHT_FLOOR)) / (1.0 / (s1 + C.WEIGHT_FLOOR) + 1.0 / (s2 + C.WEIGHT_FLOOR))
+    inverse = [1.0 / (s + C.WEIGHT_FLOOR) for s in (s1, s2)]
+    w1 = inverse[0] / sum(inverse) if sum(inverse) else 0.5  # no number to score by: both alike
     mixed = sampling.ensemble_mix(d1, d2, w1, rows, ROW_ID, (m1, m2), seed)
     # A row id can come from both models; the source makes it unique again.
     keyed = mixed.withColumn(ROW_ID, F.col(ROW_ID) * 2 + (F.col("source") == m2).cast("bigint")).drop("source")
