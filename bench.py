@@ -42,6 +42,11 @@ HEADLINE = (
     "recommend_model",
     "utility_tstr",
     "pair_scorecard",
+    "mia_attack",
+    "mwem_histogram",
+    "pilot_scores",
+    "ensemble_mix",
+    "feature_importance",
 )
 
 

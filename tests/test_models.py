@@ -180,3 +180,13 @@ def test_empty_parts_and_wide_keys(spark):
     assert modelling.label_encode(texts.tagged, []).count() == 0
     keys = Pair.of(spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([((1 << 53) + 1,)], "k long"))
     assert keys.synth.first()["k"] == (1 << 53) + 1
+
+
+def test_private_histogram_keeps_rows_with_nulls(spark):
+    from twinlens.operators.mwem import mwem
+
+    df = spark.range(1000).selectExpr("if(id % 2 = 0, null, concat('v', id % 3)) as s", "id % 4 as b")
+    got = mwem(df, {"s": F.col("s"), "b": F.col("b")}, epsilon=10.0, rounds=4)
+    assert got.count() == 16
+    assert got.agg(F.sum("weight")).first()[0] == pytest.approx(1000)
+    assert got.where("s is null").agg(F.sum("weight")).first()[0] > 100

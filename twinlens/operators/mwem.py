@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -25,9 +27,9 @@ CELL_LIMIT = 1_000_000
 
 
 def cell_counts(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
-    """Rows per combination of the cell columns, as ``n``."""
+    """Rows per combination of the cell columns, as ``n``; null is a value like any other."""
     named = [col.alias(name) for name, col in cells.items()]
-    return df.select(*named).dropna("any").groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*named).groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
 
 
 def domain_cells(counts: DataFrame, names: list[str]) -> DataFrame:
@@ -36,7 +38,8 @@ def domain_cells(counts: DataFrame, names: list[str]) -> DataFrame:
     Empty cells belong to the domain: leaving them out would tell which
     combinations occur. The number of combinations is checked first.
     """
-    values = [sorted(r[0] for r in counts.select(c).distinct().limit(CELL_LIMIT + 1).collect()) for c in names]
+    found = [[r[0] for r in counts.select(c).distinct().limit(CELL_LIMIT + 1).collect()] for c in names]
+    values = [sorted(v, key=lambda x: (x is not None, x)) for v in found]
     size = math.prod(len(v) for v in values)
     if size > CELL_LIMIT:
         raise ValueError(f"the cell columns span {size} combinations; use coarser buckets")
@@ -49,7 +52,8 @@ def domain_cells(counts: DataFrame, names: list[str]) -> DataFrame:
         cells.append(F.element_at(F.array(*[F.lit(x).cast(kind) for x in v]), at + 1).alias(c))
         step *= len(v)
     domain = ids.select(*reversed(cells))
-    return domain.join(counts, names, "left").select(*names, F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    same = reduce(and_, [domain[c].eqNullSafe(counts[c]) for c in names])
+    return domain.join(counts, same, "left").select(*[domain[c] for c in names], F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -65,7 +69,7 @@ def _query_names(names: list[str]) -> list[Column]:
     value pair in each two columns."""
 
     def part(c: str) -> Column:
-        return F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+        return F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit(f"{c} is null"))
 
     one = [part(c) for c in names]
     two = [F.concat_ws("&", part(a), part(b)) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -99,7 +103,8 @@ def mwem(
     must stay secret. The row count itself is taken as public.
     """
     names = list(cells)
-    table = settle(domain_cells(cell_counts(df, cells), names).withColumn("_queries", F.array(*_query_names(names))))
+    counts = settle(cell_counts(df, cells))  # the only look at the rows
+    table = settle(domain_cells(counts, names).withColumn("_queries", F.array(*_query_names(names))))
     total = float(table.agg(F.sum("n")).first()[0] or 0.0)
     if total < 2:
         return table.select(*names, F.col("n").alias("weight"))
