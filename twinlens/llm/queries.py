@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinlens.catalog.registry import table
 from twinlens.llm import binary, chunks, langmix, licences, mtree, ordinal, pieces, simhash, tiling, trees
+from twinlens.session import fresh_path
 
 #: Expected severity from which a document counts as toxic.
 TOXIC = 0.5
@@ -65,8 +66,13 @@ def op4_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold(5) != 0)
-    model = trees.fit(docs.join(labels, "doc_id"))
-    return trees.predict(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+    # statistics are taken once, in place; only these narrow rows meet the labels
+    path = fresh_path(spark, "statistics")
+    trees.with_statistics(docs, ["doc_id", "held_out"]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    # a merge join at every size, so that small inputs run as large ones do
+    model = trees.fit_rows(rows.join(labels.hint("merge"), "doc_id"))
+    return trees.predict_rows(rows, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
 def op6_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

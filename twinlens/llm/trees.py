@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.texts import blocks, codes, column, ddl, letters, unused, words
+from twinlens.session import settle
 
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "long_words", "letters", "upper", "digits", "spaces", "symbols", "stops", "commas",
@@ -215,18 +216,22 @@ def score_arrays(model: Model, x: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """``fit_rows`` on the statistics of the labelled texts."""
+    rows = with_statistics(labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")), ["id", "label"])
+    return fit_rows(rows, "id", "label", sample_rows=sample_rows)
+
+
+def fit_rows(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "quality", statistics_col: str = "statistics", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on about ``sample_rows`` labelled rows at most, drawn by the digest of id
-    and text. Rows with a null label teach nothing; without a row the score is 0.5."""
-    known = labelled.where(F.col(label_col).isNotNull())
+    and statistics. Rows with a null label teach nothing; without a row the score is 0.5."""
+    share = F.pmod(F.xxhash64(id_col, statistics_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    known = settle(labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("label"), F.col(statistics_col).alias("x"), share.alias("share")))
     n = known.count()
-    if n > sample_rows:
-        share = F.pmod(F.xxhash64(id_col, F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        known = known.where(share < sample_rows / n)
-    got = with_statistics(known.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")), ["label"]).toPandas()
+    got = known.where(F.col("share") < sample_rows / max(n, 1)).select("label", "x").toPandas()
     if got.empty:
         none = np.zeros(0, np.int64)
         return Model(none, np.zeros(0), none, none, np.zeros(0), none, 0.0)
-    return fit_arrays(np.stack(got["statistics"].to_numpy()), (got["label"] > 0).to_numpy(float))
+    return fit_arrays(np.stack(got["x"].to_numpy()), (got["label"] > 0).to_numpy(float))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
@@ -234,3 +239,17 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     A null or empty text is scored by its statistics, all nought."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return _mapped(docs, keep, text_col, f"{out} double", lambda x: [pa.array(score_arrays(shipped.value, x), pa.float64())], (out,))
+
+
+def predict_rows(rows: DataFrame, model: Model, keep: list[str], statistics_col: str = "statistics", out: str = "score") -> DataFrame:
+    """As ``predict``, from rows of ``with_statistics``."""
+    x = unused([*keep, out], "_x")
+    own = rows.select(*keep, F.col(statistics_col).alias(x))
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(x).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score_arrays(shipped.value, values), pa.float64())], names=[*keep, out])
+
+    return own.mapInArrow(run, f"{ddl(rows.select(*keep))}, {out} double")
