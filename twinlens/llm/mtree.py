@@ -9,9 +9,9 @@ Vectors are dealt to cells by the nearest of a bounded number of pivots, and a c
 to slices of about ``SLICE_ROWS``. Each slice becomes an M-tree: pages of at most
 ``PAGE`` entries, each node with its pivot, its covering radius and its distance to
 the parent's pivot. The trees are written as rows of a table in the shared folder.
-A search takes nodes best first; an entry whose stored distance to its parent shows,
-by the triangle inequality, that it can't reach the k-th best so far is passed over
-without computing its distance. Scores are exact integers; bounds allow for rounding.
+A search takes nodes best first, for a block of queries at a time; an entry whose
+stored distance to its parent shows, by the triangle inequality, that it can't reach a
+query's k-th best so far is passed over without computing its distance. Scores are exact integers; bounds allow for rounding.
 """
 
 from __future__ import annotations
@@ -34,8 +34,13 @@ PAGE = 64
 FAN_OUT = 16
 #: Queries that go to the tasks at a time.
 QUERY_BLOCK = 20_000
+#: Queries that go through a tree together.
+TOGETHER = 2_000
 TOP = 20
 SCALE = 64
+#: Score and id of a place that no row holds yet; scores are beyond +-2^53 never.
+NONE = -float(1 << 60)
+NO_ID = np.iinfo(np.int64).max
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -56,6 +61,37 @@ def _matrix(lists: list, width: int) -> np.ndarray:
     return out
 
 
+def _vectors(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of a column of lists, filled up with noughts."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), width))
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+class Best:
+    """The k best (score, id) so far of each query of a block; greater scores and then smaller ids are better."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), NONE)
+        self.id = np.full((queries, k), NO_ID)
+
+    def add(self, query: np.ndarray, score: np.ndarray, row_id: np.ndarray) -> np.ndarray:
+        """Take in candidates, none of them known already; gives back the queries they belong to."""
+        touched = np.unique(query)
+        own, own_score, own_id = np.repeat(touched, self.k), self.score[touched].ravel(), self.id[touched].ravel()
+        query, score, row_id = np.concatenate([own, query]), np.concatenate([own_score, score]), np.concatenate([own_id, row_id])
+        order = np.lexsort((row_id, -score, query))
+        query, score, row_id = query[order], score[order], row_id[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        stay = place < self.k
+        self.score[query[stay], place[stay]], self.id[query[stay], place[stay]] = score[stay], row_id[stay]
+        return touched
+
+
 class Tree:
     """An M-tree over rows of whole numbers. Nodes and entries lie in arrays."""
 
@@ -128,57 +164,89 @@ class Tree:
         parts = [(p, r) for p, r in parts if len(r)]
         return parts if len(parts) > 1 else [(int(r[0]), r) for r in np.array_split(rows, 2)]
 
-    def search(self, query: np.ndarray, norm2: float, own: int | None, k: int, floor: float) -> list[tuple[int, int]]:
-        """The (score, id) of the k best with a score of at least ``floor``, best first; ``own`` is left out."""
-        best: list[tuple[int, int]] = []  # a heap whose least is the worst kept: (score, -id)
-        scale = norm2 + self.top2
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> Best:
+        """The k best rows of each query with a score of at least its ``floor``; a row with the query's ``own`` id is left out.
+
+        A block of queries goes through the tree together, best node first. Every
+        query keeps its own reach (the distance of its k-th best) and its own distance
+        to a node's pivot: a node is entered by those queries alone that it can still
+        serve, and distances are computed for those pairs alone that the stored
+        distances to the parent leave open. Each query first goes straight down to the
+        nearest leaf, which shortens its reach before the rest is looked at."""
+        n = len(own)
+        best = Best(n, k)
+        scale = (queries * queries).sum(1) + self.top2
         slack = 1e-6 * np.sqrt(scale) + 1e-9
-        reach = np.sqrt(max(scale - 2 * floor, 0)) + slack if np.isfinite(floor) else np.inf
-
-        def to(rows) -> np.ndarray:
-            return np.sqrt(np.maximum(scale - 2 * (self.x[rows] @ query), 0))
+        reach = np.sqrt(np.maximum(scale - 2 * floor, 0)) + slack  # endless where the floor is
+
+        def to(query: np.ndarray, row: int) -> np.ndarray:
+            return np.sqrt(np.maximum(scale[query] - 2 * (queries[query] @ self.x[row]), 0))
+
+        def look(node: int, query: np.ndarray, apart: np.ndarray) -> None:
+            rows = self.order[slice(*self.span[node])]
+            open_pairs = np.abs(apart[:, None] - self.to_pivot[rows]) <= reach[query][:, None]
+            some, rows_open = open_pairs.any(1), open_pairs.any(0)
+            query, rows, open_pairs = query[some], rows[rows_open], open_pairs[np.ix_(some, rows_open)]
+            score = queries[query] @ self.x[rows].T
+            least = np.maximum(best.score[query, -1], floor[query])
+            at, row = np.nonzero(open_pairs & (score >= least[:, None]) & (self.ids[rows] != own[query][:, None]))
+            if len(at):
+                hit = best.add(query[at], score[at, row], self.ids[rows[row]])
+                full = hit[best.score[hit, -1] > NONE]
+                reach[full] = np.minimum(reach[full], np.sqrt(np.maximum(scale[full] - 2 * best.score[full, -1], 0)) + slack[full])
+
+        every = np.arange(n)
+        root = to(every, self.pivot[0])
+        live = np.maximum(root - self.radius[0], 0) <= reach
+        every, root = every[live], root[live]
+        done = np.full(n, -1)  # the leaf that each query has looked at on its way down
+        straight = [(0, every, root)] if len(every) else []
+        while straight:
+            node, query, apart = straight.pop()
+            if self.leaf[node]:
+                look(node, query, apart)
+                done[query] = node
+                continue
+            kids = range(*self.span[node])
+            apart = np.column_stack([to(query, self.pivot[c]) for c in kids])
+            nearest = apart.argmin(1)
+            straight += [(c, query[mine], apart[mine, j]) for j, c in enumerate(kids) if (mine := nearest == j).any()]
 
-        root = float(to(self.pivot[:1])[0])
-        heap = [(max(root - float(self.radius[0]), 0.0), 0, root)]
+        heap = [(0.0, 0, every, root, np.maximum(root - self.radius[0], 0))] if len(every) else []
         while heap:
-            bound, node, apart = heapq.heappop(heap)
-            if bound > reach:
-                break
-            a, b = self.span[node]
-            if not self.leaf[node]:
-                kids = np.arange(a, b)
-                kids = kids[np.abs(apart - self.to_parent[a:b]) - self.radius[a:b] <= reach]
-                if len(kids):
-                    d = to(self.pivot[kids])
-                    low = np.maximum(d - self.radius[kids], 0)
-                    for child, lower, dist in zip(kids.tolist(), low.tolist(), d.tolist(), strict=True):
-                        if lower <= reach:
-                            heapq.heappush(heap, (lower, child, dist))
+            _, node, query, apart, bound = heapq.heappop(heap)
+            live = bound <= reach[query]
+            query, apart = query[live], apart[live]
+            if not len(query):
                 continue
-            rows = self.order[a:b]
-            rows = rows[np.abs(apart - self.to_pivot[rows]) <= reach]
-            if not len(rows):
+            if self.leaf[node]:
+                new = done[query] != node
+                if new.any():
+                    look(node, query[new], apart[new])
                 continue
-            score = self.x[rows] @ query
-            some = score >= (best[0][0] if len(best) == k else floor)
-            for s, i in zip(score[some].tolist(), self.ids[rows[some]].tolist(), strict=True):
-                if i == own:
+            for c in range(*self.span[node]):
+                near = np.abs(apart - self.to_parent[c]) - self.radius[c] <= reach[query]
+                mine = query[near]
+                if not len(mine):
                     continue
-                entry = (int(s), -i)
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            if len(best) == k:
-                reach = min(reach, np.sqrt(max(scale - 2 * best[0][0], 0)) + slack)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+                d = to(mine, self.pivot[c])
+                low = np.maximum(d - self.radius[c], 0)
+                near = low <= reach[mine]
+                if near.any():
+                    heapq.heappush(heap, (float(low[near].min()), c, mine[near], d[near], low[near]))
+        return best
 
 
 class Index:
     """Trees over all vectors of a table."""
 
-    def __init__(self, trees: DataFrame, rows: DataFrame, width: int, top2: float):
-        self.trees, self.rows, self.width, self.top2 = trees, rows, width, top2
+    def __init__(self, trees: DataFrame, rows: DataFrame, width: int, top2: float, pivots: np.ndarray):
+        self.trees, self.rows, self.width, self.top2, self.pivots = trees, rows, width, top2, pivots
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The nearest pivot of each row."""
+    return (x @ pivots.T - (pivots * pivots).sum(1) / 2).argmax(1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> Index:
@@ -192,12 +260,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         raise ValueError("components are too large for exact sums")
     wanted = min(PIVOTS, max(1, -(-n // SLICE_ROWS)))
     pivots = _matrix([r["x"] for r in rows.orderBy(F.xxhash64("vec_id", "x"), "vec_id").select("x").limit(wanted).collect()], width)
-    half = (pivots * pivots).sum(1) / 2
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("x").to_pylist(), width)
-            cell = (x @ pivots.T - half).argmax(1) if batch.num_rows else np.zeros(0)
+            cell = _cells(_vectors(batch.column("x"), width), pivots)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
 
     dealt = rows.mapInArrow(cells, "vec_id long, x array<double>, norm2 double, cell int")
@@ -209,13 +275,13 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     def plant(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        x = _matrix(table.column("x").to_pylist(), width)[order]
+        x = _vectors(table.column("x"), width)[order]
         tree = Tree(ids[order], x, top2)
         return pa.Table.from_batches([as_batch(schema, [table.column("cell")[0].as_py()], [table.column("slice")[0].as_py()], [len(ids)], [pickle.dumps(tree, 5)])])
 
     trees = dealt.groupBy("cell", "slice").applyInArrow(plant, "cell int, slice int, n int, tree binary")
     trees = trees.repartition(max(1, min(sum(sizes.values()), 4096)))  # a task per tree: searches take longer than their rows let Spark guess
-    return Index(settle(trees), rows, width, top2)
+    return Index(settle(trees), rows, width, top2, pivots)
 
 
 def search(index: Index, queries: DataFrame, k: int = TOP, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -223,8 +289,9 @@ def search(index: Index, queries: DataFrame, k: int = TOP, query_block: int = QU
     (vec_id, x), all if fewer; ties go to the smaller vec_id, and rows with the
     query's own id are left out. Queries with the same id count once.
 
-    Queries go to all trees in blocks of ``query_block``. A first pass over the
-    largest trees gives every query a score to beat, so the second sends on few rows."""
+    Queries go to all trees in blocks of ``query_block``. A first pass takes each
+    query to the trees of its own cell alone, which gives it a score to beat, so
+    that the second enters few trees and sends on few rows."""
     spark = queries.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
     n = queries.count()
@@ -233,27 +300,37 @@ def search(index: Index, queries: DataFrame, k: int = TOP, query_block: int = QU
     for b in range(blocks_n):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks_n)) == b).toPandas().sort_values("vec_id")
         ids, q = part["vec_id"].to_numpy(np.int64), _matrix(list(part["x"]), index.width)
-        first = index.trees.orderBy(F.desc("n"), "cell", "slice").limit(1)
-        seen = _found(first, spark.sparkContext.broadcast((ids, q, np.full(len(ids), -np.inf))), k)
-        worst = {r["query_id"]: r["low"] for r in seen.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= k).collect()}
-        floor = np.array([worst.get(i, -np.inf) for i in ids.tolist()])
-        found = _found(index.trees, spark.sparkContext.broadcast((ids, q, floor)), k)
+        cell = _cells(q, index.pivots) if len(index.pivots) else np.zeros(len(q), np.int32)
+        floor = np.full(len(ids), -np.inf)
+        seen = _found(index.trees, spark.sparkContext.broadcast((ids, q, floor, cell)), k)
+        # a tree's k-th best is a bound; so is the greatest of them
+        full = seen.groupBy("query_id", "tree_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
+        worst = full.groupBy("query_id").agg(F.max("low").alias("low")).toPandas()
+        floor = floor.copy()
+        floor[np.searchsorted(ids, worst["query_id"].to_numpy(np.int64))] = worst["low"].to_numpy(float)
+        found = _found(index.trees, spark.sparkContext.broadcast((ids, q, floor, None)), k)
         out = found if out is None else out.unionByName(found)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _found(trees: DataFrame, shipped, k: int) -> DataFrame:
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """(query_id, vec_id, score, tree_id) of what each tree holds; with cells of the queries, in trees of the query's cell alone."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("tree_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, floor = shipped.value
-        norm2 = (q * q).sum(1)
+        ids, q, floor, home = shipped.value
         for batch in batches:
-            for raw in batch.column("tree"):
+            for cell, part, raw in zip(batch.column("cell").to_pylist(), batch.column("slice").to_pylist(), batch.column("tree"), strict=True):
+                asked = np.arange(len(ids)) if home is None else np.flatnonzero(home == cell)
+                if not len(asked):
+                    continue
                 tree = pickle.loads(raw.as_py())
-                out = [(i, v, s) for i, x, n2, low in zip(ids.tolist(), q, norm2.tolist(), floor.tolist(), strict=True) for s, v in tree.search(x, n2, i, k, low)]
-                if out:
-                    yield as_batch(schema, *map(list, zip(*out, strict=True)))
-
-    return trees.select("tree").mapInArrow(run, "query_id long, vec_id long, score long")
+                for a in range(0, len(asked), TOGETHER):
+                    own = asked[a : a + TOGETHER]
+                    best = tree.search(ids[own], q[own], k, floor[own])
+                    at, place = np.nonzero(best.score > NONE)
+                    if len(at):
+                        yield as_batch(schema, ids[own[at]], best.id[at, place], best.score[at, place].astype(np.int64), np.full(len(at), (cell << 32) + part))
+
+    return trees.select("cell", "slice", "tree").mapInArrow(run, "query_id long, vec_id long, score long, tree_id long")
