@@ -1,0 +1,47 @@
+"""Near duplicates by shingle sets against brute force, on planted copies of known similarity."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+import corpus_pipeline
+from twinlens.llm import simhash
+
+
+def sets(text, words=corpus_pipeline.WORDS):
+    w = text.lower().split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """(texts, pairs with their similarity): copies with words replaced, from 0.65 to 1."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9)))
+    texts, pairs = [], []
+    for k in range(500):
+        base = [word() for _ in range(r.choice([40, 150, 400]))]
+        copy = list(base)
+        for at in r.sample(range(len(base)), max(1, round(len(base) * r.uniform(0.005, 0.045)))):
+            copy[at] = word()
+        texts += [" ".join(base), " ".join(copy)]
+        pairs.append((2 * k, 2 * k + 1, similar(sets(texts[-2]), sets(texts[-1]))))
+    return texts, pairs
+
+
+def test_recall_and_precision_on_planted_copies(spark, planted):
+    texts, pairs = planted
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = simhash.near_duplicates(docs, words=corpus_pipeline.WORDS, wide=corpus_pipeline.WIDE_BITS, least_similarity=corpus_pipeline.SIMILARITY)
+    group = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    joined = defaultdict(list)
+    for a, b, s in pairs:
+        joined["below" if s < 0.8 else min(0.9, int(s * 20 + 1e-9) / 20)].append(group[a] == group[b])
+    print({k: f"{sum(v)} of {len(v)}" for k, v in joined.items()})
+    assert all(len(joined[k]) > 30 for k in (0.8, 0.85, 0.9, "below"))
+    assert all(joined[0.8]) and all(joined[0.85]) and all(joined[0.9]) and not any(joined["below"])
