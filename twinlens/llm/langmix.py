@@ -40,7 +40,8 @@ class Model(NamedTuple):
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, cell) of every trigram, and whether a text has a letter. All that is
-    no letter is a space; a trigram never spans two texts and holds at most one space."""
+    no letter is a space; a trigram never spans two texts and has a letter in the middle,
+    so every text with a letter has at least one."""
     cp, bounds = codes([f" {t.lower()} " if t else "" for t in texts])
     is_letter = letters()[cp]
     folded = np.where(is_letter, cp, 32).astype(np.uint64)
@@ -48,11 +49,8 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     has = total[bounds[1:]] > total[bounds[:-1]]
     if len(cp) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    few = is_letter[:-2].view(np.int8) + is_letter[1:-1].view(np.int8) + is_letter[2:].view(np.int8) >= 2
-    few &= is_letter[1:-1]
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    few &= doc[:-2] == doc[2:]
-    at = np.flatnonzero(few)
+    at = np.flatnonzero(is_letter[1:-1] & (doc[:-2] == doc[2:]))
     key = folded[at] << np.uint64(42) | folded[at + 1] << np.uint64(21) | folded[at + 2]
     return doc[at], (mixed(key) >> np.uint64(64 - BITS)).astype(np.int64), has
 
@@ -191,9 +189,9 @@ def _chosen(p: np.ndarray, n: np.ndarray, starts: np.ndarray, length: np.ndarray
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of ``docs``: its id, the ``keep`` columns, lang_pred, score (share
     of that language, 0 to 1), and languages with their shares in falling order.
-    A null text, one without a letter and one without a trigram are ``und`` with
-    score 0; so is everything if the model has learned no language. Ties go to the
-    language that comes first by name. Other columns are not read."""
+    A null text and one without a letter are ``und`` with score 0; so is everything if
+    the model has learned no language. Ties go to the language that comes first by
+    name. Other columns are not read."""
     text = unused([id_col, *keep], "_text")
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(text))
     spark = docs.sparkSession
