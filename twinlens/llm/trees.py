@@ -61,6 +61,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     symbol = ~(is_letter | digit | space)
     same = np.zeros(len(cp), bool)
     same[1:] = cp[1:] == cp[:-1]
+    same[bounds[:-1][bounds[:-1] < len(cp)]] = False  # a run ends with its text
     edges = np.flatnonzero(~same) if len(cp) else np.zeros(0, np.int64)
     run = np.diff(np.append(edges, len(cp)))
     longest = np.zeros(n)
