@@ -1,0 +1,29 @@
+"""Fingerprints that are near or equal do not make a link by themselves."""
+
+from twinlens.llm import simhash
+
+
+def sets(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def test_links_below_the_limit_are_not_taken(spark):
+    """Texts of one fingerprint, or of near ones, stay apart unless their shingles are alike."""
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[:at] + ["other"] + base[at + 1 :])) for k, at in enumerate(range(2, 400, 9))]
+    for k in range(200):  # 4 words of 100 replaced: 76 of 116 shingles in common, some pairs within 4 bits
+        words = [f"{k}v{j}" for j in range(100)]
+        rows += [(2000 + 2 * k, " ".join(words)), (2001 + 2 * k, " ".join("z" if j % 25 == 12 else w for j, w in enumerate(words)))]
+    rows += [(1000 + k, " ".join([*base[:200], *[f"x{k}y{j}" for j in range(60)]])) for k in range(5)]
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    assert any((prints[i] ^ prints[i + 1]).bit_count() <= simhash.DISTANCE for i in range(2000, 2400, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, words=5, wide=8).collect()}
+    own = {i: sets(t) for i, t in rows}
+    root = {i: i for i in own}
+    near = [(i, j) for i in own for j in own if i < j and len(own[i] & own[j]) / len(own[i] | own[j]) >= 0.8]
+    for _ in own:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert got == root
