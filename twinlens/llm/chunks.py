@@ -1,8 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A text is cut after white space where a rolling gear hash of the last ``WINDOW``
-bytes falls into one of ``1 / RATE`` classes, so the cuts depend on the content
-around them only: an insertion moves the cuts near it and no others. Chunks are
+bytes is the least among ``SPACES`` white spaces in a row, so the cuts depend on the content
+around them only: an insertion moves the cuts near it and no others. Copies of a passage are
+cut alike from its first least hash to its last, and there is one in every ``SPACES`` white
+spaces: no passage is missed because its cuts lie near each other. Chunks are
 counted by digest over all texts; of equal chunks the one with the least
 (id, digest of the text, position) stays. Consecutive chunks that are all later
 copies form a run, and a run of at least ``LEAST_BYTES`` is cut out of its text.
@@ -21,12 +23,12 @@ from pyspark.sql import functions as F
 from twinlens.llm.texts import blocks, column, ddl, mixed, unused
 
 WINDOW = 16
-#: One of so many white spaces ends a chunk.
-RATE = 6
+#: Of so many white spaces in a row one ends a chunk at least; on average one of (SPACES + 1) / 2 does.
+SPACES = 11
 #: A longer stretch without a cut is cut here, at the next start of a character.
 LONGEST = 512
-#: Characters of three bytes or more (scripts without spaces) end a chunk at this rate.
-WIDE_RATE = 16
+#: So with characters of three bytes or more (scripts without spaces).
+WIDE_CHARACTERS = 31
 LEAST_BYTES = 96
 
 
@@ -39,6 +41,22 @@ def _gear() -> np.ndarray:
 GEAR = _gear()
 
 
+def least_of(value: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least value (the first of equal ones) of every ``width`` values in a
+    row within a text. Of equal values that follow one another so, as in a text that
+    repeats itself, one in ``width`` stays."""
+    if len(value) < width:
+        return np.zeros(0, np.int64)
+    within = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1 :])
+    at = np.unique(within + np.lib.stride_tricks.sliding_window_view(value, width)[within].argmin(1))
+    new = np.ones(len(at), bool)
+    new[1:] = (value[at[1:]] != value[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]]) | (np.diff(at) >= width)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    step = (at - at[first]) // width
+    step[1:][~new[1:]] -= step[:-1][~new[1:]]
+    return at[new | (step > 0)]
+
+
 def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) in bytes of every chunk, in order. Chunks cover the texts."""
     pad = b"\0" * WINDOW  # a text's hash starts afresh
@@ -50,12 +68,14 @@ def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h[shift:] += h[:-shift] << np.uint16(shift)
     value = mixed(h.astype(np.uint64))
     space = (data == 32) | (data >= 9) & (data <= 13)
-    ends = space & (value % np.uint64(RATE) == 0)
     wide = np.zeros(len(data), bool)
     wide[2:] = data[:-2] >= 0xE0  # the third byte of a wide character, or a byte after it
     following = np.append(data[1:], 0)
-    ends |= wide & (following & 0xC0 != 0x80) & (value % np.uint64(WIDE_RATE) == 0)
-    at = np.flatnonzero(ends) + 1
+    ends = []
+    for kind, width in ((space, SPACES), (wide & (following & 0xC0 != 0x80), WIDE_CHARACTERS)):
+        at = np.flatnonzero(kind)
+        ends.append(at[least_of(value[at], np.searchsorted(first, at, side="right"), width)])
+    at = np.unique(np.concatenate(ends)) + 1
     doc = np.searchsorted(first, at, side="right") - 1
     inside = (doc >= 0) & (at <= first[doc] + size[doc])
     stops = np.unique(np.concatenate([at[inside], first + size, first]))
