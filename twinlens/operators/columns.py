@@ -21,6 +21,14 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def unused(taken, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def quasi_identifiers(df: DataFrame, count: int = 2) -> list[str]:
     return string_columns(df)[:count]
 

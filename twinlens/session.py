@@ -63,3 +63,11 @@ def spread(df: DataFrame) -> DataFrame:
     work that passes over them many times. Large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table below the shared folder. Rows are computed once
+    (``settle`` computes them twice) and outlive lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
