@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.catalog.registry import table
-from twinlens.llm import binary, chunks, langmix, licences, mtree, ordinal, pieces, simhash, tiling, trees
+from twinlens.llm import binary, bytebpe, chunks, langmix, licences, mtree, ordinal, pieces, simhash, tiling, trees
 from twinlens.session import fresh_path
 
 #: Expected severity from which a document counts as toxic.
@@ -20,6 +20,7 @@ GOOD = 0.3
 #: Files of public tokenizers, by name; see ``tokenizer_path``.
 WORD_MODEL = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 1
 
 
@@ -97,6 +98,12 @@ def op10_mtree_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(index, index.rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.checked(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN, ["doc_id"])
+
+
 OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_language_mixture,
     op2_string_tiling,
@@ -108,6 +115,7 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_licence_digests,
     op9_simhash_components,
     op10_mtree_top20,
+    op13_byte_bpe,
 )
 
 TOP_SQL = """
