@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.catalog.registry import table
-from twinlens.llm import binary, bytebpe, chunks, langmix, licences, mtree, ordinal, pieces, simhash, tiling, trees
+from twinlens.llm import binary, bytebpe, chunks, langmix, licences, mtree, ordinal, phrases, pieces, simhash, tiling, trees, turns
 from twinlens.session import fresh_path
 
 #: Expected severity from which a document counts as toxic.
@@ -98,6 +98,15 @@ def op10_mtree_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(index, index.rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads shared by up to 100 conversations make the trie branch at every depth."""
+    return turns.trie(*turns.grafted(turns.ordered(table(spark, sf_dir, "conversations"))))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,6 +124,8 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_licence_digests,
     op9_simhash_components,
     op10_mtree_top20,
+    op11_phrase_collocations,
+    op12_conversation_trie,
     op13_byte_bpe,
 )
 
@@ -129,6 +140,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20"""
 
 
+COLLOCATIONS_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT lang, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS words, unnest(w) AS phrase FROM split
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM split
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM split),
+found AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM found WHERE words = 1 GROUP BY lang),
+candidates AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM found WHERE words > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+parts AS (SELECT *, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM cuts),
+scores AS (
+  SELECT p.lang, p.words, p.phrase, p.a, p.k, h.f AS l, t.f AS r, ((1000000::HUGEINT * p.a * p.a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM parts p JOIN found h ON h.lang = p.lang AND h.phrase = p.head JOIN found t ON t.lang = p.lang AND t.phrase = p.rest),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS f FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM candidates WHERE words = 3
+    UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM candidates WHERE words = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM least s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -138,5 +176,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op8_licence_digests": licences.scan_sql(), "op10_mtree_top20": TOP_SQL}
+    found = {"op8_licence_digests": licences.scan_sql(), "op10_mtree_top20": TOP_SQL, "op11_phrase_collocations": COLLOCATIONS_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
