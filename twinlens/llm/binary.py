@@ -18,6 +18,8 @@ attempt that is lost or runs twice leaves a file that nobody reads.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,13 +31,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import as_batch, blocks, column
+from twinlens.llm.texts import as_batch, blocks, column, mapped
 from twinlens.session import fresh_path
 
 NO_ID = -(1 << 63)
 CACHE_WORDS = 250_000
-#: Characters that end a word for certain where they follow a letter.
-ENDINGS = b".,;:!?%&*$#|)\""
+#: New words that go to the library as one text.
+TOGETHER = 500
+#: How a token says that it ends a run, and what runs are in ASCII text.
+RUN_END = "</w>"
+_LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.IGNORECASE)
 MANIFEST = "part int, tokens_file string, offsets_file string, ids_file string, docs long, tokens long"
 
 
@@ -48,66 +54,71 @@ class WordEncoder:
 
     Texts are cut at ASCII white space, and each distinct word is encoded by the
     library once while it stays in the cache, which holds two generations of
-    ``CACHE_WORDS`` words. A letter followed by one of ``ENDINGS`` is a border of
-    the tokenizer's words as well, so a word and its punctuation are looked up
-    apart. Words with the opening of a special token are left whole.
+    ``CACHE_WORDS`` words. New words go to the library many at a time, as one text with spaces
+    between them. The library ends each run of letters, each digit and each run of other characters
+    with a token of its own kind, so the number of such runs in a word tells where its ids
+    end; it is certain for ASCII words and for words of letters only. ASCII texts are
+    lower-cased before, as the library does it anyway, which makes fewer distinct words.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.encoder.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  #: ids that end a run
+        self.last[[i for token, i in vocabulary.items() if token.endswith(RUN_END)]] = True
+        probe = "Aß, 3x. Ǆ's"
+        if [self._alone(w) for w in (probe, probe.lower(), probe.replace(" ", " \n"))] != [sum((self._alone(w) for w in probe.split()), [])] * 3:
+            raise ValueError(f"{tokenizer_file} does not lower-case, or joins text across white space")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.width = np.dtype("<u2") if self.encoder.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in word:
-            return word, b""
-        core = word.rstrip(ENDINGS)
-        if core and core != word and (core[-1:].isalpha() or core[-1] > 127 and core.decode()[-1].isalpha()):
-            return self._low(core), word[len(core) :]
-        return self._low(word), b""
+    def _alone(self, text: str) -> list[int]:
+        return self.encoder.encode(text, add_special_tokens=False).ids
 
     @staticmethod
-    def _low(word: bytes) -> bytes:
-        """The library lower-cases anyway; doing it for ASCII words first makes fewer distinct ones."""
-        return word.lower() if word.isascii() else word
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Encode words that are in neither generation."""
-        parts = [self._parts(w) for w in missing]
-        wanted = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self.new))
-        fresh = []
-        for p in wanted:
-            kept = self.old.get(p)
-            if kept is None:
-                fresh.append(p)
-            else:
-                self.new[p] = kept
-        for enc, p in zip(self.encoder.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), fresh, strict=True):
-            self.new[p] = np.array(enc.ids, self.width).tobytes()
-        for w, (a, b) in zip(missing, parts, strict=True):
-            self.new[w] = self.new[a] + (self.new[b] if b else b"")
+    def _runs(word: str) -> int:
+        """The number of runs in a word; 0 where it is not certain."""
+        if word.isascii():
+            return 0 if "<|" in word else len(_RUN.findall(word))
+        return int(word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha())
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        texts = [w.decode() for w in words]
+        runs = np.array([self._runs(t) for t in texts], np.int64)
+        out, size = [b""] * len(words), self.width.itemsize
+        sure = np.flatnonzero(runs > 0)
+        groups = [sure[at : at + TOGETHER] for at in range(0, len(sure), TOGETHER)]
+        alone = np.flatnonzero(runs == 0).tolist()
+        for group, enc in zip(groups, self.encoder.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids, own = np.array(enc.ids, np.int64), np.cumsum(runs[group])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != own[-1]:  # the library knows other letters
+                alone += group.tolist()
+                continue
+            raw, cut = ids.astype(self.width).tobytes(), ends[own - 1] * size
+            for k, a, b in zip(group.tolist(), np.append(0, cut[:-1]).tolist(), cut.tolist(), strict=True):
+                out[k] = raw[a:b]
+        for k, enc in zip(alone, self.encoder.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.array(enc.ids, self.width).tobytes()
+        return out
 
     def encode(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text as bytes, with ``end`` after them."""
         tail = b"" if end is None else np.array([end], self.width).tobytes()
-        split = [(t or "").encode().split() for t in texts]
+        # special tokens have their own case, and letters before combining marks compose otherwise in lower case
+        split = [(t.encode().translate(_LOW) if t.isascii() and "<|" not in t else t.encode()).split() if t else [] for t in texts]
+        if len(self.new) > CACHE_WORDS:
+            self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        missing = []
-        for w in {w for ws in split for w in ws}:
-            if w not in new:
-                kept = old.get(w)
-                if kept is None:
-                    missing.append(w)
-                else:
-                    new[w] = kept
-        self._learn(missing)
-        out = [b"".join([new[w] for w in ws]) + tail for ws in split]
-        if len(new) > CACHE_WORDS:
-            self.new, self.old = {}, new
-        return out
+        missing = set().union(*split).difference(new)
+        new.update((w, old[w]) for w in missing.intersection(old))
+        fresh = list(missing.difference(old))
+        new.update(zip(fresh, self._together(fresh), strict=True))
+        return [b"".join(map(new.__getitem__, ws)) + tail for ws in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -126,7 +137,8 @@ def write_store(
 ) -> str:
     """Encode ``docs`` in ascending order of id (null ids first, equal ids by the
     digest of their text) and write a store below ``path``, which all executors
-    must reach. A null text has no ids but ``end``. Returns ``path``."""
+    must reach. A null text has no ids but ``end``. Ids are whole numbers above -2^63, which
+    stands for null; other ids fail the job. Returns ``path``."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -160,7 +172,7 @@ def write_store(
                 o.close()
             yield as_batch(schema, [part], *[[f] for f in files], [docs_n], [at])
 
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest.parquet")
+    mapped(rows, write, MANIFEST).write.parquet(f"{path}/manifest.parquet")
     return path
 
 
