@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import blocks, column, ddl, ranges, unused
+from twinlens.llm.texts import blocks, column, ddl, mapped, ranges, unused
 
 CACHE_WORDS = 250_000
 #: Words of more bytes have a tree of their own.
@@ -193,7 +193,7 @@ class Encoder:
         size = np.array([len(t) for t in ranks.text], np.int64)
         self.size, self.first, self.table = size, np.cumsum(size) - size, np.frombuffer(b"".join(ranks.text), np.uint8)
 
-    def _learn(self, missing: list[str]) -> None:
+    def _learn(self, missing: set[str]) -> None:
         """Ids of words that are in neither generation, as little-endian 32-bit integers."""
         waiting: dict[int, list[tuple[str, bytes]]] = {}
         for word in missing:
@@ -217,16 +217,10 @@ class Encoder:
         if len(self.new) > CACHE_WORDS:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        missing = []
-        for w in {w for ws in split for w in ws}:
-            if w not in new:
-                kept = old.get(w)
-                if kept is None:
-                    missing.append(w)
-                else:
-                    new[w] = kept
-        self._learn(missing)
-        return [b"".join([new[w] for w in ws]) for ws in split]
+        missing = set().union(*split).difference(new)
+        new.update((w, old[w]) for w in missing.intersection(old))
+        self._learn(missing.difference(old))
+        return [b"".join(map(new.__getitem__, ws)) for ws in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes that each run of ids stands for."""
@@ -263,7 +257,7 @@ def _mapped(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str], col
         for block in blocks(batches, own) if kind == "string" else batches:
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *fn(encoder, column(block, own))], names=[*keep, *names])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def _lists(coded: list[bytes]) -> pa.Array:

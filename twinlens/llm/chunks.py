@@ -4,10 +4,12 @@ A text is cut after white space where a rolling gear hash of the last ``WINDOW``
 bytes is the least among ``SPACES`` white spaces in a row, so the cuts depend on the content
 around them only: an insertion moves the cuts near it and no others. Copies of a passage are
 cut alike from its first least hash to its last, and there is one in every ``SPACES`` white
-spaces: no passage is missed because its cuts lie near each other. Chunks are
-counted by digest over all texts; of equal chunks the one with the least
-(id, digest of the text, position) stays. Consecutive chunks that are all later
-copies form a run, and a run of at least ``LEAST_BYTES`` is cut out of its text.
+spaces: no passage is missed because its cuts lie near each other. Long stretches without white
+space are cut by the same rule after any character. Chunks are counted by a rolling hash
+first, and a bitmap of fixed size tells which may repeat, so most of them never travel. The
+rest are compared by digest; of equal chunks the one with the least (id, digest of the text, position) stays.
+Consecutive chunks that are all later copies form a run, and a run of at least
+``LEAST_BYTES`` is cut out of its text.
 """
 
 from __future__ import annotations
@@ -20,16 +22,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import blocks, column, ddl, mixed, unused
+from twinlens.llm.bitmaps import added, bitmap, marked
+from twinlens.llm.texts import Rolling, as_batch, blocks, column, ddl, mapped, mixed, ranges, unused
+from twinlens.operators.hotkeys import lookup
+from twinlens.session import stored
 
 WINDOW = 16
 #: Of so many white spaces in a row one ends a chunk at least; on average one of (SPACES + 1) / 2 does.
 SPACES = 11
-#: A longer stretch without a cut is cut here, at the next start of a character.
-LONGEST = 512
-#: So with characters of three bytes or more (scripts without spaces).
+#: With characters of three bytes or more (scripts without spaces) one of so many does,
 WIDE_CHARACTERS = 31
+#: and in stretches of more than so many bytes without white space one of as many others.
+STRETCH = 64
 LEAST_BYTES = 96
+#: Bits of the map of chunks that may repeat.
+MAP_BITS = 1 << 26
+#: Chunks that a task gathers before it hands their counts on.
+GATHERED = 1 << 20
 
 
 def _gear() -> np.ndarray:
@@ -71,10 +80,19 @@ def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = np.zeros(len(data), bool)
     wide[2:] = data[:-2] >= 0xE0  # the third byte of a wide character, or a byte after it
     following = np.append(data[1:], 0)
-    ends = []
-    for kind, width in ((space, SPACES), (wide & (following & 0xC0 != 0x80), WIDE_CHARACTERS)):
-        at = np.flatnonzero(kind)
-        ends.append(at[least_of(value[at], np.searchsorted(first, at, side="right"), width)])
+    step = np.zeros(len(data) + 1, np.int8)
+    np.add.at(step, first, 1)
+    np.add.at(step, first + size, -1)
+    solid = (np.cumsum(step[:-1]) > 0) & ~space
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], solid.view(np.int8), [0]])))
+    opens, closes = edge[0::2], edge[1::2]
+    long = closes - opens > STRETCH
+    kinds = [(np.flatnonzero(space), first, SPACES), (np.flatnonzero(wide & (following & 0xC0 != 0x80)), first, WIDE_CHARACTERS)]
+    if long.any():
+        opens, closes = opens[long], closes[long]
+        at = ranges(opens, closes - opens)
+        kinds.append((at[~wide[at] & (following[at] & 0xC0 != 0x80)], opens, STRETCH))
+    ends = [at[least_of(value[at], np.searchsorted(group, at, side="right"), width)] for at, group, width in kinds]
     at = np.unique(np.concatenate(ends)) + 1
     doc = np.searchsorted(first, at, side="right") - 1
     inside = (doc >= 0) & (at <= first[doc] + size[doc])
@@ -83,30 +101,56 @@ def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.searchsorted(first, start, side="right") - 1
     own = (doc >= 0) & (end <= first[doc] + size[doc]) & (end > start)
     doc, start, end = doc[own], start[own], end[own]
-    if len(start) and (end - start).max() > LONGEST:
-        parts = -(-(end - start) // LONGEST)
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        doc, first_of, last_of = np.repeat(doc, parts), np.repeat(start, parts), np.repeat(end, parts)
-        start = first_of + k * LONGEST
-        for _ in range(3):  # not inside a character
-            start = np.where((k > 0) & (start < last_of) & (data[np.minimum(start, len(data) - 1)] & 0xC0 == 0x80), start + 1, start)
-        end = np.where(np.append(k[1:] > 0, False), np.append(start[1:], 0), last_of)
-        full = end > start
-        doc, start, end = doc[full], start[full], end[full]
     return doc, start - first[doc], end - first[doc]
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, start, end, digest) of every chunk; mark is a digest of the text."""
+def _chunks(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``cuts`` and a rolling hash of each chunk."""
+    doc, start, end = cuts(raw)
+    base = np.cumsum([0, *[len(r) for r in raw]])[doc]
+    return doc, start, end, Rolling(np.frombuffer(b"".join(raw), np.uint8)).spans(base + start, base + end)
+
+
+def repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rolling hashes ``h`` of the chunks that all texts have more than once."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for block in blocks(batches, "text"):
+            h = _chunks([t.encode() for t in column(block, "text")])[3]
+            kept.append((h, np.ones(len(h), np.int64)))
+            if sum(len(x) for x, _ in kept) > GATHERED:
+                kept = [added(kept)]
+                if len(kept[0][0]) > GATHERED // 2:
+                    yield as_batch(schema, kept[0][0].view(np.int64), kept[0][1])
+                    kept = []
+        if kept:
+            h, n = added(kept)
+            yield as_batch(schema, h.view(np.int64), n)
+
+    return mapped(rows, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, mark, start, end, digest) of every chunk, or of those whose rolling hash has its bit
+    set; mark is a digest of the text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     rows = rows.withColumn("mark", F.xxhash64("text"))
     schema = f"{ddl(docs.select(F.col(id_col).alias('doc_id')))}, mark long, start int, end int, digest long"
+    shipped = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for block in blocks(batches, "text"):
             raw = [t.encode() for t in column(block, "text")]
-            doc, start, end = cuts(raw)
+            doc, start, end, h = _chunks(raw)
+            if shipped is not None:
+                likely = marked(h, shipped.value)
+                doc, start, end = doc[likely], start[likely], end[likely]
+            if not len(doc):
+                continue
             found = [digest(raw[d][a:b]) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
@@ -120,16 +164,17 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["doc_id", "mark", "start", "end", "digest"],
             )
 
-    return rows.mapInArrow(chunk, schema)
+    return mapped(rows, chunk, schema)
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, parts): the chunks of each text that an earlier one equals, as
-    byte spans in order. The array holds a text's own chunks at most."""
+    byte spans in order. The array holds a text's own chunks at most. A chunk that very many texts
+    hold is one row here whatever their number; their rows meet it apart."""
     place = F.struct("doc_id", "mark", "start")
-    all_chunks = occurrences(docs, id_col, text_col)
-    firsts = all_chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    later = all_chunks.join(firsts, "digest").where(~F.col("first").eqNullSafe(place)).select("doc_id", "mark", "start", "end")
+    likely = stored(occurrences(docs, id_col, text_col, bitmap(repeated(docs, text_col), MAP_BITS)), "chunks")
+    firsts = likely.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
+    later = lookup(likely, firsts, ["digest"]).where(~F.col("first").eqNullSafe(place)).select("doc_id", "mark", "start", "end")
     return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("parts"))
 
 
@@ -157,7 +202,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [pa.array(texts, block.schema.field(text_col).type) if c == text_col else block.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lost, pa.int64())], names=[*names, removed])
 
-    return joined.mapInArrow(cut, schema)
+    return mapped(joined, cut, schema)
 
 
 def without(text: str, parts: list[dict], least_bytes: int) -> tuple[str, int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import as_batch, blocks, codes, column, ddl, letters, mixed, unused
+from twinlens.llm.texts import as_batch, blocks, codes, column, ddl, letters, mapped, mixed, unused
 
 BITS = 16
 CELLS = 1 << BITS
@@ -85,7 +85,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
                 yield from sent()
         yield from sent()
 
-    sums = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = mapped(rows, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     n = np.zeros((CELLS, len(languages)))
     n[sums["cell"].to_numpy(np.int64), np.searchsorted(languages, sums["lang"].to_numpy(str)) if len(sums) else []] = sums["n"]
@@ -191,12 +191,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     of that language, 0 to 1), and languages with their shares in falling order.
     A null text and one without a letter are ``und`` with score 0; so is everything if
     the model has learned no language. Ties go to the language that comes first by
-    name. Other columns are not read."""
-    text = unused([id_col, *keep], "_text")
+    name. Other columns are not read. Kept columns called like a new one stay; the
+    new one then gets an underscore in front."""
+    names: list[str] = []
+    for n in ("lang_pred", "score", "languages", "shares"):
+        names.append(unused([id_col, *keep, *names], n))
+    text = unused([id_col, *keep, *names], "_text")
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(text))
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    extra = "lang_pred string, score double, languages array<string>, shares array<double>"
+    extra = ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "double", "array<string>", "array<double>"), strict=True))
     kept = [id_col, *keep]
     schema = f"{ddl(rows.drop(text))}, {extra}"
 
@@ -205,17 +209,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for block in blocks(batches, text):
             share, has = mixtures(column(block, text), model)
             order = np.argsort(-share, axis=1, kind="stable")
-            names, top, langs, shares = [], [], [], []
+            first, top, langs, shares = [], [], [], []
             for k in range(len(share)):
                 found = [j for j in order[k] if share[k, j] > 0] if has[k] else []
-                names.append(model.languages[found[0]] if found else UNDETERMINED)
+                first.append(model.languages[found[0]] if found else UNDETERMINED)
                 top.append(min(1.0, float(share[k, found[0]])) if found else 0.0)
                 langs.append([model.languages[j] for j in found])
                 shares.append([float(share[k, j]) for j in found])
             own = [block.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                names=[*kept, "lang_pred", "score", "languages", "shares"],
+                [*own, pa.array(first, pa.string()), pa.array(top, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+                names=[*kept, *names],
             )
 
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import as_batch, blocks, column, ddl, mixed, unused, words
+from twinlens.llm.texts import as_batch, blocks, column, ddl, mapped, mixed, unused, words
 from twinlens.session import fresh_path, settle
 
 #: Word beginnings of so many characters are features beside whole words.
@@ -28,6 +28,8 @@ FEATURES = 4_096
 LEAST_DOCS = 5
 RIDGE = 1e-3
 STEPS = 400
+#: Features that a task gathers before it hands their counts on.
+GATHERED = 1 << 19
 #: Bits of the map of labelled ids.
 FILTER_BITS = 1 << 24
 
@@ -56,11 +58,22 @@ def _present(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[new], feature[new]
 
 
+def _added(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with the sums of both counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    total = lambda n: np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    return keys[new], total(low), total(high)
+
+
 def with_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` joined with ``labels`` on the id, written as a table once, so that the
     passes over it shuffle no text again. Texts whose id has no label stay where
     they are: a bitmap of ``FILTER_BITS`` bits tells most of them (any number of
-    labels fits; more labels let more texts travel, the join drops those)."""
+    labels fits; more labels let more texts travel, the join drops those). A document with
+    several label rows stands there once for each; a null id meets no label."""
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FILTER_BITS))
     cells = labels.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("bits"))
     found = cells.toPandas()  # FILTER_BITS / 32 rows at most
@@ -86,18 +99,24 @@ def counted(labelled: DataFrame, grade_col: str = "grade", text_col: str = "text
     rows = labelled.where(F.col(grade_col).isNotNull()).select(F.col(grade_col).cast("int").alias("grade"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("feature", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
-    def count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 4 << 20):
+    def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # each feature once, with its documents of grade 0 and above
+        for block in blocks(batches, "text"):
             high = np.array(column(block, "grade")) > 0
             doc, feature = _present(*features(column(block, "text")))
-            keys, at = np.unique(feature, return_inverse=True)
-            ups = np.bincount(at, weights=high[doc], minlength=len(keys)).astype(np.int64)
-            alls = np.bincount(at, minlength=len(keys))
-            yield as_batch(schema, keys.view(np.int64), alls - ups, ups)
+            kept.append(_added(feature, ~high[doc], high[doc]))
+            if sum(len(k) for k, _, _ in kept) > GATHERED:
+                kept = [_added(*(np.concatenate(x) for x in zip(*kept, strict=True)))]
+                if len(kept[0][0]) > GATHERED // 2:
+                    yield as_batch(schema, kept[0][0].view(np.int64), *kept[0][1:])
+                    kept = []
+        if kept:
+            keys, low, high = _added(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+            yield as_batch(schema, keys.view(np.int64), low, high)
 
     n = rows.agg(F.coalesce(F.sum(F.when(F.col("grade") > 0, 1).otherwise(0)), F.lit(0)).alias("high"), F.count(F.lit(1)).alias("all")).first()
     n_high, n_low = float(n["high"]), float(n["all"] - n["high"])
-    sums = rows.mapInArrow(count_block, "feature long, low long, high long").groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    sums = mapped(rows, count_blocks, "feature long, low long, high long").groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     sums = sums.where(F.col("low") + F.col("high") >= LEAST_DOCS)
     a, b = F.col("high") + F.lit(0.5), F.col("low") + F.lit(0.5)
     expected = (a + b) * F.lit((n_high + 1) / (n_high + n_low + 2))
@@ -142,7 +161,7 @@ def with_hits(docs: DataFrame, keys: np.ndarray, keep: list[str], text_col: str
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], lists], names=[*keep, out])
 
-    return rows.mapInArrow(find, schema)
+    return mapped(rows, find, schema)
 
 
 def fit_arrays(hits: list, grades: np.ndarray, width: int, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +214,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", grade_col: str = "grade", t
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out: str = "severity") -> DataFrame:
     """The ``keep`` columns and the expected grade: the sum over thresholds of
     P(grade > k). A null or empty text has no feature and gets the model's
-    expectation for such a text. A row per row of ``docs``."""
+    expectation for such a text. A row per row of ``docs``. A kept column called ``out``
+    stays; the new one then gets an underscore in front."""
+    out = unused(keep, out)
     text = unused([*keep, out], "_text")
     rows = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     schema = f"{ddl(docs.select(*keep))}, {out} double"
@@ -209,13 +230,14 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
             expected = (1 / (1 + np.exp(np.clip(m.thresholds[None, :] - eta[:, None], -40, 40)))).sum(1)
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], pa.array(expected, pa.float64())], names=[*keep, out])
 
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)
 
 
 def silver_grades(labelled: DataFrame, keys: np.ndarray, flag_col: str = "toxic", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Grades from a yes/no label: 0 for no; 1 for yes; 2 for yes with more of the
     label's own features (``keys``, as ``select`` finds them with ``rising``) than half of the yes rows have."""
-    own = with_hits(labelled.select(*keep, F.col(flag_col).alias("_flag"), F.col(text_col).alias("text")), keys, [*keep, "_flag", "text"])
-    n = F.size("hits")
-    middle = own.where("_flag > 0").agg(F.percentile_approx(n, 0.5).alias("m")).first()["m"] or 0
-    return own.select(*keep, "text", F.when(F.col("_flag").isNull(), None).when(F.col("_flag") <= 0, 0).when(n <= middle, 1).otherwise(2).alias("grade"))
+    flag, hits = unused([*keep, "text"], "_flag"), unused([*keep, "text"], "_hits")
+    own = with_hits(labelled.select(*keep, F.col(flag_col).alias(flag), F.col(text_col).alias("text")), keys, [*keep, flag, "text"], out=hits)
+    n = F.size(hits)
+    middle = own.where(F.col(flag) > 0).agg(F.percentile_approx(n, 0.5).alias("m")).first()["m"] or 0
+    return own.select(*keep, "text", F.when(F.col(flag).isNull(), None).when(F.col(flag) <= 0, 0).when(n <= middle, 1).otherwise(2).alias("grade"))

@@ -11,9 +11,9 @@ before the closing trigger, which gives every occurrence exactly one chunk, as n
 is longer than a trigger and one word.
 
 Phrases of two words are counted by 64-bit hash first, those of three only where both their
-pairs are frequent. Bitmaps of a fixed size tell what may be frequent; more
-phrases fill them and let more through, which costs time and changes nothing, as the
-last pass counts the phrases themselves.
+pairs are frequent, and single words only where they are part of a frequent pair. Bitmaps of
+a fixed size tell what may be frequent; more phrases fill them and let more through, which
+costs time and changes nothing, as the last pass counts the phrases themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import Rolling, as_batch, blocks, column, mixed, ranges
+from twinlens.llm.bitmaps import added, bitmap, marked
+from twinlens.llm.texts import Rolling, as_batch, blocks, column, mapped, mixed, ranges
 from twinlens.operators.hotkeys import lookup
 from twinlens.session import stored
 
@@ -46,6 +47,10 @@ NO_LANGUAGE = "und"
 MAP_BITS = 1 << 25
 #: Hashes that a task gathers before it adds them up.
 GATHERED = 1 << 21
+#: Bytes of chunks that are looked at together.
+CHUNK_BYTES = 6 << 20
+#: A language's phrases are ranked in so many parts first.
+RANK_PARTS = 64
 _BREAK = np.uint64(0x1D8E4E27C47D124F)  # the hash of a break token
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +135,21 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 wide = pa.Array.from_buffers(pa.large_string(), len(doc), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[ranges(a, size)])])
                 yield pa.RecordBatch.from_arrays([block.column("lang").take(pa.array(doc)), wide.cast(pa.string())], names=["lang", "chunk"])
 
-    return rows.mapInArrow(run, "lang string, chunk string").groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    return mapped(rows, run, "lang string, chunk string").groupBy("lang", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of chunks put together up to about ``limit`` bytes."""
+    kept, size = [], 0
+    for block in blocks(batches, "chunk", limit):
+        own = block.nbytes
+        if kept and size + own > limit:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, size = [], 0
+        kept.append(block)
+        size += own
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
 
 class Grams:
@@ -166,59 +185,42 @@ class Grams:
             h = _pairs(h, self.word[at + j])
         return at, h
 
+    def of_pairs(self, bits: np.ndarray) -> np.ndarray:
+        """Hashes of the words of all pairs in the map, each once."""
+        near = np.flatnonzero((self.chunk[1:] == self.chunk[:-1]) & (self.token[1:] == self.token[:-1] + 1))
+        near = near[marked(_pairs(self.word[near], self.word[near + 1]), bits)]
+        return np.unique(np.concatenate([self.word[near], self.word[near + 1]]))
+
     def both_pairs(self, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Whether both pairs of the three words from each place on are in the map."""
         pair = _pairs(self.word[:-1], self.word[1:])
         return marked(pair[at], bits) & marked(pair[at + 1], bits)
 
 
-def marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    cell = (h & np.uint64(MAP_BITS - 1)).astype(np.int64)
-    return (bits[cell >> 5] >> (cell & 31).astype(np.uint32)) & 1 == 1
-
-
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for the low end of each hash ``h``; ``MAP_BITS`` in all, whatever their number."""
-    cell = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1))
-    cells = hashes.groupBy(F.shiftright(cell, 5).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((h & {MAP_BITS - 1}) % 32 AS INT))")).alias("bits"))
-    found = cells.toArrow()  # MAP_BITS / 32 rows at most
-    bits = np.zeros(MAP_BITS // 32, np.uint32)
-    bits[found["cell"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return bits
-
-
 def _frequent(chunks: DataFrame, pick, least: int) -> DataFrame:
     """Hashes ``h`` of what ``pick`` gives for each block of chunks that are counted at least so often."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            h, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-            return h[new], np.add.reduceat(n, np.flatnonzero(new)) if len(h) else n
-
-        for block in blocks(batches, "chunk"):
+        for block in gathered(batches):
             kept.append(pick(Grams(block)))
             if sum(len(h) for h, _ in kept) > GATHERED:
-                h, n = summed()
-                kept = [(h, n)]
-                if len(h) > GATHERED // 2:
-                    yield as_batch(schema, h.view(np.int64), n)
+                kept = [added(kept)]
+                if len(kept[0][0]) > GATHERED // 2:
+                    yield as_batch(schema, kept[0][0].view(np.int64), kept[0][1])
                     kept = []
         if kept:
-            h, n = summed()
+            h, n = added(kept)
             yield as_batch(schema, h.view(np.int64), n)
 
-    return chunks.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    return mapped(chunks, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST_COUNT, rate: int = RATE) -> DataFrame:
-    """(lang, words, phrase, n): all words, and all phrases of 2 to ``LONGEST`` words that occur at
-    least ``least`` times. Null texts are empty."""
+    """(lang, words, phrase, n): all phrases of 2 to ``LONGEST`` words that occur at least ``least``
+    times, the words they are made of (and some others), and with 0 words and an empty phrase the number of
+    all words of the language. Null texts are empty."""
     spark = docs.sparkSession
     chunks = stored(dictionary(docs, text_col, lang_col, rate), "chunks").withColumn("seed", F.xxhash64("lang"))
 
@@ -226,26 +228,35 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
         at, h = g.of(2)
         return h, g.weight[g.chunk[at]]
 
-    two = spark.sparkContext.broadcast(bitmap(_frequent(chunks, pairs, least)))
+    two = spark.sparkContext.broadcast(bitmap(_frequent(chunks, pairs, least), MAP_BITS))
 
     def triples(g: Grams) -> tuple[np.ndarray, np.ndarray]:
         at, h = g.of(3)
         likely = g.both_pairs(at, two.value)
         return h[likely], g.weight[g.chunk[at[likely]]]
 
-    three = spark.sparkContext.broadcast(bitmap(_frequent(chunks, triples, least)))
+    def words(g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        h = g.of_pairs(two.value)
+        return h, np.ones(len(h), np.int64)
+
+    one = spark.sparkContext.broadcast(bitmap(_frequent(chunks, words, 1), MAP_BITS))
+    three = spark.sparkContext.broadcast(bitmap(_frequent(chunks, triples, least), MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "chunk"):
+        names = ["lang", "words", "phrase", "n"]
+        for block in gathered(batches):
             g = Grams(block)
-            for size in range(1, LONGEST + 1):
+            langs = block.column("lang")
+            every, _ = g.of(1)
+            total = np.bincount(g.chunk[every], weights=g.weight[g.chunk[every]], minlength=block.num_rows).astype(np.int64)
+            sums = pa.table({"lang": langs, "n": total}).group_by("lang").aggregate([("n", "sum")])
+            yield pa.RecordBatch.from_arrays([sums["lang"].combine_chunks(), pa.array([0] * len(sums), pa.int32()), pa.array([""] * len(sums)), sums["n_sum"].combine_chunks()], names=names)
+            for size, bits in ((1, one), (2, two), (3, three)):
                 at, h = g.of(size)
-                if size > 1:
-                    likely = marked(h, (two if size == 2 else three).value)
-                    at, h = at[likely], h[likely]
+                likely = marked(h, bits.value)
                 if size == 3:
-                    likely = g.both_pairs(at, two.value)
-                    at, h = at[likely], h[likely]
+                    likely &= g.both_pairs(at, two.value)
+                at, h = at[likely], h[likely]
                 if not len(at):
                     continue
                 order = np.argsort(h, kind="stable")
@@ -255,11 +266,10 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
                 a, length = g.start[first], g.end[first + size - 1] - g.start[first]
                 ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 text = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(g.data[ranges(a, length)])])
-                lang = block.column("lang").take(pa.array(g.chunk[first]))
-                yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(first), size, np.int32)), text, pa.array(n)], names=["lang", "words", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(g.chunk[first])), pa.array(np.full(len(first), size, np.int32)), text, pa.array(n)], names=names)
 
-    found = chunks.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return found.where((F.col("words") == 1) | (F.col("n") >= least))
+    found = mapped(chunks, run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    return found.where((F.col("words") < 2) | (F.col("n") >= least))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -279,7 +289,7 @@ def scored(found: DataFrame) -> DataFrame:
         F.array(entry(1, "l", part(1, 1)), entry(1, "r", part(2, 2)), entry(2, "l", part(1, 2)), entry(2, "r", part(3, 1)))
     )
     asked = stored(many.select("lang", "phrase", "words", F.col("n").alias("a"), F.explode(cuts).alias("e")).select("lang", "phrase", "words", "a", "e.*"), "parts")
-    known = lookup(asked, found.select("lang", F.col("phrase").alias("part"), F.col("n").alias("c")), ["lang", "part"])
+    known = lookup(asked, found.where("words > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("c")), ["lang", "part"])
     sides = known.groupBy("lang", "phrase", "words", "a", "cut").agg(F.max(F.when(F.col("side") == "l", F.col("c"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("c"))).alias("r"))
     best = sides.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "cut", "l", "r")).alias("s"))
     inner = many.where("words = 3").select("lang", F.col("n").alias("longer"), F.explode(F.array(part(1, 2), part(2, 2))).alias("phrase"))
@@ -295,8 +305,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     A null language is ``und``, a null text is empty; rows alike count each. A text without two
     words in a piece adds to n only, and an empty table gives no row. Other columns play no part."""
     found = stored(counts(docs, text_col, lang_col, least, rate), "phrases")
-    n = found.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # every task hands on its own first rows only, so no task gathers a language
-    best = scored(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    n = found.where("words = 0").select("lang", "n")
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # the last window reads RANK_PARTS * top rows of a language at most, however many there are
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    first = scored(found).withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

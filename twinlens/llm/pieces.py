@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import Rolling, blocks, codes, column, ddl, ranges, unused
+from twinlens.llm.texts import Rolling, blocks, codes, column, ddl, mapped, ranges, unused
 
 MARK = "▁"
 _MARK = ord(MARK)
@@ -257,7 +257,7 @@ def _mapped(docs: DataFrame, model_file: str, keep: list[str], text_col: str, ex
             ids, ends = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *fn(texts, ids, ends, encoder.pieces)], names=[*keep, *names])
 
-    return rows.mapInArrow(run, f"{ddl(docs.select(*keep))}, {extra}")
+    return mapped(rows, run, f"{ddl(docs.select(*keep))}, {extra}")
 
 
 def encode(docs: DataFrame, model_file: str, keep: list[str], text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -281,14 +281,15 @@ def decoded(coded: DataFrame, model_file: str, keep: list[str], ids_col: str = "
             texts = [None if x is None else t for x, t in zip(lists, decode(flat, ends, shipped.value), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
-    return rows.mapInArrow(run, f"{ddl(coded.select(*keep))}, {out} string")
+    return mapped(rows, run, f"{ddl(coded.select(*keep))}, {out} string")
 
 
 def checked(docs: DataFrame, model_file: str, keep: list[str], text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode each text: ``keep``, n_ids, ids_crc32 (of the ids as
     little-endian 32-bit integers), round_trip (the ids give the text back; a null
     text counts as empty; false where a text holds the space mark itself), and the
-    ids if wanted."""
+    ids if wanted. Kept columns called like a new one stay; the new one then gets an
+    underscore in front."""
 
     def both(texts, ids, ends, p) -> list[pa.Array]:
         back = decode(ids, ends, p)
@@ -298,6 +299,9 @@ def checked(docs: DataFrame, model_file: str, keep: list[str], text_col: str = "
         out = [pa.array(np.diff(ends), pa.int32()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
         return out + ([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else [])
 
-    names = ("n_ids", "ids_crc32", "round_trip", *(("ids",) if with_ids else ()))
-    kinds = "n_ids int, ids_crc32 long, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    kinds = {"n_ids": "int", "ids_crc32": "long", "round_trip": "boolean"} | ({"ids": "array<int>"} if with_ids else {})
+    names: tuple[str, ...] = ()
+    for n in kinds:
+        names += (unused([*keep, *names], n),)
+    kinds = ", ".join(f"{n} {t}" for n, t in zip(names, kinds.values(), strict=True))
     return _mapped(docs, model_file, keep, text_col, kinds, names, both)

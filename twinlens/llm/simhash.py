@@ -8,10 +8,6 @@ where candidates are estimated per partition and threshold from the bits' shares
 the values that fingerprints really share, and thresholds are chosen by dynamic
 programming. A probe flips half of a threshold's bits on either side and joins on
 equality; what meets is verified.
-
-One fingerprint misses many pairs of like texts. For ``near_duplicates`` with ``wide``
-every text therefore has further fingerprints, keys of its least shingles under many hash
-functions, and a pair that meets by any of them is judged by the shingle sets.
 """
 
 from __future__ import annotations
@@ -21,30 +17,20 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.components import components
-from twinlens.llm.texts import as_batch, blocks, column, ddl, mixed
+from twinlens.llm.texts import as_batch, blocks, column, ddl, mapped
+from twinlens.operators.hotkeys import lookup
 from twinlens.session import settle
 
 BITS = 64
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-#: Least hashes of a text that stand for all of them.
-SKETCH = 64
-#: A pair whose sketches are so many standard errors from the limit is not counted out.
-ERRORS = 4
-#: Keys of a text and the hash functions whose least values make one. Texts that share 80 %
-#: of their shingles miss each other in all keys with a chance of 3 in 100,000.
-BANDS, BAND_ROWS = 20, 4
-_FUNCTIONS = mixed(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
-#: Bits of the map of texts whose shingles are asked for.
-FILTER_BITS = 1 << 24
 #: A candidate costs so much of what a probed row costs.
 CANDIDATE_COST = 0.2
 
@@ -72,51 +58,17 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def sketch(h: np.ndarray) -> np.ndarray:
-    """The ``SKETCH`` least of the distinct hashes, cut to 32 bits: two of them tell how many shingles texts share."""
-    return (np.unique(h)[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """``BANDS`` keys of the set of hashes: two sets share each with the chance of their similarity to the power of ``BAND_ROWS``."""
-    low = np.full(BANDS * BAND_ROWS, -1, np.int64).view(np.uint64)
-    for at in range(0, len(h), 1 << 12):
-        low = np.minimum(low, ((h[at : at + (1 << 12)] ^ _FUNCTIONS[0]) * (_FUNCTIONS[1] | np.uint64(1))).min(1))
-    key = np.arange(BANDS, dtype=np.uint64)
-    for row in low.reshape(BANDS, BAND_ROWS).T:
-        key = mixed(key ^ row)
-    return key.view(np.int64)
-
-
-def set_digest(h: np.ndarray) -> int:
-    """64 bits that are equal for equal sets of hashes."""
-    return xxhash.xxh3_64_intdigest(np.unique(h).tobytes())
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = (), sets: bool = False) -> DataFrame:
-    """(doc_id, the ``keep`` columns, fp) of every row; fp is a signed long. A null text
-    has no word. With ``sets`` also what stands for the set of shingles: node (its
-    digest), mark (digest of the text), size, sketch and keys."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([F.xxhash64(F.col(text_col).cast("string")).alias("mark")] if sets else []), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the ``keep`` columns, fp) of every row; fp is a signed long. A null text has no word."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
     own = [c for c in rows.columns if c != "text"]
-    names = [*own, "fp", *(["node", "size", "sketch", "keys"] if sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            hashes = [shingle_hashes(t, words) for t in column(block, "text")]
-            fp = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
-            made = [pa.array(fp, pa.int64())]
-            if sets:
-                made += [
-                    pa.array(np.array([set_digest(h) for h in hashes], np.uint64).view(np.int64)),
-                    pa.array([len(np.unique(h)) for h in hashes], pa.int32()),
-                    pa.array([sketch(h) for h in hashes], pa.list_(pa.int32())),
-                    pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64())),
-                ]
-            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in own], *made], names=names)
-
-    more = ", node long, size int, sketch array<int>, keys array<long>" if sets else ""
-    return rows.mapInArrow(run, f"{ddl(rows.drop('text'))}, fp long{more}")
+            fp = np.array([fingerprint(shingle_hashes(t, words)) for t in column(block, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[block.column(c) for c in own], pa.array(fp, pa.int64())], names=[*own, "fp"])
+
+    return mapped(rows, run, f"{ddl(rows.drop('text'))}, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -230,10 +182,9 @@ def _keys(part: int, value: Column, flips: Column) -> Column:
     return F.transform(flips, lambda f: F.struct(F.lit(part).alias("part"), value.bitwiseXOR(f).alias("key")))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, apart: str | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v) of all pairs of distinct values of ``fp`` that differ in at most
-    ``distance`` bits; ``fps`` holds each value once. With ``apart``, only pairs that
-    differ in that column as well, which comes along as u_apart and v_apart."""
+    ``distance`` bits; ``fps`` holds each value once."""
     chosen = plan(fps, distance)
 
     def side(name: str, query: bool) -> DataFrame:
@@ -241,137 +192,28 @@ def links(fps: DataFrame, distance: int = DISTANCE, apart: str | None = None) ->
         for k, (bits, t) in enumerate(chosen):
             value = F.col("fp").bitwiseAND(F.lit(masked(bits)))
             entries.append(_keys(k, value, _flips(bits, t - t // 2 if query else t // 2)))
-        own = [F.col("fp").alias(name), *([F.col(apart).alias(f"{name}_apart")] if apart else [])]
-        rows = fps.select(*own, F.explode(F.concat(*entries)).alias("e"))
-        return rows.select(*[c for c in rows.columns if c != "e"], "e.part", "e.key")
+        return fps.select(F.col("fp").alias(name), F.explode(F.concat(*entries)).alias("e")).select(name, "e.part", "e.key")
 
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-    if apart:
-        near = near & (F.col("u_apart") != F.col("v_apart"))
     q, d = side("u", True), side("v", False)
     met = q.join(d, (q["part"] == d["part"]) & (q["key"] == d["key"]) & near)
     return met.drop("part", "key").distinct()
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles, from two sketches."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), least)) / F.greatest(F.size(least), F.lit(1))
-
-
-def _beside(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (u, v) with the columns of both their rows, called u_... and v_...."""
-    for side in ("u", "v"):
-        own = rows.select(F.col(key).alias(side), *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != key])
-        pairs = pairs.join(own, side)
-    return pairs
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(node, hashes) of the wanted (node, mark). Most other texts stay where they are: a
-    bitmap of ``FILTER_BITS`` bits tells them (any number can be wanted)."""
-    place = F.pmod("mark", F.lit(FILTER_BITS))
-    cells = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("bits"))
-    found = cells.toPandas()  # FILTER_BITS / 32 rows at most
-    mask = np.zeros(FILTER_BITS // 32, np.uint32)
-    mask[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    shipped = docs.sparkSession.sparkContext.broadcast(mask)
-
-    @F.pandas_udf("boolean")
-    def asked(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((shipped.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            hashes = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in column(block, "text")]
-            yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text")).where(asked(place)).dropDuplicates(["mark"])
-    return texts.join(wanted, "mark").select("node", "text").mapInArrow(run, "node long, hashes array<long>")
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, least: float) -> DataFrame:
-    """The (u, v, ...) whose sets share at least ``least`` of their shingles. Sketches count out
-    and in what is ``ERRORS`` standard errors away; the sets themselves decide on the rest."""
-    both = _beside(pairs, nodes.select("node", "size", "sketch"), "node")
-    small, large = F.least("u_size", "v_size"), F.greatest("u_size", "v_size")
-    shared = F.size(F.array_intersect("u_sketch", "v_sketch"))
-    whole = F.when(large <= SKETCH, shared / (small + large - shared))
-    guess = similarity(F.col("u_sketch"), F.col("v_sketch"))
-    low = least - ERRORS * (least * (1 - least) / SKETCH) ** 0.5
-    sure = F.when(guess < low, False).when(guess - ERRORS * F.sqrt(guess * (1 - guess) / SKETCH) >= least, True)
-    judged = both.where(small >= least * large).withColumn("sure", F.coalesce(whole >= least, sure))
-    judged = settle(judged.where("sure is null or sure").select(*pairs.columns, "sure"))
-    open_pairs = judged.where("sure is null").drop("sure")
-    wanted = open_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-    sets = settle(shingle_sets(docs, settle(wanted), text_col, words))
-    held = _beside(open_pairs, sets, "node")
-    common = F.size(F.array_intersect("u_hashes", "v_hashes"))
-    enough = common / (F.size("u_hashes") + F.size("v_hashes") - common) >= least
-    return judged.where("sure").drop("sure").unionByName(held.where(enough).select(*pairs.columns))
-
-
-def _least(labelled: DataFrame, rows: DataFrame, keep: tuple[str, ...], key: str = "fp") -> DataFrame:
-    """Rows with their component and its least id."""
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = labelled.join(least, "component").select(key, "component", "component_id")
-    return rows.join(known, key).select("doc_id", *keep, "fp", "component", "component_id")
-
-
-def _by_sets(docs: DataFrame, id_col: str, text_col: str, distance: int, words: int, keep: tuple[str, ...], wide: int, least: float) -> DataFrame:
-    """``near_duplicates`` by shingle sets: a node is a set. Two rounds, so that a large group
-    isn't expanded into its pairs: first each node meets the least one of every key it
-    has, and narrow links; then all that share a key or a wide link and are still apart."""
-    rows = settle(fingerprints(docs, id_col, text_col, words, keep, sets=True))
-    nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "mark", "size", "sketch", "keys")]))
-    judge = lambda pairs: alike(pairs, nodes, docs, text_col, words, least)
-
-    own_key = F.array(F.xxhash64(F.lit("fp"), "fp"))
-    entries = nodes.select("node", F.explode(F.concat("keys", own_key)).alias("key"))
-    met = entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = settle(entries.join(met, "key"))
-    near = _beside(links(nodes.select("fp").distinct(), distance), nodes.select("fp", "node"), "fp")
-    ends = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    star = shared.where("node <> first").select(*ends("node", "first"))
-    sure = judge(star.unionByName(near.where("u_node <> v_node").select(*ends("u_node", "v_node"))).distinct())
-    linked = components(sure).select("node", "component")
-    label = settle(nodes.select("node", "fp", "least").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-
-    apart = shared.select("key", "node").join(label.select("node", "component"), "node")
-    several = apart.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    side = lambda name: apart.select("key", F.col("node").alias(name), F.col("component").alias(f"{name}_apart"))
-    pairs = side("u").join(several, "key").join(side("v"), "key").where("u < v and u_apart <> v_apart").select("u", "v", "u_apart", "v_apart")
-    far = links(label.select("fp", "component").distinct(), wide, apart="component")
-    for name in ("u", "v"):
-        far = far.join(label.select(F.col("fp").alias(name), F.col("component").alias(f"{name}_apart"), F.col("node").alias(f"{name}_node")), [name, f"{name}_apart"])
-    far = far.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_apart", "v_apart")
-    sure = judge(pairs.unionByName(far.where("u < v")).unionByName(far.where("u > v").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("v_apart").alias("u_apart"), F.col("u_apart").alias("v_apart"))).distinct())
-    merged = components(sure.select(F.col("u_apart").alias("u"), F.col("v_apart").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("larger"))
-    label = label.join(merged, "component", "left").select("node", "least", F.coalesce("larger", "component").alias("component"))
-    return _least(label, rows, keep, "node")
-
-
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = SHINGLE,
-    keep: tuple[str, ...] = (), wide: int | None = None, least_similarity: float = 0.8,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = SHINGLE, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, the ``keep`` columns, fp, component, component_id) of every row:
     component_id is the smallest doc_id (nulls aside) that can be reached over links of
     at most ``distance`` bits, component the smallest fingerprint.
 
-    With ``wide``, links are pairs that share at least ``least_similarity`` of their shingles,
-    and component is the smallest digest of a set of shingles. Pairs are looked for
-    within ``distance``, then ``wide`` bits of the fingerprint and by common keys; no link is
-    taken unseen. Pairs within one component add nothing and are left out in
-    the second round, so a large group of near copies isn't expanded into its pairs.
-
-    Equal fingerprints (with ``wide``: equal sets) are one node, so copies are never paired. Null, empty and blank
-    texts have fingerprint zero and no shingle, and are one node. Rows alike stay rows."""
-    if wide is not None:
-        return _by_sets(docs, id_col, text_col, distance, words, keep, wide, least_similarity)
+    Equal fingerprints are one node, so copies are never paired. Null, empty and blank
+    texts have fingerprint zero and no shingle, and are one node. Rows alike stay rows. One
+    fingerprint or one component may hold any share of the rows: such are joined apart."""
     fps = settle(fingerprints(docs, id_col, text_col, words, keep))
     groups = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(groups.select("fp"), distance)).select(F.col("node").alias("fp"), "component")
-    labelled = groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    return _least(labelled, fps, keep)
+    labelled = settle(groups.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = settle(lookup(labelled, least, ["component"]).select("fp", "component", "component_id"))
+    return lookup(fps, known, ["fp"]).select("doc_id", *keep, "fp", "component", "component_id")

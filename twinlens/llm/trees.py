@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.texts import blocks, codes, column, ddl, letters, unused, words
+from twinlens.llm.texts import blocks, codes, column, ddl, letters, mapped, unused, words
 from twinlens.session import settle
 
 STATISTICS = (
@@ -130,7 +130,7 @@ def _mapped(docs: DataFrame, keep: list[str], text_col: str, extra: str, fn, nam
         for block in blocks(batches, text):
             yield pa.RecordBatch.from_arrays([*[block.column(c) for c in keep], *fn(statistics(column(block, text)))], names=[*keep, *names])
 
-    return rows.mapInArrow(run, f"{ddl(docs.select(*keep))}, {extra}")
+    return mapped(rows, run, f"{ddl(docs.select(*keep))}, {extra}")
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -253,4 +253,4 @@ def predict_rows(rows: DataFrame, model: Model, keep: list[str], statistics_col:
             values = batch.column(x).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score_arrays(shipped.value, values), pa.float64())], names=[*keep, out])
 
-    return own.mapInArrow(run, f"{ddl(rows.select(*keep))}, {out} double")
+    return mapped(own, run, f"{ddl(rows.select(*keep))}, {out} double")
