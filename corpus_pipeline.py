@@ -18,13 +18,6 @@ from twinlens.llm.texts import unused
 from twinlens.session import fresh_path
 
 
-#: Near duplicates share this much of their shingles of so many words ...
-SIMILARITY = 0.8
-WORDS = 5
-#: ... and their fingerprints differ in no more bits than this.
-WIDE_BITS = 8
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below ``TOXIC``. Null and empty texts stay."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
@@ -33,12 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id (then digest of the
-    text); a null id comes last. Of rows alike in id and text one stays. Documents
-    without a word have one fingerprint, so one of them stays."""
+    """One document of each group whose fingerprints are linked (shingles and distance as
+    in op9): the one with the least id, a null id last; of several with that id the one with the least
+    digest of all columns. Rows alike in every column are one. Documents without a word have one
+    fingerprint, so one of them stays."""
     first, second = unused(docs.columns, "_mark1"), unused(docs.columns, "_mark2")
-    marked = docs.withColumns({first: F.xxhash64("doc_id", "text"), second: F.hash("doc_id", "text")})
-    found = simhash.near_duplicates(marked, words=WORDS, keep=(first, second), wide=WIDE_BITS, least_similarity=SIMILARITY)
+    marked = docs.withColumns({first: F.xxhash64(*docs.columns), second: F.xxhash64(F.lit(2), *docs.columns)})
+    found = simhash.near_duplicates(marked, distance=simhash.DISTANCE, words=simhash.SHINGLE, keep=(first, second))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(first).alias("first"), F.col(second).alias("second"))
     kept = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.first").alias(first), F.col("k.second").alias(second))
     return marked.join(kept, [first, second], "left_semi").dropDuplicates([first, second]).select(*docs.columns)
@@ -53,7 +47,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold a benchmark item."""
+    """Documents that don't hold a benchmark item. Null and empty texts stay; an empty benchmark lets all stay."""
     return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
