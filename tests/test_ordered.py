@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinlens.operators import fidelity, ordered
 from twinlens.operators.pair import Pair
 from twinlens.operators.profile import pair_stats
+from twinlens.operators.sampling import fold_assign
 
 
 @pytest.fixture(scope="module")
@@ -45,11 +46,29 @@ def test_wasserstein_brute_force(numbers, size):
 def test_running_total_slices(spark):
     rows = [(u, float(i // 3), i, float(i % 5)) for i in range(900) for u in ((0,) if i % 3 else (0, None))]
     df = spark.createDataFrame(rows, "u int, t double, i int, v double")
-    one = ordered.running_total(df, ["u"], ["t", "i"], "v", "s")
-    many = ordered.running_total(df, ["u"], ["t", "i"], "v", "s", rows_per_bucket=50)
-    key = ["u", "i"]
-    assert many.count() == len(rows)
-    assert set(map(tuple, one.select(*key, "s").collect())) == set(map(tuple, many.select(*key, "s").collect()))
+    got = {(r["u"], r["i"]): r["s"] for r in ordered.running_total(df, ["u"], ["t", "i"], "v", "s").collect()}
+    want, total = {}, {}
+    for u, _, i, v in sorted(rows, key=lambda r: r[1:3]):
+        want[u, i] = total.get(u, 0.0)
+        total[u] = want[u, i] + v
+    assert got == want
+
+
+def test_reserved_names_survive(spark):
+    df = spark.createDataFrame([(i % 3, i, "k", "h", "b", "n") for i in range(60)], "g int, _rank int, _key string, _h string, _b string, _n string")
+    folded = fold_assign(df, "g", F.col("_rank"), ["_rank"], folds=4)
+    assert folded.columns == [*df.columns, "fold"] and folded.where("_key = 'k' and _h = 'h' and _b = 'b' and _n = 'n'").count() == 60
+    assert sorted(r["count"] for r in folded.groupBy("g", "fold").count().collect()) == [5] * 12
+    numbered = ordered.ordered_row_number(df, ["_rank"], "_key")
+    assert [r["_key"] for r in numbered.orderBy("_rank").collect()] == list(range(60))
+    assert ordered.hash_head(df, 7, ordered.hash_order(1, F.col("_rank")), ["_rank"]).columns == df.columns
+
+
+def test_equal_rows_are_dealt_to_all_folds(spark):
+    df = spark.createDataFrame([(1, "same")] * 400 + [(1, f"r{i}") for i in range(800)], "g int, s string")
+    folded = fold_assign(df, "g", F.col("s"), [])
+    assert {r["count"] for r in folded.groupBy("fold").count().collect()} == {240}
+    assert max(r["count"] for r in folded.where("s = 'same'").groupBy("fold").count().collect()) == 80
 
 
 def test_hash_head_large_equals_top_k(spark, monkeypatch):

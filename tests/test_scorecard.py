@@ -42,8 +42,11 @@ def test_published_runs(spark):
         ((0.15, 20.0, 0.5, 2, 0), "Low k-anonymity"),
         ((0.1501, 20.0, 0.5, 3, 0), "Fidelity poor"),
         ((0.15, 20.01, 0.5, 3, 0), "Utility poor"),
-        ((0.15, None, 0.5, 3, 0), "Passed all benchmarks."),
+        ((0.15, None, 0.5, 3, 0), "Missing Data"),
+        ((0.15, None, 0.8, 3, 0), "Privacy Failed (MIA/Linkability)"),
         ((None, 1.0, 0.5, 3, 0), "Missing Data"),
+        ((0.15, 1.0, None, 3, 0), "Missing Data"),
+        ((0.15, 1.0, 0.5, None, 0), "Missing Data"),
     ],
 )
 def test_boundaries(spark, row, note):

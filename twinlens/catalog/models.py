@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from twinlens.catalog.fidelity import customer_pair, event_pair, noised_customer_pair, sql_w1
-from twinlens.catalog.registry import first_half, query, rounded, sql_laplace, sql_uniform, table
+from twinlens.catalog.fidelity import NOISE_SEED, customer_pair, event_pair, noised_customer_pair, sql_noised, sql_w1
+from twinlens.catalog.registry import first_half, query, rounded, sql_laplace, sql_sides, sql_uniform, table
 from twinlens.catalog.tables import SEED
-from twinlens.operators import modelling, privacy, synthesizers
+from twinlens.operators import bayes, modelling, privacy, synthesizers
 from twinlens.operators.fidelity import wasserstein_pilot
 from twinlens.operators.mwem import mwem
 from twinlens.operators.pair import Pair
@@ -173,6 +173,118 @@ def label_encode(spark, sf):
     return modelling.label_encode(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
+# Counts of cells: the model, its scores and what it is asked are all SQL's own.
+
+_DOCUMENTS = """(SELECT 'd' || d.doc_id AS key, quality AS label, md5(CAST(d.doc_id AS VARCHAR)) < '8' AS is_real, n_chars, lang, source, CAST(d.doc_id AS VARCHAR) AS id
+    FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+_EVENTS = "(SELECT 'e' || event_id AS key, (event_type = 'error')::INTEGER AS label, is_real, value, CAST(event_id AS VARCHAR) AS id FROM " + sql_sides("events", "event_id") + ")"
+_HALVES = "(SELECT CAST(c_custkey AS VARCHAR) AS key, is_real, c_acctbal, c_nationkey, c_mktsegment FROM " + sql_sides("customer", "c_custkey") + ")"
+_NOISED = (
+    "(SELECT 'r' || c_custkey AS key, true AS is_real, c_acctbal::DOUBLE AS c_acctbal, c_nationkey::DOUBLE AS c_nationkey, c_mktsegment FROM customer "
+    f"UNION ALL SELECT 's' || c_custkey, false, {sql_noised('c_acctbal')}, {sql_noised('c_nationkey')}, c_mktsegment FROM customer)"
+)
+
+
+def sql_cells(source: str, numbers, strings, keep: str, complete: bool) -> str:
+    """(keep..., one cell per feature) of a source, and the rows of each cell below each other."""
+    x = lambda c: f"{c}::DOUBLE"
+    ends = ", ".join(f"min({x(c)}) AS lo_{c}, max({x(c)}) AS hi_{c}" for c in numbers)
+    slot = lambda c: f"least(floor(({x(c)} - lo_{c}) / ((hi_{c} - lo_{c}) / {bayes.CELLS}.0::DOUBLE)), {bayes.CELLS - 1})::INTEGER"
+    cells = [f"CASE WHEN {c} IS NULL THEN 'null' WHEN hi_{c} = lo_{c} THEN 'n0' ELSE 'n' || {slot(c)} END AS {c}" for c in numbers]
+    cells += [f"coalesce('v' || {c}, 'null') AS {c}" for c in strings]
+    where = " WHERE label IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in (*numbers, *strings)) if complete else ""
+    long = " UNION ALL ".join(f"SELECT {keep}, '{c}' AS col, {c} AS cell FROM cells" for c in (*numbers, *strings))
+    return f"""src AS (SELECT * FROM {source}{where}), {f"b AS (SELECT {ends} FROM src), " if numbers else ""}
+    cells AS (SELECT {keep}, {', '.join(cells)} FROM src{' CROSS JOIN b' if numbers else ''}), long AS ({long}),
+    v AS (SELECT col, count(DISTINCT cell) AS v FROM long GROUP BY col)"""
+
+
+def sql_utility(name: str, source: str, numbers, strings) -> str:
+    split = f"(SELECT *, {sql_uniform(SEED, 'id', 'split')} < 0.7::DOUBLE AS is_train FROM {source})"
+    return f"""SELECT '{name}' AS pair, * FROM (WITH {sql_cells(split, numbers, strings, 'key, label, is_real, is_train', True)},
+    cnt AS (SELECT col, cell, label, count(*) FILTER (is_real AND is_train) AS r, count(*) FILTER (NOT is_real) AS s FROM long GROUP BY ALL),
+    cls AS (SELECT label, count(*) FILTER (is_real AND is_train) AS nr, count(*) FILTER (NOT is_real) AS ns FROM cells GROUP BY label),
+    tot AS (SELECT sum(nr) AS nr, sum(ns) AS ns, count(*) AS k FROM cls),
+    term AS (SELECT c.col, c.cell, cls.label, ln((coalesce(r, 0) + 1)::DOUBLE / (nr + v)::DOUBLE) AS lr, ln((coalesce(s, 0) + 1)::DOUBLE / (ns + v)::DOUBLE) AS ls
+      FROM (SELECT DISTINCT col, cell FROM long) c JOIN v USING (col) CROSS JOIN cls LEFT JOIN cnt ON cnt.col = c.col AND cnt.cell = c.cell AND cnt.label = cls.label),
+    scores AS (SELECT key, long.label AS own, is_real, is_train, term.label AS k, sum(lr) AS sr, sum(ls) AS ss FROM long JOIN term USING (col, cell) WHERE NOT (is_real AND is_train) GROUP BY ALL),
+    whole AS (SELECT key, own, is_real, k, round(sr + ln((nr + 1)::DOUBLE / ((SELECT nr FROM tot) + (SELECT k FROM tot))::DOUBLE), 9) AS sr,
+      round(ss + ln((ns + 1)::DOUBLE / ((SELECT ns FROM tot) + (SELECT k FROM tot))::DOUBLE), 9) AS ss FROM scores JOIN cls ON cls.label = k),
+    pr AS (SELECT key, own, is_real, k FROM whole QUALIFY row_number() OVER (PARTITION BY key ORDER BY sr DESC, k) = 1),
+    ps AS (SELECT key, own, is_real, k FROM whole QUALIFY row_number() OVER (PARTITION BY key ORDER BY ss DESC, k) = 1),
+    acc AS (SELECT (SELECT avg((k = own)::INTEGER) FROM pr WHERE is_real) AS base, (SELECT avg((k = own)::INTEGER) FROM ps WHERE is_real) AS tstr, (SELECT avg((k = own)::INTEGER) FROM pr WHERE NOT is_real) AS trts)
+    SELECT round(base, 6) AS baseline_accuracy, round(tstr, 6) AS tstr_accuracy, round(trts, 6) AS trts_accuracy, round(greatest(0.0::DOUBLE, base - tstr) * 100.0::DOUBLE, 4) AS performance_drop FROM acc)"""
+
+
+def sql_attack(name: str, source: str, numbers, strings) -> str:
+    dealt = f"(SELECT *, floor({sql_uniform(SEED, 'key', 'fold')} * 5.0::DOUBLE)::INTEGER AS fold FROM {source})"
+    return f"""SELECT '{name}' AS pair, * FROM (WITH {sql_cells(dealt, numbers, strings, 'key, is_real, fold', False)},
+    cnt AS (SELECT col, cell, fold, count(*) FILTER (is_real) AS r, count(*) FILTER (NOT is_real) AS s FROM long GROUP BY ALL),
+    whole AS (SELECT col, cell, sum(r) AS r, sum(s) AS s FROM cnt GROUP BY ALL),
+    side AS (SELECT fold, count(*) FILTER (is_real) AS nr, count(*) FILTER (NOT is_real) AS ns FROM cells GROUP BY fold),
+    tot AS (SELECT sum(nr) AS nr, sum(ns) AS ns FROM side),
+    odds AS (SELECT cnt.col, cnt.cell, cnt.fold, ln((whole.r - cnt.r + 1)::DOUBLE / (tot.nr - side.nr + v)::DOUBLE) - ln((whole.s - cnt.s + 1)::DOUBLE / (tot.ns - side.ns + v)::DOUBLE) AS w
+      FROM cnt JOIN whole USING (col, cell) JOIN v USING (col) JOIN side USING (fold) CROSS JOIN tot),
+    scores AS (SELECT key, is_real, round(sum(w), 9) AS score FROM long JOIN odds USING (col, cell, fold) GROUP BY key, is_real),
+    freq AS (SELECT score, count(*) FILTER (is_real) AS r, count(*) FILTER (NOT is_real) AS s FROM scores GROUP BY score),
+    ranked AS (SELECT *, sum(s) OVER (ORDER BY score) - s / 2.0::DOUBLE AS below FROM freq)
+    SELECT round((sum(CASE WHEN score > 0 THEN r WHEN score = 0 THEN r / 2.0::DOUBLE ELSE 0 END) / sum(r) + sum(CASE WHEN score < 0 THEN s WHEN score = 0 THEN s / 2.0::DOUBLE ELSE 0 END) / sum(s)) / 2.0::DOUBLE, 6) AS accuracy,
+      round(sum(r * below) / sum(r) / sum(s), 6) AS auc FROM ranked)"""
+
+
+_IMPORTANT = ("n_chars", "lang", "source")
+
+
+def sql_importance(source: str, numbers, strings) -> str:
+    split = f"(SELECT *, {sql_uniform(SEED, 'id', 'split')} < 0.7::DOUBLE AS is_train, md5(concat_ws('|', '{SEED}', id, 'place')) AS place FROM {source})"
+    shift = "CASE f " + " ".join(f"WHEN '{c}' THEN 1 + floor({bayes._shift(SEED, c)!r}::DOUBLE * (n - 1))::BIGINT" for c in (*numbers, *strings)) + " END"
+    return f"""WITH {sql_cells(split, numbers, strings, 'key, label, is_train, place', True)},
+    cnt AS (SELECT col, cell, label, count(*) AS r FROM long WHERE is_train GROUP BY ALL),
+    cls AS (SELECT label, count(*) FILTER (is_train) AS nr, row_number() OVER (ORDER BY label) AS code FROM cells GROUP BY label),
+    term AS (SELECT c.col, c.cell, cls.label, ln((coalesce(r, 0) + 1)::DOUBLE / (nr + v)::DOUBLE) AS lr
+      FROM (SELECT DISTINCT col, cell FROM long) c JOIN v USING (col) CROSS JOIN cls LEFT JOIN cnt ON cnt.col = c.col AND cnt.cell = c.cell AND cnt.label = cls.label),
+    test AS (SELECT key, label, row_number() OVER (ORDER BY place) AS pos, count(*) OVER () AS n FROM cells WHERE NOT is_train),
+    parts AS (SELECT t.pos, t.n, t.label AS own, l.col, term.label AS k, lr FROM test t JOIN long l USING (key) JOIN term USING (col, cell)),
+    whole AS (SELECT pos, n, own, k, sum(lr) + ln((any_value(nr) + 1)::DOUBLE / (SELECT sum(nr) + count(*) FROM cls)::DOUBLE) AS total, any_value(code) AS code FROM parts JOIN cls ON cls.label = k GROUP BY pos, n, own, k),
+    moved AS (SELECT p.col AS f, p.pos, p.own, p.k, w.code, w.total, w.total - p.lr + o.lr AS other
+      FROM (SELECT *, col AS f FROM parts) p JOIN whole w ON w.pos = p.pos AND w.k = p.k
+      JOIN (SELECT pos, n, col AS f, k, lr, (pos - 1 + {shift}) % n + 1 AS goes FROM parts) o ON o.goes = p.pos AND o.f = p.col AND o.k = p.k),
+    one AS (SELECT f, pos, own, k FROM moved QUALIFY row_number() OVER (PARTITION BY f, pos ORDER BY round(total, 9) DESC, code) = 1),
+    two AS (SELECT f, pos, own, k FROM moved QUALIFY row_number() OVER (PARTITION BY f, pos ORDER BY round(other, 9) DESC, code) = 1),
+    lost AS (SELECT f, round(a - b, 6) AS importance FROM (SELECT f, avg((k = own)::INTEGER) AS a FROM one GROUP BY f) JOIN (SELECT f, avg((k = own)::INTEGER) AS b FROM two GROUP BY f) USING (f))
+    SELECT f AS feature, importance, row_number() OVER (ORDER BY importance DESC, f)::INTEGER AS rank FROM lost QUALIFY rank <= 3"""
+
+
+@query("utility_bayes", sql_utility("documents", _DOCUMENTS, ("n_chars",), ("lang", "source")) + " UNION ALL " + sql_utility("events", _EVENTS, ("value",), ()))
+def utility_bayes(spark, sf):
+    labelled = table(spark, sf, "labels", "doc_id", "quality").join(table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars"), "doc_id")
+    documents = Pair.split(labelled, first_half("doc_id"), ["doc_id", "quality", "lang", "source", "n_chars"])
+    events = table(spark, sf, "events").withColumn("is_error", (F.col("event_type") == "error").cast("int"))
+    errors = Pair.split(events, first_half("event_id"), ["event_id", "value", "is_error"])
+    parts = [bayes.utility(p, target, key, SEED).select(F.lit(name).alias("pair"), "*") for name, p, target, key in (("documents", documents, "quality", "doc_id"), ("events", errors, "is_error", "event_id"))]
+    return rounded(rounded(parts[0].unionByName(parts[1]), 6, "baseline_accuracy", "tstr_accuracy", "trts_accuracy"), 4, "performance_drop")
+
+
+_CUSTOMER_FEATURES = ("c_acctbal", "c_nationkey"), ("c_mktsegment",)
+
+
+@query("attack_bayes", sql_attack("halves", _HALVES, *_CUSTOMER_FEATURES) + " UNION ALL " + sql_attack("noised", _NOISED, *_CUSTOMER_FEATURES))
+def attack_bayes(spark, sf):
+    customer = table(spark, sf, "customer", "c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    halves = Pair.split(customer.withColumn("row", F.col("c_custkey").cast("string")).drop("c_custkey"), F.md5("row") < "8")
+    noisy = privacy.laplace_noise(customer, 0.01, NOISE_SEED, F.col("c_custkey"), exclude=("c_custkey",))
+    named = lambda df, side: df.withColumn("row", F.concat(F.lit(side), F.col("c_custkey").cast("string"))).drop("c_custkey")
+    noised = Pair.of(named(customer, "r"), named(noisy, "s"))
+    parts = [bayes.attack(p, "row", seed=SEED).select(F.lit(name).alias("pair"), "*") for name, p in (("halves", halves), ("noised", noised))]
+    return rounded(parts[0].unionByName(parts[1]), 6, "accuracy", "auc")
+
+
+@query("importance_bayes", sql_importance(_DOCUMENTS, _IMPORTANT[:1], _IMPORTANT[1:]))
+def importance_bayes(spark, sf):
+    labelled = table(spark, sf, "labels", "doc_id", "quality").join(table(spark, sf, "documents", "doc_id", *_IMPORTANT), "doc_id")
+    return rounded(bayes.importance(labelled, "quality", list(_IMPORTANT), "doc_id", SEED, top=3), 6, "importance")
+
+
 @query("utility_tstr")
 def utility_tstr(spark, sf):
     labelled = table(spark, sf, "labels", "doc_id", "quality").join(

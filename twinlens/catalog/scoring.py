@@ -450,7 +450,7 @@ def history_append(spark, sf):
 @query(
     "recommend_model",
     f"""WITH h(id, best_model, document) AS (VALUES {', '.join(f"('{i}', '{m}', '{doc}')" for i, m, _, _, doc in C.HISTORY_SEED)}),
-    r AS (SELECT conv_id, turn, domain || ' tabular ' || goal AS q FROM {SQL_CONFIG}),
+    r AS (SELECT conv_id, turn, domain || ' tabular ' || request AS q FROM {SQL_CONFIG}),
     ht AS (SELECT id, best_model, unnest(list_filter(regexp_split_to_array(lower(document), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM h),
     tf AS (SELECT id, best_model, term, count(*)::DOUBLE AS tf FROM ht GROUP BY ALL),
     idf AS (SELECT term, ln((1 + (SELECT count(*) FROM h)::DOUBLE) / (1 + count(*)::DOUBLE)) + 1 AS idf FROM tf GROUP BY term),
@@ -462,8 +462,9 @@ def history_append(spark, sf):
     SELECT r.conv_id, r.turn, coalesce(b.best_model, 'GaussianCopula') AS best_model FROM r LEFT JOIN b USING (conv_id, turn)""",
 )
 def recommend_model(spark, sf):
+    """By every word of the request, however long it is."""
     config = requests.request_config(request_texts(spark, sf), "text")
-    asked = config.select("conv_id", "turn", F.concat_ws(" ", "domain", F.lit("tabular"), "goal").alias("q"))
+    asked = config.select("conv_id", "turn", F.concat_ws(" ", "domain", F.lit("tabular"), "text").alias("q"))
     return near.recommend_model(asked, ["conv_id", "turn"], "q", records.history_seed(spark))
 
 

@@ -273,10 +273,10 @@ SQL_CONFIG = f"""(SELECT conv_id, turn,
     coalesce(TRY_CAST(nullif(regexp_extract(l, '([0-9]+)\\s*(rows|records|samples)', 1), '') AS BIGINT), 500) AS rows,
     CASE WHEN contains(l, 'high privacy') OR contains(l, 'strict') THEN 0.5::DOUBLE WHEN contains(l, 'high fidelity') OR contains(l, 'accurate') THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS epsilon,
     CASE WHEN contains(l, 'timegan') THEN 'timegan' WHEN contains(l, 'vae') THEN 'vae' WHEN contains(l, 'diffusion') THEN 'diffusion' ELSE 'auto' END AS model,
-    substr(text, 1, 100) AS goal FROM (SELECT *, lower(text) AS l FROM {SQL_REQUESTS}))"""
+    substr(text, 1, 100) AS goal, text AS request FROM (SELECT *, lower(text) AS l FROM {SQL_REQUESTS}))"""
 
 
-@query("prompt_config", f"SELECT * FROM {SQL_CONFIG}")
+@query("prompt_config", f"SELECT * EXCLUDE (request) FROM {SQL_CONFIG}")
 def prompt_config(spark, sf):
     return requests.request_config(request_texts(spark, sf), "text").drop("text")
 

@@ -33,10 +33,12 @@ def column_describe(df: DataFrame, columns: list[str] | None = None, rows_per_bu
 
 
 def column_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins from min to max; the maximum belongs to the last bin."""
+    """Equal-width bins from min to max; the maximum belongs to the last bin. A column without a value has no bin."""
     v = F.col(column).cast("double")
     bounds = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     low, high = bounds["lo"], bounds["hi"]
+    if low is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
     width = (high - low) / bins or 1.0
     slot = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     return (

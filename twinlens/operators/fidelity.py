@@ -479,7 +479,8 @@ def kde_overlay(pair: Pair, column: str, points: int = C.KDE_POINTS) -> DataFram
     """Gaussian density of both sides (Scott's bandwidth) on one grid.
 
     Each task adds its rows into the ``points`` grid sums; only those are
-    shuffled.
+    shuffled. A side without a spread has a null density, and if neither has a
+    value the grid is null as well.
     """
     stats = pair.tagged.select(IS_REAL, F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
     facts = {
@@ -488,6 +489,8 @@ def kde_overlay(pair: Pair, column: str, points: int = C.KDE_POINTS) -> DataFram
         .agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .collect()  # two rows
     }
+    if not facts:
+        return stats.sparkSession.range(points).select(F.col("id").cast("int").alias("i"), *[F.lit(None).cast("double").alias(c) for c in ("x", "density_real", "density_synth")])
     low = min(r["lo"] for r in facts.values())
     high = max(r["hi"] for r in facts.values())
     margin = C.KDE_MARGIN * (high - low)

@@ -22,7 +22,8 @@ from twinlens.operators.profile import distinct_counts, long_values
 from twinlens.operators.sampling import fold_assign, sample_n, train_flag
 from twinlens.session import spread
 
-NO_UTILITY = {"baseline_accuracy": None, "tstr_accuracy": None, "trts_accuracy": None}
+#: What was not measured is null, and the judge then has no data to approve on.
+NO_UTILITY = {"baseline_accuracy": None, "tstr_accuracy": None, "trts_accuracy": None, "performance_drop": None}
 LOG = logging.getLogger(__name__)
 WINDOW_LIMIT = 1_000_000
 #: A classifier needs a tree's leaf for each class; a target with more values is none.
@@ -61,7 +62,8 @@ def _plain(df: DataFrame, names: list[str], **keep) -> tuple[DataFrame, list[str
     """Feature columns under names of their own (x0, x1, ...), beside the ``keep``
     columns, so a user's column may be called anything. A string is two numbers, its
     digests under two seeds: one encoding whatever the number of values, with no
-    dictionary, and a tree can set any value apart in one of the two orders."""
+    dictionary. Forests cut each of the two into 32 bins, so a rare value among thousands is never
+    alone; the counts in ``bayes`` keep every value apart."""
     numbers = [c for c in numeric_columns(df) if c in names]
     strings = [c for c in string_columns(df) if c in names]
     inputs = [F.col(c).cast("double") for c in numbers]
@@ -78,7 +80,7 @@ def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def _label(df: DataFrame, target: str) -> tuple[Column, int]:
+def label_codes(df: DataFrame, target: str) -> tuple[Column, int]:
     """The sorted code of the target's value over both sides, and the number of classes."""
     classes = [r[0] for r in df.select(F.col(target).cast("string")).distinct().limit(CLASS_LIMIT + 1).collect()]
     if len(classes) > CLASS_LIMIT:
@@ -105,13 +107,14 @@ def utility_scores(pair: Pair, target: str, model: str = "forest", seed: int = C
     """Accuracy real-to-real, synthetic-to-real and real-to-synthetic, and the
     drop in points. The real side is split 70/30 by row digest.
 
-    Codes are fitted on the union of both sides, so the same text means the
+    All are null where a side has fewer than ``UTILITY_MIN_ROWS`` complete rows or the
+    target is no column. Codes are fitted on the union of both sides, so the same text means the
     same number on both. ``model`` is "forest" or "gbt" (two classes only).
     """
     if target not in pair.columns:
-        return {**NO_UTILITY, "performance_drop": 0.0}
+        return dict(NO_UTILITY)
     whole = pair.tagged.dropna("any")
-    label, classes = _label(whole, target)
+    label, classes = label_codes(whole, target)
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in whole.columns if c != IS_REAL])
     shaped, x = _plain(whole, [c for c in pair.columns if c != target], is_real=F.col(IS_REAL), label=label, is_train=train_flag(row, seed=seed))
     assembled = VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(_finite(shaped, x))
@@ -119,7 +122,7 @@ def utility_scores(pair: Pair, target: str, model: str = "forest", seed: int = C
     try:
         sizes = {r["is_real"]: r["n"] for r in ready.groupBy("is_real").agg(F.count(F.lit(1)).alias("n")).collect()}
         if min(sizes.get(True, 0), sizes.get(False, 0)) < C.UTILITY_MIN_ROWS:
-            return {**NO_UTILITY, "performance_drop": 0.0}
+            return dict(NO_UTILITY)
         real, synth = ready.where(F.col("is_real")), ready.where(~F.col("is_real"))
         test = real.where(~F.col("is_train"))
         on_real = _classifier(classes, model, seed).fit(real.where(F.col("is_train")))
@@ -146,18 +149,19 @@ def utility_or_failed(pair: Pair, target: str, **options) -> dict[str, float | N
 
 def attack_accuracy(
     pair: Pair, rows: int | None = None, trees: int = C.ATTACK_TREES, depth: int = C.ATTACK_DEPTH, seed: int = C.DEFAULT_SEED
-) -> float:
+) -> float | None:
     """Cross-validated accuracy of a forest that tells real rows from synthetic.
 
     All rows of the smaller side and as many of the other take part; ``rows``
-    sets a smaller number per side. Identifiers are dropped, nulls become 0.
+    sets a smaller number per side. Identifiers are dropped, nulls become 0. Null where
+    there are fewer than ``ATTACK_MIN_ROWS`` rows to tell apart: nothing was measured.
     """
     names = [c for c in pair.columns if not attack_id_name(c)]
     filled = fill_nulls(pair.tagged.select(IS_REAL, *names))
     sizes = {r[IS_REAL]: r["count"] for r in filled.groupBy(IS_REAL).count().collect()}
     n = min(sizes.get(True, 0), sizes.get(False, 0), *([rows] if rows else []))
     if 2 * n < C.ATTACK_MIN_ROWS:
-        return C.ATTACK_FALLBACK
+        return None
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in names])
 
     def side(real: bool) -> DataFrame:
@@ -209,7 +213,7 @@ def feature_importance(df: DataFrame, target: str, seed: int = C.DEFAULT_SEED) -
         whole = clean.schema[target].dataType.typeName() not in ("double", "float")
         if not whole or distinct_counts(clean, [target], small=True)[1][target][1] > 10:
             clean = binarise_target(clean, target, target)
-    label, classes = _label(clean, target)
+    label, classes = label_codes(clean, target)
     if classes < 2:
         raise ValueError(f"{target} has one class only")
     shaped, x = _plain(clean, numbers, label=label)

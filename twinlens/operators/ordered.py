@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.hashrand import digest
-from twinlens.operators.columns import is_numeric
-from twinlens.session import settle
+from twinlens.operators.columns import unused
+from twinlens.operators.scan import running
 
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 TOP_K_LIMIT = 10_000
-HASH_BUCKETS = 4096  # three hex digits
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -141,46 +140,14 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], rows_per_bu
     return ends.select("column", "p", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("q"))
 
 
-def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    value: str,
-    out: str,
-    rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same key, by ``order``.
 
-    The first order column (a number or a timestamp) is cut into slices, so a
-    key that holds a third of the table is spread over them.
-    """
-    axis = F.col(order[0])
-    if not is_numeric(df.schema[order[0]].dataType):
-        axis = axis.cast("timestamp")
-    axis = axis.cast("double")
-    buckets = bucket_count(df.count() if rows is None else rows, rows_per_bucket)
-    splits = bucket_splits(df.select(axis.alias("_axis")), ["_axis"], buckets)
-    if not splits:
-        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0.0)))
-    sliced = Bucketizer(
-        inputCol="_axis", outputCol="_slice", splits=[-math.inf, *splits["_axis"], math.inf], handleInvalid="keep"
-    ).transform(df.withColumn("_axis", axis))
-    # A struct of the keys joins null keys with each other.
-    sliced = sliced.withColumn("_key", F.struct(*keys))
-    chain = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("_key", "_slice")
-        .agg(F.sum(value).alias("_sum"))
-        .select("_key", "_slice", F.coalesce(F.sum("_sum").over(chain), F.lit(0.0)).alias("_offset"))
-    )
-    local = Window.partitionBy("_key", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sliced.join(offsets, ["_key", "_slice"])
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum(value).over(local), F.lit(0.0)))
-        .drop("_axis", "_slice", "_offset", "_key")
-    )
+    Rows are dealt by ranges of (key, order), so neither a key nor one order value
+    that holds a third of the table is a task of its own."""
+    upto = unused([*df.columns, out], "_upto")
+    summed = running(df, keys, order, {upto: ("sum", value)})
+    return summed.select(*[c for c in df.columns if c != out], (F.col(upto) - F.coalesce(F.col(value).cast("double"), F.lit(0.0))).alias(out))
 
 
 def hash_order(seed: int, row_id: Column, stream: str = "order") -> Column:
@@ -189,24 +156,11 @@ def hash_order(seed: int, row_id: Column, stream: str = "order") -> Column:
 
 
 def hash_row_number(df: DataFrame, groups: list[str], order: Column, tie: list[str], out: str) -> DataFrame:
-    """1-based position in the hash order within each group.
-
-    Digests are uniform, so their first three hex digits make 4,096 even
-    buckets; a group with most of the rows is ranked bucket by bucket.
-    """
-    df = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_key", F.struct(*groups))
-    chain = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy("_key", "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_key", "_b", F.coalesce(F.sum("_n").over(chain), F.lit(0)).alias("_before"))
-    )
-    local = Window.partitionBy("_key", "_b").orderBy("_h", *tie)
-    return (
-        df.join(offsets, ["_key", "_b"])
-        .withColumn(out, F.col("_before") + F.row_number().over(local))
-        .drop("_h", "_b", "_before", "_key")
-    )
+    """1-based position in the hash order within each group. A group, or one row
+    content, may hold most of the rows: they are numbered over ranges."""
+    place = unused([*df.columns, out], "_h")
+    numbered = running(df.withColumn(place, order), groups, [place, *tie], {unused([*df.columns, place], out): ("count", F.lit(1))})
+    return numbered.drop(place)
 
 
 def hash_head(df: DataFrame, n: int, order: Column, tie: list[str]) -> DataFrame:
@@ -215,12 +169,13 @@ def hash_head(df: DataFrame, n: int, order: Column, tie: list[str]) -> DataFrame
     A few rows come from a top-k. For many, bucket counts tell which whole
     buckets are in; only the one the cut falls into is ranked.
     """
-    keep = df.columns
-    hashed = df.withColumn("_h", order)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    h, b = unused(df.columns, "_h"), unused(df.columns, "_b")
+    hashed = df.withColumn(h, order)
     if n <= TOP_K_LIMIT:
-        return hashed.orderBy("_h", *tie).limit(max(n, 0)).select(*keep)
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
-    sizes = sorted((r["_b"], r["count"]) for r in hashed.groupBy("_b").count().collect())  # 65,536 rows at most
+        return hashed.orderBy(h, *tie).limit(max(n, 0)).select(*keep)
+    hashed = hashed.withColumn(b, F.substring(h, 1, 4))
+    sizes = sorted((r[b], r["count"]) for r in hashed.groupBy(b).count().collect())  # 65,536 rows at most
     taken, cut = 0, None
     for name, size in sizes:
         if taken + size > n:
@@ -229,32 +184,14 @@ def hash_head(df: DataFrame, n: int, order: Column, tie: list[str]) -> DataFrame
         taken += size
     if cut is None:
         return df
-    inside = hashed.where(F.col("_b") < F.lit(cut))
-    edge = (
-        hashed.where(F.col("_b") == F.lit(cut))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *tie)))
-        .where(F.col("_rank") <= F.lit(n - taken))
-    )
+    inside = hashed.where(F.col(b) < F.lit(cut))
+    at = unused([*df.columns, h, b], "_rank")
+    edge = running(hashed.where(F.col(b) == F.lit(cut)), [], [h, *tie], {at: ("count", F.lit(1))}).where(F.col(at) <= F.lit(n - taken))
     return inside.select(*keep).unionByName(edge.select(*keep))
 
 
 def ordered_row_number(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """0-based dense position in the global order, without a one-task window.
-
-    Rows are range-partitioned and sorted, then settled so that both uses below
-    see the same partitions; per-partition counts (one row each) give offsets.
-    """
-    placed = settle(df.sort(*order).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    chain = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = (
-        placed.groupBy(part.alias("_part"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(chain), F.lit(0)).alias("_before"))
-    )
-    return (
-        placed.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_id", "_part", "_before")
-    )
+    """0-based dense position in the global order, without a one-task window."""
+    at = unused([*df.columns, out], "_at")
+    numbered = running(df, [], order, {at: ("count", F.lit(1))})
+    return numbered.select(*[c for c in df.columns if c != out], (F.col(at) - 1).alias(out))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinlens import constants as C
 from twinlens.functions import hashrand
+from twinlens.operators.columns import unused
 from twinlens.operators.ordered import hash_head, hash_order, hash_row_number
 
 
@@ -24,8 +25,9 @@ def fold_assign(
     df: DataFrame, label: str, row_id: Column, tie: list[str], folds: int = C.ATTACK_FOLDS, seed: int = C.DEFAULT_SEED, out: str = "fold"
 ) -> DataFrame:
     """Stratified folds: each label's rows are dealt out in hash order."""
-    numbered = hash_row_number(df, [label], hash_order(seed, row_id, "fold"), tie, "_n")
-    return numbered.withColumn(out, ((F.col("_n") - 1) % folds).cast("int")).drop("_n")
+    n = unused([*df.columns, out], "_n")
+    numbered = hash_row_number(df, [label], hash_order(seed, row_id, "fold"), tie, n)
+    return numbered.withColumn(out, ((F.col(n) - 1) % folds).cast("int")).drop(n)
 
 
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens import constants as C
-from twinlens.operators import generators, modelling, privacy, sampling, synthesizers
+from twinlens.operators import generators, privacy, sampling, synthesizers
 from twinlens.operators.pair import Pair
 from twinlens.operators.profile import pick_target
 from twinlens.plans import scorecard as S
@@ -33,6 +33,8 @@ class Request:
     output_format: str = "CSV"
     seed: int = C.DEFAULT_SEED
     attack_trees: int = C.ATTACK_TREES
+    classifier: str = "forest"
+    parity: bool = False
     max_rounds: int = C.MAX_ROUNDS
 
 
@@ -79,8 +81,7 @@ def judge_pair(real: DataFrame, synth: DataFrame, request: Request, iteration: i
     """Judged flat scorecard row of one round, with the epsilon that its proof states."""
     pair = Pair.of(real, synth)
     target = pick_target(pair.real)
-    use = modelling.utility_or_failed(pair, target) if target else {**modelling.NO_UTILITY, "performance_drop": 0.0}
-    attack = modelling.attack_or_failed(pair, trees=request.attack_trees)
+    use, attack = S.measured(pair, target, request.classifier, request.parity, **({} if request.classifier == "counts" else {"trees": request.attack_trees}))
     row = S.metric_row(pair, mmd=True).select(
         "*",
         *[F.lit(use[k]).cast("double").alias(k) for k in S.UTILITY],

@@ -59,7 +59,7 @@ def certificate_text(rows: DataFrame, stamp: Column, *keep: str) -> DataFrame:
         F.concat(F.lit("   TRTS accuracy:                "), number("trts_accuracy", 2)),
         F.lit("3. PRIVACY"),
         F.concat(F.lit("   Epsilon, delta:               "), number("epsilon", 2, C.DEFAULT_EPSILON), F.lit(", 1e-5")),
-        F.concat(F.lit("   Membership attack accuracy:   "), number("mia_risk_score", 2, 0.5), F.lit(" (target < 0.76)")),
+        F.concat(F.lit("   Membership attack accuracy:   "), number("mia_risk_score", 2, 0.5), F.lit(f" (target < {C.MAX_ATTACK_ACCURACY})")),
         F.concat(F.lit("   k-anonymity:                  "), F.coalesce(F.col("k_anonymity"), F.lit(0)).cast("string")),
         F.lit(RULE),
     ]
