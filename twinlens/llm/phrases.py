@@ -48,7 +48,7 @@ MAP_BITS = 1 << 25
 #: Hashes that a task gathers before it adds them up.
 GATHERED = 1 << 21
 #: Bytes of chunks that are looked at together.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: A language's phrases are ranked in so many parts first.
 RANK_PARTS = 64
 _BREAK = np.uint64(0x1D8E4E27C47D124F)  # the hash of a break token
