@@ -6,6 +6,7 @@ round's table is settled in the shared folder, so rounds do not pile up lineage.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from twinlens.operators.pair import Pair
 from twinlens.operators.profile import pick_target
 from twinlens.plans import scorecard as S
 from twinlens.session import settle
+from twinlens.sources import records
 
 ROW_ID = "_row_id"
 
@@ -93,8 +95,42 @@ def judge_pair(real: DataFrame, synth: DataFrame, request: Request, iteration: i
     return S.next_step(S.judge(S.with_compliance(row)))
 
 
-def run(spark: SparkSession, request: Request, real: DataFrame | None = None) -> Outcome:
-    """Rounds until the judge approves or the rounds are used up."""
+RECORDS = ("audit", "log", "report", "certificate", "history")
+
+
+def write_records(out: Outcome, request: Request, path: str, run_id: str) -> dict[str, bool]:
+    """Audit, run log, report, certificate and history entry of a finished run, each appended exactly once below
+    ``path`` (see ``records.append_once``); says which were new."""
+    row = out.scorecard.withColumns(
+        {
+            "timestamp": records.utc_text(F.current_timestamp()),
+            "goal": F.lit(request.goal),
+            "output_format": F.lit(request.output_format),
+            "synthesis_logic": F.lit(", ".join(f"{c} {t}" for c, t in out.real.dtypes)),
+        }
+    )
+    history = row.select("domain", F.lit("tabular").alias("modality"), F.lit(out.model_selection).alias("model"), F.col("wasserstein").alias("score"), F.col("goal").alias("description"))
+    made = {
+        "audit": records.audit_records(row, privacy.proof_columns(F.col("epsilon")), "judge"),
+        "log": records.run_log(row),
+        "report": records.report_text(row, "timestamp", "output_format", "decision", "note"),
+        "certificate": records.certificate_text(row, F.col("timestamp"), "domain"),
+        "history": records.history_rows(history),
+    }
+    return {kind: records.append_once(made[kind], f"{path}/{kind}", run_id) for kind in RECORDS}
+
+
+def run(spark: SparkSession, request: Request, real: DataFrame | None = None, records_path: str | None = None, run_id: str | None = None) -> Outcome:
+    """Rounds until the judge approves or the rounds are used up. With ``records_path`` the finished run
+    writes its records there; a run that is repeated under the same ``run_id`` (by default the digest of
+    the request) appends nothing twice."""
+    out = _rounds(spark, request, real)
+    if records_path:
+        write_records(out, request, records_path, run_id or hashlib.md5(repr(request).encode()).hexdigest())
+    return out
+
+
+def _rounds(spark: SparkSession, request: Request, real: DataFrame | None) -> Outcome:
     real, cold = generators.seed_or_input(spark, real, request.domain, request.rows, request.seed)
     out = Outcome(real=real, cold_start=cold)
     rows = max(request.rows, C.MIN_COLD_START_ROWS) if cold else real.count()

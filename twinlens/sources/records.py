@@ -3,6 +3,9 @@ all as tables with one row per run."""
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ def utc_text(stamp: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column
 
 RULE = "=" * 80
 LINE = "-" * 80
+NOT_MEASURED = "not measured"
 
 
 def certificate_text(rows: DataFrame, stamp: Column, *keep: str) -> DataFrame:
@@ -55,11 +59,11 @@ def certificate_text(rows: DataFrame, stamp: Column, *keep: str) -> DataFrame:
         F.concat(F.lit("   Correlation similarity:       "), number("correlation_similarity", 4)),
         F.concat(F.lit("   MMD:                          "), number("mmd", 4)),
         F.lit("2. UTILITY"),
-        F.concat(F.lit("   Drop against baseline:        "), number("performance_drop", 2), F.lit("%")),
+        F.concat(F.lit("   Drop against baseline:        "), F.coalesce(F.concat(fixed(F.col("performance_drop"), 2), F.lit("%")), F.lit(NOT_MEASURED))),
         F.concat(F.lit("   TRTS accuracy:                "), number("trts_accuracy", 2)),
         F.lit("3. PRIVACY"),
         F.concat(F.lit("   Epsilon, delta:               "), number("epsilon", 2, C.DEFAULT_EPSILON), F.lit(", 1e-5")),
-        F.concat(F.lit("   Membership attack accuracy:   "), number("mia_risk_score", 2, 0.5), F.lit(f" (target < {C.MAX_ATTACK_ACCURACY})")),
+        F.concat(F.lit("   Membership attack accuracy:   "), F.coalesce(fixed(F.col("mia_risk_score"), 2), F.lit(NOT_MEASURED)), F.lit(f" (target < {C.MAX_ATTACK_ACCURACY})")),
         F.concat(F.lit("   k-anonymity:                  "), F.coalesce(F.col("k_anonymity"), F.lit(0)).cast("string")),
         F.lit(RULE),
     ]
@@ -98,13 +102,13 @@ def append_audit(records: DataFrame, path: str) -> None:
 
 
 def run_log(rows: DataFrame) -> DataFrame:
-    """Parameters and the three tracked metrics of each run."""
+    """Parameters and the three tracked metrics of each run; null where one was not measured."""
     return rows.select(
         F.concat(F.lit("Synthesis_"), F.col("domain"), F.lit("_eps"), fixed(F.col("epsilon"), 1)).alias("run_name"),
         "domain",
         "epsilon",
         F.col("wasserstein").alias("fidelity_wasserstein"),
-        F.coalesce(F.col("performance_drop"), F.lit(0.0)).alias("utility_drop_percent"),
+        F.col("performance_drop").alias("utility_drop_percent"),
         F.col("mia_risk_score").alias("privacy_mia_risk"),
     )
 
@@ -113,6 +117,41 @@ def append_run_log(rows: DataFrame, path: str) -> None:
     run_log(rows).write.mode("append").parquet(path)
 
 
+def _folder(run_id: str) -> str:
+    return "run=r" + hashlib.md5(run_id.encode()).hexdigest()
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_once(rows: DataFrame, path: str, run_id: str) -> bool:
+    """Append the rows of a run exactly once. They are staged in the run's own folder, which a repeated attempt
+    writes anew, and count from the moment the run is entered in the manifest. A run that is entered already is
+    left as it is (False). One writer per run id is assumed; different runs may write at the same time."""
+    spark = rows.sparkSession
+    manifest = _read(spark, f"{path}/manifest")
+    if manifest is not None and manifest.where(F.col("run_id") == run_id).count():
+        return False
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{path}/rows/{_folder(run_id)}")
+    spark.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{_folder(run_id)}")
+    return True
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all runs in the manifest, with their run_id; None before the first one. Staged rows of a run that was
+    lost before its entry are not seen."""
+    rows, manifest = _read(spark, f"{path}/rows"), _read(spark, f"{path}/manifest")
+    if rows is None or manifest is None:
+        return None
+    return rows.drop("run").join(manifest.select("run_id"), "run_id", "left_semi")
+
+
 def history_seed(spark: SparkSession) -> DataFrame:
     schema = "id string, best_model string, modality string, domain string, document string"
     seed = spark.createDataFrame(list(C.HISTORY_SEED), schema)
