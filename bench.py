@@ -47,6 +47,9 @@ HEADLINE = (
     "pilot_scores",
     "ensemble_mix",
     "feature_importance",
+    "utility_bayes",
+    "attack_bayes",
+    "importance_bayes",
 )
 
 
