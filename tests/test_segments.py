@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens.operators import bayes, fidelity, privacy
+from twinlens.operators import bayes, fidelity, hotkeys, segments
 from twinlens.operators.pair import Pair
 from twinlens.operators.segments import scorecards
 from twinlens.plans import scorecard as S
@@ -34,7 +34,10 @@ def one_by_one(spark, df, shop):
     return card
 
 
-def test_every_segment_as_if_alone(spark):
+@pytest.mark.parametrize("wide", [32, 1])
+def test_every_segment_as_if_alone(spark, monkeypatch, wide):
+    monkeypatch.setattr(segments, "CLASSES_WIDE", wide)
+    monkeypatch.setattr(hotkeys, "LEAST_ROWS", 5)  # hot segments and hot cells
     df = spark.createDataFrame(rows(), SCHEMA)
     tagged = df.select("shop", "is_real", *NAMES, F.struct("row").alias("key"))  # nested: not measured
     found = scorecards(tagged, "shop", "kind", F.col("key.row"), features=16).collect()

@@ -1,7 +1,8 @@
 """Scorecards, decisions, reports, sinks and records.
 
-The supplied tables hold no evaluated runs, so each order stands for one: its
-scores are draws on the order key, coarse enough to fall on every threshold.
+Each supplier stands for one run: its order lines, split by order, are the real side and the synthetic
+side, whose quantities, discounts and taxes get noise by the run's epsilon. All scores are measured on these rows; only the settings of a
+run (domain, epsilon, iteration, model) are drawn from its key.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from twinlens.catalog.fidelity import (
     sql_kl,
     sql_w_variant,
 )
-from twinlens.catalog.registry import halves, query, rounded, sql_laplace, sql_sides, sql_uniform, table
+from twinlens.catalog.registry import first_half, halves, query, rounded, sql_laplace, sql_normal, sql_sides, sql_uniform, table
 from twinlens.catalog.tables import SEED, SQL_CONFIG, request_texts, sql_pick
 from twinlens.functions import hashrand as H
 from twinlens.functions import requests, scalars
 from twinlens.operators import nearest as near
 from twinlens.operators import privacy
+from twinlens.operators.bayes import CELLS
+from twinlens.operators.segments import scorecards
 from twinlens.plans import scorecard as S
 from twinlens.session import fresh_path
 from twinlens.sources import files, records
@@ -32,56 +35,145 @@ from twinlens.sources import files, records
 MODELS = ("CTGAN", "TVAE", "GaussianCopula")
 
 
+EPSILONS = (0.1, 1.0, 10.0)
+RUN_FEATURES = 16
+#: Sensitivity and digits of the columns that get noise on the synthetic side.
+NOISED = {"l_quantity": (5.0, 0), "l_discount": (0.01, 2), "l_tax": (0.01, 2)}
+#: (application, digest of the line items) -> the stored run table of the session: runs are evaluated once and reported often.
+_EVALUATED: dict[tuple, object] = {}
+
+
+def _settings(key):
+    u = lambda slot: H.uniform(SEED, key, "a", slot)
+    return {
+        "domain": F.when(u(0) < 0.5, "Healthcare").otherwise("Finance"),
+        "epsilon": H.pick(F.floor(u(1) * 3.0).cast("int"), EPSILONS),
+        "iteration": F.floor(u(2) * 4.0).cast("int"),
+        "model": H.pick(F.floor(u(3) * 3.0).cast("int"), MODELS),
+    }
+
+
+def evaluated_runs(spark, sf):
+    """Full scorecards of all suppliers' pairs, not rounded."""
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", *LINE_NUMBERS, *LINE_STRINGS)
+    row = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")
+    epsilon, real = _settings(F.col("l_suppkey"))["epsilon"], first_half("l_orderkey")
+
+    def noised(c):
+        sensitivity, places = NOISED[c]
+        noise = H.laplace(SEED, row, c, F.lit(sensitivity) / epsilon)
+        return F.when(real, F.col(c)).otherwise(F.round(F.col(c) + noise, places)).alias(c)
+
+    own = [noised(c) if c in NOISED else F.col(c) for c in LINE_NUMBERS + LINE_STRINGS]
+    tagged = lines.select(F.col("l_suppkey").alias("run_id"), real.alias("is_real"), *own, F.struct(row.alias("row")).alias("key"))
+    return scorecards(tagged, "run_id", "l_returnflag", F.col("key.row"), features=RUN_FEATURES, seed=SEED)
+
+
 def run_records(spark, sf):
-    """One flat scorecard row per order."""
-    rid = F.col("o_orderkey")
-
-    def u(stream, slot):
-        return H.uniform(SEED, rid, stream, slot)
-
-    known = u("c", 0) >= 0.1
-    rows = table(spark, sf, "orders").select(
-        rid.alias("run_id"),
-        F.when(u("a", 0) < 0.5, "Healthcare").otherwise("Finance").alias("domain"),
-        H.pick(F.floor(u("a", 1) * 3.0).cast("int"), [0.1, 1.0, 10.0]).alias("epsilon"),
-        F.floor(u("a", 2) * 4.0).cast("int").alias("iteration"),
-        H.pick(F.floor(u("a", 3) * 3.0).cast("int"), MODELS).alias("model"),
-        F.round(u("b", 0) * 0.25, 2).alias("wasserstein"),
-        F.round(u("b", 1) * 0.05, 4).alias("js_divergence"),
-        F.round(u("b", 2), 4).alias("correlation_similarity"),
-        F.round(u("b", 3) * 0.5, 4).alias("mmd"),
-        F.round(u("d", 0) * 12.0, 4).alias("kl_divergence"),
-        F.when(known, F.round(u("c", 1) * 0.4 + 0.6, 2)).alias("baseline_accuracy"),
-        F.when(known, F.round(u("c", 2) * 0.6 + 0.4, 2)).alias("tstr_accuracy"),
-        F.when(known, F.round(u("c", 3), 2)).alias("trts_accuracy"),
-        F.floor(u("d", 1) * 1.1).cast("bigint").alias("exact_matches"),
-        F.round(u("d", 2) * 0.3 + 0.5, 2).alias("mia_risk_score"),
-        F.floor(u("d", 3) * 14.0).cast("bigint").alias("k_anonymity"),
-    )
-    gap = F.greatest(F.lit(0.0), F.col("baseline_accuracy") - F.col("tstr_accuracy"))
-    drop = F.when(F.col("baseline_accuracy").isNull(), F.lit(100.0)).otherwise(F.round(gap * 100.0, 0))
-    return S.with_compliance(rows.withColumn("performance_drop", drop))
+    """One flat scorecard row per supplier, in the digits reports print."""
+    lines = table(spark, sf, "lineitem")
+    mark = lines.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*lines.columns).cast("decimal(38,0)"))).first()
+    known = (spark.sparkContext.applicationId, tuple(mark))
+    if known not in _EVALUATED:
+        _EVALUATED[known] = evaluated_runs(spark, sf)
+    rows = _EVALUATED[known]
+    places = dict.fromkeys(S.FIDELITY, 4) | dict.fromkeys((*S.UTILITY[:3], "mia_risk_score"), 2) | {"performance_drop": 1}
+    # Shares of few rows often end in a 5; they are moved off the tie, so all engines round alike.
+    cols = [F.round(F.col(c) + F.lit(1e-9), n).alias(c) for c, n in places.items()]
+    named = [v.alias(c) for c, v in _settings(F.col("run_id")).items()]
+    return S.with_compliance(rows.select("run_id", *named, *cols, "exact_matches", "k_anonymity"))
 
 
 def _u(stream: str, slot: int) -> str:
-    return sql_uniform(SEED, "o_orderkey", stream, slot)
-
-
-SQL_RUNS = f"""(SELECT *, CASE WHEN baseline_accuracy IS NULL THEN 100.0::DOUBLE ELSE round(greatest(0.0, baseline_accuracy - tstr_accuracy) * 100.0::DOUBLE, 0) END AS performance_drop,
-    exact_matches = 0 AND mia_risk_score < 0.76 AS is_compliant FROM (
-    SELECT o_orderkey AS run_id, CASE WHEN {_u('a', 0)} < 0.5 THEN 'Healthcare' ELSE 'Finance' END AS domain,
-    ([0.1::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE])[floor({_u('a', 1)} * 3)::INTEGER + 1] AS epsilon, floor({_u('a', 2)} * 4)::INTEGER AS iteration,
-    {sql_pick(f"floor({_u('a', 3)} * 3)::INTEGER", MODELS)} AS model,
-    round({_u('b', 0)} * 0.25::DOUBLE, 2) AS wasserstein, round({_u('b', 1)} * 0.05::DOUBLE, 4) AS js_divergence, round({_u('b', 2)}, 4) AS correlation_similarity,
-    round({_u('b', 3)} * 0.5::DOUBLE, 4) AS mmd, round({_u('d', 0)} * 12.0::DOUBLE, 4) AS kl_divergence,
-    CASE WHEN {_u('c', 0)} >= 0.1 THEN round({_u('c', 1)} * 0.4::DOUBLE + 0.6::DOUBLE, 2) END AS baseline_accuracy,
-    CASE WHEN {_u('c', 0)} >= 0.1 THEN round({_u('c', 2)} * 0.6::DOUBLE + 0.4::DOUBLE, 2) END AS tstr_accuracy,
-    CASE WHEN {_u('c', 0)} >= 0.1 THEN round({_u('c', 3)}, 2) END AS trts_accuracy,
-    floor({_u('d', 1)} * 1.1::DOUBLE)::BIGINT AS exact_matches, round({_u('d', 2)} * 0.3::DOUBLE + 0.5::DOUBLE, 2) AS mia_risk_score,
-    floor({_u('d', 3)} * 14)::BIGINT AS k_anonymity FROM orders))"""
-SQL_JUDGED = f"""(SELECT *, CASE WHEN note = 'Passed all benchmarks.' THEN 'Approve' ELSE 'Reject' END AS decision FROM (
-    SELECT *, CASE WHEN NOT is_compliant THEN 'Privacy Failed (MIA/Linkability)' WHEN k_anonymity < 3 THEN 'Low k-anonymity'
-    WHEN wasserstein > 0.15 THEN 'Fidelity poor' WHEN performance_drop > 20 THEN 'Utility poor' ELSE 'Passed all benchmarks.' END AS note FROM {SQL_RUNS}))"""
+    return sql_uniform(SEED, "run_id", stream, slot)
+
+
+SQL_EPSILON = f"([0.1::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE])[floor({_u('a', 1)} * 3)::INTEGER + 1]"
+
+
+def sql_segments(source: str, numbers, texts, target: str, features: int) -> str:
+    """Scorecards by segment: ``source`` has seg, id (decides folds and training share), is_real and the columns."""
+    names = (*numbers, *texts)
+    used = [c for c in names if c != target]
+    values = " UNION ALL ".join(
+        f"SELECT seg, is_real, '{c}' AS col, {f'{c}::DOUBLE' if c in numbers else 'NULL::DOUBLE'} AS v, {'NULL::VARCHAR' if c in numbers else c} AS t FROM src WHERE {c} IS NOT NULL" for c in names
+    )
+    listed = lambda cols: ", ".join(f"'{c}'" for c in cols)
+    corr = lambda a, b, side: f"coalesce(nullif(corr({a}, {b}) FILTER ({side}), 'nan'::DOUBLE), 0.0)"
+    gaps = " + ".join(f"2 * pow({corr(a, b, 'is_real')} - {corr(a, b, 'NOT is_real')}, 2)" for i, a in enumerate(numbers) for b in numbers[i + 1 :])
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}, min({c}::DOUBLE) AS lo{i}, max({c}::DOUBLE) AS hi{i}" for i, c in enumerate(numbers))
+    draws = ", ".join(f"{sql_normal(SEED, 'range', f'w{i}')} AS w{i}" for i in range(len(numbers)))
+    angle = " + ".join(f"(({c} - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1.0 END) * sqrt(2.0::DOUBLE / {len(numbers)}) * w{i}" for i, c in enumerate(numbers))
+    cells = " UNION ALL ".join(
+        [
+            f"SELECT rid, seg, is_real, is_train, fold, {target} AS label, '{c}' AS col, CASE WHEN hi{i} > lo{i} THEN 'n' || least(floor(({c}::DOUBLE - lo{i}) / ((hi{i} - lo{i}) / {CELLS}.0::DOUBLE)), {CELLS - 1})::INTEGER ELSE 'n0' END AS cell FROM src JOIN mo USING (seg)"
+            for i, c in enumerate(numbers)
+        ]
+        + [f"SELECT rid, seg, is_real, is_train, fold, {target}, '{c}', 'v' || {c} FROM src" for c in texts]
+    )
+    return f"""(WITH src AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, {sql_uniform(SEED, 'id', 'split')} < 0.7::DOUBLE AS is_train, floor({sql_uniform(SEED, 'id', 'fold')} * 5.0::DOUBLE)::INTEGER AS fold FROM {source}),
+    l AS ({values}),
+    f AS (SELECT seg, col, v, t, count(*) FILTER (is_real) AS nr, count(*) FILTER (NOT is_real) AS ns FROM l GROUP BY ALL),
+    sh AS (SELECT *, nr::DOUBLE / sum(nr) OVER (PARTITION BY seg, col) AS p, ns::DOUBLE / sum(ns) OVER (PARTITION BY seg, col) AS q,
+      sum(nr) OVER (PARTITION BY seg, col ORDER BY v)::DOUBLE / sum(nr) OVER (PARTITION BY seg, col) AS fr, sum(ns) OVER (PARTITION BY seg, col ORDER BY v)::DOUBLE / sum(ns) OVER (PARTITION BY seg, col) AS fs,
+      lead(v) OVER (PARTITION BY seg, col ORDER BY v) AS nv FROM f),
+    fill AS (SELECT *, CASE WHEN p > 0 THEN p ELSE 1e-10::DOUBLE END AS p0, CASE WHEN q > 0 THEN q ELSE 1e-10::DOUBLE END AS q0 FROM sh),
+    scaled AS (SELECT *, p0 / sum(p0) OVER (PARTITION BY seg, col) AS a, q0 / sum(q0) OVER (PARTITION BY seg, col) AS b FROM fill),
+    c AS (SELECT seg, col, sum(abs(fr - fs) * (nv - v)) / greatest(max(v) - min(v), 1e-6) AS w, count(*) FILTER (nr > 0) > 0.9 * sum(nr) AS is_id, sum(a * ln(a / b)) AS kl,
+      sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2) AS js FROM scaled GROUP BY seg, col),
+    dist AS (SELECT seg, coalesce(avg(w) FILTER (col IN ({listed(numbers)}) AND NOT is_id), 0.0) AS wasserstein, avg(js) FILTER (col IN ({listed(texts)})) AS js_divergence, avg(kl) AS kl_divergence FROM c GROUP BY seg),
+    cr AS (SELECT seg, 1.0::DOUBLE / (1.0::DOUBLE + sqrt({gaps})) AS correlation_similarity FROM src GROUP BY seg),
+    mo AS (SELECT seg, {moments} FROM src GROUP BY seg), om AS (SELECT range AS j, {draws} FROM range({features})),
+    an AS (SELECT seg, is_real, j, {angle} AS x FROM src JOIN mo USING (seg), om),
+    z AS (SELECT seg, j, avg(cos(x)) FILTER (is_real) - avg(cos(x)) FILTER (NOT is_real) AS dc, avg(sin(x)) FILTER (is_real) - avg(sin(x)) FILTER (NOT is_real) AS ds FROM an GROUP BY seg, j),
+    mm AS (SELECT seg, sqrt(sum(dc * dc + ds * ds) / {features}) AS mmd FROM z GROUP BY seg),
+    same AS (SELECT seg, count(*) AS exact_matches FROM (SELECT seg FROM src GROUP BY seg, {', '.join(names)} HAVING bool_or(is_real) AND NOT bool_and(is_real)) GROUP BY seg),
+    ka AS (SELECT seg, min(n) AS k_anonymity FROM (SELECT seg, count(*) AS n FROM src WHERE NOT is_real GROUP BY seg, {', '.join(texts[:2])}) GROUP BY seg),
+    long AS MATERIALIZED ({cells}),
+    sz AS (SELECT seg, col, count(DISTINCT cell) AS v FROM long GROUP BY seg, col),
+    cnt AS (SELECT seg, col, cell, fold, count(*) FILTER (is_real) AS r, count(*) FILTER (NOT is_real) AS s FROM long GROUP BY ALL),
+    every AS (SELECT seg, col, cell, sum(r) AS r, sum(s) AS s FROM cnt GROUP BY ALL),
+    sides AS (SELECT seg, fold, count(*) FILTER (is_real) AS nr, count(*) FILTER (NOT is_real) AS ns FROM src GROUP BY seg, fold),
+    tot AS (SELECT seg, sum(nr) AS nr, sum(ns) AS ns FROM sides GROUP BY seg),
+    odds AS (SELECT seg, col, cell, fold, ln((every.r - cnt.r + 1)::DOUBLE / (tot.nr - sides.nr + v)::DOUBLE) - ln((every.s - cnt.s + 1)::DOUBLE / (tot.ns - sides.ns + v)::DOUBLE) AS w
+      FROM cnt JOIN every USING (seg, col, cell) JOIN sz USING (seg, col) JOIN sides USING (seg, fold) JOIN tot USING (seg)),
+    told AS (SELECT seg, rid, is_real, round(sum(w), 9) AS score FROM long JOIN odds USING (seg, col, cell, fold) GROUP BY seg, rid, is_real),
+    att AS (SELECT seg, (avg(hit) FILTER (is_real) + avg(hit) FILTER (NOT is_real)) / 2.0::DOUBLE AS mia_risk_score FROM (
+      SELECT seg, is_real, CASE WHEN score = 0 THEN 0.5::DOUBLE WHEN (score > 0) = is_real THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit FROM told) GROUP BY seg),
+    lab AS (SELECT seg, col, cell, label, count(*) FILTER (is_real AND is_train) AS r, count(*) FILTER (NOT is_real) AS s FROM long WHERE col IN ({listed(used)}) GROUP BY ALL),
+    cls AS (SELECT seg, {target} AS label, count(*) FILTER (is_real AND is_train) AS nr, count(*) FILTER (NOT is_real) AS ns FROM src GROUP BY ALL),
+    ct AS (SELECT seg, sum(nr) AS nr, sum(ns) AS ns, count(*) AS k FROM cls GROUP BY seg),
+    term AS (SELECT u.seg, u.col, u.cell, cls.label, ln((coalesce(lab.r, 0) + 1)::DOUBLE / (nr + v)::DOUBLE) AS lr, ln((coalesce(lab.s, 0) + 1)::DOUBLE / (ns + v)::DOUBLE) AS ls
+      FROM (SELECT DISTINCT seg, col, cell FROM lab) u JOIN sz ON sz.seg = u.seg AND sz.col = u.col JOIN cls ON cls.seg = u.seg
+      LEFT JOIN lab ON lab.seg = u.seg AND lab.col = u.col AND lab.cell = u.cell AND lab.label = cls.label),
+    votes AS (SELECT long.seg, rid, long.label AS own, is_real, term.label AS k, sum(lr) AS sr, sum(ls) AS ss FROM long JOIN term ON term.seg = long.seg AND term.col = long.col AND term.cell = long.cell
+      WHERE NOT (is_real AND is_train) GROUP BY ALL),
+    full_votes AS (SELECT votes.seg, rid, own, is_real, votes.k, round(sr + ln((cls.nr + 1)::DOUBLE / (ct.nr + ct.k)::DOUBLE), 9) AS sr, round(ss + ln((cls.ns + 1)::DOUBLE / (ct.ns + ct.k)::DOUBLE), 9) AS ss
+      FROM votes JOIN cls ON cls.seg = votes.seg AND cls.label = votes.k JOIN ct ON ct.seg = votes.seg),
+    picked AS (SELECT seg, rid, any_value(own) AS own, any_value(is_real) AS is_real, first(k ORDER BY sr DESC, k) AS kr, first(k ORDER BY ss DESC, k) AS ks FROM full_votes GROUP BY seg, rid),
+    ut AS (SELECT seg, avg((kr = own)::INTEGER) FILTER (is_real) AS baseline_accuracy, avg((ks = own)::INTEGER) FILTER (is_real) AS tstr_accuracy, avg((kr = own)::INTEGER) FILTER (NOT is_real) AS trts_accuracy FROM picked GROUP BY seg)
+    SELECT seg AS run_id, wasserstein, js_divergence, correlation_similarity, mmd, kl_divergence, baseline_accuracy, tstr_accuracy, trts_accuracy,
+      greatest(0.0::DOUBLE, baseline_accuracy - tstr_accuracy) * 100.0::DOUBLE AS performance_drop, coalesce(exact_matches, 0) AS exact_matches, mia_risk_score, k_anonymity
+    FROM dist JOIN cr USING (seg) JOIN mm USING (seg) LEFT JOIN same USING (seg) JOIN ka USING (seg) JOIN att USING (seg) JOIN ut USING (seg))"""
+
+
+_SIDES = f"(SELECT l_suppkey AS run_id, concat_ws('|', l_orderkey, l_linenumber, l_partkey) AS id, * FROM {LINES})"
+_NOISES = {c: sql_laplace(SEED, "id", c, f"({v}::DOUBLE / {SQL_EPSILON})") for c, (v, _) in NOISED.items()}
+_NOISED = ", ".join(f"CASE WHEN is_real THEN {c} ELSE round({c} + {_NOISES[c]}, {n}) + 0.0::DOUBLE END AS {c}" for c, (_, n) in NOISED.items())
+SQL_EVALUATED = sql_segments(
+    f"(SELECT run_id AS seg, id, is_real, * EXCLUDE (run_id, id, is_real, {', '.join(NOISED)}), {_NOISED} FROM {_SIDES})",
+    LINE_NUMBERS,
+    LINE_STRINGS,
+    "l_returnflag",
+    RUN_FEATURES,
+)
+_ROUND = ", ".join(f"round({c} + 1e-9::DOUBLE, {n}) AS {c}" for c, n in [*((c, 4) for c in S.FIDELITY), *((c, 2) for c in (*S.UTILITY[:3], "mia_risk_score")), ("performance_drop", 1)])
+SQL_RUNS = f"""(SELECT *, exact_matches = 0 AND mia_risk_score < 0.76 AS is_compliant FROM (
+    SELECT run_id, CASE WHEN {_u('a', 0)} < 0.5 THEN 'Healthcare' ELSE 'Finance' END AS domain, {SQL_EPSILON} AS epsilon, floor({_u('a', 2)} * 4)::INTEGER AS iteration,
+    {sql_pick(f"floor({_u('a', 3)} * 3)::INTEGER", MODELS)} AS model, {_ROUND}, exact_matches::BIGINT AS exact_matches, k_anonymity::BIGINT AS k_anonymity FROM {SQL_EVALUATED}))"""
+SQL_JUDGED = f"""(SELECT *, CASE note WHEN 'Passed all benchmarks.' THEN 'Approve' WHEN 'Missing Data' THEN 'Error' ELSE 'Reject' END AS decision FROM (
+    SELECT *, CASE WHEN wasserstein IS NULL OR is_compliant IS NULL THEN 'Missing Data' WHEN NOT is_compliant THEN 'Privacy Failed (MIA/Linkability)' WHEN k_anonymity < 3 THEN 'Low k-anonymity'
+    WHEN wasserstein > 0.15 THEN 'Fidelity poor' WHEN performance_drop > 20 THEN 'Utility poor' WHEN performance_drop IS NULL OR k_anonymity IS NULL THEN 'Missing Data' ELSE 'Passed all benchmarks.' END AS note FROM {SQL_RUNS}))"""
 
 
 # --- privacy ------------------------------------------------------------------------
@@ -200,6 +292,15 @@ def pair_scorecard(spark, sf):
     return rounded(rounded(row, 6, "wasserstein", "correlation_similarity", "kl_divergence"), 8, "js_divergence")
 
 
+SCORES = (*S.FIDELITY, *S.UTILITY, "mia_risk_score")
+
+
+@query("segment_scorecards", f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}) FROM {SQL_EVALUATED}")
+def segment_scorecards(spark, sf):
+    """All measured values of every supplier's pair, each time anew."""
+    return rounded(evaluated_runs(spark, sf), 6, *SCORES)
+
+
 @query("judge_decision", f"SELECT run_id, decision, note FROM {SQL_JUDGED}")
 def judge_decision(spark, sf):
     return S.judge(run_records(spark, sf)).select("run_id", "decision", "note")
@@ -250,8 +351,9 @@ def _dec(expr: str, places: int) -> str:
 
 @query(
     "compliance_checklist",
-    " UNION ALL ".join(
-        f"SELECT run_id, {i + 1} AS item, {label} AS label, {ok} AS ok FROM {SQL_FLAGS}"
+    f"WITH flags AS MATERIALIZED {SQL_FLAGS} "
+    + " UNION ALL ".join(
+        f"SELECT run_id, {i + 1} AS item, {label} AS label, {ok} AS ok FROM flags"
         for i, (ok, label) in enumerate(
             (
                 ("true", "'Record of processing generated'"),

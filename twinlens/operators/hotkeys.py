@@ -24,11 +24,18 @@ def hot_keys(rows: DataFrame, keys: list[str], least_rows: int | None = None) ->
     return [tuple(r[k] for k in keys) for r in counts.where(F.col("_n") > bound.scalar()).collect()]
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", least_rows: int | None = None) -> DataFrame:
+def hot_of(counts: DataFrame, keys: list[str], count: str, total: int) -> list[tuple]:
+    """As ``hot_keys``, for a caller who has the rows of each key, and of all keys, already."""
+    least = max(total / SHARE, LEAST_ROWS)
+    return [tuple(r[k] for k in keys) for r in counts.where(F.col(count) > least).select(*keys).collect()]
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", least_rows: int | None = None, found: list[tuple] | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which holds each key once; ``how`` is inner, left,
     left_semi or left_anti. ``rows`` is read three times, so it should be a stored
-    table. A null key meets nothing; with left and left_anti its row stays."""
-    found = hot_keys(rows, keys, least_rows)
+    table. A null key meets nothing; with left and left_anti its row stays. With
+    ``found``, the hot keys of ``hot_of``, rows without hot keys are read once."""
+    found = hot_keys(rows, keys, least_rows) if found is None else found
     if not found:
         return rows.join(table, keys, how)
     schema = table.select(*keys).schema

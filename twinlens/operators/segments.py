@@ -21,13 +21,15 @@ from twinlens.functions import hashrand
 from twinlens.operators.bayes import CELLS, PLACES, UTILITY
 from twinlens.operators.columns import attack_id_name, is_numeric, judge_id_name, quasi_identifiers
 from twinlens.operators.fidelity import hash_normals
-from twinlens.operators.hotkeys import lookup
+from twinlens.operators.hotkeys import hot_of, lookup
 from twinlens.operators.pair import IS_REAL
 from twinlens.operators.sampling import train_flag
 from twinlens.operators.scan import running
 from twinlens.session import stored
 
 FLAT = 1e-14
+#: Up to so many classes of a segment are added up side by side, more as arrays.
+CLASSES_WIDE = 32
 
 
 def _sum_if(test: Column, value: Column | None = None) -> Column:
@@ -254,13 +256,24 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         return F.transform("classes", lambda c: F.ln((own(c) + 1.0) / (c[side] + F.col("size_whole"))) + prior(c))
 
     model = stored(model.select(*grain, odds.alias("odds"), terms("train").alias("by_real"), terms("synth").alias("by_synth")), "cell_terms")
-    joined = lookup(stored(long, "long_cells"), model, grain)
-    scored = joined.groupBy("seg", "row", "is_real", "label", "part").agg(
-        F.sum(F.when(F.col("feature").isin(attacked), F.element_at("odds", F.col("fold") + 1))).alias("score"),
-        *[F.collect_list(F.when(F.col("feature").isin(used) & part.isin("test", "synth"), F.col(c))).alias(c) for c in ("by_real", "by_synth")],
-    )
+    facts = segments.agg(F.coalesce(F.sum(add(F.col("fold_r")) + add(F.col("fold_s"))), F.lit(0)).alias("rows"), F.max(F.size("classes")).alias("classes")).first()
+    k = max(facts["classes"] or 0, 0)
+    by_cell = cell.select(*grain, (add(F.col("at_r")) + add(F.col("at_s"))).alias("n"))
+    joined = lookup(long, model, grain, found=hot_of(by_cell, grain, "n", facts["rows"] * len(names)))
+    asked = F.col("feature").isin(used) & part.isin("test", "synth")
+    score = F.sum(F.when(F.col("feature").isin(attacked), F.element_at("odds", F.col("fold") + 1))).alias("score")
+    sides_of = ("by_real", "by_synth")
+    if k <= CLASSES_WIDE:
+        sums = [F.sum(F.when(asked, F.get(c, F.lit(j)))).alias(f"{c}{j}") for c in sides_of for j in range(k)]
+    else:
+        sums = [F.collect_list(F.when(asked, F.col(c))).alias(c) for c in sides_of]
+    scored = joined.groupBy("seg", "row", "is_real", "label", "part").agg(score, *sums)
 
     def total(c: str) -> Column:
+        if not k:
+            return F.array().cast("array<double>")
+        if k <= CLASSES_WIDE:
+            return F.array_compact(F.array(*[F.col(f"{c}{j}") for j in range(k)]))
         return F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
 
     score = F.round("score", PLACES)
@@ -307,7 +320,9 @@ def scorecards(
     d, t = len(numbers), len(texts)
     rows = stored(rows, "segment_rows")
     moments = stored(_moments(rows, d), "moments")
-    wide = stored(lookup(rows, moments.select("seg", "lo", "hi", "mean", "sd"), ["seg"]), "scaled_rows") if d else rows
+    sizes = moments.select("seg", (F.col("n_real") + F.col("n_synth")).alias("n"))
+    hot = hot_of(sizes, ["seg"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    wide = lookup(rows, moments.select("seg", "lo", "hi", "mean", "sd"), ["seg"], found=hot) if d else rows
     quasi = quasi_identifiers(tagged.select(*texts)) if quasi is None and texts else quasi or []
     parts = [
         _distances(value_table(rows, numbers, texts), numbers, texts),
