@@ -89,3 +89,40 @@ def test_row_numbers(spark):
         assert sorted(part.n) == list(range(1, len(part) + 1))
     dense = ordered.ordered_row_number(df.select((F.col("id") * 7 % 3000).alias("x")), ["x"], "n").toPandas()
     assert (dense.x == dense.n).all()
+
+
+def test_quantiles_by_selection(spark, monkeypatch):
+    """Brackets give numpy's quantiles on skewed, tied, null and signed-zero values, without ranking all of them."""
+    rng = np.random.default_rng(3)
+    n = 30_000
+    data = {
+        "wide": np.exp(rng.normal(0, 20, n)),
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 50, n)).astype(float),
+        "zero": np.where(rng.random(n) < 0.5, -0.0, np.where(rng.random(n) < 0.5, 0.0, rng.normal(0, 1, n))),
+        "few": np.where(np.arange(n) < 3, np.arange(n), np.nan),
+        "none": np.full(n, np.nan),
+    }
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in zip(*data.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
+    probs = [i / 40 for i in range(41)]
+
+    def refuse(*_):
+        raise AssertionError("all values ranked")
+
+    monkeypatch.setattr(ordered, "_ranked", refuse)
+    monkeypatch.setattr(ordered, "SELECT_FROM", 0)
+    got = {(r["column"], r["p"]): r["q"] for r in ordered.quantiles(df, list(data), probs).collect()}
+    assert len(got) == 4 * len(probs)
+    for c in ("wide", "hot", "zero", "few"):
+        known = data[c][~np.isnan(data[c])]
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(known, p), rel=1e-12, abs=1e-12), (c, p)
+
+
+def test_quantiles_fall_back(spark, monkeypatch):
+    """A bracket that misses its rank, and infinite values, lead to ranking every value."""
+    df = spark.range(1000).selectExpr("cast(id as double) as v", "if(id = 5, double('Infinity'), id) as w")
+    monkeypatch.setattr(ordered, "SELECT_FROM", 0)
+    monkeypatch.setattr(ordered, "_brackets", lambda d, counts, probs: {c: [(0.0, 1.0, probs)] for c in counts})
+    assert ordered.quantiles(df, ["v"], [0.5]).first()["q"] == 499.5
+    assert {r["column"] for r in ordered.quantiles(df, ["v", "w"], [0.5]).collect()} == {"v", "w"}

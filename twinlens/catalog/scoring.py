@@ -18,6 +18,7 @@ from twinlens.catalog.fidelity import (
     line_pair,
     sql_js,
     sql_kl,
+    sql_mmd,
     sql_w_variant,
 )
 from twinlens.catalog.registry import first_half, halves, query, rounded, sql_laplace, sql_normal, sql_sides, sql_uniform, table
@@ -283,13 +284,14 @@ CARD_COLUMNS = LINE_NUMBERS + LINE_STRINGS
     f"""SELECT (SELECT wasserstein FROM ({sql_w_variant('x', LINES, LINE_NUMBERS, 'judge')})) AS wasserstein,
     (SELECT value FROM ({sql_js('x', LINES, LINE_STRINGS)})) AS js_divergence,
     (SELECT round(1.0::DOUBLE / (1.0::DOUBLE + f), 6) FROM ({SQL_FROBENIUS})) AS correlation_similarity,
+    (SELECT mmd FROM ({sql_mmd(LINES, LINE_NUMBERS, 256)})) AS mmd,
     (SELECT value FROM ({sql_kl('x', LINES, LINE_STRINGS, LINE_NUMBERS)})) AS kl_divergence,
     (SELECT exact_matches FROM ({_sql_link('x', LINES, CARD_COLUMNS)})) AS exact_matches,
     (SELECT min(n) FROM (SELECT count(*) AS n FROM {LINES} WHERE NOT is_real GROUP BY l_returnflag, l_linestatus)) AS k_anonymity""",
 )
 def pair_scorecard(spark, sf):
-    row = S.metric_row(line_pair(spark, sf, *CARD_COLUMNS))
-    return rounded(rounded(row, 6, "wasserstein", "correlation_similarity", "kl_divergence"), 8, "js_divergence")
+    row = S.metric_row(line_pair(spark, sf, *CARD_COLUMNS), mmd=True)
+    return rounded(rounded(row, 6, "wasserstein", "correlation_similarity", "mmd", "kl_divergence"), 8, "js_divergence")
 
 
 SCORES = (*S.FIDELITY, *S.UTILITY, "mia_risk_score")

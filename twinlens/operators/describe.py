@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from twinlens import constants as C
 from twinlens.operators.columns import numeric_columns
-from twinlens.operators.ordered import ROWS_PER_BUCKET, quantiles
+from twinlens.operators.ordered import quantiles
 from twinlens.operators.profile import long_values
 
 
-def column_describe(df: DataFrame, columns: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def column_describe(df: DataFrame, columns: list[str] | None = None, rows_per_bucket: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (exact, interpolated) and max."""
     columns = columns or numeric_columns(df)
     moments = (
@@ -54,7 +54,7 @@ def column_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     )
 
 
-def quantile_grid(df: DataFrame, column: str, points: int = C.QUANTILE_POINTS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def quantile_grid(df: DataFrame, column: str, points: int = C.QUANTILE_POINTS, rows_per_bucket: int | None = None) -> DataFrame:
     """(p, q) on an even grid of probabilities, exact."""
     probs = [i / (points - 1) for i in range(points)]
     return quantiles(df, [column], probs, rows_per_bucket).select("p", "q")

@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from twinlens.functions.hashrand import digest
 from twinlens.operators.columns import unused
 from twinlens.operators.scan import running
+from twinlens.session import stored
 
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 TOP_K_LIMIT = 10_000
+#: Sketches tell ranks to one in so many; up to so many rows ranking them all is as quick.
+SKETCH = 10_000
+SELECT_FROM = 20_000
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -93,10 +97,83 @@ def running_counts(freq: DataFrame, counts: list[str], bucketed: bool) -> DataFr
     )
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact quantiles with linear interpolation: (column, p, q)."""
-    sizes = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], rows_per_bucket: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation: (column, p, q).
+
+    Nothing is sorted as a whole: a sketch brackets each wanted rank, one count tells how many rows lie
+    below and within each bracket, and only values within brackets are ranked. The counts prove that each
+    rank lies in its bracket; if one does not, if values are NaN or infinite, or if ``rows_per_bucket``
+    is given, all values are ranked bucket by bucket. A column without values has no row."""
+    x = {c: F.col(c).cast("double") for c in columns}
+    odd = lambda c: F.count_if(F.isnan(x[c]) | (F.abs(x[c]) == F.lit(math.inf)))
+    sizes = df.agg(*[f.alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count(c)), ("odd", odd(c)))]).first()
     counts = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
+    plain = not any(sizes[f"odd{i}"] for i in range(len(columns)))
+    if rows_per_bucket is None and plain and max(counts.values()) > SELECT_FROM:
+        found = _selected(df, counts, probs)
+        if found is not None:
+            return found
+    return _ranked(df, counts, probs, rows_per_bucket or ROWS_PER_BUCKET)
+
+
+def _brackets(df: DataFrame, counts: dict[str, int], probs: list[float]) -> dict[str, list[tuple[float, float, list[float]]]]:
+    """Per column the disjoint value ranges, in order, and the probabilities whose ranks each should hold."""
+    slack = 2.0 / SKETCH
+    aggs, ends = [], {}
+    for c, n in counts.items():
+        at = [p * (n - 1) for p in probs]
+        ends[c] = [min(1.0, max(0.0, e)) for a in at for e in ((math.floor(a) + 0.5) / n - slack, (math.ceil(a) + 1.0) / n + slack)]
+        aggs.append(F.percentile_approx(F.col(c).cast("double") + F.lit(0.0), ends[c], SKETCH).alias(f"e{len(aggs)}"))
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(counts):
+        found: list[tuple[float, float, list[float]]] = []
+        for j, p in sorted(enumerate(probs), key=lambda x: x[1]):
+            low, high = row[f"e{i}"][2 * j] + 0.0, row[f"e{i}"][2 * j + 1] + 0.0
+            if found and low <= math.nextafter(found[-1][1], math.inf):
+                found[-1] = (min(found[-1][0], low), max(found[-1][1], high), [*found[-1][2], p])
+            else:
+                found.append((low, high, [p]))
+        out[c] = found
+    return out
+
+
+def _selected(df: DataFrame, counts: dict[str, int], probs: list[float]) -> DataFrame | None:
+    """Quantiles from bracketed ranks; None if a rank is not in its bracket."""
+    spark = df.sparkSession
+    counts = {c: n for c, n in counts.items() if n}
+    brackets = _brackets(df, counts, probs)
+    cuts = {c: [e for low, high, _ in found for e in (low, math.nextafter(high, math.inf) + 0.0)] for c, found in brackets.items()}
+    rows = df.select(*[(F.col(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(counts)])
+    names = [f"x{i}" for i in range(len(counts))]
+    # Odd buckets are brackets, even ones lie between them.
+    rows = Bucketizer(
+        inputCols=names, outputCols=[f"b{i}" for i in range(len(counts))], splitsArray=[[-math.inf, *cuts[c], math.inf] for c in counts], handleInvalid="keep"
+    ).transform(rows)
+    cells = [F.struct(F.lit(c).alias("column"), F.when(F.col(n).isNotNull(), F.col(f"b{i}").cast("int")).alias("bucket"), F.when(F.col(f"b{i}") % 2 == 1, F.col(n)).alias("value")) for i, (c, n) in enumerate(zip(counts, names))]
+    freq = rows.select(F.inline(F.array(*cells))).where("bucket is not null").groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+    freq = stored(freq, "selection")
+    held = {(r["column"], r["bucket"]): r["n"] for r in freq.groupBy("column", "bucket").agg(F.sum("n").alias("n")).collect()}  # two rows a probability
+    wanted = []
+    for c, n in counts.items():
+        below = 0
+        for j, (_, _, here) in enumerate(brackets[c]):
+            below += held.get((c, 2 * j), 0)
+            inside = held.get((c, 2 * j + 1), 0)
+            if any(math.floor(p * (n - 1)) < below or math.ceil(p * (n - 1)) >= below + inside for p in here):
+                return None
+            wanted.append((c, 2 * j + 1, below, float(n - 1), here))
+            below += inside
+    table = spark.createDataFrame(wanted, "column string, bucket int, below bigint, top double, wanted array<double>")
+    local = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = freq.where(F.col("bucket") % 2 == 1).join(F.broadcast(table), ["column", "bucket"])
+    ranked = ranked.withColumn("before_n", F.coalesce(F.sum("n").over(local), F.lit(0)) + F.col("below"))
+    return _interpolated(ranked, F.col("wanted"))
+
+
+def _ranked(df: DataFrame, counts: dict[str, int], probs: list[float], rows_per_bucket: int) -> DataFrame:
+    """Quantiles by ranking every distinct value within its bucket."""
+    columns = list(counts)
     splits = bucket_splits(df, columns, bucket_count(max(counts.values()), rows_per_bucket))
     freq = (
         bucketed_values(df, columns, splits)
@@ -117,6 +194,11 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], rows_per_bu
         start = F.greatest(F.floor((F.col("before_n") - 1) * per_rank).cast("int"), F.lit(1))
         length = F.ceil((F.col("n") + 1) * per_rank).cast("int") + F.lit(5)
         wanted = F.slice(wanted, start, length)
+    return _interpolated(ranked, wanted)
+
+
+def _interpolated(ranked: DataFrame, wanted: Column) -> DataFrame:
+    """(column, p, q) from values with ``before_n``, ``n`` and ``top`` (the last rank)."""
 
     def covers(rank: Column) -> Column:
         return (rank >= F.col("before_n")) & (rank < F.col("before_n") + F.col("n"))
