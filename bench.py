@@ -34,6 +34,7 @@ HEADLINE = (
     "sanitise_table",
     "fold_assign",
     "trace_timeline",
+    "segment_scorecards",
     "judge_decision",
     "certificate_text",
     "synth_marginals",
