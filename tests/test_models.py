@@ -78,6 +78,27 @@ def test_look_up_is_the_inverse_of_the_running_shares(spark, monkeypatch):
     assert got == want
 
 
+def test_mixture_keeps_components_of_any_number_of_cells(spark):
+    """Two far groups of rows with 20,000 pairs of categories, which a product of columns
+    would mix up, and with a text of 2,000 values each."""
+    df = spark.range(40000).selectExpr(
+        "id as k",
+        "if(id % 2 = 0, 0, 1000) + id % 7 as double_x",
+        "concat(if(id % 2 = 0, 'a', 'b'), id % 200) as one",
+        "concat(if(id % 2 = 0, 'a', 'b'), (id div 200) % 200) as two",
+        "if(id % 2 = 0, null, concat('b', id % 3001)) as prediction",
+    )
+    real = df.drop("k")
+    m = synthesizers.fit_marginals(real)
+    assert list(m.large) == ["prediction"] and set(m.category) == {"one", "two"}
+    sample = synthesizers.sample_mixture(real, m, df.select("k"), "k", components=2).persist()
+    assert sample.columns == df.columns and sample.count() == 40000
+    assert sample.where("left(one, 1) != left(two, 1) or (left(one, 1) = 'a') != (double_x < 500) or (prediction is null) != (double_x < 500)").count() == 0
+    drawn = sample.select("one", "two").distinct()
+    assert drawn.count() > 10000 and drawn.subtract(real.select("one", "two")).count() == 0
+    assert sample.select("prediction").distinct().count() > 2000
+
+
 def test_attack_knows_copies_from_shifts(spark):
     rng = np.random.default_rng(7)
     rows = [(float(x), float(y)) for x, y in rng.normal(0, 1, (400, 2))]

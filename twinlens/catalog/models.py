@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinlens.catalog.fidelity import NOISE_SEED, customer_pair, event_pair, noised_customer_pair, sql_noised, sql_w1
 from twinlens.catalog.registry import first_half, query, rounded, sql_laplace, sql_sides, sql_uniform, table
 from twinlens.catalog.tables import SEED
+from twinlens.functions import hashrand
 from twinlens.operators import bayes, modelling, privacy, synthesizers
 from twinlens.operators.fidelity import wasserstein_pilot
 from twinlens.operators.mwem import mwem
@@ -60,6 +61,44 @@ query("synth_latent")(_synth("latent"))
 query("synth_mixture")(_synth("mixture"))
 
 
+# Cells of two texts, and of a text of many values, within price bands in place of fitted components.
+_BANDS = "CASE WHEN o_totalprice < 100000.0 THEN 0 WHEN o_totalprice < 250000.0 THEN 1 ELSE 2 END"
+_CELL_KEYS = "CASE WHEN o_orderstatus IS NULL THEN 'null' ELSE 'v' || o_orderstatus END || '|' || CASE WHEN o_orderpriority IS NULL THEN 'null' ELSE 'v' || o_orderpriority END"
+
+
+def sql_drawn_cells(names: str, digest: str, stream: str) -> str:
+    """(o_orderkey, names...): the cell at a row uniform's place in the rows of the row's band."""
+    return f"""(WITH src AS (SELECT o_orderkey, {names}, {digest} AS digest, {_BANDS} AS k FROM banded),
+    tally AS (SELECT k, digest, {names}, count(*) AS n FROM src GROUP BY ALL),
+    runs AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k ORDER BY substr(md5(digest), 1, 3), {', '.join(c.strip() + ' NULLS FIRST' for c in names.split(','))} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tally),
+    total AS (SELECT k, sum(n)::BIGINT AS rows FROM tally GROUP BY k),
+    asked AS (SELECT o_orderkey, k, least(floor({sql_uniform(SEED, 'o_orderkey', stream)} * rows::DOUBLE)::BIGINT, rows - 1) AS at FROM src JOIN total USING (k))
+    SELECT asked.o_orderkey, {', '.join('runs.' + c.strip() for c in names.split(','))} FROM asked ASOF JOIN runs ON asked.k = runs.k AND asked.at >= runs.start)"""
+
+
+@query(
+    "mixture_cells",
+    f"""WITH banded AS (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR) AS customer, o_totalprice FROM orders)
+    SELECT banded.o_orderkey, {_BANDS} AS component, a.o_orderstatus, a.o_orderpriority, b.customer
+    FROM banded JOIN {sql_drawn_cells('o_orderstatus, o_orderpriority', _CELL_KEYS, 'cell0')} a USING (o_orderkey) JOIN {sql_drawn_cells('customer', "'v' || customer", 'cell1')} b USING (o_orderkey)""",
+)
+def mixture_cells(spark, sf):
+    """The mixture sampler's cells: each order draws texts from the orders of its price band."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice").select(
+        "o_orderkey",
+        F.expr(_BANDS).alias("component"),
+        F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
+        "o_orderpriority",
+        F.col("o_custkey").cast("string").alias("customer"),
+    )
+    drawn = orders.select("o_orderkey", "component")
+    for i, names in enumerate((["o_orderstatus", "o_orderpriority"], ["customer"])):
+        cells = synthesizers.cell_table(orders, F.col("component"), names)
+        place = cells.place(F.col("component"), hashrand.uniform(SEED, F.col("o_orderkey"), f"cell{i}"))
+        drawn = synthesizers.draw_cells(drawn.withColumn("place", place), "place", cells)
+    return drawn
+
+
 @query("pilot_scores")
 def pilot_scores(spark, sf):
     part = table(spark, sf, "part")

@@ -30,15 +30,14 @@ from pyspark.sql import types as T
 from twinlens import constants as C
 from twinlens.functions import hashrand as H
 from twinlens.operators import fidelity
-from twinlens.operators.columns import numeric_columns, string_columns
+from twinlens.operators.columns import numeric_columns, string_columns, unused
 from twinlens.operators.ordered import quantiles
 from twinlens.operators.pair import Pair, nan_to_null
 from twinlens.operators.profile import distinct_counts, long_values
-from twinlens.session import settle
+from twinlens.session import settle, stored
 
 GRID = 1001
 CATEGORY_LIMIT = 1000  # more categories than that are drawn by a join
-CELL_LIMIT = 10_000
 SLICE = 250_000  # rows of the table that one slice of a category join stands for
 NORMAL = NormalDist()
 Z_POINTS = 4001
@@ -108,24 +107,81 @@ def value_table(df: DataFrame, column: str) -> DataFrame:
     """(value, start, n) of the column's values, in order of their digests. Even
     buckets of digests are summed up on their own, so no task holds the column."""
     tally = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    tally = tally.withColumn("bucket", F.substring(F.md5("value"), 1, 3))
-    chain = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
-    before = tally.groupBy("bucket").agg(F.sum("n").alias("all")).select("bucket", F.coalesce(F.sum("all").over(chain), F.lit(0)).alias("before"))
-    local = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return settle(_runs(tally, [], ["value"], F.md5("value")))
+
+
+def _runs(tally: DataFrame, first: list[str], names: list[str], digest: Column) -> DataFrame:
+    """(first..., names..., start, n): the rows of each entry and those of all entries
+    before it, by ``first``, digest bucket and ``names``. ``first`` takes few values."""
+    tally = tally.withColumn("bucket", F.substring(digest, 1, 3))
+    chain = Window.orderBy(*first, "bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most for each ``first``
+    before = tally.groupBy(*first, "bucket").agg(F.sum("n").alias("all")).select(*first, "bucket", F.coalesce(F.sum("all").over(chain), F.lit(0)).alias("before"))
+    local = Window.partitionBy(*first, "bucket").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n").over(local), F.lit(0))
-    return settle(tally.join(before, "bucket").select("value", start.alias("start"), "n"))
+    return tally.join(before, [*first, "bucket"]).select(*first, *names, start.alias("start"), "n")
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Combinations of values by component: (component, c0, c1, ..., start, n). The
+    rows of a component are one run of row numbers, ``spans[component]`` = (first, rows)."""
+
+    table: DataFrame
+    names: list[str]
+    spans: dict[int, tuple[int, int]]
+
+    def place(self, component: Column, share: Column) -> Column:
+        """Row number at ``share`` of the component's rows; of all rows, if it has none."""
+        whole = (0, sum(n for _, n in self.spans.values()))
+
+        def within(span: tuple[int, int]) -> Column:
+            first, n = span
+            return F.lit(first) + F.least(F.floor(share * F.lit(float(n))).cast("bigint"), F.lit(n - 1))
+
+        out = within(whole)
+        for k, span in self.spans.items():
+            out = F.when(component == F.lit(k), within(span)).otherwise(out)
+        return out
+
+
+def cell_table(df: DataFrame, component: Column, names: list[str]) -> Cells:
+    """How often each combination of the text columns ``names`` occurs within each of a
+    few components; null is a value. Combinations are counted before anything is
+    ordered and stay in Spark, however many there are."""
+    keys = [f"c{i}" for i in range(len(names))]
+    rows = df.select(component.cast("int").alias("component"), *[F.col(f"`{c}`").alias(k) for c, k in zip(names, keys)])
+    tally = rows.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), k), F.lit("null")) for k in keys]))
+    table = stored(_runs(tally, ["component"], keys, digest), "cells")
+    spans = table.groupBy("component").agg(F.min("start").alias("first"), F.sum("n").alias("n")).orderBy("component").collect()
+    return Cells(table, names, {r["component"]: (r["first"], r["n"]) for r in spans})
+
+
+def draw_cells(drawn: DataFrame, place: str, cells: Cells) -> DataFrame:
+    """``drawn`` with the combination that holds row number ``place`` instead of that column."""
+    keys = [f"c{i}" for i in range(len(cells.names))]
+    cell = unused([*drawn.columns, *cells.names], "_cell")
+    entries = cells.table.select(F.struct(*keys).alias("value"), "start", "n")
+    found = _at_rows(drawn, F.col(place), entries, cell)
+    kept = [c for c in drawn.columns if c != place]
+    return found.select(*[F.col(f"`{c}`") for c in kept], *[F.col(cell)[k].alias(c) for k, c in zip(keys, cells.names)])
 
 
 def look_up(drawn: DataFrame, share: Column, values: Values, out: str) -> DataFrame:
-    """Add ``out``: the value whose run of rows holds the row number ``share * rows``.
+    """Add ``out``: the value whose run of rows holds the row number ``share * rows``."""
+    position = F.least(F.floor(share * F.lit(float(values.rows))).cast("bigint"), F.lit(values.rows - 1))
+    return _at_rows(drawn, position, values.table, out)
+
+
+def _at_rows(drawn: DataFrame, position: Column, entries: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: the ``value`` of the entry whose run of rows holds ``position``.
 
     Values and draws of one slice of row numbers are sorted together and the last
     value carried on, so the work is linear; a value of many rows has an entry in
     each of its slices, and uniform draws are even over the slices."""
-    position = F.least(F.floor(share * F.lit(float(values.rows))).cast("bigint"), F.lit(values.rows - 1))
     size = F.lit(SLICE)
     spans = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size))
-    entries = values.table.select("value", "start", F.explode(spans).alias("slice"))
+    entries = entries.select("value", "start", F.explode(spans).alias("slice"))
     entries = entries.select("slice", F.greatest(F.col("start"), F.col("slice") * size).alias("at"), F.lit(0).alias("kind"), "value")
     asked = drawn.select(position.alias("at"), F.struct("*").alias("row"))
     asked = asked.select(F.floor(F.col("at") / size).alias("slice"), "at", F.lit(1).alias("kind"), "row")
@@ -291,11 +347,13 @@ def _sample_scores(m: Marginals, ids: DataFrame, row_id: str, seed: int, draws:
 def _complete(drawn: DataFrame, m: Marginals, row_id: str, seed: int, with_nulls: tuple[str, ...] = ()) -> DataFrame:
     """The columns of the table in order and type. Many-valued columns are looked up
     by the drawn share, or by a row uniform where none was drawn; nulls are put in at
-    random, but for columns drawn ``with_nulls``. Columns without a value, and
+    random, but for columns drawn ``with_nulls``, which are complete. Columns without a value, and
     those of nested or binary type, are null."""
     rid = F.col(row_id)
     there = set(drawn.columns)
     for c, values in m.large.items():
+        if c in with_nulls:
+            continue
         drawn = look_up(drawn, F.col(c) if c in there else H.uniform(seed, rid, c), values, c)
     cells = []
     for c in m.columns:
@@ -333,10 +391,10 @@ def sample_latent(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed
 def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED, components: int = 3) -> DataFrame:
     """Gaussian mixture over the numbers, with category shares per component.
 
-    Category combinations, null being one more category, are sampled as cells while
-    there are at most ``CELL_LIMIT``; beyond, each category column is drawn on its
-    own within its component. A missing number stands at its mean in the fit.
-    Many-valued columns are drawn on their own.
+    Category combinations, null being one more category, are counted within each
+    component and drawn as whole cells, however many there are; a many-valued
+    column is a cell of its own, drawn within the component too. A missing number
+    stands at its mean in the fit.
     """
     numbers = [c for c in m.modelled if c in m.numeric]
     strings = [c for c in m.modelled if c in m.category]
@@ -344,10 +402,13 @@ def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, see
         return sample_marginals(m, ids, row_id, seed)
     mean = {c: float(m.numeric[c].mean()) for c in numbers}
     sd = {c: float(m.numeric[c].std()) or 1.0 for c in numbers}
-    scaled = plain(df).select(
-        *strings, *[F.coalesce((F.col(c).cast("double") - F.lit(mean[c])) / F.lit(sd[c]), F.lit(0.0)).alias(c) for c in numbers]
+    texts = [*strings, *m.large]
+    keys, scores = [f"s{i}" for i in range(len(texts))], [f"x{i}" for i in range(len(numbers))]
+    scaled = plain(df.select(*m.modelled)).select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(texts, keys)],
+        *[F.coalesce((F.col(f"`{c}`").cast("double") - F.lit(mean[c])) / F.lit(sd[c]), F.lit(0.0)).alias(x) for c, x in zip(numbers, scores)],
     )
-    vectors = VectorAssembler(inputCols=numbers, outputCol="features").transform(scaled)
+    vectors = VectorAssembler(inputCols=scores, outputCol="features").transform(scaled)
     fitted = GaussianMixture(k=components, seed=seed, maxIter=20).fit(vectors)
     weights = np.array(fitted.weights)
     centres = [np.array(g.mean.toArray()) for g in fitted.gaussians]
@@ -355,62 +416,42 @@ def sample_mixture(df: DataFrame, m: Marginals, ids: DataFrame, row_id: str, see
     for g in fitted.gaussians:
         values, axes = np.linalg.eigh(g.cov.toArray())
         roots.append(axes @ np.diag(np.sqrt(np.maximum(values, 0.0))))
-    groups = _cells(fitted.transform(vectors).select("prediction", *strings), strings) if strings else []
+    told = fitted.transform(vectors).select(F.col("prediction").alias("component"), *[F.col(k).alias(c) for c, k in zip(texts, keys)])
+    groups = [cell_table(told, F.col("component"), names) for names in ([strings] if strings else []) + [[c] for c in m.large]]
 
     rid = F.col(row_id)
+    taken = [row_id, *m.columns]
+    part, places = unused(taken, "_part"), [unused(taken, f"_place{i}") for i in range(len(groups))]
+    normals = [unused(taken, f"_z{i}") for i in range(len(numbers))]
+    component = H.step_index(H.uniform(seed, rid, "component", 0), [float(w) for w in np.cumsum(weights)[:-1]])
     base = ids.select(
         rid.cast("bigint").alias(row_id),
-        H.uniform(seed, rid, "component", 0).alias("u"),
-        *[H.uniform(seed, rid, f"cell{i}").alias(f"v{i}") for i in range(len(groups))],
-        *[H.normal(seed, rid, f"z{i}").alias(f"z{i}") for i in range(len(numbers))],
+        component.alias(part),
+        *[H.uniform(seed, rid, f"cell{i}").alias(at) for i, at in enumerate(places)],
+        *[H.normal(seed, rid, f"z{i}").alias(z) for i, z in enumerate(normals)],
     )
+    base = base.withColumns({at: cells.place(F.col(part), F.col(at)) for cells, at in zip(groups, places)})
     ranges = {c: (float(m.numeric[c][0]), float(m.numeric[c][-1])) for c in numbers}
     whole = {c: m.whole(c) for c in numbers}
-    modelled = [c for c in m.modelled if c not in m.large]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            comp = np.searchsorted(np.cumsum(weights)[:-1], batch["u"].to_numpy(), "right")
-            z = batch[[f"z{i}" for i in range(len(numbers))]].to_numpy()
+            comp = batch[part].to_numpy()
+            z = batch[normals].to_numpy()
             x = np.zeros_like(z)
             for k in range(len(weights)):
                 x[comp == k] = centres[k] + z[comp == k] @ roots[k].T
-            out = {row_id: batch[row_id]}
+            out = {row_id: batch[row_id], **{at: batch[at] for at in places}}
             for j, c in enumerate(numbers):
                 v = np.clip(x[:, j] * sd[c] + mean[c], *ranges[c])
                 out[c] = np.rint(v).astype("int64") if whole[c] else v
-            for g, (names, by_component) in enumerate(groups):
-                picked = np.empty((len(batch), len(names)), dtype=object)
-                for k in range(len(weights)):
-                    rows = np.flatnonzero(comp == k)
-                    cells, edges = by_component.get(k) or by_component[-1]
-                    at = np.searchsorted(edges[:-1], batch[f"v{g}"].to_numpy()[rows], "right")
-                    picked[rows] = np.array(cells, dtype=object)[at]
-                for j, name in enumerate(names):
-                    out[name] = picked[:, j]
-            yield pd.DataFrame(out)[[row_id, *modelled]]
-
-    return _complete(base.mapInPandas(draw, m.ddl(row_id, modelled)), m, row_id, seed, tuple(strings))
-
-
-def _cells(rows: DataFrame, strings: list[str]):
-    """[(columns, {component: (cells, cumulative shares)})]; -1 is all components."""
-    joint = rows.groupBy("prediction", *strings).agg(F.count(F.lit(1)).alias("n"))
-    plans = [strings]
-    if joint.limit(CELL_LIMIT + 1).count() > CELL_LIMIT:
-        plans = [[c] for c in strings]
-    out = []
-    for names in plans:
-        tally = rows.groupBy("prediction", *names).agg(F.count(F.lit(1)).alias("n"))
-        found = [(tuple(r[c] for c in names), r["prediction"], r["n"]) for r in tally.collect()]
-        found.sort(key=lambda x: ([(v is None, v or "") for v in x[0]], x[1]))
-        table: dict[int, tuple[list, np.ndarray]] = {}
-        for k in {-1} | {p for _, p, _ in found}:
-            part = [(cell, n) for cell, p, n in found if k in (-1, p)]
-            n = np.cumsum([x for _, x in part]).astype(float)
-            table[k] = ([list(cell) for cell, _ in part], n / n[-1])
-        out.append((names, table))
-    return out
+            yield pd.DataFrame(out)[[row_id, *numbers, *places]]
+
+    kinds = m.ddl(row_id, numbers) + "".join(f", `{at}` bigint" for at in places)
+    drawn = base.mapInPandas(draw, kinds)
+    for cells, at in zip(groups, places):
+        drawn = draw_cells(drawn, at, cells)
+    return _complete(drawn, m, row_id, seed, tuple(texts))
 
 
 # --------------------------------------------------------------------------
