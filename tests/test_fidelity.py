@@ -135,3 +135,19 @@ def test_histogram_keeps_the_maximum(spark):
     got = {r["bin"]: r["n"] for r in describe.column_histogram(df, "x", 5).collect()}
     assert got == {0: 2, 2: 1, 4: 2} or got == {0: 1, 2: 1, 4: 2, 1: 1}
     assert sum(got.values()) == 5
+
+
+def test_density_against_plain_sums(spark):
+    rng = np.random.default_rng(14)
+    real = np.concatenate([rng.normal(0, 1, 3000), [50.0, -400.0], np.zeros(1000)])
+    synth = rng.exponential(3, 500)
+    frame = lambda v: spark.createDataFrame([(float(x),) for x in v], "x double")
+    got = fidelity.kde_overlay(Pair.of(frame(real), frame(synth)), "x").toPandas().sort_values("i")
+    assert len(got) == 300
+    for v, name in ((real, "density_real"), (synth, "density_synth")):
+        h = v.std(ddof=1) * len(v) ** -0.2
+        z = (got["x"].to_numpy()[:, None] - v[None, :]) / h
+        want = np.exp(-0.5 * z * z).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert np.abs(got[name].to_numpy() - want).max() < 1e-12 * want.max() + 1e-15
+    flat = fidelity.kde_overlay(Pair.of(frame([1.0, 1.0]), frame([float("inf"), 1.0])), "x", 5).toPandas()
+    assert len(flat) == 5 and flat["density_real"].isna().all() and flat["density_synth"].isna().all()

@@ -211,3 +211,33 @@ def test_private_histogram_keeps_rows_with_nulls(spark):
     assert got.count() == 16
     assert got.agg(F.sum("weight")).first()[0] == pytest.approx(1000)
     assert got.where("s is null").agg(F.sum("weight")).first()[0] > 100
+
+
+def test_nearest_correlation_is_nearer_than_clipping():
+    rng = np.random.default_rng(13)
+    for d in (3, 6, 12):
+        a = np.clip(rng.uniform(-1, 1, (d, d)), -0.95, 0.95)
+        a = (a + a.T) / 2
+        np.fill_diagonal(a, 1.0)
+        near = synthesizers.nearest_correlation(a)
+        values, axes = np.linalg.eigh(a)
+        clipped = (axes * np.maximum(values, 0)) @ axes.T
+        clipped /= np.sqrt(np.outer(np.diag(clipped), np.diag(clipped)))
+        assert np.linalg.eigvalsh(near)[0] > -1e-7 and np.allclose(np.diag(near), 1)
+        assert values[0] >= 0 or np.linalg.norm(near - a) < np.linalg.norm(clipped - a)
+    assert (synthesizers.nearest_correlation(np.eye(3)) == np.eye(3)).all()
+    # The published example of the method's paper.
+    known = synthesizers.nearest_correlation(np.array([[1.0, 1, 0], [1, 1, 1], [0, 1, 1]]))
+    assert known == pytest.approx(np.array([[1, 0.7607, 0.1573], [0.7607, 1, 0.7607], [0.1573, 0.7607, 1]]), abs=1e-4)
+
+
+def test_histogram_is_drawn_by_weight(spark):
+    from twinlens.operators.mwem import domain_cells, sample_histogram
+
+    counts = spark.createDataFrame([("a", 1, 60.0), (None, 2, 30.0), ("b", 1, 10.0)], "s string, b int, n double")
+    domain = domain_cells(counts, ["s", "b"])
+    assert {(r["s"], r["b"]): r["n"] for r in domain.collect()} == {("a", 1): 60, ("a", 2): 0, (None, 1): 0, (None, 2): 30, ("b", 1): 10, ("b", 2): 0}
+    drawn = sample_histogram(domain.withColumnRenamed("n", "weight"), ["s", "b"], spark.range(5000), "id")
+    assert drawn.columns == ["id", "s", "b"] and drawn.select("id").distinct().count() == 5000
+    got = {(r["s"], r["b"]): r["count"] / 5000 for r in drawn.groupBy("s", "b").count().collect()}
+    assert got == {("a", 1): pytest.approx(0.6, abs=0.03), (None, 2): pytest.approx(0.3, abs=0.03), ("b", 1): pytest.approx(0.1, abs=0.02)}

@@ -9,21 +9,21 @@ with Laplace noise, and the weights of its cells are updated.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens import constants as C
 from twinlens.functions.hashrand import laplace, uniform
+from twinlens.operators.columns import unused
+from twinlens.operators.synthesizers import counted_cells, draw_cells
 from twinlens.session import settle
 
 CELL_LIMIT = 1_000_000
+SHARES = 1 << 32
 
 
 def cell_counts(df: DataFrame, cells: dict[str, Column]) -> DataFrame:
@@ -38,20 +38,21 @@ def domain_cells(counts: DataFrame, names: list[str]) -> DataFrame:
     Empty cells belong to the domain: leaving them out would tell which
     combinations occur. The number of combinations is checked first.
     """
-    found = [[r[0] for r in counts.select(c).distinct().limit(CELL_LIMIT + 1).collect()] for c in names]
-    values = [sorted(v, key=lambda x: (x is not None, x)) for v in found]
-    size = math.prod(len(v) for v in values)
+    tables = [settle(counts.select(F.col(f"`{c}`").alias("value")).distinct().limit(CELL_LIMIT + 1)) for c in names]
+    sizes = [t.count() for t in tables]
+    size = math.prod(sizes)
     if size > CELL_LIMIT:
         raise ValueError(f"the cell columns span {size} combinations; use coarser buckets")
-    # Cell number i in mixed radix: no column is ever paired with another.
-    ids = counts.sparkSession.range(size)
-    cells, step = [], 1
-    for c, v in reversed(list(zip(names, values))):
-        at = (F.floor(F.col("id") / F.lit(step)) % F.lit(len(v))).cast("int")
-        kind = counts.schema[c].dataType
-        cells.append(F.element_at(F.array(*[F.lit(x).cast(kind) for x in v]), at + 1).alias(c))
-        step *= len(v)
-    domain = ids.select(*reversed(cells))
+    # Cell number id in mixed radix: no column is ever paired with another.
+    domain = counts.sparkSession.range(size)
+    step, radix = size, []
+    for values, length in zip(tables, sizes):
+        step //= length or 1
+        radix.append((values.select((F.row_number().over(Window.orderBy("value")) - 1).alias("at"), "value"), step, length))  # CELL_LIMIT rows at most
+    for i, (values, step, length) in enumerate(radix):
+        at = F.floor(F.col("id") / F.lit(step)) % F.lit(length)
+        domain = domain.withColumn("at", at).join(values, "at").drop("at").withColumnRenamed("value", f"c{i}")
+    domain = domain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
     same = reduce(and_, [domain[c].eqNullSafe(counts[c]) for c in names])
     return domain.join(counts, same, "left").select(*[domain[c] for c in names], F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
@@ -138,19 +139,14 @@ def mwem(
 def sample_histogram(histogram: DataFrame, names: list[str], ids: DataFrame, row_id: str, seed: int = C.DEFAULT_SEED) -> DataFrame:
     """One cell per row id, drawn by cumulative weight.
 
-    The histogram is bounded by ``CELL_LIMIT`` cells; its cumulative edges go
-    along with the tasks, which look each row's uniform up in them.
+    Weights become whole shares of 2^32, as fine as the draws; every cell of any
+    weight keeps at least one. Row ids and cells meet by a join, whatever their number.
     """
-    rows = histogram.orderBy(*names).collect()
-    edges = np.cumsum([r["weight"] for r in rows])
-    edges = edges / edges[-1]
-    cells = {c: np.array([r[c] for r in rows], dtype=object) for c in names}
-    ddl = ", ".join([f"`{row_id}` bigint"] + [f"`{c}` {histogram.schema[c].dataType.simpleString()}" for c in names])
-    drawn = ids.select(F.col(row_id).cast("bigint").alias(row_id), uniform(seed, F.col(row_id), "cell").alias("u"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = np.searchsorted(edges[:-1], batch["u"].to_numpy(), "right")
-            yield pd.DataFrame({row_id: batch[row_id], **{c: v[at] for c, v in cells.items()}})
-
-    return drawn.mapInPandas(draw, ddl)
+    total = histogram.agg(F.sum("weight").alias("total"))
+    share = F.ceil(F.col("weight") / total.scalar() * F.lit(float(SHARES))).cast("bigint")
+    keys = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    tally = histogram.where(F.col("weight") > 0).select(F.lit(0).alias("component"), *keys, share.alias("n"))
+    cells = counted_cells(tally, names)
+    place = unused([row_id, *names], "_place")
+    at = cells.place(F.lit(0), uniform(seed, F.col(row_id), "cell"))
+    return draw_cells(ids.select(F.col(row_id).cast("bigint").alias(row_id), at.alias(place)), place, cells)

@@ -150,8 +150,13 @@ def cell_table(df: DataFrame, component: Column, names: list[str]) -> Cells:
     ordered and stay in Spark, however many there are."""
     keys = [f"c{i}" for i in range(len(names))]
     rows = df.select(component.cast("int").alias("component"), *[F.col(f"`{c}`").alias(k) for c, k in zip(names, keys)])
-    tally = rows.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), k), F.lit("null")) for k in keys]))
+    return counted_cells(rows.groupBy("component", *keys).agg(F.count(F.lit(1)).alias("n")), names)
+
+
+def counted_cells(tally: DataFrame, names: list[str]) -> Cells:
+    """As ``cell_table``, of (component, c0, c1, ..., n) with each combination once."""
+    keys = [f"c{i}" for i in range(len(names))]
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("null")) for k in keys]))
     table = stored(_runs(tally, ["component"], keys, digest), "cells")
     spans = table.groupBy("component").agg(F.min("start").alias("first"), F.sum("n").alias("n")).orderBy("component").collect()
     return Cells(table, names, {r["component"]: (r["first"], r["n"]) for r in spans})
@@ -312,7 +317,27 @@ def score_correlation(df: DataFrame, m: Marginals) -> np.ndarray:
     spread = np.sqrt(np.maximum(q / n - (s / n) ** 2, 1e-12))
     corr = np.clip(cov / (spread * spread.T), -1.0, 1.0)
     np.fill_diagonal(corr, 1.0)
-    return corr
+    return nearest_correlation(corr)
+
+
+def nearest_correlation(matrix: np.ndarray, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+    """The correlation matrix nearest to a symmetric one, in the Frobenius norm (Higham
+    2002): alternating projections on matrices without negative axes and on those with a unit
+    diagonal, the first with Dykstra's correction. Pairwise sums over different rows
+    need not give such a matrix; one that is such a matrix comes back as it is."""
+    if not len(matrix) or np.linalg.eigvalsh(matrix)[0] >= 0:
+        return matrix
+    unit, shift = matrix, np.zeros_like(matrix)
+    for _ in range(rounds):
+        moved = unit - shift
+        values, axes = np.linalg.eigh(moved)
+        flat = (axes * np.maximum(values, 0.0)) @ axes.T
+        shift = flat - moved
+        unit = flat.copy()
+        np.fill_diagonal(unit, 1.0)
+        if np.linalg.norm(unit - flat) <= tolerance * np.linalg.norm(unit):
+            break
+    return unit
 
 
 def _sample_scores(m: Marginals, ids: DataFrame, row_id: str, seed: int, draws: int, mix: np.ndarray) -> DataFrame:
