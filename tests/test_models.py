@@ -79,8 +79,8 @@ def test_look_up_is_the_inverse_of_the_running_shares(spark, monkeypatch):
 
 
 def test_mixture_keeps_components_of_any_number_of_cells(spark):
-    """Two far groups of rows with 20,000 pairs of categories, which a product of columns
-    would mix up, and with a text of 2,000 values each."""
+    """Two far groups of rows with 20,000 pairs of categories each, which a product of columns
+    would mix up; one group has a text of 3,001 values as well."""
     df = spark.range(40000).selectExpr(
         "id as k",
         "if(id % 2 = 0, 0, 1000) + id % 7 as double_x",
