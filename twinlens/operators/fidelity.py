@@ -491,14 +491,17 @@ def _kernel_sums(values: DataFrame, h: float, low: float, start: float, step: fl
     cells = offset.groupBy("cell").agg(*powers).withColumn("centre", centre)
     first = F.greatest(F.ceil((F.col("centre") - F.lit(KDE_REACH * h + start)) / F.lit(step)), F.lit(0)).cast("int")
     last = F.least(F.floor((F.col("centre") + F.lit(KDE_REACH * h - start)) / F.lit(step)), F.lit(points - 1)).cast("int")
-    near = cells.select("*", first.alias("first"), last.alias("last")).where("first <= last").withColumn("i", F.explode(F.sequence("first", "last")))
-    near = near.withColumn("t", (F.lit(start) + F.lit(step) * F.col("i") - F.col("centre")) / F.lit(h))
+    # The k-th derivative of the kernel is a Hermite polynomial times the kernel: one polynomial a cell.
+    factors = np.zeros((KDE_TERMS, KDE_TERMS))
+    for k in range(KDE_TERMS):
+        factors[k, : k + 1] = herme2poly([0] * k + [1]) / math.factorial(k)
+    weights = [sum((F.col(f"m{k}") * F.lit(float(factors[k, j])) for k in range(KDE_TERMS) if factors[k, j]), F.lit(0.0)) for j in range(KDE_TERMS)]
+    near = cells.select("centre", F.array(*weights).alias("a"), first.alias("first"), last.alias("last")).where("first <= last")
+    near = near.select("centre", "a", F.explode(F.sequence("first", "last")).alias("i"))
+    near = near.select("i", "a", ((F.lit(start) + F.lit(step) * F.col("i") - F.col("centre")) / F.lit(h)).alias("t"))
     series = F.lit(0.0)
-    for k in range(KDE_TERMS):  # k-th derivative of the kernel: Hermite polynomial times the kernel
-        polynomial = F.lit(0.0)
-        for factor in herme2poly([0] * k + [1])[::-1]:
-            polynomial = polynomial * F.col("t") + F.lit(float(factor))
-        series = series + F.col(f"m{k}") / F.lit(float(math.factorial(k))) * polynomial
+    for j in reversed(range(KDE_TERMS)):
+        series = series * F.col("t") + F.col("a")[j]
     return near.groupBy("i").agg(F.sum(series * F.exp(F.lit(-0.5) * F.col("t") * F.col("t"))).alias("total"))
 
 
