@@ -1,5 +1,7 @@
 """Scorecards of all segments at once against each segment judged by itself."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from twinlens.operators import bayes, fidelity, hotkeys, segments
 from twinlens.operators.pair import Pair
 from twinlens.operators.segments import scorecards
 from twinlens.plans import scorecard as S
+from twinlens.session import setting
 
 SCHEMA = "shop string, is_real boolean, age double, pay double, town string, kind string, row string"
 NAMES = ["age", "pay", "town", "kind"]
@@ -65,3 +68,35 @@ def test_nulls_sides_and_empty(spark):
     assert texts["mmd"] == 0.0 and texts["performance_drop"] is None
     with pytest.raises(ValueError):
         scorecards(tagged.select("shop", "is_real"), "shop")
+
+
+def test_large_segments_apart(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    tagged = df.select("shop", "is_real", *NAMES, F.struct("row").alias("key"))
+    card = lambda: {r["shop"]: r.asDict() for r in scorecards(tagged, "shop", "kind", F.col("key.row"), features=4).collect()}
+    want = card()
+    monkeypatch.setattr(segments, "WHOLE_ROWS", 150)  # "hot" has 200 rows, the others fewer
+    got = card()
+    assert set(got) == set(want) == {"hot", "a", "b", "c"}
+    for shop, values in want.items():
+        for name, value in values.items():
+            assert got[shop][name] == pytest.approx(value, abs=1e-9), (shop, name)
+
+
+def test_rows_travel_once(spark):
+    """Whatever joins and counts by segment follow, the rows are dealt by segment once."""
+    df = spark.createDataFrame(rows(), SCHEMA)
+    dealt, numbers, texts = segments._plain(df.select("shop", "is_real", *NAMES), "shop", None, "kind", 5, 1)
+    dealt = dealt.repartition(7, "seg")
+    bounds = segments._moments(dealt, 2).select("seg", "lo", "hi")
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        cells = segments._cells(dealt.join(bounds, "seg"), NAMES, 2, "kind")
+        totals = segments._segment_totals(cells, 5)
+        model = segments._model_whole(cells, totals, NAMES, [0, 1, 2], 5)
+        scored = segments._scored_whole(cells, model, NAMES, [0, 1, 2], [0, 1, 2, 3], 3)
+        found = segments._distances(segments._ranked_whole(segments._value_counts(dealt, numbers, texts)), numbers, texts)
+        for made in (scored, found):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            keys = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+            assert keys and all(re.fullmatch(r"seg#\d+L?", k) for k in keys), keys
+        assert scored.count() == 600

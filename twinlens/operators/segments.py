@@ -4,16 +4,20 @@ A pair's scorecard asks for a dozen jobs; a thousand pairs would ask for a thous
 Here the segment is one more key of the same counts: every distinct value of every column is counted
 once, and distances, divergences and identifier rules come out of that one table; the same is done
 with cells for the classifiers of ``bayes``. No segment is handled by itself, so the number of jobs
-does not depend on the number of segments, and a segment with a third of the rows is spread
-like any other: counts are combined before they travel, running counts go by ranges of rows, and
-lookups tell hot keys apart.
+does not depend on the number of segments.
+
+Segments of up to ``WHOLE_ROWS`` rows (or one in a thousand of all) are dealt to partitions once; every
+count, running count and lookup then stays within the partition, so what travels is the rows,
+once, however many segments there are. Rows of larger segments, fewer than a thousand, are spread: counts are combined
+before they travel, running counts go by ranges of rows, and lookups tell hot keys apart.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens import constants as C
@@ -21,13 +25,16 @@ from twinlens.functions import hashrand
 from twinlens.operators.bayes import CELLS, PLACES, UTILITY
 from twinlens.operators.columns import attack_id_name, is_numeric, judge_id_name, quasi_identifiers
 from twinlens.operators.fidelity import hash_normals
-from twinlens.operators.hotkeys import hot_of, lookup
+from twinlens.operators.hotkeys import SHARE, hot_of, lookup
 from twinlens.operators.pair import IS_REAL
 from twinlens.operators.sampling import train_flag
 from twinlens.operators.scan import running
-from twinlens.session import stored
+from twinlens.session import setting, stored
 
 FLAT = 1e-14
+#: A segment with so many rows, or one in ``SHARE`` of all, stays in one partition; partitions have about ``PART_ROWS``.
+WHOLE_ROWS = 250_000
+PART_ROWS = 100_000
 #: Up to so many classes of a segment are added up side by side, more as arrays.
 CLASSES_WIDE = 32
 
@@ -120,25 +127,38 @@ def _moments(rows: DataFrame, d: int) -> DataFrame:
     )
 
 
-def value_table(rows: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
-    """(seg, feature, num, text, n_real, n_synth): every distinct value of every column of every segment, stored."""
+def _value_counts(rows: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """(seg, feature, num, text, n_real, n_synth): every distinct value of every column of every segment."""
     entry = [F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("num"), F.lit(None).cast("string").alias("text")) for i in range(len(numbers))]
     entry += [F.struct(F.lit(len(numbers) + i).alias("feature"), F.lit(None).cast("double").alias("num"), F.col(f"t{i}").alias("text")) for i in range(len(texts))]
     long = rows.select("seg", "is_real", F.inline(F.array(*entry))).where("num is not null or text is not null")
-    counts = long.groupBy("seg", "feature", "num", "text").agg(F.count_if("is_real").alias("n_real"), F.count_if(~F.col("is_real")).alias("n_synth"))
-    return stored(counts, "values")
+    return long.groupBy("seg", "feature", "num", "text").agg(F.count_if("is_real").alias("n_real"), F.count_if(~F.col("is_real")).alias("n_synth"))
+
+
+def _column_totals() -> dict[str, Column]:
+    return {"t_real": F.sum("n_real"), "t_synth": F.sum("n_synth"), "distinct": F.count_if(F.col("n_real") > 0), "lo": F.min("num"), "hi": F.max("num")}
+
 
+def _ranked_spread(values: DataFrame) -> DataFrame:
+    """The value counts with the column's totals and running counts, by ranges of rows."""
+    values = stored(values, "values")
+    rows = lookup(values, values.groupBy("seg", "feature").agg(*[c.alias(n) for n, c in _column_totals().items()]), ["seg", "feature"])
+    return running(rows, ["seg", "feature"], ["num", "text"], {"upto_real": ("count", "n_real"), "upto_synth": ("count", "n_synth")})
 
-def _distances(values: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+
+def _ranked_whole(values: DataFrame) -> DataFrame:
+    """As ``_ranked_spread``, for segments that lie in one partition each."""
+    column = Window.partitionBy("seg", "feature")
+    upto = column.orderBy("num", "text").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.select("*", *[F.sum(f"n_{s}").over(upto).alias(f"upto_{s}") for s in ("real", "synth")])
+    return ranked.select("*", *[c.over(column).alias(n) for n, c in _column_totals().items()])
+
+
+def _distances(ranked: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     """(seg, wasserstein, js_divergence, kl_divergence) from the counts alone.
 
     The area between two distribution functions is summed by parts: each value times the change of the gap
     at it. So no value needs to know its neighbour, and running counts are enough."""
-    totals = values.groupBy("seg", "feature").agg(
-        F.sum("n_real").alias("t_real"), F.sum("n_synth").alias("t_synth"), F.count_if(F.col("n_real") > 0).alias("distinct"), F.min("num").alias("lo"), F.max("num").alias("hi")
-    )
-    rows = lookup(values, totals, ["seg", "feature"])
-    ranked = running(rows, ["seg", "feature"], ["num", "text"], {"upto_real": ("count", "n_real"), "upto_synth": ("count", "n_synth")})
     share = lambda n, side: F.try_divide(F.col(n).cast("double"), F.col(f"t_{side}").cast("double"))
     after = F.abs(share("upto_real", "real") - share("upto_synth", "synth"))
     before = F.abs(F.try_divide((F.col("upto_real") - F.col("n_real")).cast("double"), F.col("t_real").cast("double")) - F.try_divide((F.col("upto_synth") - F.col("n_synth")).cast("double"), F.col("t_synth").cast("double")))
@@ -191,10 +211,8 @@ def _best(scores: Column) -> Column:
     return F.array_position(near, F.array_max(near)).cast("int")
 
 
-def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None, folds: int) -> DataFrame:
-    """(seg, utility values, mia_risk_score): ``bayes.utility`` and ``bayes.attack`` with the segment as a further key."""
-    used = [i for i, c in enumerate(names) if c != target]
-    attacked = [i for i, c in enumerate(names) if not attack_id_name(c)]
+def _cells(rows: DataFrame, names: list[str], d: int, target: str | None) -> DataFrame:
+    """(seg, is_real, fold, label, part, c0, c1, ...): each row's share of the fits and its cell of every column."""
     complete = F.col("label").isNotNull() if target else F.lit(False)
     cells = []
     for i in range(len(names)):
@@ -206,14 +224,15 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         slot = F.least(F.floor(F.try_divide(v - lo, (hi - lo) / F.lit(float(CELLS)))), F.lit(CELLS - 1)).cast("int")
         cells.append(F.when(v.isNull(), F.lit("null")).when(hi > lo, F.concat(F.lit("n"), slot.cast("string"))).otherwise(F.lit("n0")))
         complete = complete & v.isNotNull()
-    rows = stored(
-        rows.select(
-            "seg", "is_real", "fold", "label", F.monotonically_increasing_id().alias("row"),
-            F.when(~complete, F.lit("none")).when(~F.col("is_real"), F.lit("synth")).when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test")).alias("part"),
-            *[c.alias(f"c{i}") for i, c in enumerate(cells)],
-        ),
-        "cells",
+    return rows.select(
+        "seg", "is_real", "fold", "label",
+        F.when(~complete, F.lit("none")).when(~F.col("is_real"), F.lit("synth")).when(F.col("is_train"), F.lit("train")).otherwise(F.lit("test")).alias("part"),
+        *[c.alias(f"c{i}") for i, c in enumerate(cells)],
     )
+
+
+def _segment_totals(rows: DataFrame, folds: int) -> DataFrame:
+    """(seg, rows of each fold, classes with their rows, rows of each part), stored."""
     part = F.col("part")
     sides = rows.groupBy("seg", "fold", "label").agg(
         _sum_if(F.col("is_real")).alias("r"), _sum_if(~F.col("is_real")).alias("s"), *[_sum_if(part == p).alias(p) for p in ("train", "test", "synth")]
@@ -226,25 +245,23 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         F.array(*[_sum_if(F.col("fold") == f, F.col("r")) for f in range(folds)]).alias("fold_r"),
         F.array(*[_sum_if(F.col("fold") == f, F.col("s")) for f in range(folds)]).alias("fold_s"),
     )
-    segments = stored(whole.join(classes, "seg", "left"), "segments")
+    return stored(whole.join(classes, "seg", "left"), "segments")
 
-    long = rows.select("seg", "row", "is_real", "fold", "label", "part", F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").alias("cell")) for i in range(len(names))])))
-    grain = ["seg", "feature", "cell"]
-    counts = long.groupBy(*grain, "fold", "label").agg(
-        _sum_if(F.col("is_real")).alias("r"), _sum_if(~F.col("is_real")).alias("s"), *[_sum_if(part == p).alias(p) for p in ("train", "synth")], _sum_if(part != "none").alias("whole")
-    )
-    counts = stored(counts, "cell_counts")
-    by_fold = counts.groupBy(*grain).agg(
-        *[F.array(*[_sum_if(F.col("fold") == f, F.col(side)) for f in range(folds)]).alias(f"at_{side}") for side in ("r", "s")], F.sum("whole").alias("whole")
-    )
-    by_class = counts.where(F.col("label").isNotNull()).groupBy(*grain, "label").agg(F.sum("train").alias("train"), F.sum("synth").alias("synth"))
-    by_class = by_class.groupBy(*grain).agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("train", "synth")))).alias("found"))
-    cell = stored(by_fold.join(by_class, grain, "left"), "cell_model")
-    sizes = cell.groupBy("seg", "feature").agg(F.count(F.lit(1)).cast("double").alias("size"), F.count_if(F.col("whole") > 0).cast("double").alias("size_whole"))
-    model = stored(lookup(cell, sizes, ["seg", "feature"]), "cell_sizes")
-    model = lookup(model, segments, ["seg"])
-    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    less = lambda c: F.transform(c, lambda x: (add(F.col(c)) - x).cast("double"))
+
+GRAIN = ["seg", "feature", "cell"]
+
+
+def _long(rows: DataFrame, features: int, *keep: str) -> DataFrame:
+    return rows.select("seg", *keep, F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").alias("cell")) for i in range(features)])))
+
+
+def _add(c: Column | str) -> Column:
+    return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _terms(model: DataFrame, used: list[int]) -> DataFrame:
+    """(seg, feature, cell, odds by fold, by_real and by_synth by class) of cells with their segment's totals."""
+    less = lambda c: F.transform(c, lambda x: (_add(F.col(c)) - x).cast("double"))
     share = lambda at, n: F.zip_with(less(at), less(n), lambda a, b: F.ln((a + 1.0) / (b + F.col("size"))))
     odds = F.zip_with(share("at_r", "fold_r"), share("at_s", "fold_s"), lambda a, b: a - b)
 
@@ -255,19 +272,90 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         prior = lambda c: F.when(F.col("feature") == F.lit(used[0] if used else -1), F.ln((c[side] + 1.0) / (F.col(f"n_{side}") + k))).otherwise(F.lit(0.0))
         return F.transform("classes", lambda c: F.ln((own(c) + 1.0) / (c[side] + F.col("size_whole"))) + prior(c))
 
-    model = stored(model.select(*grain, odds.alias("odds"), terms("train").alias("by_real"), terms("synth").alias("by_synth")), "cell_terms")
-    facts = segments.agg(F.coalesce(F.sum(add(F.col("fold_r")) + add(F.col("fold_s"))), F.lit(0)).alias("rows"), F.max(F.size("classes")).alias("classes")).first()
-    k = max(facts["classes"] or 0, 0)
-    by_cell = cell.select(*grain, (add(F.col("at_r")) + add(F.col("at_s"))).alias("n"))
-    joined = lookup(long, model, grain, found=hot_of(by_cell, grain, "n", facts["rows"] * len(names)))
+    return model.select(*GRAIN, odds.alias("odds"), terms("train").alias("by_real"), terms("synth").alias("by_synth"))
+
+
+SIDES = ("by_real", "by_synth")
+
+
+def _scored_spread(cells: DataFrame, segments: DataFrame, names: list[str], used: list[int], attacked: list[int], folds: int, k: int) -> DataFrame:
+    """(seg, is_real, label, part, score and the sums of the class terms) of each row, by a join of all its cells."""
+    part = F.col("part")
+    long = _long(cells, len(names), "row", "is_real", "fold", "label", "part")
+    counts = long.groupBy(*GRAIN, "fold", "label").agg(
+        _sum_if(F.col("is_real")).alias("r"), _sum_if(~F.col("is_real")).alias("s"), *[_sum_if(part == p).alias(p) for p in ("train", "synth")], _sum_if(part != "none").alias("whole")
+    )
+    counts = stored(counts, "cell_counts")
+    by_fold = counts.groupBy(*GRAIN).agg(
+        *[F.array(*[_sum_if(F.col("fold") == f, F.col(side)) for f in range(folds)]).alias(f"at_{side}") for side in ("r", "s")], F.sum("whole").alias("whole")
+    )
+    by_class = counts.where(F.col("label").isNotNull()).groupBy(*GRAIN, "label").agg(F.sum("train").alias("train"), F.sum("synth").alias("synth"))
+    by_class = by_class.groupBy(*GRAIN).agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("train", "synth")))).alias("found"))
+    cell = stored(by_fold.join(by_class, GRAIN, "left"), "cell_model")
+    sizes = cell.groupBy("seg", "feature").agg(F.count(F.lit(1)).cast("double").alias("size"), F.count_if(F.col("whole") > 0).cast("double").alias("size_whole"))
+    model = stored(lookup(cell, sizes, ["seg", "feature"]), "cell_sizes")
+    model = stored(_terms(lookup(model, segments, ["seg"]), used), "cell_terms")
+    rows = segments.agg(F.coalesce(F.sum(_add(F.col("fold_r")) + _add(F.col("fold_s"))), F.lit(0))).first()[0]
+    by_cell = cell.select(*GRAIN, (_add(F.col("at_r")) + _add(F.col("at_s"))).alias("n"))
+    joined = lookup(long, model, GRAIN, found=hot_of(by_cell, GRAIN, "n", rows * len(names)))
     asked = F.col("feature").isin(used) & part.isin("test", "synth")
     score = F.sum(F.when(F.col("feature").isin(attacked), F.element_at("odds", F.col("fold") + 1))).alias("score")
-    sides_of = ("by_real", "by_synth")
     if k <= CLASSES_WIDE:
-        sums = [F.sum(F.when(asked, F.get(c, F.lit(j)))).alias(f"{c}{j}") for c in sides_of for j in range(k)]
+        sums = [F.sum(F.when(asked, F.get(c, F.lit(j)))).alias(f"{c}{j}") for c in SIDES for j in range(k)]
     else:
-        sums = [F.collect_list(F.when(asked, F.col(c))).alias(c) for c in sides_of]
-    scored = joined.groupBy("seg", "row", "is_real", "label", "part").agg(score, *sums)
+        sums = [F.collect_list(F.when(asked, F.col(c))).alias(c) for c in SIDES]
+    return joined.groupBy("seg", "row", "is_real", "label", "part").agg(score, *sums)
+
+
+def _model_whole(cells: DataFrame, segments: DataFrame, names: list[str], used: list[int], folds: int) -> DataFrame:
+    """The terms of all cells where a segment's rows lie in one partition."""
+    part, fold = F.col("part"), F.col("fold")
+    ends = [(f"{side}{f}", (F.col("is_real") if side == "r" else ~F.col("is_real")) & (fold == f)) for side in "rs" for f in range(folds)]
+    tests = [*ends, *[(p, part == p) for p in ("train", "synth")], ("whole", part != "none")]
+    counts = _long(cells, len(names), "is_real", "fold", "label", "part").groupBy(*GRAIN, "label").agg(*[F.count_if(t).alias(n) for n, t in tests])
+    cell = counts.groupBy(*GRAIN).agg(
+        *[F.array(*[F.sum(f"{side}{f}") for f in range(folds)]).alias(f"at_{side}") for side in "rs"], F.sum("whole").alias("whole"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.struct("train", "synth"))))).alias("found"),
+    )
+    column = Window.partitionBy("seg", "feature")
+    sizes = [F.count(F.lit(1)).over(column).cast("double").alias("size"), F.count_if(F.col("whole") > 0).over(column).cast("double").alias("size_whole")]
+    return _terms(cell.select("*", *sizes).join(segments, "seg"), used)
+
+
+def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: list[int], attacked: list[int], k: int) -> DataFrame:
+    """As ``_scored_spread``, by a hash join within the partition for each column, its terms added up at once."""
+    asked = F.col("part").isin("test", "synth")
+    sums: dict[str, Column] = {}
+
+    def plus(name: str, value: Column) -> None:
+        sums[name] = F.col(name) + value if name in sums else value
+
+    keep, scored = ["seg", "is_real", "fold", "label", "part"], cells
+    for i in range(len(names)):
+        own = model.where(F.col("feature") == i).select("seg", F.col("cell").alias(f"c{i}"), "odds", *[F.col(c).alias(f"_{c}") for c in SIDES])
+        scored = scored.join(own.hint("shuffle_hash"), ["seg", f"c{i}"])
+        if i in attacked:
+            plus("score", F.element_at("odds", F.col("fold") + 1))
+        if i in used and k <= CLASSES_WIDE:
+            for c in SIDES:
+                for j in range(k):
+                    plus(f"{c}{j}", F.when(asked, F.get(f"_{c}", F.lit(j))))
+        elif i in used:
+            for c in SIDES:
+                value = F.when(asked, F.col(f"_{c}"))
+                sums[c] = F.zip_with(c, value, lambda p, q: p + q) if c in sums else value
+        scored = scored.select(*keep, *[f"c{j}" for j in range(i + 1, len(names))], *[v.alias(n) for n, v in sums.items()])
+        sums = {n: F.col(n) for n in sums}
+    empty = {"score": F.lit(None).cast("double")}
+    if k <= CLASSES_WIDE:
+        empty |= {f"{c}{j}": F.lit(None).cast("double") for c in SIDES for j in range(k)}
+        return scored.select("seg", "is_real", "label", "part", *[sums.get(n, v).alias(n) for n, v in empty.items()])
+    lists = [(F.array(F.col(c)) if c in sums else F.array().cast("array<array<double>>")).alias(c) for c in SIDES]
+    return scored.select("seg", "is_real", "label", "part", sums.get("score", empty["score"]).alias("score"), *lists)
+
+
+def _hits(scored: DataFrame, k: int) -> DataFrame:
+    """(seg, is_real, part, label, by_real, by_synth, n, told): rows by guessed classes and the attack's hits among them."""
 
     def total(c: str) -> Column:
         if not k:
@@ -283,9 +371,11 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         _best(total("by_real")).alias("by_real"),
         _best(total("by_synth")).alias("by_synth"),
     )
-    # Hits are added up by label, where a class's place among its segment's classes is one small join.
-    by_label = hits.groupBy("seg", "is_real", "part", "label", "by_real", "by_synth").agg(F.count(F.lit(1)).alias("n"), F.sum("told").alias("told"))
-    placed = lookup(stored(by_label, "hits"), segments, ["seg"])
+    return hits.groupBy("seg", "is_real", "part", "label", "by_real", "by_synth").agg(F.count(F.lit(1)).alias("n"), F.sum("told").alias("told"))
+
+
+def _rates(placed: DataFrame, segments: DataFrame, used: list[int]) -> DataFrame:
+    """(seg, utility values, mia_risk_score) from hits beside their segment's classes."""
     own = F.when(F.col("classes").isNotNull(), F.array_position(F.transform("classes", lambda c: c["label"]), F.col("label")).cast("int"))
     placed = placed.select("seg", "is_real", "part", "n", "told", (F.col("by_real") == own).alias("hit_real"), (F.col("by_synth") == own).alias("hit_synth"))
     mean = lambda p, hit: F.try_divide(_sum_if((F.col("part") == p) & F.col(hit), F.col("n")).cast("double"), _sum_if(F.col("part") == p, F.col("n")).cast("double"))
@@ -297,11 +387,65 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
     out = segments.join(found, "seg")
     usable = (F.size("classes") >= 2) & (F.least(F.col("n_train") + F.col("n_test"), F.col("n_synth")) >= C.UTILITY_MIN_ROWS) & (F.col("n_train") > 0) & (F.col("n_test") > 0)
     usable = usable & F.lit(bool(used))
-    seen = F.least(add(F.col("fold_r")), add(F.col("fold_s"))) * 2 >= C.ATTACK_MIN_ROWS
+    seen = F.least(_add(F.col("fold_r")), _add(F.col("fold_s"))) * 2 >= C.ATTACK_MIN_ROWS
     drop = F.greatest(F.lit(0.0), F.col("baseline_accuracy") - F.col("tstr_accuracy")) * F.lit(100.0)
     return out.select("seg", *[F.when(usable, F.col(c)).alias(c) for c in UTILITY[:3]], F.when(usable, drop).alias("performance_drop"), F.when(seen, F.col("told")).alias("mia_risk_score"))
 
 
+def _classes(segments: DataFrame) -> int:
+    return max(segments.agg(F.max(F.size("classes"))).first()[0] or 0, 0)
+
+
+def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None, folds: int, whole: bool) -> DataFrame:
+    """(seg, utility values, mia_risk_score): ``bayes.utility`` and ``bayes.attack`` with the segment as a further key; stored."""
+    used = [i for i, c in enumerate(names) if c != target]
+    attacked = [i for i, c in enumerate(names) if not attack_id_name(c)]
+    cells = _cells(rows, names, d, target)
+    if not whole:
+        cells = stored(cells.withColumn("row", F.monotonically_increasing_id()), "cells")
+        segments = _segment_totals(cells, folds)
+        k = _classes(segments)
+        # Hits are added up by label, where a class's place among its segment's classes is one small join.
+        hits = stored(_hits(_scored_spread(cells, segments, names, used, attacked, folds, k), k), "hits")
+        return stored(_rates(lookup(hits, segments, ["seg"]), segments, used), "rates")
+    cells = cells.persist(StorageLevel.DISK_ONLY)
+    segments = _segment_totals(cells, folds)
+    k = _classes(segments)
+    model = _model_whole(cells, segments, names, used, folds).persist(StorageLevel.DISK_ONLY)
+    hits = _hits(_scored_whole(cells, model, names, used, attacked, k), k)
+    out = stored(_rates(hits.join(segments, "seg"), segments, used), "rates")
+    model.unpersist()
+    cells.unpersist()
+    return out
+
+
+def _measured(rows: DataFrame, numbers: list[str], texts: list[str], target: str | None, quasi: list[str], features: int, folds: int, seed: int, parts: int | None) -> DataFrame:
+    """All values by segment. With ``parts``, rows are dealt to so many partitions by segment, and stay there."""
+    d, t, whole = len(numbers), len(texts), parts is not None
+    if whole:
+        rows = rows.repartition(parts, "seg").sortWithinPartitions("seg").persist(StorageLevel.DISK_ONLY)
+    else:
+        rows = stored(rows, "segment_rows")
+    moments = stored(_moments(rows, d), "moments")
+    wide = rows
+    if d:
+        known = moments.select("seg", "lo", "hi", "mean", "sd")
+        sizes = moments.select("seg", (F.col("n_real") + F.col("n_synth")).alias("n"))
+        wide = rows.join(known, "seg") if whole else lookup(rows, known, ["seg"], found=hot_of(sizes, ["seg"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    values = _value_counts(rows, numbers, texts)
+    found = [
+        stored(_distances(_ranked_whole(values) if whole else _ranked_spread(values), numbers, texts), "distances"),
+        stored(_copies(rows, d, t, [f"t{texts.index(c)}" for c in quasi]), "copies"),
+        _classifiers(wide, [*numbers, *texts], d, target, folds, whole),
+        stored(_mmd(wide, d, features, seed), "mmd") if d else moments.select("seg", F.lit(0.0).alias("mmd")),
+    ]
+    if whole:
+        rows.unpersist()
+    for f in found:
+        moments = moments.join(f, "seg", "left")
+    return moments
+
+
 def scorecards(
     tagged: DataFrame, segment: str, target: str | None = None, row_id: Column | None = None, quasi: list[str] | None = None,
     features: int = 64, folds: int = C.ATTACK_FOLDS, seed: int = C.DEFAULT_SEED,
@@ -317,22 +461,19 @@ def scorecards(
     rows, numbers, texts = _plain(tagged, segment, row_id, target, folds, seed)
     if not numbers and not texts:
         raise ValueError("no number and no text to measure")
-    d, t = len(numbers), len(texts)
-    rows = stored(rows, "segment_rows")
-    moments = stored(_moments(rows, d), "moments")
-    sizes = moments.select("seg", (F.col("n_real") + F.col("n_synth")).alias("n"))
-    hot = hot_of(sizes, ["seg"], "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    wide = lookup(rows, moments.select("seg", "lo", "hi", "mean", "sd"), ["seg"], found=hot) if d else rows
     quasi = quasi_identifiers(tagged.select(*texts)) if quasi is None and texts else quasi or []
-    parts = [
-        _distances(value_table(rows, numbers, texts), numbers, texts),
-        _copies(rows, d, t, [f"t{texts.index(c)}" for c in quasi]),
-        _classifiers(wide, [*numbers, *texts], d, target, folds),
-    ]
-    parts.append(_mmd(wide, d, features, seed) if d else moments.select("seg", F.lit(0.0).alias("mmd")))
-    out = moments
-    for p in parts:
-        out = out.join(p, "seg", "left")
+    spark, measure = tagged.sparkSession, lambda part, parts: _measured(part, numbers, texts, target, quasi, features, folds, seed, parts)
+    sizes = stored(rows.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = [(r["seg"],) for r in sizes.where(F.col("n") > max(total / SHARE, WHOLE_ROWS)).collect()]
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / PART_ROWS))
+    # Partitions by segment serve every key that holds the segment, in joins as well.
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        if large:
+            these = F.broadcast(spark.createDataFrame(large, sizes.select("seg").schema))
+            out = measure(rows.join(these, "seg", "left_anti"), parts).unionByName(measure(rows.join(these, "seg", "left_semi"), None))
+        else:
+            out = measure(rows, parts)
     both = (F.col("n_real") > 0) & (F.col("n_synth") > 0)
     names = ("wasserstein", "js_divergence", "correlation_similarity", "mmd", "kl_divergence", *UTILITY, "exact_matches", "mia_risk_score", "k_anonymity")
     return stored(out.select(F.col("seg").alias(segment), *[F.when(both, F.col(c)).alias(c) for c in names]), "scorecards")
