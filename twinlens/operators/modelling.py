@@ -118,7 +118,7 @@ def utility_scores(pair: Pair, target: str, model: str = "forest", seed: int = C
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in whole.columns if c != IS_REAL])
     shaped, x = _plain(whole, [c for c in pair.columns if c != target], is_real=F.col(IS_REAL), label=label, is_train=train_flag(row, seed=seed))
     assembled = VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(_finite(shaped, x))
-    ready = spread(assembled.select("is_real", "is_train", "label", "features")).persist()
+    ready = spread(assembled.select("is_real", "is_train", "label", "features"), whole.count()).persist()
     try:
         sizes = {r["is_real"]: r["n"] for r in ready.groupBy("is_real").agg(F.count(F.lit(1)).alias("n")).collect()}
         if min(sizes.get(True, 0), sizes.get(False, 0)) < C.UTILITY_MIN_ROWS:
@@ -172,7 +172,7 @@ def attack_accuracy(
     shaped = _finite(shaped, x)
     row_id = F.concat_ws("|", *[F.col(c).cast("string") for c in shaped.columns])
     folded = fold_assign(shaped, "label", row_id, [], seed=seed)
-    ready = spread(VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(folded).select("label", "features", "fold")).persist()
+    ready = spread(VectorAssembler(inputCols=x, outputCol="features", handleInvalid="skip").transform(folded).select("label", "features", "fold"), 2 * n).persist()
     try:
         def one(fold: int) -> float:
             attacker = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
@@ -217,7 +217,7 @@ def feature_importance(df: DataFrame, target: str, seed: int = C.DEFAULT_SEED) -
     if classes < 2:
         raise ValueError(f"{target} has one class only")
     shaped, x = _plain(clean, numbers, label=label)
-    ready = spread(VectorAssembler(inputCols=x, outputCol="features").transform(shaped).select("label", "features"))
+    ready = spread(VectorAssembler(inputCols=x, outputCol="features").transform(shaped).select("label", "features"), clean.count())
     model = RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed).fit(ready)
     weights = [float(w) for w in model.featureImportances.toArray()]
     ranked = sorted(zip(numbers, weights), key=lambda x: (-x[1], x[0]))

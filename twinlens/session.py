@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -60,11 +61,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input came in fewer splits than that, for
-    work that passes over them many times. Large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+#: A fit keeps some hundred bytes a row, so a partition of so many rows is some hundred MB.
+SPREAD_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` rows over all cores where the input came in fewer splits than that, for
+    work that passes over them many times, and about ``SPREAD_ROWS`` to a partition at most."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / SPREAD_ROWS))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
