@@ -29,6 +29,8 @@ WINDOW_LIMIT = 1_000_000
 #: A classifier needs a tree's leaf for each class; a target with more values is none.
 CLASS_LIMIT = 1000
 HASH_CODES = 1 << 20
+#: Folds fitted at the same time have about so many rows together.
+FOLD_ROWS = 10_000_000
 #: What a fit raises on tables it can't learn from; other errors are faults and pass through.
 FAILURES = (Py4JJavaError, PySparkException, ValueError)
 
@@ -147,6 +149,10 @@ def utility_or_failed(pair: Pair, target: str, **options) -> dict[str, float | N
         return {**NO_UTILITY, "performance_drop": C.UTILITY_FAILED_DROP}
 
 
+def folds_at_once(rows: int) -> int:
+    return max(1, min(C.ATTACK_FOLDS, FOLD_ROWS // max(rows, 1)))
+
+
 def attack_accuracy(
     pair: Pair, rows: int | None = None, trees: int = C.ATTACK_TREES, depth: int = C.ATTACK_DEPTH, seed: int = C.DEFAULT_SEED
 ) -> float | None:
@@ -179,8 +185,8 @@ def attack_accuracy(
             return _accuracy(attacker.fit(ready.where(F.col("fold") != fold)), ready.where(F.col("fold") == fold))
 
         ready.count()
-        # The folds are independent jobs; Spark runs them side by side.
-        with ThreadPoolExecutor(C.ATTACK_FOLDS) as pool:
+        # The folds are independent jobs; Spark runs them side by side, of many rows fewer at once: each keeps a number a row and tree.
+        with ThreadPoolExecutor(folds_at_once(2 * n)) as pool:
             tasks = [pool.submit(inheritable_thread_target(ready.sparkSession)(one), fold) for fold in range(C.ATTACK_FOLDS)]
             scores = [t.result() for t in tasks]
         return sum(scores) / len(scores)
