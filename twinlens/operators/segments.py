@@ -73,17 +73,28 @@ def _known(count: int) -> Column:
     return out
 
 
-def _moments(rows: DataFrame, d: int) -> DataFrame:
-    """(seg, n_real, n_synth, lo, hi, mean, sd, correlation_similarity): one aggregate by segment and side, folded once more."""
+def _moments(rows: DataFrame, d: int, gaps: frozenset[int] | None = None) -> DataFrame:
+    """(seg, n_real, n_synth, lo, hi, mean, sd, correlation_similarity): one aggregate by segment and side, folded once more.
+
+    Without nulls a column has one deviation, whatever it is paired with; only columns in ``gaps`` (all without it) have nulls."""
+    gaps = frozenset(range(d)) if gaps is None else gaps
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    both = {(i, j): F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull() for i, j in pairs}
-    aggs = [F.count(F.lit(1)).alias("n"), _sum_if(_known(d)).alias("whole")]
+    known = {(i, j): [F.col(f"x{k}").isNotNull() for k in sorted({i, j} & gaps)] for i, j in pairs}
+
+    def where(tests: list[Column], value: Column) -> Column:
+        for t in tests:
+            value = F.when(t, value)
+        return value
+
+    every = [F.col(f"x{k}").isNotNull() for k in sorted(gaps)]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(where(every, F.lit(1))).alias("whole")]
     for i in range(d):
-        v = F.when(_known(d), F.col(f"x{i}"))
+        v = where(every, F.col(f"x{i}"))
         aggs += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"), F.max(F.abs(f"x{i}")).alias(f"a{i}")]
     for i, j in pairs:
-        one, two = F.when(both[i, j], F.col(f"x{i}")), F.when(both[i, j], F.col(f"x{j}"))
-        aggs += [F.covar_pop(one, two).alias(f"c{i}_{j}"), F.var_pop(one).alias(f"p{i}_{j}"), F.var_pop(two).alias(f"q{i}_{j}")]
+        one, two = where(known[i, j], F.col(f"x{i}")), where(known[i, j], F.col(f"x{j}"))
+        # expressions that are alike are aggregated once
+        aggs += [(F.covar_pop(one, two) if i != j else F.lit(None).cast("double")).alias(f"c{i}_{j}"), F.var_pop(one).alias(f"p{i}_{j}"), F.var_pop(two).alias(f"q{i}_{j}")]
     sides = rows.groupBy("seg", "is_real").agg(*aggs)
 
     def corr(i: int, j: int) -> Column:
@@ -426,7 +437,8 @@ def _measured(rows: DataFrame, numbers: list[str], texts: list[str], target: str
         rows = rows.repartition(parts, "seg").sortWithinPartitions("seg").persist(StorageLevel.DISK_ONLY)
     else:
         rows = stored(rows, "segment_rows")
-    moments = stored(_moments(rows, d), "moments")
+    n, *filled = rows.agg(F.count(F.lit(1)), *[F.count(f"x{i}") for i in range(d)]).first()
+    moments = stored(_moments(rows, d, frozenset(i for i, here in enumerate(filled) if here < n)), "moments")
     wide = rows
     if d:
         known = moments.select("seg", "lo", "hi", "mean", "sd")
