@@ -14,12 +14,13 @@ Consecutive chunks that are all later copies form a run, and a run of at least
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.llm.bitmaps import added, bitmap, marked
@@ -38,7 +39,9 @@ LEAST_BYTES = 96
 #: Bits of the map of chunks that may repeat.
 MAP_BITS = 1 << 26
 #: Chunks that a task gathers before it hands their counts on.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
+#: Bytes of texts that are cut at once; arrays of some 60 bytes for each of them are alive then.
+CUT_BYTES = 1 << 18
 
 
 def _gear() -> np.ndarray:
@@ -118,7 +121,7 @@ def repeated(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", CUT_BYTES):
             h = _chunks([t.encode() for t in column(block, "text")])[3]
             kept.append((h, np.ones(len(h), np.int64)))
             if sum(len(x) for x, _ in kept) > GATHERED:
@@ -143,7 +146,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", CUT_BYTES):
             raw = [t.encode() for t in column(block, "text")]
             doc, start, end, h = _chunks(raw)
             if shipped is not None:
@@ -178,6 +181,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return later.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("parts"))
 
 
+def _maybe(marks: DataFrame) -> Callable[[str], Column]:
+    """A test of a column of marks: true for all of ``marks`` and, as their bitmap fills, for some others."""
+    shipped = marks.sparkSession.sparkContext.broadcast(bitmap(marks.select(F.col("mark").alias("h")), MAP_BITS))
+
+    @F.pandas_udf("boolean")
+    def test(mark: pd.Series) -> pd.Series:
+        return pd.Series(marked(mark.to_numpy(np.int64).view(np.uint64), shipped.value))
+
+    return test
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = LEAST_BYTES, removed: str = "removed_bytes") -> DataFrame:
     """All rows and columns of ``docs``, their texts without later copies of passages,
     and ``removed``, the number of bytes cut out.
@@ -186,11 +200,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so all of them stay alike. A text that is a copy as a whole becomes empty; its
     row stays. Ties go to the smaller id (null first), then the smaller digest of
     the text, then the earlier place. Digests have 64 bits: a false run needs several
-    chunks in a row to collide."""
+    chunks in a row to collide. Only texts that may hold copies meet their spans in a join; a bitmap
+    tells them apart, so the others do not travel."""
     mark, parts = unused(docs.columns, "_mark"), unused(docs.columns, "_parts")
-    spans = copies(docs, id_col, text_col).select(F.col("doc_id").alias("_span_id"), F.col("mark").alias("_span_mark"), F.col("parts").alias(parts))
-    rows = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
-    joined = rows.join(spans, rows[id_col].eqNullSafe(spans["_span_id"]) & (rows[mark] == spans["_span_mark"]), "left").select(*docs.columns, parts)
+    found = stored(copies(docs, id_col, text_col), "spans")
+    spans = found.select(F.col("doc_id").alias("_span_id"), F.col("mark").alias("_span_mark"), F.col("parts").alias(parts))
+    rows, maybe = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string"))), _maybe(found)
+    held = rows.where(maybe(mark))
+    joined = held.join(spans, held[id_col].eqNullSafe(spans["_span_id"]) & (held[mark] == spans["_span_mark"]), "left").select(*docs.columns, parts)
+    others = rows.where(~maybe(mark)).select(*docs.columns, F.lit(None).cast(joined.schema[parts].dataType).alias(parts))
+    joined = joined.unionByName(others)
     names, schema = docs.columns, f"{ddl(docs)}, {removed} long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
