@@ -58,22 +58,27 @@ def evaluated_runs(spark, sf):
     """Full scorecards of all suppliers' pairs, not rounded."""
     lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", *LINE_NUMBERS, *LINE_STRINGS)
     row = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey")
-    epsilon, real = _settings(F.col("l_suppkey"))["epsilon"], first_half("l_orderkey")
+    # Each digest is a column by itself, so it is taken once a row, and those of noise on the synthetic side only.
+    own = lines.select("*", row.alias("row"), first_half("l_orderkey").alias("is_real"))
+    synthetic = lambda c: F.when(F.col("is_real"), F.lit(None)).otherwise(c)
+    draws = {c: synthetic(H.uniform(SEED, F.col("row"), c)) for c in NOISED} | {"epsilon": synthetic(_settings(F.col("l_suppkey"))["epsilon"])}
+    own = own.select("*", *[draw.alias(f"_{c}") for c, draw in draws.items()])
 
     def noised(c):
         sensitivity, places = NOISED[c]
-        noise = H.laplace(SEED, row, c, F.lit(sensitivity) / epsilon)
-        return F.when(real, F.col(c)).otherwise(F.round(F.col(c) + noise, places)).alias(c)
+        noise = H.laplace_of(F.col(f"_{c}"), F.lit(sensitivity) / F.col("_epsilon"))
+        return F.when(F.col("is_real"), F.col(c)).otherwise(F.round(F.col(c) + noise, places)).alias(c)
 
-    own = [noised(c) if c in NOISED else F.col(c) for c in LINE_NUMBERS + LINE_STRINGS]
-    tagged = lines.select(F.col("l_suppkey").alias("run_id"), real.alias("is_real"), *own, F.struct(row.alias("row")).alias("key"))
+    measured = [noised(c) if c in NOISED else F.col(c) for c in LINE_NUMBERS + LINE_STRINGS]
+    tagged = own.select(F.col("l_suppkey").alias("run_id"), "is_real", *measured, F.struct("row").alias("key"))
     return scorecards(tagged, "run_id", "l_returnflag", F.col("key.row"), features=RUN_FEATURES, seed=SEED)
 
 
 def run_records(spark, sf):
     """One flat scorecard row per supplier, in the digits reports print."""
     lines = table(spark, sf, "lineitem")
-    mark = lines.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*lines.columns).cast("decimal(38,0)"))).first()
+    # The halves of the digests are added up by themselves, as long as there are fewer than 2^31 rows without overflow.
+    mark = lines.select(F.xxhash64(*lines.columns).alias("h")).agg(F.count(F.lit(1)), F.sum(F.shiftright("h", 32)), F.sum(F.col("h").bitwiseAND(0xFFFFFFFF))).first()
     known = (spark.sparkContext.applicationId, tuple(mark))
     if known not in _EVALUATED:
         _EVALUATED[known] = evaluated_runs(spark, sf)

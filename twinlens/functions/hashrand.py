@@ -24,7 +24,7 @@ def digest(seed: int, row_id: Column, stream: str) -> Column:
 def uniform(seed: int, row_id: Column, stream: str, slot: int = 0) -> Column:
     """Uniform on the open interval (0, 1)."""
     bits = F.conv(F.substring(digest(seed, row_id, stream), 1 + 8 * slot, 8), 16, 10)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(TWO_POW_32)
+    return (bits.cast("bigint").cast("double") + F.lit(0.5)) / F.lit(TWO_POW_32)
 
 
 def normal(seed: int, row_id: Column, stream: str, mean=0.0, sd=1.0) -> Column:
@@ -40,7 +40,12 @@ def lognormal(seed: int, row_id: Column, stream: str, mu: float, sigma: float) -
 
 
 def laplace(seed: int, row_id: Column, stream: str, scale) -> Column:
-    centred = uniform(seed, row_id, stream) - F.lit(0.5)
+    return laplace_of(uniform(seed, row_id, stream), scale)
+
+
+def laplace_of(u: Column, scale) -> Column:
+    """Laplace noise from a uniform draw, which is read twice: best a column by itself."""
+    centred = u - F.lit(0.5)
     return -_col(scale) * F.signum(centred) * F.ln(F.lit(1.0) - F.lit(2.0) * F.abs(centred))
 
 

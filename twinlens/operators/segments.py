@@ -37,6 +37,17 @@ WHOLE_ROWS = 250_000
 PART_ROWS = 100_000
 #: Up to so many classes of a segment are added up side by side, more as arrays.
 CLASSES_WIDE = 32
+#: A column with up to so many cells in every segment is looked up in an array of its segment, others are joined.
+CELLS_WIDE = 64
+#: Pairs of columns whose moments one aggregate takes.
+PAIRS_AT_ONCE = 8
+#: Columns whose own moments one aggregate takes.
+COLUMNS_AT_ONCE = 3
+#: So many terms of a row are looked up and added by one join. Longer code of a step is not compiled by the JVM (``METHOD_BYTES``).
+TERMS_AT_ONCE = 15
+METHOD_BYTES = 8000
+#: Counts of the two sides travel as one number, as fewer than 2^31 rows lie in a segment that stays whole.
+UPPER = 1 << 32
 
 
 def _sum_if(test: Column, value: Column | None = None) -> Column:
@@ -87,19 +98,31 @@ def _moments(rows: DataFrame, d: int, gaps: frozenset[int] | None = None) -> Dat
         return value
 
     every = [F.col(f"x{k}").isNotNull() for k in sorted(gaps)]
-    aggs = [F.count(F.lit(1)).alias("n"), F.count(where(every, F.lit(1))).alias("whole")]
+    whole = [F.count(F.lit(1)).alias("n"), F.count(where(every, F.lit(1))).alias("whole")]
+    single, joint = [], []
     for i in range(d):
         v = where(every, F.col(f"x{i}"))
-        aggs += [F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"), F.max(F.abs(f"x{i}")).alias(f"a{i}")]
+        single.append([F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}")])
     for i, j in pairs:
         one, two = where(known[i, j], F.col(f"x{i}")), where(known[i, j], F.col(f"x{j}"))
         # expressions that are alike are aggregated once
-        aggs += [(F.covar_pop(one, two) if i != j else F.lit(None).cast("double")).alias(f"c{i}_{j}"), F.var_pop(one).alias(f"p{i}_{j}"), F.var_pop(two).alias(f"q{i}_{j}")]
-    sides = rows.groupBy("seg", "is_real").agg(*aggs)
+        shared = [F.covar_pop(one, two).alias(f"c{i}_{j}")] if i != j else []
+        joint.append([*shared, *([F.var_pop(one).alias(f"p{i}_{j}"), F.var_pop(two).alias(f"q{i}_{j}")] if gaps else [])])
+    # Code of one aggregate over too many columns is too long for the JVM to compile.
+    bunches = [[c for cols in found[i : i + n] for c in cols] for found, n in ((single, COLUMNS_AT_ONCE), (joint, PAIRS_AT_ONCE)) for i in range(0, len(found), n)]
+    bunches = [b for b in bunches if b]
+    if d <= COLUMNS_AT_ONCE:
+        bunches = [[c for b in bunches for c in b]]
+    sides = rows.groupBy("seg", "is_real").agg(*whole, *bunches[0])
+    for bunch in bunches[1:]:
+        sides = sides.join(rows.groupBy("seg", "is_real").agg(*bunch), ["seg", "is_real"])
+    if not gaps:
+        sides = sides.select("*", *[F.col(f"v{at}").alias(f"{n}{i}_{j}") for i, j in pairs for n, at in (("p", i), ("q", j))])
 
     def corr(i: int, j: int) -> Column:
         vx, vy = F.col(f"p{i}_{j}"), F.col(f"q{i}_{j}")
-        dust = lambda v, k: v <= F.lit(FLAT) * F.col(f"a{k}") * F.col(f"a{k}")
+        top = lambda k: F.greatest(F.abs(f"lo{k}"), F.abs(f"hi{k}"))
+        dust = lambda v, k: v <= F.lit(FLAT) * top(k) * top(k)
         value = F.lit(1.0) if i == j else F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(vx) * F.sqrt(vy))
         return F.coalesce(F.when(dust(vx, i) | dust(vy, j), F.lit(0.0)).otherwise(F.when(vx.isNotNull(), value)), F.lit(0.0))
 
@@ -222,8 +245,21 @@ def _best(scores: Column) -> Column:
     return F.array_position(near, F.array_max(near)).cast("int")
 
 
+def _first_best(scores: list[str]) -> Column:
+    """As ``_best`` of scores of which only the last may be null. Only those that rounding could make equal are rounded."""
+    if not scores:
+        return F.lit(None).cast("int")
+    cols = [F.col(c) for c in scores]
+    most = lambda cols: F.greatest(*cols) if len(cols) > 1 else cols[0]
+    first = lambda cols: F.coalesce(*[F.when(c == most(cols), F.lit(i + 1)) for i, c in enumerate(cols)])
+    close = sum((F.coalesce((c >= most(cols) - F.lit(2.0 * 10.0**-PLACES)).cast("int"), F.lit(0)) for c in cols), F.lit(0))
+    return F.when(close == 1, first(cols)).when(close > 1, first([F.round(c, PLACES) for c in cols]))
+
+
 def _cells(rows: DataFrame, names: list[str], d: int, target: str | None) -> DataFrame:
-    """(seg, is_real, fold, label, part, c0, c1, ...): each row's share of the fits and its cell of every column."""
+    """(seg, is_real, fold, label, part, c0, c1, ...): each row's share of the fits and its cell of every column.
+
+    Cells of numbers are integers, ``CELLS`` for nulls; those of texts are texts."""
     complete = F.col("label").isNotNull() if target else F.lit(False)
     cells = []
     for i in range(len(names)):
@@ -233,7 +269,7 @@ def _cells(rows: DataFrame, names: list[str], d: int, target: str | None) -> Dat
             continue
         v, lo, hi = F.col(f"x{i}"), F.col("lo")[i], F.col("hi")[i]
         slot = F.least(F.floor(F.try_divide(v - lo, (hi - lo) / F.lit(float(CELLS)))), F.lit(CELLS - 1)).cast("int")
-        cells.append(F.when(v.isNull(), F.lit("null")).when(hi > lo, F.concat(F.lit("n"), slot.cast("string"))).otherwise(F.lit("n0")))
+        cells.append(F.when(v.isNull(), F.lit(CELLS)).when(hi > lo, slot).otherwise(F.lit(0)))
         complete = complete & v.isNotNull()
     return rows.select(
         "seg", "is_real", "fold", "label",
@@ -251,7 +287,7 @@ def _segment_totals(rows: DataFrame, folds: int) -> DataFrame:
     per_class = sides.groupBy("seg", "label").agg(*[F.sum(c).alias(c) for c in ("train", "test", "synth")]).where("train + test + synth > 0")
     classes = per_class.groupBy("seg").agg(
         F.sort_array(F.collect_list(F.struct("label", "train", "synth"))).alias("classes"), *[F.sum(c).alias(f"n_{c}") for c in ("train", "test", "synth")]
-    )
+    ).withColumn("labels", F.col("classes.label"))
     whole = sides.groupBy("seg").agg(
         F.array(*[_sum_if(F.col("fold") == f, F.col("r")) for f in range(folds)]).alias("fold_r"),
         F.array(*[_sum_if(F.col("fold") == f, F.col("s")) for f in range(folds)]).alias("fold_s"),
@@ -263,7 +299,7 @@ GRAIN = ["seg", "feature", "cell"]
 
 
 def _long(rows: DataFrame, features: int, *keep: str) -> DataFrame:
-    return rows.select("seg", *keep, F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").alias("cell")) for i in range(features)])))
+    return rows.select("seg", *keep, F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"c{i}").cast("string").alias("cell")) for i in range(features)])))
 
 
 def _add(c: Column | str) -> Column:
@@ -271,7 +307,7 @@ def _add(c: Column | str) -> Column:
 
 
 def _terms(model: DataFrame, used: list[int]) -> DataFrame:
-    """(seg, feature, cell, odds by fold, by_real and by_synth by class) of cells with their segment's totals."""
+    """(seg, feature, cell, size, odds by fold, by_real and by_synth by class) of cells with their segment's totals."""
     less = lambda c: F.transform(c, lambda x: (_add(F.col(c)) - x).cast("double"))
     share = lambda at, n: F.zip_with(less(at), less(n), lambda a, b: F.ln((a + 1.0) / (b + F.col("size"))))
     odds = F.zip_with(share("at_r", "fold_r"), share("at_s", "fold_s"), lambda a, b: a - b)
@@ -279,11 +315,14 @@ def _terms(model: DataFrame, used: list[int]) -> DataFrame:
     def terms(side: str) -> Column:
         """By class: logarithm of the cell's share; the first feature brings the class's own share as well."""
         k = F.size("classes").cast("double")
-        own = lambda c: F.coalesce(F.try_element_at("found", c["label"])[side], F.lit(0)).cast("double")
+        if "found" in model.columns:
+            own = F.transform("classes", lambda c: F.coalesce(F.try_element_at("found", c["label"])[side], F.lit(0)))
+        else:
+            own = F.slice(f"own_{side}", 1, k.cast("int"))
         prior = lambda c: F.when(F.col("feature") == F.lit(used[0] if used else -1), F.ln((c[side] + 1.0) / (F.col(f"n_{side}") + k))).otherwise(F.lit(0.0))
-        return F.transform("classes", lambda c: F.ln((own(c) + 1.0) / (c[side] + F.col("size_whole"))) + prior(c))
+        return F.zip_with("classes", own, lambda c, n: F.ln((n.cast("double") + 1.0) / (c[side] + F.col("size_whole"))) + prior(c))
 
-    return model.select(*GRAIN, odds.alias("odds"), terms("train").alias("by_real"), terms("synth").alias("by_synth"))
+    return model.select(*[c for c in (*GRAIN, "text", "size") if c in model.columns], odds.alias("odds"), terms("train").alias("by_real"), terms("synth").alias("by_synth"))
 
 
 SIDES = ("by_real", "by_synth")
@@ -318,32 +357,89 @@ def _scored_spread(cells: DataFrame, segments: DataFrame, names: list[str], used
     return joined.groupBy("seg", "row", "is_real", "label", "part").agg(score, *sums)
 
 
-def _model_whole(cells: DataFrame, segments: DataFrame, names: list[str], used: list[int], folds: int) -> DataFrame:
-    """The terms of all cells where a segment's rows lie in one partition."""
-    part, fold = F.col("part"), F.col("fold")
-    ends = [(f"{side}{f}", (F.col("is_real") if side == "r" else ~F.col("is_real")) & (fold == f)) for side in "rs" for f in range(folds)]
-    tests = [*ends, *[(p, part == p) for p in ("train", "synth")], ("whole", part != "none")]
-    counts = _long(cells, len(names), "is_real", "fold", "label", "part").groupBy(*GRAIN, "label").agg(*[F.count_if(t).alias(n) for n, t in tests])
-    cell = counts.groupBy(*GRAIN).agg(
-        *[F.array(*[F.sum(f"{side}{f}") for f in range(folds)]).alias(f"at_{side}") for side in "rs"], F.sum("whole").alias("whole"),
-        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.struct("train", "synth"))))).alias("found"),
+def _counted(cells: DataFrame, segments: DataFrame, features: int, folds: int, k: int) -> DataFrame:
+    """(seg, feature, cell, text, at_r, at_s by fold, own_train, own_synth by class, whole): rows of every cell, added up at once."""
+    part, side = F.col("part"), F.when(F.col("is_real"), F.lit(1).cast("bigint")).otherwise(F.lit(UPPER))
+    share = F.when(part == "train", F.lit(1).cast("bigint")).when(part == "synth", F.lit(UPPER))
+    place = F.array_position("labels", F.col("label"))
+    rows = cells.join(segments.select("seg", "labels"), "seg").select("*", place.alias("place"), side.alias("side"), share.alias("share"))
+    tests = {f"f{f}": F.when(F.col("fold") == f, F.col("side")) for f in range(folds)} | {f"k{j}": F.when(F.col("place") == j + 1, F.col("share")) for j in range(k)}
+    tests["whole"] = (part != "none").cast("bigint")
+    added = [F.coalesce(c, F.lit(0)).alias(n) for n, c in tests.items()]
+    names = [f"c{i}" for i in range(features)]
+    texts = {f.name for f in cells.schema if f.name in names and f.dataType.typeName() == "string"}
+    entry = [F.struct(F.lit(i).alias("feature"), (F.lit(None).cast("int") if c in texts else F.col(c)).alias("cell"), (F.col(c) if c in texts else F.lit(None).cast("string")).alias("text")) for i, c in enumerate(names)]
+    long = rows.select("seg", *added, *names).select("seg", *tests, F.inline(F.array(*entry)))
+    sums = long.groupBy("seg", "feature", "cell", "text").agg(*[F.sum(n).alias(n) for n in tests])
+    low, high = (lambda n: F.col(n).bitwiseAND(UPPER - 1)), (lambda n: F.shiftright(n, 32))
+    array = lambda f, names: F.array(*[f(n) for n in names]) if names else F.array().cast("array<bigint>")
+    by_fold, by_class = [f"f{f}" for f in range(folds)], [f"k{j}" for j in range(k)]
+    return sums.select(
+        "seg", "feature", "cell", "text", array(low, by_fold).alias("at_r"), array(high, by_fold).alias("at_s"),
+        array(low, by_class).alias("own_train"), array(high, by_class).alias("own_synth"), "whole",
     )
+
+
+def _model_whole(cells: DataFrame, segments: DataFrame, names: list[str], used: list[int], folds: int, k: int | None = None) -> DataFrame:
+    """The terms of all cells where a segment's rows lie in one partition. Without ``k``, or with very many classes, by lists of classes."""
+    part, fold = F.col("part"), F.col("fold")
+    if k is not None and k <= CLASSES_WIDE:
+        cell = _counted(cells, segments, len(names), folds, k)
+    else:
+        ends = [(f"{side}{f}", (F.col("is_real") if side == "r" else ~F.col("is_real")) & (fold == f)) for side in "rs" for f in range(folds)]
+        tests = [*ends, *[(p, part == p) for p in ("train", "synth")], ("whole", part != "none")]
+        counts = _long(cells, len(names), "is_real", "fold", "label", "part").groupBy(*GRAIN, "label").agg(*[F.count_if(t).alias(n) for n, t in tests])
+        cell = counts.groupBy(*GRAIN).agg(
+            *[F.array(*[F.sum(f"{side}{f}") for f in range(folds)]).alias(f"at_{side}") for side in "rs"], F.sum("whole").alias("whole"),
+            F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", F.struct("train", "synth"))))).alias("found"),
+        )
+        # Cells of numbers and of texts side by side, as above.
+        d = [i for i in range(len(names)) if cells.schema[f"c{i}"].dataType.typeName() != "string"]
+        number = F.col("feature").isin(d)
+        cell = cell.withColumn("text", F.when(~number, F.col("cell"))).withColumn("cell", F.when(number, F.col("cell")).cast("int"))
     column = Window.partitionBy("seg", "feature")
     sizes = [F.count(F.lit(1)).over(column).cast("double").alias("size"), F.count_if(F.col("whole") > 0).over(column).cast("double").alias("size_whole")]
     return _terms(cell.select("*", *sizes).join(segments, "seg"), used)
 
 
 def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: list[int], attacked: list[int], k: int) -> DataFrame:
-    """As ``_scored_spread``, by a hash join within the partition for each column, its terms added up at once."""
+    """As ``_scored_spread``, without leaving the partition: terms of columns with few cells lie in arrays of their segment, which is
+    one join for all of them; other columns are a hash join each. The terms are added up at once."""
     asked = F.col("part").isin("test", "synth")
     sums: dict[str, Column] = {}
 
     def plus(name: str, value: Column) -> None:
-        sums[name] = F.col(name) + value if name in sums else value
+        sums[name] = sums[name] + value if name in sums else value
 
+    number = lambda i: cells.schema[f"c{i}"].dataType.typeName() != "string"
+    few = model.groupBy("feature").agg(F.max("size").alias("size")).where(F.col("size") <= CELLS_WIDE).collect() if k <= CLASSES_WIDE else []  # a row a column
+    few = sorted(r["feature"] for r in few)
     keep, scored = ["seg", "is_real", "fold", "label", "part"], cells
-    for i in range(len(names)):
-        own = model.where(F.col("feature") == i).select("seg", F.col("cell").alias(f"c{i}"), "odds", *[F.col(c).alias(f"_{c}") for c in SIDES])
+    step = max(1, TERMS_AT_ONCE // (1 + 2 * k))
+    for these in [few[i : i + step] for i in range(0, len(few), step)]:
+        own = F.struct(F.col("cell"), F.col("text"), "odds", *SIDES)
+        lists = model.where(F.col("feature").isin(these)).groupBy("seg").agg(*[F.collect_list(F.when(F.col("feature") == i, own)).alias(f"m{i}") for i in these])
+        parts = lambda i: [F.col(f"m{i}.{'cell' if number(i) else 'text'}").alias(f"at{i}"), *[F.flatten(F.col(f"m{i}.{c}")).alias(f"{c}{i}_") for c in ("odds", *SIDES)]]
+        sizes = [F.size(F.col(f"m{these[0]}.{c}")[0]).alias(n) for c, n in (("by_real", "classes"), ("odds", "folds"))]
+        lists = lists.select("seg", *sizes, *[c for i in these for c in parts(i)])
+        rest = [f"c{j}" for j in range(len(names)) if j not in few or j > these[-1]]
+        scored = scored.join(lists.hint("shuffle_hash"), "seg").select(
+            *keep, *rest, *sums, "classes", "folds", *[f"{c}{i}_" for i in these for c in ("odds", *SIDES)],
+            *[(F.array_position(f"at{i}", F.col(f"c{i}")).cast("int") - 1).alias(f"p{i}") for i in these],
+        )
+        for i in these:
+            if i in attacked:
+                plus("score", F.get(f"odds{i}_", F.col(f"p{i}") * F.col("folds") + F.col("fold")))
+            if i in used:
+                for c in SIDES:
+                    for j in range(k):
+                        plus(f"{c}{j}", F.get(f"{c}{i}_", F.col(f"p{i}") * F.col("classes") + F.lit(j)))
+        # Where a segment has fewer classes than others, what stands behind its own is none of a row's terms.
+        told = lambda n: F.col("classes") > int(n.removeprefix("by_real").removeprefix("by_synth"))
+        scored = scored.select(*keep, *rest, *[(v if n == "score" else F.when(asked & told(n), v)).alias(n) for n, v in sums.items()])
+        sums = {n: F.col(n) for n in sums}
+    for i in [i for i in range(len(names)) if i not in few]:
+        own = model.where(F.col("feature") == i).select("seg", F.col("cell" if number(i) else "text").alias(f"c{i}"), "odds", *[F.col(c).alias(f"_{c}") for c in SIDES])
         scored = scored.join(own.hint("shuffle_hash"), ["seg", f"c{i}"])
         if i in attacked:
             plus("score", F.element_at("odds", F.col("fold") + 1))
@@ -355,7 +451,8 @@ def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: li
             for c in SIDES:
                 value = F.when(asked, F.col(f"_{c}"))
                 sums[c] = F.zip_with(c, value, lambda p, q: p + q) if c in sums else value
-        scored = scored.select(*keep, *[f"c{j}" for j in range(i + 1, len(names))], *[v.alias(n) for n, v in sums.items()])
+        rest = [f"c{j}" for j in range(i + 1, len(names)) if j not in few]
+        scored = scored.select(*keep, *rest, *[v.alias(n) for n, v in sums.items()])
         sums = {n: F.col(n) for n in sums}
     empty = {"score": F.lit(None).cast("double")}
     if k <= CLASSES_WIDE:
@@ -368,19 +465,18 @@ def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: li
 def _hits(scored: DataFrame, k: int) -> DataFrame:
     """(seg, is_real, part, label, by_real, by_synth, n, told): rows by guessed classes and the attack's hits among them."""
 
-    def total(c: str) -> Column:
-        if not k:
-            return F.array().cast("array<double>")
+    def best(c: str) -> Column:
         if k <= CLASSES_WIDE:
-            return F.array_compact(F.array(*[F.col(f"{c}{j}") for j in range(k)]))
-        return F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+            return _first_best([f"{c}{j}" for j in range(k)])
+        return _best(F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)))
 
-    score = F.round("score", PLACES)
+    # Rounding takes no sign away from a score of more than one place.
+    score = F.when(F.abs("score") > F.lit(10.0**-PLACES), F.col("score")).otherwise(F.round("score", PLACES))
     hits = scored.select(
         "seg", "is_real", "part", "label",
         F.when(score == 0, 0.5).when((score > 0) == F.col("is_real"), 1.0).when(score.isNotNull(), 0.0).alias("told"),
-        _best(total("by_real")).alias("by_real"),
-        _best(total("by_synth")).alias("by_synth"),
+        best("by_real").alias("by_real"),
+        best("by_synth").alias("by_synth"),
     )
     return hits.groupBy("seg", "is_real", "part", "label", "by_real", "by_synth").agg(F.count(F.lit(1)).alias("n"), F.sum("told").alias("told"))
 
@@ -419,14 +515,12 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
         # Hits are added up by label, where a class's place among its segment's classes is one small join.
         hits = stored(_hits(_scored_spread(cells, segments, names, used, attacked, folds, k), k), "hits")
         return stored(_rates(lookup(hits, segments, ["seg"]), segments, used), "rates")
-    cells = cells.persist(StorageLevel.DISK_ONLY)
     segments = _segment_totals(cells, folds)
     k = _classes(segments)
-    model = _model_whole(cells, segments, names, used, folds).persist(StorageLevel.DISK_ONLY)
+    model = _model_whole(cells, segments, names, used, folds, k).persist(StorageLevel.DISK_ONLY)
     hits = _hits(_scored_whole(cells, model, names, used, attacked, k), k)
     out = stored(_rates(hits.join(segments, "seg"), segments, used), "rates")
     model.unpersist()
-    cells.unpersist()
     return out
 
 
@@ -480,7 +574,7 @@ def scorecards(
     large = [(r["seg"],) for r in sizes.where(F.col("n") > max(total / SHARE, WHOLE_ROWS)).collect()]
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / PART_ROWS))
     # Partitions by segment serve every key that holds the segment, in joins as well.
-    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"), setting(spark, "spark.sql.codegen.hugeMethodLimit", str(METHOD_BYTES)):
         if large:
             these = F.broadcast(spark.createDataFrame(large, sizes.select("seg").schema))
             out = measure(rows.join(these, "seg", "left_anti"), parts).unionByName(measure(rows.join(these, "seg", "left_semi"), None))
