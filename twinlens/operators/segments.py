@@ -43,8 +43,7 @@ CELLS_WIDE = 64
 PAIRS_AT_ONCE = 8
 #: Columns whose own moments one aggregate takes.
 COLUMNS_AT_ONCE = 3
-#: So many terms of a row are looked up and added by one join. Longer code of a step is not compiled by the JVM (``METHOD_BYTES``).
-TERMS_AT_ONCE = 15
+#: Longer code of a step is not compiled by the JVM.
 METHOD_BYTES = 8000
 #: Counts of the two sides travel as one number, as fewer than 2^31 rows lie in a segment that stays whole.
 UPPER = 1 << 32
@@ -402,9 +401,20 @@ def _model_whole(cells: DataFrame, segments: DataFrame, names: list[str], used:
     return _terms(cell.select("*", *sizes).join(segments, "seg"), used)
 
 
-def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: list[int], attacked: list[int], k: int) -> DataFrame:
-    """As ``_scored_spread``, without leaving the partition: terms of columns with few cells lie in arrays of their segment, which is
-    one join for all of them; other columns are a hash join each. The terms are added up at once."""
+def _lists(model: DataFrame, k: int) -> tuple[list[int], DataFrame]:
+    """(columns with few cells in every segment; one row for each of them and its segment: cells, their terms one after the other)."""
+    few = model.groupBy("feature").agg(F.max("size").alias("size")).where(F.col("size") <= CELLS_WIDE).collect() if k <= CLASSES_WIDE else []  # a row a column
+    few = sorted(r["feature"] for r in few)
+    found = model.where(F.col("feature").isin(few)).groupBy("seg", "feature").agg(F.collect_list(F.struct("cell", "text", "odds", *SIDES)).alias("m"))
+    sizes = [F.size(F.col(f"m.{c}")[0]).alias(n) for c, n in (("by_real", "classes"), ("odds", "folds"))]
+    return few, found.select("seg", "feature", *sizes, F.col("m.cell").alias("cell"), F.col("m.text").alias("text"), *[F.flatten(F.col(f"m.{c}")).alias(f"_{c}") for c in ("odds", *SIDES)])
+
+
+def _scored_whole(
+    cells: DataFrame, model: DataFrame, names: list[str], used: list[int], attacked: list[int], k: int, listed: tuple[list[int], DataFrame] | None = None
+) -> DataFrame:
+    """As ``_scored_spread``, by a hash join within the partition for each column, its terms added up at once. Of columns with few cells
+    (``listed``) all terms of a segment are one row, so the join is by segment alone."""
     asked = F.col("part").isin("test", "synth")
     sums: dict[str, Column] = {}
 
@@ -412,31 +422,22 @@ def _scored_whole(cells: DataFrame, model: DataFrame, names: list[str], used: li
         sums[name] = sums[name] + value if name in sums else value
 
     number = lambda i: cells.schema[f"c{i}"].dataType.typeName() != "string"
-    few = model.groupBy("feature").agg(F.max("size").alias("size")).where(F.col("size") <= CELLS_WIDE).collect() if k <= CLASSES_WIDE else []  # a row a column
-    few = sorted(r["feature"] for r in few)
+    few, lists = listed or _lists(model, k)
     keep, scored = ["seg", "is_real", "fold", "label", "part"], cells
-    step = max(1, TERMS_AT_ONCE // (1 + 2 * k))
-    for these in [few[i : i + step] for i in range(0, len(few), step)]:
-        own = F.struct(F.col("cell"), F.col("text"), "odds", *SIDES)
-        lists = model.where(F.col("feature").isin(these)).groupBy("seg").agg(*[F.collect_list(F.when(F.col("feature") == i, own)).alias(f"m{i}") for i in these])
-        parts = lambda i: [F.col(f"m{i}.{'cell' if number(i) else 'text'}").alias(f"at{i}"), *[F.flatten(F.col(f"m{i}.{c}")).alias(f"{c}{i}_") for c in ("odds", *SIDES)]]
-        sizes = [F.size(F.col(f"m{these[0]}.{c}")[0]).alias(n) for c, n in (("by_real", "classes"), ("odds", "folds"))]
-        lists = lists.select("seg", *sizes, *[c for i in these for c in parts(i)])
-        rest = [f"c{j}" for j in range(len(names)) if j not in few or j > these[-1]]
-        scored = scored.join(lists.hint("shuffle_hash"), "seg").select(
-            *keep, *rest, *sums, "classes", "folds", *[f"{c}{i}_" for i in these for c in ("odds", *SIDES)],
-            *[(F.array_position(f"at{i}", F.col(f"c{i}")).cast("int") - 1).alias(f"p{i}") for i in these],
-        )
-        for i in these:
-            if i in attacked:
-                plus("score", F.get(f"odds{i}_", F.col(f"p{i}") * F.col("folds") + F.col("fold")))
-            if i in used:
-                for c in SIDES:
-                    for j in range(k):
-                        plus(f"{c}{j}", F.get(f"{c}{i}_", F.col(f"p{i}") * F.col("classes") + F.lit(j)))
-        # Where a segment has fewer classes than others, what stands behind its own is none of a row's terms.
-        told = lambda n: F.col("classes") > int(n.removeprefix("by_real").removeprefix("by_synth"))
-        scored = scored.select(*keep, *rest, *[(v if n == "score" else F.when(asked & told(n), v)).alias(n) for n, v in sums.items()])
+    # Where a segment has fewer classes than others, what stands behind its own is none of a row's terms.
+    told = lambda j: asked & (F.col("classes") > j)
+    for i in few:
+        place = F.array_position("cell" if number(i) else "text", F.col(f"c{i}")).cast("int") - 1
+        rest = [f"c{j}" for j in range(len(names)) if j not in few or j > i]
+        terms = lists.where(F.col("feature") == i).drop("feature").hint("shuffle_hash")
+        scored = scored.join(terms, "seg").select(*keep, *rest, *sums, "classes", "folds", *[f"_{c}" for c in ("odds", *SIDES)], place.alias("place"))
+        if i in attacked:
+            plus("score", F.get("_odds", F.col("place") * F.col("folds") + F.col("fold")))
+        if i in used:
+            for c in SIDES:
+                for j in range(k):
+                    plus(f"{c}{j}", F.when(told(j), F.get(f"_{c}", F.col("place") * F.col("classes") + F.lit(j))))
+        scored = scored.select(*keep, *rest, *[v.alias(n) for n, v in sums.items()])
         sums = {n: F.col(n) for n in sums}
     for i in [i for i in range(len(names)) if i not in few]:
         own = model.where(F.col("feature") == i).select("seg", F.col("cell" if number(i) else "text").alias(f"c{i}"), "odds", *[F.col(c).alias(f"_{c}") for c in SIDES])
@@ -518,8 +519,11 @@ def _classifiers(rows: DataFrame, names: list[str], d: int, target: str | None,
     segments = _segment_totals(cells, folds)
     k = _classes(segments)
     model = _model_whole(cells, segments, names, used, folds, k).persist(StorageLevel.DISK_ONLY)
-    hits = _hits(_scored_whole(cells, model, names, used, attacked, k), k)
+    few, lists = _lists(model, k)
+    lists = lists.persist(StorageLevel.DISK_ONLY)
+    hits = _hits(_scored_whole(cells, model, names, used, attacked, k, (few, lists)), k)
     out = stored(_rates(hits.join(segments, "seg"), segments, used), "rates")
+    lists.unpersist()
     model.unpersist()
     return out
 
