@@ -88,6 +88,32 @@ def test_against_plain_counting(spark, rate, top, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(rows, 10, top)
 
 
+def test_hashes_travel_in_few_bytes():
+    rng = np.random.default_rng(5)
+    key = np.unique(rng.integers(0, 1 << P.KEY_BITS, 1_000_000, dtype=np.uint64))
+    n = rng.integers(1, 30, len(key))
+    batch = P._packed(key, n, 1, 10)
+    assert batch.nbytes < 5 * len(key)
+    back, counts = P._unpacked(batch, 10)
+    assert np.array_equal(back, key + np.uint64(1 << P.KEY_BITS)) and np.array_equal(counts, np.minimum(n, 10))
+
+
+def test_frequent_hashes_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "GATHERED", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # buckets go on in the next batch
+    try:
+        rng = np.random.default_rng(6)
+        texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], 30)) for _ in range(300)]
+        chunks = spark.createDataFrame([(t + " \n\n", 1, 7) for t in texts], "chunk string, n long, seed long").repartition(9)
+        both = lambda g: [(g.of(size)[1], g.weight[g.chunk[g.of(size)[0]]]) for size in (2, 3)]
+        got = sorted(tuple(r) for r in P._frequent(chunks, both, 6).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    g = P.Grams(pa.RecordBatch.from_arrays([pa.array([t + " \n\n" for t in texts]), pa.array([1] * 300), pa.array([7] * 300, pa.int64())], names=["chunk", "n", "seed"]))
+    want = [(kind, h & ((1 << P.KEY_BITS) - 1)) for kind, size in enumerate((2, 3)) for h, n in Counter(g.of(size)[1].tolist()).items() if n >= 6]
+    assert got == sorted(want) and 0 < len(want) < 1600
+
+
 def test_large_counts_are_exact(spark):
     row = spark.createDataFrame([(10**13 + 7, 3 * 10**13 + 1, 10**13 + 9)], "a long, l long, r long")
     a, l, r = row.first()

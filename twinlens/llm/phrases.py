@@ -10,7 +10,7 @@ inside the distinct chunks, weighted by frequency; a phrase counts in the chunk
 before the closing trigger, which gives every occurrence exactly one chunk, as no phrase
 is longer than a trigger and one word.
 
-Phrases of two words are counted by 64-bit hash first, those of three only where both their
+Phrases of two words are counted by the low bits of their hash first, those of three only where both their
 pairs are frequent, and single words only where they are part of a frequent pair. Bitmaps of
 a fixed size tell what may be frequent; more phrases fill them and let more through, which
 costs time and changes nothing, as the last pass counts the phrases themselves.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ TOP = 2000
 NO_LANGUAGE = "und"
 #: Bits of a map of hashes.
 MAP_BITS = 1 << 25
+#: Bits of a hash by which it is counted, the low 24 of them within a bucket; at least those of a map.
+KEY_BITS = 36
 #: Hashes that a task gathers before it adds them up.
 GATHERED = 1 << 21
 #: Bytes of chunks that are looked at together.
@@ -197,24 +200,68 @@ class Grams:
         return marked(pair[at], bits) & marked(pair[at + 1], bits)
 
 
+def _packed(key: np.ndarray, n: np.ndarray, kind: int, least: int) -> pa.RecordBatch:
+    """Ascending hashes of ``KEY_BITS``, a row for each bucket. Counts end at ``least``, as no more is asked of them."""
+    bucket = (key >> np.uint64(24)).astype(np.int64) + (kind << (KEY_BITS - 24))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(key)])
+    ends = np.append(first, len(key))
+    count = np.minimum(n, least).astype(np.min_scalar_type(least))
+    low = np.ascontiguousarray(key.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    cells = lambda data, size: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), cells(low, 3), cells(count, count.itemsize)], names=["bucket", "low", "n"])
+
+
+def _unpacked(batch: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(kind and hash, count) of rows of ``_packed``."""
+    low = np.frombuffer(b"".join(column(batch, "low")), np.uint8).reshape(-1, 3).astype(np.uint64)
+    n = np.frombuffer(b"".join(column(batch, "n")), np.min_scalar_type(least)).astype(np.int64)
+    size = pc.binary_length(batch.column("low")).to_numpy(zero_copy_only=False) // 3
+    bucket = np.repeat(batch.column("bucket").to_numpy(zero_copy_only=False).astype(np.uint64), size)
+    return bucket << np.uint64(24) | low[:, 2] << np.uint64(16) | low[:, 1] << np.uint64(8) | low[:, 0], n
+
+
 def _frequent(chunks: DataFrame, pick, least: int) -> DataFrame:
-    """Hashes ``h`` of what ``pick`` gives for each block of chunks that are counted at least so often."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+    """(kind, h): the low ``KEY_BITS`` of hashes that are counted at least so often. ``pick`` gives (hashes, counts)
+    of each kind for a block of chunks. What travels is four bytes or so for each hash of a task; hashes alike in their low
+    bits count as one, so some that are rarer may be told as well."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for block in gathered(batches):
-            kept.append(pick(Grams(block)))
-            if sum(len(h) for h, _ in kept) > GATHERED:
-                kept = [added(kept)]
-                if len(kept[0][0]) > GATHERED // 2:
-                    yield as_batch(schema, kept[0][0].view(np.int64), kept[0][1])
-                    kept = []
-        if kept:
-            h, n = added(kept)
-            yield as_batch(schema, h.view(np.int64), n)
-
-    return mapped(chunks, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+            for kind, (h, n) in enumerate(pick(Grams(block))):
+                own = kept.setdefault(kind, [])
+                own.append((h & np.uint64((1 << KEY_BITS) - 1), n))
+                if sum(len(h) for h, _ in own) > GATHERED:
+                    own[:] = [added(own)]
+                    if len(own[0][0]) > GATHERED // 2:
+                        yield _packed(*own[0], kind, least)
+                        own.clear()
+        for kind, own in kept.items():
+            if own:
+                yield _packed(*added(own), kind, least)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.int32()), ("h", pa.int64())])
+
+        def often(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            key, n = added([(key, n)])
+            key = key[n >= least].astype(np.int64)
+            return as_batch(schema, (key >> KEY_BITS).astype(np.int32), key & ((1 << KEY_BITS) - 1))
+
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = _unpacked(batch, least)
+            key, n = np.concatenate([key, more[0]]), np.concatenate([n, more[1]])
+            # the last bucket may go on in the next batch
+            open_ = key >> np.uint64(24) == np.uint64(batch.column("bucket")[-1].as_py())
+            yield often(key[~open_], n[~open_])
+            key, n = key[open_], n[open_]
+        yield often(key, n)
+
+    packed = mapped(chunks, tell, "bucket long, low binary, n binary")
+    return mapped(packed.repartition("bucket").sortWithinPartitions("bucket"), count, "kind int, h long")
 
 
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST_COUNT, rate: int = RATE) -> DataFrame:
@@ -224,23 +271,20 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
     spark = docs.sparkSession
     chunks = stored(dictionary(docs, text_col, lang_col, rate), "chunks").withColumn("seed", F.xxhash64("lang"))
 
-    def pairs(g: Grams) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(g: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
         at, h = g.of(2)
-        return h, g.weight[g.chunk[at]]
+        return [(h, g.weight[g.chunk[at]])]
 
     two = spark.sparkContext.broadcast(bitmap(_frequent(chunks, pairs, least), MAP_BITS))
 
-    def triples(g: Grams) -> tuple[np.ndarray, np.ndarray]:
+    def triples_and_words(g: Grams) -> list[tuple[np.ndarray, np.ndarray]]:
         at, h = g.of(3)
         likely = g.both_pairs(at, two.value)
-        return h[likely], g.weight[g.chunk[at[likely]]]
-
-    def words(g: Grams) -> tuple[np.ndarray, np.ndarray]:
-        h = g.of_pairs(two.value)
-        return h, np.ones(len(h), np.int64)
+        own = g.of_pairs(two.value)
+        return [(h[likely], g.weight[g.chunk[at[likely]]]), (own, np.full(len(own), least, np.int64))]
 
-    one = spark.sparkContext.broadcast(bitmap(_frequent(chunks, words, 1), MAP_BITS))
-    three = spark.sparkContext.broadcast(bitmap(_frequent(chunks, triples, least), MAP_BITS))
+    found = stored(_frequent(chunks, triples_and_words, least), "frequent")
+    three, one = (spark.sparkContext.broadcast(bitmap(found.where(F.col("kind") == kind), MAP_BITS)) for kind in range(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "words", "phrase", "n"]
